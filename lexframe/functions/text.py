@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules
 
@@ -39,7 +40,7 @@ _STABLE_NFKC = "^[" + _char_class([
 ]) + "]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
@@ -53,12 +54,12 @@ def _clean_one(value: str | None) -> str | None:
     return "".join(kept)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_printable(values: pd.Series) -> pd.Series:
     return values.map(_clean_one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else html.unescape(v))
 
@@ -132,12 +133,12 @@ def _article_one(text: str | None) -> str:
     return "\n".join(pieces).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _flatten_json(values: pd.Series) -> pd.Series:
     return values.map(_flatten_one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _article_json(values: pd.Series) -> pd.Series:
     return values.map(_article_one)
 

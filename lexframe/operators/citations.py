@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules
 from ..functions import article_display, normalize_article, normalize_name
@@ -15,6 +16,12 @@ from .corpus import KEYS
 
 MAX_CITATIONS = 5
 _STRICT = rf"\[([^\]]+?)[{SPACE}]+제(\p{{Nd}}+(?:의\p{{Nd}}+)?)조\]"
+CITATIONS = T.ArrayType(T.StructType([
+    T.StructField("law_name", T.StringType()),
+    T.StructField("article_number", T.StringType()),
+    T.StructField("score", T.DoubleType()),
+    T.StructField("rank", T.IntegerType()),
+]))
 _OUTSIDE = re.compile(rules.CITATION_OUTSIDE)
 _INSIDE = re.compile(rules.CITATION_INSIDE)
 
@@ -31,9 +38,7 @@ def _cited(answer: str | None) -> list[dict]:
     ]
 
 
-@F.pandas_udf(
-    "array<struct<law_name:string,article_number:string,score:double,rank:int>>"
-)
+@F.pandas_udf(CITATIONS)
 def _cited_udf(answers: pd.Series) -> pd.Series:
     return answers.map(_cited)
 

@@ -95,9 +95,8 @@ def _result(best: _Best, query_ids: np.ndarray) -> pa.RecordBatch:
 _SCHEMA = "query_id bigint, candidate_id bigint, score double"
 
 
-def _inline_scan(corpus: DataFrame, queries: DataFrame, k: int, scoped: bool, digits: int):
+def _inline_scan(corpus: DataFrame, table: pa.Table, k: int, scoped: bool, digits: int):
     """Every corpus partition scores the whole (small, counted) query batch."""
-    table = queries.toArrow()
     packed = (
         np.asarray(table["query_id"].to_numpy()),
         _matrix(table["embedding"]),
@@ -173,8 +172,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, scope: bool = Fal
     head = queries.select(F.size("embedding").alias("n")).first()
     dims = head["n"] if head else 1
     inline_rows = inline_bytes // (8 * dims)
-    if inline_rows and queries.limit(inline_rows + 1).count() <= inline_rows:
-        local = _inline_scan(corpus, queries, k, scope, digits)
+    bounded = queries.limit(inline_rows + 1).toArrow() if inline_rows else None
+    if bounded is not None and bounded.num_rows <= inline_rows:
+        local = _inline_scan(corpus, bounded, k, scope, digits)
     else:
         local = _grid_scan(corpus, queries, k, scope, digits, dims, cell_bytes)
     return best_per_query(local, k)

@@ -1,0 +1,18 @@
+"""Write an intermediate table once and go on from its files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..session import scratch_path
+
+
+def pin(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table in the shared folder.
+
+    Later steps reuse it without recomputing, survive lost executors, and Spark knows its size
+    when it decides whether to broadcast it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

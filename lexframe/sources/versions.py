@@ -1,0 +1,47 @@
+"""Published versions of a table: data first, then one row that makes it current.
+
+A path that is being read is never overwritten, and a version that was already published is not
+written again, so a repeated batch changes nothing.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_COMMITS = "version bigint, path string"
+
+
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(_COMMITS).parquet(f"{root}/commits")
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    """Newest published version; None when nothing was published yet."""
+    try:
+        return _commits(spark, root).agg(F.max("version")).first()[0]
+    except AnalysisException:
+        return None
+
+
+def read_current(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The current version, or an empty table."""
+    version = current_version(spark, root)
+    if version is None:
+        return spark.createDataFrame([], schema)
+    path = _commits(spark, root).where(F.col("version") == version).first()["path"]
+    return spark.read.schema(schema).parquet(path)
+
+
+def publish(df: DataFrame, root: str, version: int) -> bool:
+    """Write and publish a version; False when this version already exists."""
+    spark = df.sparkSession
+    published = current_version(spark, root)
+    if published is not None and published >= version:
+        return False
+    path = f"{root}/data/version={version}"
+    df.write.mode("overwrite").parquet(path)
+    commit = spark.createDataFrame([(version, path)], _COMMITS).coalesce(1)
+    commit.write.mode("append").parquet(f"{root}/commits")
+    return True
