@@ -52,7 +52,7 @@ def keyword_filter(df: DataFrame, column: str, term: Column) -> DataFrame:
 
 def _contains(text: Column, term: Column) -> Column:
     plain = F.lower(text).contains(F.lower(term))
-    wild = text.ilike(F.concat(F.lit("%"), term, F.lit("%")))
+    wild = F.ilike(text, F.concat(F.lit("%"), term, F.lit("%")))
     return F.when(term.rlike(r"[%_\\]"), wild).otherwise(plain)
 
 
