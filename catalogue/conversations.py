@@ -7,18 +7,9 @@ from pyspark.sql import functions as F
 from lexframe.operators import conversations as ops
 
 from .common import EVENT_TURNS_SQL, TURN_ID_STEP, TURNS_SQL, event_turns, load, turns
+from .registry import registry
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 _PAIRS_SQL = f"""WITH {TURNS_SQL}, pairs AS (

@@ -10,18 +10,9 @@ from lexframe.operators import lookup
 from lexframe.operators.keyed import set_difference
 
 from .common import ARTICLES_SQL, LABELLED_SQL, articles, labelled, load
+from .registry import registry
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 def _incoming(spark, sf_dir):

@@ -8,21 +8,12 @@ from lexframe.operators import retrieval_eval as evaluation
 from lexframe.operators import vectors as ops
 
 from .common import load
+from .registry import registry
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES, query = registry()
 K = 10
 
 
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
-
-
 def _sides(spark, sf_dir):
     vectors = load(spark, sf_dir, "embeddings")
     scope = F.col("label").cast("string").alias("scope")

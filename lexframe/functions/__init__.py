@@ -10,7 +10,7 @@ from .judging import (  # noqa: F401
     coerce_verdict, failure_reason, infer_source, is_failure, next_action, source_of_event,
 )
 from .routing import (  # noqa: F401
-    expand_terms, handler_of, law_label, route_question, search_term, short_tool,
+    expand_terms, handler_of, law_label, route_question, search_term, short_tool, squeeze,
 )
 from .text import (  # noqa: F401
     article_text, clean_text, collapse_space, flatten_text, json_field, nfc, number_paragraphs,

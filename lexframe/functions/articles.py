@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,9 +38,18 @@ def article_display(column: Column) -> Column:
     return F.when(branch != "", F.concat(main, F.lit("의"), branch)).otherwise(main)
 
 
-def detect_entity(column: Column, names: list[str] | None = None) -> Column:
-    """First listed name contained in the whitespace-free text, else NULL."""
-    text = collapse_space(column)
+def any_word(text: Column, words: list[str]) -> Column:
+    """The text contains at least one of the words."""
+    return text.rlike("|".join(rf"\Q{w}\E" for w in words))
+
+
+def detect_entity(column: Column, names: list[str] | None = None,
+                  dense: Column | None = None) -> Column:
+    """First listed name contained in the whitespace-free text, else NULL.
+
+    ``dense`` is that text, for callers that have it as a column already.
+    """
+    text = collapse_space(column) if dense is None else dense
     hits = [F.when(text.contains(n), F.lit(n)) for n in (names or rules.KNOWN_NAMES)]
     return F.coalesce(*hits)
 
@@ -59,13 +66,9 @@ def mentions_unknown_entity(question: Column, name: Column, article: Column) ->
     return name.isNull() & (article != "") & question.rlike(_FOREIGN_REFERENCE)
 
 
-def any_word(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
-
-
-def priority_scope(column: Column, scope_rules=None) -> Column:
+def priority_scope(column: Column, scope_rules=None, dense: Column | None = None) -> Column:
     """Preferred scope of the first keyword set with a hit, else NULL."""
-    text = collapse_space(column)
+    text = collapse_space(column) if dense is None else dense
     ordered = scope_rules or rules.SCOPE_RULES
     return F.coalesce(*[F.when(any_word(text, words), F.lit(scope)) for words, scope in ordered])
 

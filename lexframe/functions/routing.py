@@ -12,9 +12,9 @@ from .articles import ARTICLE_MENTION, any_word
 from .text import collapse_space, nfc, strip_space
 
 
-def expand_terms(column: Column, term_map=None) -> Column:
+def expand_terms(column: Column, term_map=None, dense: Column | None = None) -> Column:
     """Append the statutory term of the first trigger found, unless it is already there."""
-    text = collapse_space(column)
+    text = collapse_space(column) if dense is None else dense
     result = None
     for trigger, term in term_map or rules.TERM_MAP:
         applies = text.contains(trigger) & ~text.contains(term)
@@ -23,10 +23,18 @@ def expand_terms(column: Column, term_map=None) -> Column:
     return result.otherwise(column)
 
 
-def route_question(column: Column) -> Column:
-    """Tool of the first matching rule; NULL where only a label can decide."""
+def squeeze(column: Column) -> Column:
+    """Lower case without ASCII spaces, in composed form."""
+    return nfc(F.replace(F.lower(column), F.lit(" "), F.lit("")))
+
+
+def route_question(column: Column, squeezed: Column | None = None) -> Column:
+    """Tool of the first matching rule; NULL where only a label can decide.
+
+    ``squeezed`` is :func:`squeeze` of the question, for callers that have it as a column.
+    """
     lowered = F.lower(column)
-    squeezed = nfc(F.replace(lowered, F.lit(" "), F.lit("")))
+    squeezed = squeeze(column) if squeezed is None else squeezed
     return (
         F.when(any_word(lowered, rules.FOREIGN_KEYWORDS), "websearch_tool")
         .when(column.rlike(ARTICLE_MENTION), "law_rag_tool")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import (
-    article_display, detect_entity, extract_article_ref, mentions_unknown_entity, priority_scope,
+    article_display, collapse_space, detect_entity, extract_article_ref, mentions_unknown_entity, priority_scope,
     strip_space,
 )
 from ..operators.corpus import KEYS
@@ -20,12 +20,12 @@ _CITATIONS = "array<struct<law_name:string,article_number:string,score:double,ra
 
 def understand(questions: DataFrame, names=None, scope_rules=None) -> DataFrame:
     """Adds ``name, article, unknown`` and ``scope`` (preferred law) to questions."""
-    text = F.col("question")
-    read = questions.withColumns({
-        "name": detect_entity(text, names),
+    text, dense = F.col("question"), F.col("__dense")
+    read = questions.withColumn("__dense", collapse_space(text)).withColumns({
+        "name": detect_entity(text, names, dense),
         "article": extract_article_ref(text),
-        "scope": priority_scope(text, scope_rules),
-    })
+        "scope": priority_scope(text, scope_rules, dense),
+    }).drop("__dense")
     unknown = mentions_unknown_entity(text, F.col("name"), F.col("article"))
     return read.withColumn("unknown", unknown)
 
@@ -126,7 +126,7 @@ def tiered_retrieve(questions: DataFrame, articles: DataFrame, points: DataFrame
     """
     if mode == "eval":
         return _evaluate(questions, articles, points, names, scope_rules, limits)
-    asked = understand(questions, names, scope_rules)
+    asked = pin(understand(questions, names, scope_rules), "questions")
     named, numbered = F.col("name").isNotNull(), F.col("article") != ""
     direct = _direct(asked.where(named & numbered), articles, points, available)
 
@@ -180,7 +180,7 @@ def tiered_retrieve(questions: DataFrame, articles: DataFrame, points: DataFrame
 
 
 def _evaluate(questions, articles, points, names, scope_rules, limits) -> DataFrame:
-    asked = understand(questions, names, scope_rules)
+    asked = pin(understand(questions, names, scope_rules), "questions")
     wanted = asked.where(F.col("name").isNotNull() & (F.col("article") != "")).select(
         "question_id", F.col("name").alias(KEYS[0]), F.col("article").alias(KEYS[1])
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions import route_question
+from ..functions import route_question, squeeze
 from ..operators.lookup import resolve_routes, route_lookup
 
 
@@ -16,5 +16,12 @@ def route_questions(questions: DataFrame, labels: DataFrame | None = None) -> Da
     Open questions take their tool from ``labels`` (``query, tool``), else the default. Only the
     question itself is read; earlier turns are passed on as context, never tested.
     """
-    ruled = questions.withColumn("rule_tool", route_question(F.col("query")))
+    ruled = apply_rules(questions)
     return route_lookup(resolve_routes(ruled, "rule_tool", labels, rules.DEFAULT_TOOL))
+
+
+def apply_rules(questions: DataFrame) -> DataFrame:
+    """Adds ``rule_tool``. The squeezed text is a column, so it is computed once per question."""
+    squeezed = questions.withColumn("__squeezed", squeeze(F.col("query")))
+    rule = route_question(F.col("query"), F.col("__squeezed"))
+    return squeezed.withColumn("rule_tool", rule).drop("__squeezed")

@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import rules
-from ..functions import route_question
 from ..operators.logs import flag_failures
+from ..plans.routing import apply_rules
 from ..plans.sync import sync_corpus
 from ..sources.logs import parse_log_lines
 from ..sources.schemas import ARTICLES
@@ -132,7 +132,7 @@ def _columns(ddl: str) -> list[str]:
 def stream_route(questions: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Route arriving questions by rule, then by a static label table. ``resolved`` is false for
     those that neither decides; they carry the default tool and can be set aside."""
-    ruled = questions.withColumn("rule_tool", route_question(F.col("query")))
+    ruled = apply_rules(questions)
     if labels is None:
         label = F.lit(None).cast("string")
     else:
