@@ -20,9 +20,7 @@ KEYS = ["law_name_norm", "article_number_norm"]
 _REPEALED = (
     rf"^제[{SPACE}]*\p{{Nd}}+[{SPACE}]*조(?:의[{SPACE}]*\p{{Nd}}+)?[{SPACE}]*삭제"
 )
-_UNIT = (
-    "조문여부 string, 조문번호 string, 조문가지번호 string, 조문시행일자 string"
-)
+_UNIT = "`조문여부` string, `조문번호` string, `조문가지번호` string, `조문시행일자` string"
 
 
 def article_units(documents: DataFrame) -> DataFrame:

@@ -97,11 +97,13 @@ def compare_runs(before: DataFrame, after: DataFrame, **options) -> DataFrame:
 
 def regression_gate(runs: DataFrame, **options) -> DataFrame:
     """The newest run against the one before it, metric by metric, with the overall flag."""
+    place = F.struct("run_ts", "tag")
     two = latest_runs(runs, 2).agg(
-        F.sort_array(F.collect_list(F.struct("run_ts", "tag", "metrics"))).alias("r")
-    ).where(F.size("r") == 2)
+        F.min_by("metrics", place).alias("before"), F.max_by("metrics", place).alias("after"),
+        F.count(F.lit(1)).alias("n"),
+    ).where(F.col("n") == 2)
     zipped = F.map_zip_with(
-        F.col("r")[0]["metrics"], F.col("r")[1]["metrics"],
+        "before", "after",
         lambda _, b, a: F.struct(b.alias("before_value"), a.alias("after_value")),
     )
     pairs = two.select(F.explode(zipped).alias("metric", "v")).select("metric", "v.*")
