@@ -8,7 +8,7 @@ from lexframe.functions import number_paragraphs, preview
 from lexframe.operators import answers as ops
 from lexframe.sources.logs import parse_event_lines
 
-from .common import load
+from .common import load, load_dealt
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -16,7 +16,7 @@ QUERIES, ORACLES, query = registry()
 
 def chunks(spark, sf_dir, size: int = 20):
     """Every document as one request: a status, its text in slices, a source, a stored id."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = load_dealt(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     text = ops.chunk_text(docs, "text", size).select(
         "doc_id", F.col("seq") + 1, F.lit("text").alias("event"), F.col("chunk").alias("payload")
     )

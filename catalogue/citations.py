@@ -8,7 +8,7 @@ from lexframe import functions as fx
 from lexframe import rules
 from lexframe.operators import citations as ops
 
-from .common import ARTICLES_SQL, LABELLED_SQL, articles, labelled, load, turns
+from .common import ARTICLES_SQL, LABELLED_SQL, articles, labelled, load, load_dealt, turns
 from .common import TURN_ID_STEP, TURNS_SQL
 from .registry import registry
 from .vectors import leave_one_out, topk_sql
@@ -17,7 +17,7 @@ QUERIES, ORACLES, query = registry()
 
 
 def answers(spark, sf_dir):
-    docs, number = load(spark, sf_dir, "documents"), F.col("doc_id")
+    docs, number = load_dealt(spark, sf_dir, "documents"), F.col("doc_id")
     return docs.select(
         F.col("doc_id").alias("answer_id"),
         F.concat(

@@ -12,6 +12,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row. A file with fewer splits than there are task slots
+    (the test tables are single row groups) is dealt out; larger tables are read as they are."""
+    table = load(spark, sf_dir, name)
+    slots = spark.sparkContext.defaultParallelism
+    return table.repartition(slots) if table.rdd.getNumPartitions() < slots else table
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as turns; time order is (conv_id, turn)."""
     identity = F.col("conv_id") * TURN_ID_STEP + F.col("turn")

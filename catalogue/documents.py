@@ -8,7 +8,7 @@ from lexframe.functions import flatten_text
 from lexframe.operators.corpus import extract_articles as extract
 from lexframe.plans.sync import sync_corpus as sync
 
-from .common import load
+from .common import load, load_dealt
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -17,7 +17,7 @@ QUERIES, ORACLES, query = registry()
 def statutes(spark, sf_dir, labelled_only: bool = False):
     """Every line is an article; every third one is a branch of its number. Each law also has a
     heading and a repealed article, which have to disappear."""
-    docs = load(spark, sf_dir, "documents")
+    docs = load_dealt(spark, sf_dir, "documents")
     if labelled_only:
         docs = docs.join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     number = F.col("n").cast("string")

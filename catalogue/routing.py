@@ -10,7 +10,7 @@ from lexframe.operators import retrieval_eval
 from lexframe.plans import routing as plans
 from lexframe.plans.retrieval import understand
 
-from .common import load, sql_contains_any, sql_first_of, sql_list
+from .common import load, load_dealt, sql_contains_any, sql_first_of, sql_list
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -31,7 +31,7 @@ def questions(spark, sf_dir):
     place = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(REQUESTS))).cast("int") + 1
     request = F.element_at(F.array(*[F.lit(r) for r in REQUESTS]), place)
     text = F.when(F.col("role") == "user", F.concat("text", F.lit(" "), request))
-    return load(spark, sf_dir, "conversations").select(
+    return load_dealt(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "role", text.otherwise(request).alias("query")
     )
 

@@ -9,7 +9,7 @@ from lexframe import rules
 from lexframe.operators.keyed import keep_first, top_sources, union_sources
 from lexframe.sources.web import read_web_results
 
-from .common import load, sql_list
+from .common import load, load_dealt, sql_list
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -44,13 +44,13 @@ _BLOG_SQL = _brand_sql("url", rules.BLOG_BRANDS, rules.BLOG_HOST_NOISE, "BLOG")
 
 @query(f"SELECT page_id, {_stripped('html')} AS text FROM pages")
 def strip_markup(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", fx.strip_markup(F.col("html")).alias("text"))
+    return load_dealt(spark, sf_dir, "pages").select("page_id", fx.strip_markup(F.col("html")).alias("text"))
 
 
 @query(f"SELECT page_id, {_NEWS_SQL} AS news, {_BLOG_SQL} AS blog FROM pages")
 def source_brand(spark, sf_dir):
     url = F.col("url")
-    return load(spark, sf_dir, "pages").select(
+    return load_dealt(spark, sf_dir, "pages").select(
         "page_id", fx.source_brand(url).alias("news"), fx.source_brand(url, "blog").alias("blog")
     )
 
@@ -60,7 +60,7 @@ def _news(spark, sf_dir):
     day = F.date_format(F.date_add(F.lit("2024-01-01"), F.col("page_id").cast("int")),
                         "EEE, dd MMM yyyy")
     stamp = F.when(F.col("url").contains("?"), F.concat(day, F.lit(" 23:30:00 +0900")))
-    return load(spark, sf_dir, "pages").select(
+    return load_dealt(spark, sf_dir, "pages").select(
         F.col("page_id").alias("position"),
         F.regexp_extract("html", _TITLE, 1).alias("title"),
         F.col("html").alias("description"),
@@ -84,7 +84,7 @@ def read_news_results(spark, sf_dir):
 
 def _general(spark, sf_dir):
     """The same pages as a general search returns them, without tracking parameters."""
-    return read_web_results(load(spark, sf_dir, "pages").select(
+    return read_web_results(load_dealt(spark, sf_dir, "pages").select(
         F.col("page_id").alias("position"),
         F.regexp_extract("html", _TITLE, 1).alias("title"),
         F.regexp_replace("url", "[?#].*$", "").alias("url"),

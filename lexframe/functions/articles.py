@@ -88,22 +88,43 @@ def _present(node: Column) -> Column:
     return F.when(~node.isin("", "[]", "{}", "null", "false", "0"), node)
 
 
-def pick_enforcement_date(article: Column, law: Column, law_short: Column) -> Column:
-    """Article date, else the law's; lists give their last entry, objects their date field."""
-    node = F.coalesce(_present(article), _present(law), _present(law_short))
+def date_node(article: Column, law: Column, law_short: Column) -> Column:
+    """The article's own date node, else the law's."""
+    return F.coalesce(_present(article), _present(law), _present(law_short))
+
+
+def last_of_list(node: Column) -> Column:
+    """The last entry of a JSON list; anything else as it is."""
     entries = F.from_json(node, "array<string>")
-    node = F.when(node.startswith("["), F.try_element_at(entries, F.lit(-1))).otherwise(node)
+    return F.when(node.startswith("["), F.try_element_at(entries, F.lit(-1))).otherwise(node)
+
+
+def date_field(node: Column) -> Column:
+    """The first ten characters of a date node, which may be an object around the date."""
     attribute = F.coalesce(
         _present(F.get_json_object(node, "$.@시행일자")), F.get_json_object(node, "$.#text")
     )
-    node = F.when(node.startswith("{"), attribute).otherwise(node)
-    text = F.substring(strip_space(node), 1, 10)
+    text = F.when(node.startswith("{"), attribute).otherwise(node)
+    return F.substring(strip_space(text), 1, 10)
+
+
+def date_value(text: Column) -> Column:
+    """``yyyyMMdd`` or ``yyyy-MM-dd``; NULL for anything else."""
     dashed = (F.char_length(text) == 10) & (F.substring(text, 5, 1) == "-")
     return F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd")).when(
         dashed, F.try_to_date(text, "yyyy-MM-dd")
     )
 
 
+def pick_enforcement_date(article: Column, law: Column, law_short: Column) -> Column:
+    """Date of an article: its own, else the law's; the last of a list, the field of an object.
+
+    Jobs over many rows apply the four steps as columns of their own, so that each is computed
+    once.
+    """
+    return date_value(date_field(last_of_list(date_node(article, law, law_short))))
+
+
 def source_url(name: Column, article: Column) -> Column:
     """Link to the public statute page of an article."""
     quoted = F.url_encode(name)

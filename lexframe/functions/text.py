@@ -143,6 +143,10 @@ def _article_json(values: pd.Series) -> pd.Series:
     return values.map(_article_one)
 
 
+# Keeps a filter on the text from being pushed below it, which would run the helper twice.
+_article_json = _article_json.asNondeterministic()
+
+
 def flatten_text(column: Column) -> Column:
     """All text of a JSON node, depth first, one piece per line."""
     return _flatten_json(column)

@@ -10,16 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (
-    article_display, article_text, clean_text, content_hash, normalize_name, pick_enforcement_date,
-    point_id,
+    article_display, article_text, clean_text, content_hash, normalize_name, point_id,
 )
+from ..functions.articles import date_field, date_node, date_value, last_of_list
 from ..functions.text import SPACE
-from .keyed import latest_by_key, set_difference, spread_join
+from .keyed import latest_by_key, spread_join
 
 KEYS = ["law_name_norm", "article_number_norm"]
 _REPEALED = (
     rf"^제[{SPACE}]*\p{{Nd}}+[{SPACE}]*조(?:의[{SPACE}]*\p{{Nd}}+)?[{SPACE}]*삭제"
 )
+_LAW = "`법령` struct<`시행일자`: string, `시행일`: string, `조문`: string>"
 _UNIT = "`조문여부` string, `조문번호` string, `조문가지번호` string, `조문시행일자` string"
 
 
@@ -27,17 +28,22 @@ def article_units(documents: DataFrame) -> DataFrame:
     """One row per unit node; ``documents`` has ``law_name, doc`` (JSON text).
 
     The unit list may be missing (the container itself is the unit), a single object, or the
-    container may already be a list.
+    container may already be a list. Whatever belongs to the law is read before the units are
+    exploded, so the document is not carried along.
     """
-    holder = F.get_json_object("doc", "$.법령.조문")
-    units = F.coalesce(F.get_json_object("doc", "$.법령.조문.조문단위"), holder)
-    listed = F.when(units.startswith("["), units).otherwise(
-        F.concat(F.lit("["), units, F.lit("]"))
+    law = F.from_json("doc", _LAW)["법령"]
+    read = documents.withColumn("law", law).select(
+        "law_name", normalize_name(F.col("law_name")).alias("law_name_norm"),
+        F.col("law.시행일자").alias("law_date"), F.col("law.시행일").alias("law_date_short"),
+        F.col("law.조문").alias("holder"),
     )
-    return documents.select(
-        "law_name",
-        F.get_json_object("doc", "$.법령.시행일자").alias("law_date"),
-        F.get_json_object("doc", "$.법령.시행일").alias("law_date_short"),
+    inner = F.when(F.col("holder").startswith("{"), F.get_json_object("holder", "$.조문단위"))
+    read = read.withColumn("units", F.coalesce(inner, "holder")).drop("holder")
+    listed = F.when(F.col("units").startswith("["), F.col("units")).otherwise(
+        F.concat(F.lit("["), "units", F.lit("]"))
+    )
+    return read.select(
+        "law_name", "law_name_norm", "law_date", "law_date_short",
         F.posexplode(F.from_json(listed, "array<string>")).alias("position", "unit"),
     )
 
@@ -49,32 +55,35 @@ def _digits(name: str) -> Column:
 def extract_articles(documents: DataFrame) -> DataFrame:
     """Articles of statute documents: headings, repealed and empty articles dropped."""
     units = article_units(documents).withColumn("head", F.from_json("unit", _UNIT))
-    units = units.select("*", "head.*").where(
-        (F.col("조문여부") == "조문") & (_digits("조문번호") != "")
-    )
-    branch = _digits("조문가지번호")
-    number = F.when(
-        branch != "", F.concat(_digits("조문번호"), F.lit("의"), branch)
-    ).otherwise(_digits("조문번호"))
-    day = pick_enforcement_date(
-        F.col("조문시행일자"), F.col("law_date"), F.col("law_date_short")
-    )
-    articles = units.select(
-        "law_name",
-        normalize_name(F.col("law_name")).alias("law_name_norm"),
-        article_display(number).alias("article_number"),
-        number.alias("article_number_norm"),
+    read = units.select(
+        "law_name", "law_name_norm", "position",
+        F.col("head.조문여부").alias("kind"),
+        _digits("head.조문번호").alias("main"),
+        _digits("head.조문가지번호").alias("branch"),
+        date_node(F.col("head.조문시행일자"), F.col("law_date"), F.col("law_date_short")).alias(
+            "date_node"),
         article_text(F.col("unit")).alias("raw_text"),
-        day.alias("enforcement_date"),
-        "position",
     )
-    kept = articles.where((F.col("raw_text") != "") & ~F.col("raw_text").rlike(_REPEALED))
+    kept = read.where(
+        (F.col("kind") == "조문") & (F.col("main") != "")
+        & (F.col("raw_text") != "") & ~F.col("raw_text").rlike(_REPEALED)
+    )
+    number = F.when(
+        F.col("branch") != "", F.concat("main", F.lit("의"), "branch")
+    ).otherwise(F.col("main"))
+    articles = kept.withColumns({
+        "article_number_norm": number,
+        "date_node": last_of_list(F.col("date_node")),
+        "text": clean_text(F.col("raw_text")),
+    }).withColumn("day", date_field(F.col("date_node")))
     key = F.concat_ws(":", "law_name_norm", "article_number_norm", "position")
-    return kept.select(
+    return articles.select(
         F.sha2(key, 256).alias("chunk_id"),
-        "law_name", "law_name_norm", "article_number", "article_number_norm",
-        clean_text(F.col("raw_text")).alias("text"),
-        "enforcement_date", "position",
+        "law_name", "law_name_norm",
+        article_display(F.col("article_number_norm")).alias("article_number"),
+        "article_number_norm", "text",
+        date_value(F.col("day")).alias("enforcement_date"),
+        "position",
     )
 
 
@@ -115,20 +124,30 @@ def merge_articles(target: DataFrame, incoming: DataFrame, now: Column) -> DataF
     )
 
 
-def stale_articles(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Rows of a law that its incoming version no longer has.
+def flag_stale(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Adds ``stale``: the row's law has incoming rows, but none with the row's number.
 
     Laws without incoming rows are left alone, and rows without an article number never count.
+    The number is looked up by the full key; the law by a table of one row per law whose copies
+    share out the rows of a large law.
     """
-    gone = set_difference(current.where(F.col(KEYS[1]).isNotNull()), incoming, KEYS)
-    laws = incoming.select(KEYS[0]).distinct()
-    return spread_join(gone, laws, KEYS[0], KEYS[1], "left_semi")
+    keys = incoming.select(*KEYS).distinct().withColumn("__listed", F.lit(True))
+    laws = incoming.select(KEYS[0]).distinct().withColumn("__synced", F.lit(True))
+    flagged = spread_join(current.join(keys, KEYS, "left"), laws, KEYS[0], KEYS[1], "left")
+    stale = (
+        F.col("__synced").isNotNull() & F.col("__listed").isNull() & F.col(KEYS[1]).isNotNull()
+    )
+    return flagged.withColumn("stale", stale).drop("__listed", "__synced")
+
+
+def stale_articles(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Rows that the incoming version of their law no longer has."""
+    return flag_stale(current, incoming).where("stale").select(*current.columns)
 
 
 def remove_stale(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """The table without its stale rows."""
-    gone = stale_articles(current, incoming).select(*KEYS)
-    return current.join(gone, KEYS, "left_anti")
+    return flag_stale(current, incoming).where(~F.col("stale")).select(*current.columns)
 
 
 def reconcile(a: DataFrame, b: DataFrame, law: str = "law_name_norm") -> DataFrame:

@@ -37,7 +37,8 @@ def sync_corpus(target: DataFrame, documents: DataFrame, now: Column,
     """
     good, bad = split_documents(documents)
     incoming = pin(extract_articles(good), "incoming-articles")
-    articles = remove_stale(merge_articles(target, incoming, now), incoming)
+    # A stale row is never one that is merged, so it can go first: the old table is read once.
+    articles = merge_articles(remove_stale(target, incoming), incoming, now)
     counts = incoming.groupBy("law_name").agg(F.count(F.lit(1)).alias("articles"))
     seen = good.select("law_name").distinct()
     per_law = seen.join(counts, "law_name", "left").select(
@@ -49,7 +50,7 @@ def sync_corpus(target: DataFrame, documents: DataFrame, now: Column,
     result = SyncResult(articles, None, per_law, bad)
     if points is not None and embed is not None:
         fresh = vector_rows(incoming, embed(incoming))
-        result.points = remove_stale(upsert_vectors(points, fresh), incoming)
+        result.points = upsert_vectors(remove_stale(points, incoming), fresh)
         result.report = reconcile(articles, result.points, KEYS[0])
         result.summary = reconcile_summary(result.report)
     return result
