@@ -172,8 +172,10 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, scope: bool = Fal
     head = queries.select(F.size("embedding").alias("n")).first()
     dims = head["n"] if head else 1
     inline_rows = inline_bytes // (8 * dims)
-    bounded = queries.limit(inline_rows + 1).toArrow() if inline_rows else None
-    if bounded is not None and bounded.num_rows <= inline_rows:
+    bounded = queries.limit(inline_rows + 1).toArrow() if head and inline_rows else None
+    if head is None:
+        local = corpus.sparkSession.createDataFrame([], _SCHEMA)
+    elif bounded is not None and bounded.num_rows <= inline_rows:
         local = _inline_scan(corpus, bounded, k, scope, digits)
     else:
         local = _grid_scan(corpus, queries, k, scope, digits, dims, cell_bytes)
