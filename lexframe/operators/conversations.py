@@ -25,12 +25,13 @@ def _ordered(turns: DataFrame) -> list[str]:
     return [c for c in TIME_ORDER if c in turns.columns]
 
 
-def pair_turns(turns: DataFrame) -> DataFrame:
-    """Every user turn with the assistant turn right after it; unanswered turns drop out."""
-    extra = [c for c in ("created_at", "id") if c in turns.columns]
-    asked = turns.where(F.col("role") == "user").select(
-        "session_id", "turn_index", F.col("content").alias("question"), *extra
-    )
+def pair_turns(turns: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Every user turn with the assistant turn right after it; unanswered turns drop out.
+
+    ``asked`` stands in for the user turns when they were filtered beforehand.
+    """
+    if asked is None:
+        asked = user_questions(turns)
     answered = turns.where(F.col("role") == "assistant").select(
         "session_id",
         (F.col("turn_index") - 1).alias("turn_index"),
@@ -39,6 +40,13 @@ def pair_turns(turns: DataFrame) -> DataFrame:
     return asked.join(answered, ["session_id", "turn_index"])
 
 
+def user_questions(turns: DataFrame) -> DataFrame:
+    """User turns in the columns that pairs have."""
+    return turns.where(F.col("role") == "user").select(
+        "session_id", "turn_index", F.col("content").alias("question"), *_extra(turns)
+    )
+
+
 def recent_pairs(turns: DataFrame, n: int = 5, order=None) -> DataFrame:
     """The newest ``n`` question/answer pairs of all sessions."""
     pairs = pair_turns(turns)
@@ -60,36 +68,38 @@ def search_history(queries: DataFrame, turns: DataFrame, n: int = 5, order=None,
                    max_inline_terms: int = MAX_INLINE_TERMS, cells: int = 64) -> DataFrame:
     """Newest ``n`` pairs whose question contains the query's subject, else the newest ``n`` pairs.
 
-    ``queries`` has ``query_id, query``. Up to ``max_inline_terms`` terms (counted first) travel
-    with every scan task; more are cut into blocks, and pairs meet each block by an equi-join on
-    (block, cell). Pairs are cut to ``n`` per query before they are shuffled.
+    ``queries`` has ``query_id, query``. Questions are matched before they are paired, so only
+    matching ones are shuffled to their answers. Up to ``max_inline_terms`` terms (counted first)
+    travel with every scan task; more are cut into blocks, and questions meet each block by an
+    equi-join on (block, cell).
     """
-    pairs = pair_turns(turns)
-    order = order or _ordered(pairs)
+    asked = user_questions(turns)
+    order = list(order or _ordered(asked))
     terms = queries.select("query_id", search_term(F.col("query")).alias("term"))
     terms = terms.where(F.col("term") != "")
-    n_terms = terms.limit(max_inline_terms + 1).count()
+    n_terms = terms.count()
     packed = F.collect_list(F.struct("query_id", "term")).alias("terms")
 
     if n_terms <= max_inline_terms:
-        scored = pairs.withColumn("terms", terms.agg(packed).scalar())
+        asked = asked.withColumn("terms", terms.agg(packed).scalar())
     else:
-        n_blocks = math.ceil(terms.count() / TERMS_PER_BLOCK)
+        n_blocks = math.ceil(n_terms / TERMS_PER_BLOCK)
         block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")
         blocks = terms.groupBy(block.alias("block")).agg(packed)
         blocks = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
         cell = F.pmod(F.xxhash64("session_id", "turn_index"), F.lit(cells)).cast("int")
-        spread = pairs.withColumn("cell", cell).withColumn(
+        spread = asked.withColumn("cell", cell).withColumn(
             "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
         )
-        scored = spread.join(blocks, ["block", "cell"]).drop("block", "cell")
+        asked = spread.join(blocks, ["block", "cell"])
 
-    matching = F.filter("terms", lambda t: _contains(F.col("question"), t["term"]))
-    hits = scored.withColumn("query_id", F.explode(F.transform(matching, lambda t: t["query_id"])))
-    hits = top_per_group(hits.drop("terms"), "query_id", newest(*order), n)
-    hits = hits.withColumn("matched", F.lit(True))
+    columns = ["session_id", "turn_index", "question", "answer", *_extra(turns)]
+    wanted = asked.withColumn("matching", _matching(F.col("terms"))).where(F.size("matching") > 0)
+    wanted = wanted.drop("terms", "block", "cell")
+    pairs = pair_turns(turns, wanted)
+    hits = pairs.withColumn("query_id", F.explode("matching")).select("query_id", *columns)
+    hits = top_per_group(hits, "query_id", newest(*order), n).withColumn("matched", F.lit(True))
 
-    columns = pairs.columns
     recent = recent_pairs(turns, n, order).agg(
         F.collect_list(F.struct(*columns)).alias("pairs")
     )
@@ -100,6 +110,16 @@ def search_history(queries: DataFrame, turns: DataFrame, n: int = 5, order=None,
     return hits.unionByName(fallback)
 
 
+def _matching(terms: Column) -> Column:
+    """Queries whose term the question contains."""
+    found = F.filter(terms, lambda t: _contains(F.col("question"), t["term"]))
+    return F.transform(found, lambda t: t["query_id"])
+
+
+def _extra(turns: DataFrame) -> list[str]:
+    return [c for c in ("created_at", "id") if c in turns.columns]
+
+
 def session_context(turns: DataFrame, n: int = 5, user_label: str = "사용자",
                     other_label: str = "assistant", order=None) -> DataFrame:
     """The newest ``2n`` turns of each session, in time order, one labelled line per turn."""

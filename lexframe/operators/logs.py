@@ -48,10 +48,11 @@ def qa_report(log: DataFrame) -> DataFrame:
         F.bround(F.max("confidence_score"), 4).alias("score_max"),
     ).where(F.col("total_requests") > 0)
     ranks = widen(nearest_rank(log, "confidence_score", SCORE_PERCENTS), SCORE_PERCENTS)
-    for p in SCORE_PERCENTS:
-        value = ranks.select(f"p{p}").scalar()
-        totals = totals.withColumn(f"score_p{p}", F.bround(value, 4))
-    return totals
+    columns = [f"p{p}" for p in SCORE_PERCENTS]
+    totals = totals.withColumn("__ranks", ranks.select(F.struct(*columns)).scalar())
+    return totals.select(
+        "*", *[F.bround(F.col("__ranks")[c], 4).alias(f"score_{c}") for c in columns]
+    ).drop("__ranks")
 
 
 def distribution(df: DataFrame, column: str, missing: str = "unknown") -> DataFrame:

@@ -24,7 +24,7 @@ def nearest_rank(df: DataFrame, value: str, percents: list[int], groups=(),
     data = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("__v"))
     wanted = F.explode(F.array(*[F.lit(p) for p in percents]))
     small = 10 * accuracy
-    if data.limit(small + 1).count() <= small:
+    if data.count() <= small:
         counted = data.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__c"))
         total = F.sum("__c").over(_part(groups))
         counted = counted.withColumn("__n", total)

@@ -20,7 +20,9 @@ from ..functions import clean_text
 from .keyed import top_per_group
 
 INLINE_BYTES = 64 << 20
+INLINE_ROWS = 16_384
 CELL_BYTES = 64 << 20
+TILE = 2048
 SCORE_DIGITS = 6
 
 
@@ -36,45 +38,46 @@ def _matrix(column) -> np.ndarray:
 
 
 class _Best:
-    """Running best ``k`` per query: score descending, then id ascending."""
+    """Running best ``k`` per query: score descending, then id ascending.
 
-    def __init__(self, k: int):
-        self.k = k
+    Pairs are scored in tiles, so memory does not depend on how many queries or candidates come
+    in. A candidate below the ``k``-th best score of its query so far is dropped at once.
+    """
+
+    def __init__(self, n_queries: int, k: int, digits: int):
+        self.k, self.digits = k, digits
+        self.floor = np.full(n_queries, -np.inf)
         self.query = np.empty(0, np.int64)
         self.ids = np.empty(0, np.int64)
         self.score = np.empty(0, np.float64)
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None) -> None:
-        """Take in a (queries x candidates) block; ``allowed`` marks the pairs in scope."""
-        if allowed is not None:
-            scores = np.where(allowed, scores, -np.inf)
-        cut = scores.shape[1] - self.k
-        if cut > 0:
-            floor = np.partition(scores, cut, axis=1)[:, cut]
-            query, pick = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        else:
-            query, pick = np.nonzero(scores > -np.inf)
-        self.query = np.concatenate([self.query, query])
-        self.ids = np.concatenate([self.ids, ids[pick]])
-        self.score = np.concatenate([self.score, scores[query, pick]])
+    def add(self, queries: np.ndarray, corpus: np.ndarray, ids: np.ndarray,
+            query_scope=None, corpus_scope=None) -> None:
+        """Score all pairs of a block; with scopes only those of equal scope."""
+        found = [(self.query, self.ids, self.score)]
+        for q in range(0, len(queries), TILE):
+            for c in range(0, len(corpus), TILE):
+                scores = np.round(queries[q:q + TILE] @ corpus[c:c + TILE].T, self.digits)
+                if query_scope is not None:
+                    same = query_scope[q:q + TILE, None] == corpus_scope[None, c:c + TILE]
+                    scores = np.where(same, scores, -np.inf)
+                floor = self.floor[q:q + TILE]
+                cut = scores.shape[1] - self.k
+                if cut > 0:
+                    floor = np.maximum(floor, np.partition(scores, cut, axis=1)[:, cut])
+                row, pick = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+                found.append((row + q, ids[c + pick], scores[row, pick]))
+        self.query, self.ids, self.score = (np.concatenate(parts) for parts in zip(*found))
         self._cut()
 
     def _cut(self) -> None:
         order = np.lexsort((self.ids, -self.score, self.query))
         query = self.query[order]
-        first = np.searchsorted(query, query, side="left")
-        order = order[np.arange(len(query)) - first < self.k]
+        place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+        order, place = order[place < self.k], place[place < self.k]
         self.query, self.ids, self.score = self.query[order], self.ids[order], self.score[order]
-
-
-def _score(queries: np.ndarray, corpus: np.ndarray, digits: int) -> np.ndarray:
-    return np.round(queries @ corpus.T, digits)
-
-
-def _scope_mask(query_scope, corpus_scope) -> np.ndarray | None:
-    if query_scope is None:
-        return None
-    return query_scope[:, None] == corpus_scope[None, :]
+        last = place == self.k - 1
+        self.floor[self.query[last]] = self.score[last]
 
 
 def _texts(column) -> np.ndarray:
@@ -106,25 +109,24 @@ def _inline_scan(corpus: DataFrame, table: pa.Table, k: int, scoped: bool, digit
 
     def scan(batches):
         query_ids, vectors, scope = shared.value
-        best = _Best(k)
+        best = _Best(len(query_ids), k, digits)
         for batch in batches:
             if batch.num_rows:
-                scores = _score(vectors, _matrix(batch["embedding"]), digits)
-                mask = _scope_mask(scope, _texts(batch["scope"])) if scoped else None
-                best.add(scores, batch["candidate_id"].to_numpy(), mask)
+                best.add(vectors, _matrix(batch["embedding"]), batch["candidate_id"].to_numpy(),
+                         scope, _texts(batch["scope"]) if scoped else None)
         yield _result(best, query_ids)
 
     return corpus.mapInArrow(scan, _SCHEMA)
 
 
-def _grid_scan(corpus: DataFrame, queries: DataFrame, k: int, scoped: bool, digits: int,
-               dims: int, cell_bytes: int):
+def _grid_scan(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int, scoped: bool,
+               digits: int, dims: int, cell_bytes: int):
     """Both sides are dealt at random into cells of bounded size; block (i, j) is one small task.
 
     Scopes do not decide the cell, so a scope holding a third of the corpus makes no hot cell.
     """
     cell_rows = max(1, cell_bytes // (8 * dims))
-    n_query = max(1, math.ceil(queries.count() / cell_rows))
+    n_query = max(1, math.ceil(n_queries / cell_rows))
     n_corpus = max(1, math.ceil(corpus.count() / cell_rows))
 
     def dealt(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int):
@@ -137,16 +139,15 @@ def _grid_scan(corpus: DataFrame, queries: DataFrame, k: int, scoped: bool, digi
     right = dealt(corpus, "candidate_id", "ccell", n_corpus, "qcell", n_query)
 
     def scan(query_cell: pa.Table, corpus_cell: pa.Table) -> pa.Table:
-        best = _Best(k)
         ids = query_cell["query_id"].to_numpy()
+        best = _Best(len(ids), k, digits)
         if query_cell.num_rows and corpus_cell.num_rows:
-            scores = _score(
-                _matrix(query_cell["embedding"]), _matrix(corpus_cell["embedding"]), digits
+            best.add(
+                _matrix(query_cell["embedding"]), _matrix(corpus_cell["embedding"]),
+                corpus_cell["candidate_id"].to_numpy(),
+                _texts(query_cell["scope"]) if scoped else None,
+                _texts(corpus_cell["scope"]) if scoped else None,
             )
-            mask = None
-            if scoped:
-                mask = _scope_mask(_texts(query_cell["scope"]), _texts(corpus_cell["scope"]))
-            best.add(scores, corpus_cell["candidate_id"].to_numpy(), mask)
         return pa.Table.from_batches([_result(best, ids)])
 
     keys = ["qcell", "ccell"]
@@ -169,16 +170,14 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, scope: bool = Fal
         queries = queries.where(F.col("scope").isNotNull())
         corpus = corpus.where(F.col("scope").isNotNull())
 
-    head = queries.select(F.size("embedding").alias("n")).first()
-    dims = head["n"] if head else 1
-    inline_rows = inline_bytes // (8 * dims)
-    bounded = queries.limit(inline_rows + 1).toArrow() if head and inline_rows else None
-    if head is None:
+    size = queries.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("embedding")).alias("dims"))
+    n_queries, dims = size.first()
+    if not n_queries:
         local = corpus.sparkSession.createDataFrame([], _SCHEMA)
-    elif bounded is not None and bounded.num_rows <= inline_rows:
-        local = _inline_scan(corpus, bounded, k, scope, digits)
+    elif n_queries <= min(INLINE_ROWS, inline_bytes // (8 * dims)):
+        local = _inline_scan(corpus, queries.toArrow(), k, scope, digits)
     else:
-        local = _grid_scan(corpus, queries, k, scope, digits, dims, cell_bytes)
+        local = _grid_scan(corpus, queries, n_queries, k, scope, digits, dims, cell_bytes)
     return best_per_query(local, k)
 
 

@@ -58,7 +58,7 @@ def _with_payload(hits: DataFrame, points: DataFrame) -> DataFrame:
         F.col("point_id").alias("candidate_id"), "law_name",
         F.col(KEYS[1]).alias("article_norm"), "text",
     )
-    joined = pin(hits, "hits").join(payload, "candidate_id")
+    joined = hits.join(payload, "candidate_id")
     return joined.withColumnRenamed("query_id", "question_id")
 
 
