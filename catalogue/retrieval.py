@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexframe import rules
 from lexframe.functions import article_display
 from lexframe.plans import retrieval as plans
+from lexframe.plans.pinned import pin
 
 from .common import load, sql_first_of, sql_list
 from .registry import registry
@@ -127,7 +128,7 @@ SELECT j.question_id, CASE WHEN named_ok OR wide_ok THEN 'answered' ELSE 'web_fa
        CASE WHEN wide_ok THEN top END
 FROM judged j LEFT JOIN listed l USING (question_id)""")
 def tiered_retrieve(spark, sf_dir):
-    corpus = points(spark, sf_dir)
+    corpus = pin(points(spark, sf_dir), "points")  # a stored collection, as the service has
     found = plans.tiered_retrieve(questions(spark, sf_dir), corpus, corpus)
     cited = F.transform("citations", lambda c: F.concat_ws(
         ":", c["law_name"], c["article_number"], c["score"].cast("decimal(6,4)").cast("string"),
@@ -151,5 +152,5 @@ SELECT question_id, [text] AS contexts, [label] AS retrieved_articles FROM direc
 UNION ALL SELECT r.question_id, coalesce(texts, []), coalesce(labels, [])
 FROM rest r LEFT JOIN listed l USING (question_id)""")
 def tiered_retrieve_eval(spark, sf_dir):
-    corpus = points(spark, sf_dir)
+    corpus = pin(points(spark, sf_dir), "points")  # a stored collection, as the service has
     return plans.tiered_retrieve(questions(spark, sf_dir), corpus, corpus, mode="eval")

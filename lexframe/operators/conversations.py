@@ -58,10 +58,14 @@ def keyword_filter(df: DataFrame, column: str, term: Column) -> DataFrame:
     return df.where(_contains(F.col(column), term))
 
 
+def _has_wildcard(term: Column) -> Column:
+    return term.rlike(r"[%_\\]")
+
+
 def _contains(text: Column, term: Column) -> Column:
     plain = F.lower(text).contains(F.lower(term))
     wild = F.ilike(text, F.concat(F.lit("%"), term, F.lit("%")))
-    return F.when(term.rlike(r"[%_\\]"), wild).otherwise(plain)
+    return F.when(_has_wildcard(term), wild).otherwise(plain)
 
 
 def search_history(queries: DataFrame, turns: DataFrame, n: int = 5, order=None,
@@ -78,7 +82,9 @@ def search_history(queries: DataFrame, turns: DataFrame, n: int = 5, order=None,
     terms = queries.select("query_id", search_term(F.col("query")).alias("term"))
     terms = terms.where(F.col("term") != "")
     n_terms = terms.count()
-    packed = F.collect_list(F.struct("query_id", "term")).alias("terms")
+    packed = F.collect_list(F.struct(
+        "query_id", F.lower("term").alias("term"), _has_wildcard(F.col("term")).alias("wild"),
+    )).alias("terms")
 
     if n_terms <= max_inline_terms:
         asked = asked.withColumn("terms", terms.agg(packed).scalar())
@@ -94,8 +100,13 @@ def search_history(queries: DataFrame, turns: DataFrame, n: int = 5, order=None,
         asked = spread.join(blocks, ["block", "cell"])
 
     columns = ["session_id", "turn_index", "question", "answer", *_extra(turns)]
-    wanted = asked.withColumn("matching", _matching(F.col("terms"))).where(F.size("matching") > 0)
-    wanted = wanted.drop("terms", "block", "cell")
+    # Exploding the one-element list drops questions without a match and, unlike a filter, does
+    # not make Spark match twice.
+    matched = asked.withColumn("lowered", F.lower("question")).withColumn("found", _matching())
+    wanted = matched.select(
+        *[c for c in columns if c != "answer"],
+        F.explode(F.when(F.size("found") > 0, F.array("found"))).alias("matching"),
+    )
     pairs = pair_turns(turns, wanted)
     hits = pairs.withColumn("query_id", F.explode("matching")).select("query_id", *columns)
     hits = top_per_group(hits, "query_id", newest(*order), n).withColumn("matched", F.lit(True))
@@ -110,9 +121,12 @@ def search_history(queries: DataFrame, turns: DataFrame, n: int = 5, order=None,
     return hits.unionByName(fallback)
 
 
-def _matching(terms: Column) -> Column:
-    """Queries whose term the question contains."""
-    found = F.filter(terms, lambda t: _contains(F.col("question"), t["term"]))
+def _matching() -> Column:
+    """Queries (of the column ``terms``) whose term the question contains."""
+    text = F.col("lowered")
+    found = F.filter("terms", lambda t: F.when(
+        t["wild"], F.like(text, F.concat(F.lit("%"), t["term"], F.lit("%")))
+    ).otherwise(text.contains(t["term"])))
     return F.transform(found, lambda t: t["query_id"])
 
 

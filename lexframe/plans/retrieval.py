@@ -11,7 +11,7 @@ from ..functions import (
     strip_space,
 )
 from ..operators.corpus import KEYS
-from ..operators.keyed import keep_first, top_per_group
+from ..operators.keyed import keep_first
 from ..operators.vectors import vector_topk
 from .pinned import pin
 
@@ -102,14 +102,23 @@ def _no_citations():
 
 
 def _collected(hits: DataFrame) -> DataFrame:
-    """Per question: best score and its non-empty, distinct articles in rank order."""
-    best = hits.where(F.col("rank") == 1).select("question_id", F.col("score").alias("top"))
-    filled = hits.where(F.coalesce("text", F.lit("")) != "")
-    unique = top_per_group(filled, ["question_id", "law_name", "article_norm"], F.asc("rank"), 1)
-    rows = F.sort_array(F.collect_list(F.struct("rank", "law_name", "article_norm", "score",
-                                                "text")))
-    listed = unique.groupBy("question_id").agg(rows.alias("hits"))
-    return best.join(listed, "question_id", "left")
+    """Per question: best score and its non-empty, distinct articles in rank order.
+
+    A question has at most ``KEEP_LIMIT`` hits, so its list is deduplicated in place.
+    """
+    row = F.struct("rank", "law_name", "article_norm", "score", "text")
+    filled = F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", row))
+    grouped = hits.groupBy("question_id").agg(
+        F.max("score").alias("top"), F.sort_array(filled).alias("hits")
+    )
+
+    def repeated(hit, i):
+        return F.exists(F.slice("hits", F.lit(1), i), lambda earlier: (
+            earlier["law_name"].eqNullSafe(hit["law_name"])
+            & earlier["article_norm"].eqNullSafe(hit["article_norm"])
+        ))
+
+    return grouped.withColumn("hits", F.filter("hits", lambda hit, i: ~repeated(hit, i)))
 
 
 def tiered_retrieve(questions: DataFrame, articles: DataFrame, points: DataFrame,
