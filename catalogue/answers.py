@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexframe.functions import infer_source as infer
 from lexframe.functions import number_paragraphs, preview
 from lexframe.operators import answers as ops
 from lexframe.sources.logs import parse_event_lines
@@ -49,6 +50,17 @@ def assemble_answer(spark, sf_dir):
     return ops.assemble_answer(chunks(spark, sf_dir))
 
 
+@query("""SELECT doc_id AS request_id, CASE WHEN lang = 'fr' THEN 'web' WHEN lang = 'en' THEN 'qdrant'
+  WHEN contains(text, 'OSHA') OR contains(text, '검색 결과') OR contains(text, '출처') THEN 'web'
+  ELSE 'pg' END AS source FROM documents""")
+def infer_source(spark, sf_dir):
+    """Sources of answers, guessed from the text where no event stated one."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), "lang")
+    stated = F.when(F.col("lang").isin("fr", "en"), F.col("source"))
+    answers = ops.assemble_answer(chunks(spark, sf_dir, 500)).join(docs, "request_id")
+    return answers.select("request_id", infer(stated, F.col("answer")).alias("source"))
+
+
 @query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'source' ELSE 'status' END
   AS event, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN '{"law_url":"' || url || '"}' ELSE '' END
   AS payload FROM pages""")

@@ -32,7 +32,7 @@ def recent_pairs(spark, sf_dir):
     return pairs.select("session_id", "turn_index", "question", "answer")
 
 
-@query(f"""{_PAIRS_SQL}, queries AS (
+_SEARCH_SQL = f"""{_PAIRS_SQL}, queries AS (
   SELECT item_id AS query_id, regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1) AS term
   FROM benchmark),
 ranked AS (
@@ -44,17 +44,37 @@ recent AS (SELECT session_id, turn_index, question, answer FROM pairs
            ORDER BY created_at DESC LIMIT 5)
 SELECT * FROM hits UNION ALL
 SELECT q.query_id, r.session_id, r.turn_index, r.question, r.answer, false AS matched
-FROM queries q CROSS JOIN recent r WHERE q.query_id NOT IN (SELECT query_id FROM hits)""")
-def search_history(spark, sf_dir):
+FROM queries q CROSS JOIN recent r WHERE q.query_id NOT IN (SELECT query_id FROM hits)"""
+
+
+def _searched(spark, sf_dir, **options):
     word = F.regexp_extract("text", "([A-Za-z]+)[^A-Za-z]*$", 1)
     asked = load(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"),
         F.concat(word, F.lit(" 기록에서 찾아줘")).alias("query"),
     )
-    found = ops.search_history(asked, turns(spark, sf_dir), 5)
+    found = ops.search_history(asked, turns(spark, sf_dir), 5, **options)
     return found.select("query_id", "session_id", "turn_index", "question", "answer", "matched")
 
 
+@query(_SEARCH_SQL)
+def search_history(spark, sf_dir):
+    return _searched(spark, sf_dir)
+
+
+@query(_SEARCH_SQL)
+def search_history_blocks(spark, sf_dir):
+    """The way taken when there are too many terms to travel with the scan."""
+    return _searched(spark, sf_dir, max_inline_terms=0, cells=8)
+
+
+@query(f"""WITH {TURNS_SQL} SELECT id, content FROM turns
+WHERE content ILIKE '%' || CASE WHEN role = 'user' THEN 'the' ELSE 'e_th' END || '%'""")
+def keyword_filter(spark, sf_dir):
+    term = F.when(F.col("role") == "user", "the").otherwise("e_th")
+    return ops.keyword_filter(turns(spark, sf_dir), "content", term).select("id", "content")
+
+
 @query(f"""WITH {TURNS_SQL}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC) AS rn FROM turns)
 SELECT session_id, string_agg(CASE WHEN role = 'user' THEN '사용자' ELSE 'assistant' END

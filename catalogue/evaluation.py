@@ -10,6 +10,8 @@ from lexframe.operators import checks, runs
 from lexframe.operators.keyed import rank_within
 from lexframe.operators.lookup import join_case_responses
 from lexframe.plans.acceptance import acceptance_gate as gate
+from lexframe.session import scratch_path
+from lexframe.sources import evaluation as files
 
 from .common import EVENT_TURNS_SQL, LABELLED_SQL, event_turns, labelled, load, sql_contains_any
 from .registry import registry
@@ -272,6 +274,25 @@ def latest_runs(spark, sf_dir):
                         F.col("metrics")["faithfulness"].alias("faithfulness"))
 
 
+@query(f"""WITH {LABELLED_SQL} SELECT 'all' AS tag, count(*) AS dataset_size,
+  count(*) FILTER (WHERE quality = 1) AS success_count, round_even(avg(n_chars), 4) AS mean_chars,
+  count(*) AS case_rows FROM labelled""")
+def run_round_trip(spark, sf_dir):
+    """A run and its case rows written and read back."""
+    cases = labelled(spark, sf_dir).select(
+        "doc_id", "n_chars", F.when(F.col("quality") == 1, "success").otherwise("error").alias(
+            "status"))
+    means = runs.metric_means(cases, exclude=["doc_id"])
+    path = scratch_path(spark, "runs")
+    files.write_run(files.run_row(cases, means, "2026-01-01 00:00:00", "all"), cases, path)
+    stored = spark.read.parquet(f"{path}/cases").groupBy("tag").agg(
+        F.count(F.lit(1)).alias("case_rows"))
+    return files.read_runs(spark, path).join(stored, "tag").select(
+        "tag", "dataset_size", "success_count",
+        F.bround(F.col("metrics")["n_chars"], 4).alias("mean_chars"), "case_rows",
+    )
+
+
 @query(f"""WITH {_RUNS_SQL}, two AS (SELECT *, row_number() OVER (ORDER BY ord DESC) AS r FROM runs),
 pairs AS (
   SELECT m.metric, CASE m.metric WHEN 'faithfulness' THEN b.faithfulness WHEN 'mean_chars'

@@ -8,6 +8,8 @@ from lexframe import rules
 from lexframe.operators import logs as ops
 from lexframe.operators import metrics
 from lexframe.operators import percentiles as ranks
+from lexframe.session import scratch_path
+from lexframe.sources import logs as files
 
 from .common import load
 from .registry import registry
@@ -58,6 +60,24 @@ def flag_failures(spark, sf_dir):
     return flagged.select("event_id", "is_failure", "failure_reason")
 
 
+@query(f"""WITH {_LOG_SQL} SELECT CAST(event_id AS VARCHAR) AS query,
+  strftime(DATE '2024-01-01' + CAST(event_id % 5 AS INTEGER), '%Y-%m-%dT00:00:00') AS ts,
+  selected_source, selected_articles, fallback_used, nullif(confidence_score, 0) AS confidence_score
+FROM log""")
+def qa_log_round_trip(spark, sf_dir):
+    """The log written as files per day and read back."""
+    day = F.date_add(F.lit("2024-01-01"), F.pmod("event_id", F.lit(5)).cast("int"))
+    requests_ = qa_log(spark, sf_dir).withColumns({
+        "ts": day.cast("timestamp"), "query": F.col("event_id").cast("string"),
+        "tool": F.lit("law_rag_tool"),
+    })
+    path = scratch_path(spark, "qa-log")
+    files.write_qa_log(requests_, path)
+    return files.read_qa_log(spark, path).select(
+        "query", "ts", "selected_source", "selected_articles", "fallback_used", "confidence_score"
+    )
+
+
 def _rank_sql(value: str, percent: int) -> str:
     """Item at floor(n * p / 100) of the sorted list, the last one at most."""
     return (f"list_sort(list({value}) FILTER (WHERE {value} IS NOT NULL))[CAST(least("

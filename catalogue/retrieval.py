@@ -8,6 +8,8 @@ from lexframe import rules
 from lexframe.functions import article_display
 from lexframe.plans import retrieval as plans
 from lexframe.plans.pinned import pin
+from lexframe.session import scratch_path
+from lexframe.sources.tables import read_vectors as read
 
 from .common import load, sql_first_of, sql_list
 from .registry import registry
@@ -154,3 +156,13 @@ FROM rest r LEFT JOIN listed l USING (question_id)""")
 def tiered_retrieve_eval(spark, sf_dir):
     corpus = pin(points(spark, sf_dir), "points")  # a stored collection, as the service has
     return plans.tiered_retrieve(questions(spark, sf_dir), corpus, corpus, mode="eval")
+
+
+@query(f"""WITH {_BASE_SQL} SELECT id AS point_id, law AS law_name, art AS article_number_norm
+FROM points WHERE law = '{rules.KNOWN_NAMES[3]}'""")
+def read_vectors(spark, sf_dir):
+    """Payload of one law's points; neither vectors nor other laws are read."""
+    path = scratch_path(spark, "points")
+    points(spark, sf_dir).write.parquet(path)
+    found = read(spark, path, with_vectors=False, law_name_norm=rules.KNOWN_NAMES[3])
+    return found.select("point_id", "law_name", "article_number_norm")

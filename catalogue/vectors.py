@@ -49,6 +49,12 @@ def vector_topk(spark, sf_dir):
     return leave_one_out(spark, sf_dir)
 
 
+@query(f"WITH {topk_sql()} SELECT query_id, candidate_id, score, rank FROM hits")
+def vector_topk_grid(spark, sf_dir):
+    """The way taken when the query batch is too large to travel with the scan."""
+    return leave_one_out(spark, sf_dir, inline_bytes=0, cell_bytes=8 * 64 * 300)
+
+
 @query(f"WITH {topk_sql(True)} SELECT query_id, candidate_id, score, rank FROM hits")
 def scoped_topk(spark, sf_dir):
     return leave_one_out(spark, sf_dir, scope=True)
