@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexframe import functions as fx
 from lexframe import rules
 from lexframe.operators import citations as ops
+from lexframe.operators.keyed import rank_within
 
 from .common import ARTICLES_SQL, LABELLED_SQL, articles, labelled, load, load_dealt, turns
 from .common import TURN_ID_STEP, TURNS_SQL
@@ -87,6 +88,13 @@ def extract_strict_citations(spark, sf_dir):
     return ops.extract_strict_citations(answers(spark, sf_dir))
 
 
+@query(f"""WITH {ANSWERS_SQL}, {_STRICT_SQL} SELECT answer_id, law_name, article_number,
+  position + 1 AS rank FROM strict_cited""")
+def citation_ranks(spark, sf_dir):
+    cited = ops.extract_strict_citations(answers(spark, sf_dir))
+    return rank_within(cited, "answer_id", "position").drop("position")
+
+
 @query(f"""WITH {ANSWERS_SQL}, {_STRICT_SQL}, {LABELLED_SQL}, missing AS (
   SELECT answer_id, list(law_name || ' 제' || article_number || '조' ORDER BY position) AS missing
   FROM strict_cited WHERE (regexp_replace(law_name, '[\\s·]', '', 'g'), article_number) NOT IN

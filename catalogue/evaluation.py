@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lexframe import rules
 from lexframe.functions import coerce_verdict
 from lexframe.operators import checks, runs
-from lexframe.operators.keyed import rank_within
 from lexframe.operators.lookup import join_case_responses
 from lexframe.plans.acceptance import acceptance_gate as gate
 from lexframe.session import scratch_path
@@ -376,11 +375,3 @@ def metric_means(spark, sf_dir):
     scores = docs.join(load(spark, sf_dir, "labels"), "doc_id", "left")
     means = runs.metric_means(scores, exclude=["doc_id"])
     return means.select(*[F.bround(c, 6).alias(c) for c in means.columns])
-
-
-@query("""SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY lang, source
-  ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents""")
-def rank_within_group(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    ranked = rank_within(docs, ["lang", "source"], [F.desc("n_chars"), F.asc("doc_id")])
-    return ranked.select("doc_id", "source", "rank")

@@ -30,14 +30,17 @@ def pair_turns(turns: DataFrame, asked: DataFrame | None = None) -> DataFrame:
 
     ``asked`` stands in for the user turns when they were filtered beforehand.
     """
-    if asked is None:
-        asked = user_questions(turns)
-    answered = turns.where(F.col("role") == "assistant").select(
+    asked = user_questions(turns) if asked is None else asked
+    return asked.join(_answers(turns), ["session_id", "turn_index"])
+
+
+def _answers(turns: DataFrame) -> DataFrame:
+    """Assistant turns under the turn index of the question they may answer."""
+    return turns.where(F.col("role") == "assistant").select(
         "session_id",
         (F.col("turn_index") - 1).alias("turn_index"),
         F.col("content").alias("answer"),
     )
-    return asked.join(answered, ["session_id", "turn_index"])
 
 
 def user_questions(turns: DataFrame) -> DataFrame:
@@ -48,9 +51,20 @@ def user_questions(turns: DataFrame) -> DataFrame:
 
 
 def recent_pairs(turns: DataFrame, n: int = 5, order=None) -> DataFrame:
-    """The newest ``n`` question/answer pairs of all sessions."""
-    pairs = pair_turns(turns)
-    return pairs.orderBy(*newest(*(order or _ordered(pairs)))).limit(n)
+    """The newest ``n`` question/answer pairs of all sessions.
+
+    The pairs are found by their keys alone; the texts are then read for those (at most ``n``)
+    keys only, so no text that is not part of the result is shuffled.
+    """
+    keys = ["session_id", "turn_index"]
+    asked, answers = user_questions(turns), _answers(turns)
+    order = newest(*(order or _ordered(asked)))
+    found = asked.join(answers, keys).orderBy(*order).limit(n).select(*keys).distinct()
+    found = F.broadcast(found)
+    picked = asked.join(found, keys, "left_semi").join(
+        answers.join(found, keys, "left_semi"), keys
+    )
+    return picked.orderBy(*order).limit(n)
 
 
 def keyword_filter(df: DataFrame, column: str, term: Column) -> DataFrame:
@@ -109,16 +123,17 @@ def search_history(queries: DataFrame, turns: DataFrame, n: int = 5, order=None,
     )
     pairs = pair_turns(turns, wanted)
     hits = pairs.withColumn("query_id", F.explode("matching")).select("query_id", *columns)
-    hits = top_per_group(hits, "query_id", newest(*order), n).withColumn("matched", F.lit(True))
-
-    recent = recent_pairs(turns, n, order).agg(
-        F.collect_list(F.struct(*columns)).alias("pairs")
-    )
-    missed = queries.select("query_id").join(hits.select("query_id"), "query_id", "left_anti")
-    fallback = missed.withColumn("pair", F.explode(recent.scalar())).select(
-        "query_id", *[F.col("pair")[c].alias(c) for c in columns], F.lit(False).alias("matched")
+    hits = top_per_group(hits, "query_id", newest(*order), n)
+    pair = F.struct(*columns)
+    recent = recent_pairs(turns, n, order).agg(F.collect_list(pair).alias("pairs"))
+    joined = queries.select("query_id").join(
+        hits.withColumn("matched", F.lit(True)), "query_id", "left"
     )
-    return hits.unionByName(fallback)
+    shown = F.when(F.col("matched"), F.array(pair)).otherwise(recent.scalar())
+    return joined.select(
+        "query_id", F.coalesce("matched", F.lit(False)).alias("matched"),
+        F.explode(shown).alias("pair"),
+    ).select("query_id", *[F.col("pair")[c].alias(c) for c in columns], "matched")
 
 
 def _matching() -> Column:

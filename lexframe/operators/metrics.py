@@ -77,20 +77,18 @@ def active_requests(requests: DataFrame, slot: str = "minute") -> DataFrame:
     """Open requests per endpoint after every instant at which one starts or ends.
 
     The running sum is taken inside short time slots and lifted by the sum of all earlier slots,
-    so a busy endpoint is never put in order in one task.
+    so a busy endpoint is never put in order in one task: a slot has at most one row per instant.
     """
     changes = F.array(
         F.struct(F.col("started_at").alias("at"), F.lit(1).alias("d")),
         F.struct(F.col("ended_at").alias("at"), F.lit(-1).alias("d")),
     )
-    steps = (
-        requests.select("endpoint", F.explode(changes).alias("c"))
-        .where(F.col("c.at").isNotNull())
-        .groupBy("endpoint", F.col("c.at").alias("at"))
-        .agg(F.sum("c.d").alias("__d"))
-        .withColumn("__slot", F.date_trunc(slot, F.col("at")))
-    )
-    slots = steps.groupBy("endpoint", "__slot").agg(F.sum("__d").alias("__net"))
+    moves = requests.select("endpoint", F.explode(changes).alias("c")).select(
+        "endpoint", F.col("c.at").alias("at"), F.col("c.d").alias("d"),
+        F.date_trunc(slot, F.col("c.at")).alias("__slot"),
+    ).where(F.col("at").isNotNull())
+    steps = moves.groupBy("endpoint", "__slot", "at").agg(F.sum("d").alias("__d"))
+    slots = moves.groupBy("endpoint", "__slot").agg(F.sum("d").alias("__net"))
     earlier = Window.partitionBy("endpoint").orderBy("__slot").rowsBetween(
         Window.unboundedPreceding, -1
     )

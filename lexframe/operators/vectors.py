@@ -223,13 +223,13 @@ def _signatures(column: Column, bits: int, probes: int, seed: int) -> Column:
     return probe(column)
 
 
-def approx_vector_topk(queries: DataFrame, corpus: DataFrame, k: int, bits: int = 4,
-                       probes: int = 4, seed: int = 7, **limits) -> DataFrame:
+def approx_vector_topk(queries: DataFrame, corpus: DataFrame, k: int, bits: int = 10,
+                       probes: int = 8, seed: int = 7, **limits) -> DataFrame:
     """Approximate search: random-projection buckets choose the candidates, cosine ranks them.
 
     A bucket is a scope of the exact search, so a crowded bucket is scored in bounded blocks like
-    any other scope. Raising ``probes`` to ``bits + 1`` widens the search to all one-bit
-    neighbours.
+    any other scope. There are ``2 ** bits`` buckets; raising ``probes`` to ``bits + 1`` widens
+    the search to all one-bit neighbours. :func:`recall_at_k` measures what is missed.
     """
     bucket = _signatures(F.col("embedding"), bits, 1, seed)[0].cast("string")
     placed = corpus.select("candidate_id", "embedding", bucket.alias("scope"))
