@@ -13,6 +13,7 @@ from .. import rules
 from ..functions import article_display, normalize_article, normalize_name
 from ..functions.text import SPACE
 from .corpus import KEYS
+from .keyed import narrowed
 
 MAX_CITATIONS = 5
 _STRICT = rf"\[([^\]]+?)[{SPACE}]+제(\p{{Nd}}+(?:의\p{{Nd}}+)?)조\]"
@@ -78,7 +79,7 @@ def verify_citations(answers: DataFrame, articles: DataFrame, column: str = "ans
         KEYS[0]: normalize_name(F.col("law_name")),
         KEYS[1]: normalize_article(F.col("article_number")),
     })
-    missing = cited.join(articles.select(*KEYS), KEYS, "left_anti")
+    missing = cited.join(narrowed(articles.select(*KEYS), cited, KEYS), KEYS, "left_anti")
     label = F.concat("law_name", F.lit(" 제"), "article_number", F.lit("조"))
     grouped = missing.groupBy("answer_id").agg(
         F.sort_array(F.collect_list(F.struct("position", label.alias("label")))).alias("found")

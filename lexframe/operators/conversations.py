@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_field, preview, quality_score, search_term, short_tool
 from ..functions.text import SPACE
-from .keyed import latest_by_key, newest, spread_join, top_per_group
+from .keyed import is_small, latest_by_key, newest, sized, spread_join, top_per_group
 
 TIME_ORDER = ("created_at", "turn_index", "id")
 TERMS_PER_BLOCK = 256
@@ -266,7 +266,10 @@ def delete_sessions(turns: DataFrame, ids: DataFrame | None = None,
         turns = turns.where(~F.coalesce(F.col("session_id").startswith(prefix), F.lit(False)))
     if ids is not None:
         gone = ids.select("session_id").distinct()
-        turns = spread_join(turns, gone, "session_id", "turn_index", "left_anti")
+        if is_small(gone):
+            turns = turns.join(F.broadcast(gone), "session_id", "left_anti")
+        else:
+            turns = spread_join(turns, gone, "session_id", "turn_index", "left_anti")
     return turns
 
 
@@ -277,7 +280,7 @@ def apply_feedback(turns: DataFrame, feedback: DataFrame, now: Column) -> DataFr
     """
     votes = latest_by_key(feedback.where(F.col("value").isin(1, -1)), "id", "position")
     votes = votes.select("id", F.col("value").alias("__vote"))
-    joined = turns.join(votes, "id", "left")
+    joined = turns.join(sized(votes), "id", "left")
     voted = F.col("__vote").isNotNull() & (F.col("role") == "assistant")
     return (
         joined.withColumn("feedback", F.when(voted, F.col("__vote")).otherwise(F.col("feedback")))

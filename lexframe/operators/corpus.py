@@ -14,7 +14,7 @@ from ..functions import (
 )
 from ..functions.articles import date_field, date_node, date_value, last_of_list
 from ..functions.text import SPACE
-from .keyed import latest_by_key, spread_join
+from .keyed import SMALL_BYTES, is_small, latest_by_key, sized, spread_join
 
 KEYS = ["law_name_norm", "article_number_norm"]
 _REPEALED = (
@@ -87,12 +87,14 @@ def extract_articles(documents: DataFrame) -> DataFrame:
     )
 
 
-def merge_articles(target: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+def merge_articles(target: DataFrame, incoming: DataFrame, now: Column,
+                   small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Insert or update by key.
 
     A match replaces number, text and date and moves ``updated_at``; its chunk id, name and
     creation time stay. Of repeated incoming keys the last one is written, but a new key keeps
-    the chunk id and name of the first.
+    the chunk id and name of the first. An increment measured to be small is joined without
+    shuffling the target.
     """
     position = "position"
     fresh = incoming.groupBy(*KEYS).agg(
@@ -103,7 +105,14 @@ def merge_articles(target: DataFrame, incoming: DataFrame, now: Column) -> DataF
         *KEYS, F.struct("chunk_id", "law_name", "article_number", "text", "enforcement_date",
                         "created_at", "updated_at").alias("old"),
     )
-    merged = old.join(fresh, KEYS, "full_outer")
+    if is_small(incoming, small_bytes):
+        known_keys = old.select(*KEYS).join(F.broadcast(fresh.select(*KEYS)), KEYS, "left_semi")
+        added = fresh.join(known_keys, KEYS, "left_anti").withColumn(
+            "old", F.lit(None).cast(old.schema["old"].dataType)
+        )
+        merged = old.join(F.broadcast(fresh), KEYS, "left").unionByName(added)
+    else:
+        merged = old.join(fresh, KEYS, "full_outer")
     known, changed = F.col("old").isNotNull(), F.col("new").isNotNull()
 
     def kept(name: str, otherwise: Column) -> Column:
@@ -124,16 +133,23 @@ def merge_articles(target: DataFrame, incoming: DataFrame, now: Column) -> DataF
     )
 
 
-def flag_stale(current: DataFrame, incoming: DataFrame) -> DataFrame:
+def flag_stale(current: DataFrame, incoming: DataFrame,
+               small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Adds ``stale``: the row's law has incoming rows, but none with the row's number.
 
     Laws without incoming rows are left alone, and rows without an article number never count.
     The number is looked up by the full key; the law by a table of one row per law whose copies
-    share out the rows of a large law.
+    share out the rows of a large law. Keys measured to be small are broadcast, and then the
+    current rows are not shuffled.
     """
-    keys = incoming.select(*KEYS).distinct().withColumn("__listed", F.lit(True))
+    keys = incoming.select(*KEYS).distinct()
     laws = incoming.select(KEYS[0]).distinct().withColumn("__synced", F.lit(True))
-    flagged = spread_join(current.join(keys, KEYS, "left"), laws, KEYS[0], KEYS[1], "left")
+    if is_small(keys, small_bytes):
+        keys, laws = F.broadcast(keys.withColumn("__listed", F.lit(True))), F.broadcast(laws)
+        flagged = current.join(keys, KEYS, "left").join(laws, KEYS[0], "left")
+    else:
+        listed = current.join(keys.withColumn("__listed", F.lit(True)), KEYS, "left")
+        flagged = spread_join(listed, laws, KEYS[0], KEYS[1], "left")
     stale = (
         F.col("__synced").isNotNull() & F.col("__listed").isNull() & F.col(KEYS[1]).isNotNull()
     )
@@ -185,9 +201,10 @@ def vector_rows(articles: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def upsert_vectors(points: DataFrame, incoming: DataFrame, order="position") -> DataFrame:
-    """Replace points by id. Old points only meet the incoming ids, not a full re-ranking."""
+    """Replace points by id. Old points only meet the incoming ids, and are not shuffled at all
+    when those are measured to be small."""
     fresh = latest_by_key(incoming, "point_id", order) if order in incoming.columns else incoming
-    kept = points.join(fresh.select("point_id"), "point_id", "left_anti")
+    kept = points.join(sized(incoming.select("point_id").distinct()), "point_id", "left_anti")
     return kept.unionByName(fresh.select(*points.columns))
 
 

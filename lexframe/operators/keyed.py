@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FANOUT = 32
+SMALL_BYTES = 64 << 20
 
 
 def top_per_group(df: DataFrame, keys, order, n: int, rank: str | None = None) -> DataFrame:
@@ -68,6 +70,36 @@ def spread_join(left: DataFrame, small: DataFrame, key: str, spread_by, how: str
     return dealt.join(copies, [key, "__salt"], how).drop("__salt")
 
 
+def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
+    """Whether the rows, counted and measured, fit into ``limit`` bytes."""
+    size = F.lit(16)
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            size = size + F.coalesce(F.size(F.col(field.name)), F.lit(0)) * 8
+        else:
+            size = size + 8
+    return (df.agg(F.sum(size.cast("bigint")).alias("bytes")).first()["bytes"] or 0) <= limit
+
+
+def narrowed(large: DataFrame, asked: DataFrame, keys, limit: int = SMALL_BYTES) -> DataFrame:
+    """Rows of ``large`` whose key is asked for, found without shuffling ``large``.
+
+    Used before a join of a few requests with a large table. When the asked keys are not small,
+    ``large`` is given back as it is and the join shuffles both sides.
+    """
+    wanted = asked.select(*_as_list(keys)).distinct()
+    if not is_small(wanted, limit):
+        return large
+    return large.join(F.broadcast(wanted), _as_list(keys), "left_semi")
+
+
+def sized(small: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """``small`` marked for broadcast when it was measured to be small, else as it is."""
+    return F.broadcast(small) if is_small(small, limit) else small
+
+
 def newest(*columns) -> list[Column]:
     return [F.desc(c) for c in columns]
 

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import handler_of, normalize_article, normalize_name, strip_space
 from .corpus import KEYS
-from .keyed import keep_first
+from .keyed import SMALL_BYTES, is_small, keep_first, narrowed
 
 
-def exact_lookup(questions: DataFrame, articles: DataFrame) -> DataFrame:
+def exact_lookup(questions: DataFrame, articles: DataFrame,
+                 small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Article of each (name, article) request; at most one row per request, misses marked.
 
-    ``questions`` has ``question_id, name, article``. A much-asked article makes a hot join key:
-    the join is left as a plain one so that adaptive execution can split it, and a repeated key in
-    the article table is cut per request afterwards.
+    ``questions`` has ``question_id, name, article``. Few requests pick their articles without a
+    shuffle of the article table. Among many, a much-asked article makes a hot join key: the join
+    is left as a plain one so that adaptive execution can split it, and a repeated key in the
+    article table is cut per request afterwards.
     """
     asked = questions.where(
         (strip_space(F.col("name")) != "") & (strip_space(F.col("article")) != "")
@@ -24,7 +26,9 @@ def exact_lookup(questions: DataFrame, articles: DataFrame) -> DataFrame:
         normalize_name(F.col("name")).alias(KEYS[0]),
         normalize_article(F.col("article")).alias(KEYS[1]),
     )
-    found = articles.select(*KEYS, "law_name", "text", "enforcement_date")
+    found = narrowed(
+        articles.select(*KEYS, "law_name", "text", "enforcement_date"), asked, KEYS, small_bytes
+    )
     joined = asked.join(found, KEYS, "left")
     status = F.when(F.col("text").isNull(), "not_found").otherwise("found")
     return keep_first(joined.withColumn("status", status), "question_id", F.col("text").asc())
@@ -37,7 +41,8 @@ def seed_golden(cases: DataFrame, articles: DataFrame) -> DataFrame:
     article_number_norm, question, question_type``. Unmatched cases keep a NULL ground truth and
     ``matched`` false; ids count all cases.
     """
-    text = articles.select(*KEYS, F.col("law_name"), F.col("text").alias("article_text"))
+    text = narrowed(articles.select(*KEYS, "law_name", F.col("text").alias("article_text")),
+                    cases, KEYS)
     joined = keep_first(cases.join(text, KEYS, "left"), "position", F.col("article_text").asc())
     return joined.select(
         F.format_string("GS-%03d", F.col("position")).alias("id"),
@@ -62,12 +67,23 @@ def route_lookup(routed: DataFrame, handlers=None) -> DataFrame:
 
 def resolve_routes(questions: DataFrame, routed: str, labels: DataFrame | None,
                    default: str) -> DataFrame:
-    """Fill open routes from a label table (``query, tool``), else with the default."""
+    """Fill open routes from a label table (``query, tool``), else with the default.
+
+    A label table measured to be small is broadcast and the questions stay where they are.
+    Otherwise only open questions join by their text; the others are dealt out at random.
+    """
     if labels is None:
         return questions.withColumn("tool", F.coalesce(routed, F.lit(default)))
     known = keep_first(labels, "query", F.col("tool").asc()).select(
         F.col("query").alias("__q"), F.col("tool").alias("__label")
     )
+    if is_small(known):
+        joined = questions.withColumn("__k", strip_space(F.col("query"))).join(
+            F.broadcast(known), F.col("__k") == F.col("__q"), "left"
+        )
+        return joined.withColumn("tool", F.coalesce(routed, "__label", F.lit(default))).drop(
+            "__k", "__q", "__label"
+        )
     open_key = F.when(F.col(routed).isNull(), strip_space(F.col("query")))
     spread = F.coalesce(open_key, F.concat(F.lit("\u0000"), F.xxhash64("query").cast("string")))
     joined = questions.withColumn("__k", spread).join(known, F.col("__k") == F.col("__q"), "left")

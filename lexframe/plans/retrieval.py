@@ -11,7 +11,7 @@ from ..functions import (
     strip_space,
 )
 from ..operators.corpus import KEYS
-from ..operators.keyed import keep_first
+from ..operators.keyed import keep_first, narrowed
 from ..operators.vectors import vector_topk
 from .pinned import pin
 
@@ -72,7 +72,7 @@ def _direct(asked: DataFrame, articles: DataFrame, points: DataFrame, available:
     table = articles if available else points
     wanted = asked.select("question_id", F.col("name").alias(KEYS[0]),
                           F.col("article").alias(KEYS[1]))
-    joined = wanted.join(table.select(*KEYS, "text"), KEYS, "left")
+    joined = wanted.join(narrowed(table.select(*KEYS, "text"), wanted, KEYS), KEYS, "left")
     joined = keep_first(joined, "question_id", F.col("text").asc_nulls_last())
     found = F.coalesce(F.col("text") != "", F.lit(False))
     missing = "not_found" if available else "unavailable"
@@ -194,7 +194,8 @@ def _evaluate(questions, articles, points, names, scope_rules, limits) -> DataFr
         "question_id", F.col("name").alias(KEYS[0]), F.col("article").alias(KEYS[1])
     )
     exact = keep_first(
-        wanted.join(articles.select(*KEYS, "text"), KEYS), "question_id", F.col("text").asc()
+        wanted.join(narrowed(articles.select(*KEYS, "text"), wanted, KEYS), KEYS),
+        "question_id", F.col("text").asc(),
     )
     direct = exact.select(
         "question_id",

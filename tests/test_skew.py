@@ -42,3 +42,40 @@ def test_groups_are_cut_before_the_shuffle(spark):
     turns = spark.range(100).select((F.col("id") % 2).alias("k"), "id")
     plan = keyed.top_per_group(turns, "k", F.desc("id"), 3)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_small_and_large_increments_merge_alike(spark):
+    schema = ("chunk_id string, law_name string, law_name_norm string, article_number string, "
+              "article_number_norm string, text string, enforcement_date date")
+    target = spark.createDataFrame(
+        [(f"c{i}", "법", None if i == 3 else "법", "제", str(i), f"옛{i}", None) for i in range(6)],
+        schema).withColumns({"created_at": F.lit(1), "updated_at": F.lit(1)})
+    incoming = spark.createDataFrame(
+        [(f"n{i}", "새", "법", "제", str(i), f"새{i}", None) for i in (1, 3, 9, 9)],
+        schema).withColumn("position", F.monotonically_increasing_id())
+    small = corpus.merge_articles(target, incoming, F.lit(2))
+    large = corpus.merge_articles(target, incoming, F.lit(2), small_bytes=0)
+    rows = sorted(map(str, small.collect()))
+    assert rows == sorted(map(str, large.collect())) and len(rows) == 8
+    for way in ({}, {"small_bytes": 0}):
+        stale = corpus.flag_stale(target, incoming, **way).where("stale")
+        assert {r.article_number_norm for r in stale.collect()} == {"0", "2", "4", "5"}
+
+
+def test_few_and_many_requests_find_alike(spark):
+    articles = spark.range(50).select(
+        F.lit("법").alias("law_name_norm"), F.col("id").cast("string").alias("article_number_norm"),
+        F.lit("법").alias("law_name"), F.concat(F.lit("t"), "id").alias("text"),
+        F.lit(None).cast("date").alias("enforcement_date"))
+    asked = spark.range(40, 60).select(F.col("id").alias("question_id"), F.lit("법").alias("name"),
+                                       F.col("id").cast("string").alias("article"))
+    few = lookup.exact_lookup(asked, articles)
+    many = lookup.exact_lookup(asked, articles, small_bytes=0)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert few.where("status = 'found'").count() == 10
+
+
+def test_sizes_are_measured(spark):
+    df = spark.createDataFrame([("가" * 100, [1.0] * 10)] * 10, "s string, a array<double>")
+    assert keyed.is_small(df, 10 * (16 + 300 + 80)) and not keyed.is_small(df, 10 * (16 + 300 + 80) - 1)
+    assert keyed.is_small(df.limit(0), 0)
