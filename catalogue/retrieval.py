@@ -103,6 +103,10 @@ hits AS (
 @query(f"""WITH {_BASE_SQL},
 rest AS (SELECT * FROM read WHERE name IS NULL OR art = ''),
 {_search_sql('name IS NULL', 'coalesce(name, scope)')},
+-- half-even to four digits in whole millionths: the six-digit scores have exact ties
+units AS (SELECT *, CAST(round(score * 1000000) AS BIGINT) AS u FROM hits),
+rounded AS (SELECT *, (u // 100 + CASE WHEN u % 100 > 50 OR (u % 100 = 50 AND (u // 100) % 2 = 1)
+  THEN 1 ELSE 0 END) / 10000 AS score4 FROM units),
 best AS (SELECT question_id, max(score) AS top FROM hits GROUP BY question_id),
 judged AS (
   SELECT r.question_id, b.top, r.name IS NOT NULL AND coalesce(b.top >= 0.5, false) AS named_ok,
@@ -111,9 +115,8 @@ judged AS (
 listed AS (
   SELECT h.question_id,
          list(h.law || ' 제' || h.art || '조' ORDER BY h.r) AS labels,
-         list(printf('%s:%s:%.4f:%d', h.law, h.art, round_even(h.score, 4), h.r)
-              ORDER BY h.r) AS cited
-  FROM hits h JOIN judged j USING (question_id)
+         list(printf('%s:%s:%.4f:%d', h.law, h.art, h.score4, h.r) ORDER BY h.r) AS cited
+  FROM rounded h JOIN judged j USING (question_id)
   WHERE j.wide_ok OR (j.named_ok AND h.r = 1) GROUP BY h.question_id)
 SELECT d.question_id, CASE WHEN p.id IS NULL THEN 'not_found' ELSE 'answered' END AS status,
        'direct_article' AS query_type, CASE WHEN p.id IS NOT NULL THEN 'pg' END AS selected_source,

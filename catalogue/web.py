@@ -18,10 +18,10 @@ _TITLE = "<title>(.*?)</title>"
 
 
 def _unescaped(column: str) -> str:
-    """The entities that occur in the test pages."""
-    for entity, char in [("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"),
-                         ("&gt;", ">"), ("&amp;", "&")]:
-        column = f"replace({column}, '{entity}', '{char}')"
+    """The entities that occur in the test pages, with or without their semicolon."""
+    for entity, char in [("quot", '"'), ("middot", "·"), ("copy", "©"), ("lt", "<"), ("gt", ">"),
+                         ("amp", "&")]:
+        column = f"regexp_replace({column}, '&{entity};?', '{char}', 'g')"
     return column
 
 
