@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from lexframe import rules
 from lexframe.functions import article_display
 from lexframe.plans import retrieval as plans
-from lexframe.plans.pinned import pin
-from lexframe.session import scratch_path
+from lexframe.session import pin, scratch_path
 from lexframe.sources.tables import read_vectors as read
 
 from .common import load, sql_first_of, sql_list

@@ -14,7 +14,8 @@ from ..functions import (
 )
 from ..functions.articles import date_field, date_node, date_value, last_of_list
 from ..functions.text import SPACE
-from .keyed import SMALL_BYTES, is_small, latest_by_key, sized, spread_join
+from ..session import pin
+from .keyed import SMALL_BYTES, is_dwarfed, is_small, latest_by_key, sized, spread_join
 
 KEYS = ["law_name_norm", "article_number_norm"]
 _REPEALED = (
@@ -93,8 +94,8 @@ def merge_articles(target: DataFrame, incoming: DataFrame, now: Column,
 
     A match replaces number, text and date and moves ``updated_at``; its chunk id, name and
     creation time stay. Of repeated incoming keys the last one is written, but a new key keeps
-    the chunk id and name of the first. An increment measured to be small is joined without
-    shuffling the target.
+    the chunk id and name of the first. An increment measured to be small next to the target is
+    joined without shuffling the target.
     """
     position = "position"
     fresh = incoming.groupBy(*KEYS).agg(
@@ -105,7 +106,8 @@ def merge_articles(target: DataFrame, incoming: DataFrame, now: Column,
         *KEYS, F.struct("chunk_id", "law_name", "article_number", "text", "enforcement_date",
                         "created_at", "updated_at").alias("old"),
     )
-    if is_small(incoming, small_bytes):
+    if is_dwarfed(incoming, target, small_bytes):
+        fresh = pin(fresh, "increment")
         known_keys = old.select(*KEYS).join(F.broadcast(fresh.select(*KEYS)), KEYS, "left_semi")
         added = fresh.join(known_keys, KEYS, "left_anti").withColumn(
             "old", F.lit(None).cast(old.schema["old"].dataType)

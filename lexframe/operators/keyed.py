@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 FANOUT = 32
 SMALL_BYTES = 64 << 20
+DWARFED_ROWS = 10
 
 
 def top_per_group(df: DataFrame, keys, order, n: int, rank: str | None = None) -> DataFrame:
@@ -70,8 +71,8 @@ def spread_join(left: DataFrame, small: DataFrame, key: str, spread_by, how: str
     return dealt.join(copies, [key, "__salt"], how).drop("__salt")
 
 
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    """Whether the rows, counted and measured, fit into ``limit`` bytes."""
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a table."""
     size = F.lit(16)
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
@@ -80,19 +81,33 @@ def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
             size = size + F.coalesce(F.size(F.col(field.name)), F.lit(0)) * 8
         else:
             size = size + 8
-    return (df.agg(F.sum(size.cast("bigint")).alias("bytes")).first()["bytes"] or 0) <= limit
+    return tuple(df.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))
+    ).first())
+
+
+def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
+    """Whether the rows, counted and measured, fit into ``limit`` bytes."""
+    return measured(df)[1] <= limit
+
+
+def is_dwarfed(small: DataFrame, large: DataFrame, limit: int = SMALL_BYTES) -> bool:
+    """Whether ``small`` fits into ``limit`` bytes and ``large`` has many times its rows, so that
+    leaving ``large`` in place is worth a broadcast."""
+    rows, size = measured(small)
+    return size <= limit and large.count() > DWARFED_ROWS * rows
 
 
 def narrowed(large: DataFrame, asked: DataFrame, keys, limit: int = SMALL_BYTES) -> DataFrame:
     """Rows of ``large`` whose key is asked for, found without shuffling ``large``.
 
-    Used before a join of a few requests with a large table. When the asked keys are not small,
-    ``large`` is given back as it is and the join shuffles both sides.
+    Used before a join of a few requests with a large table. When the asked keys are not few next
+    to it, ``large`` is given back as it is and the join shuffles both sides.
     """
-    wanted = asked.select(*_as_list(keys)).distinct()
-    if not is_small(wanted, limit):
+    wanted = asked.select(*_as_list(keys))
+    if not is_dwarfed(wanted, large, limit):
         return large
-    return large.join(F.broadcast(wanted), _as_list(keys), "left_semi")
+    return large.join(F.broadcast(wanted.distinct()), _as_list(keys), "left_semi")
 
 
 def sized(small: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import (
 from ..operators.corpus import KEYS
 from ..operators.keyed import keep_first, narrowed
 from ..operators.vectors import vector_topk
-from .pinned import pin
+from ..session import pin
 
 _CITATIONS = "array<struct<law_name:string,article_number:string,score:double,rank:int>>"
 

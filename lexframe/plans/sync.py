@@ -11,8 +11,8 @@ from ..operators.corpus import (
     KEYS, extract_articles, merge_articles, reconcile, reconcile_summary, remove_stale,
     upsert_vectors, vector_rows,
 )
+from ..session import pin
 from ..sources.statutes import split_documents
-from .pinned import pin
 
 
 @dataclass

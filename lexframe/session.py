@@ -1,4 +1,4 @@
-"""Session defaults and the shared folder used for written intermediate tables."""
+"""Session defaults, the shared folder, and tables written there to go on from."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: str | None = None
 
@@ -44,3 +44,14 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def pin(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table in the shared folder.
+
+    Later steps reuse it without recomputing, survive lost executors, and Spark knows its size
+    when it decides whether to broadcast it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
