@@ -113,23 +113,23 @@ RULES_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents
 ), g AS (
-  SELECT *, list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM d
+  SELECT *, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM d
 ), u AS (
   SELECT *, CASE WHEN len(list_distinct(g)) = len(g) THEN [] ELSE
-    list_transform(list_filter(map_entries(list_histogram(g)), e -> e.value > 1), e -> e.key) END AS again
+    list_transform(list_filter(map_entries(list_histogram(g)), lambda e: e.value > 1), lambda e: e.key) END AS again
   FROM g
 ), p AS (
   SELECT *, CASE WHEN len(again) = 0 THEN [] ELSE
-    list_filter(range(1, len(w) - 1), i -> list_contains(again, g[i])) END AS at
+    list_filter(range(1, len(w) - 1), lambda i: list_contains(again, g[i])) END AS places
   FROM u
 ), m AS (
-  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
     len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines,
-    len(list_distinct(flatten(list_transform(at, i -> [i, i + 1, i + 2])))) AS n_repeat_words,
+    len(list_distinct(flatten(list_transform(places, lambda i: [i, i + 1, i + 2])))) AS n_repeat_words,
     len(regexp_extract_all(t, '!!([\x20\x09-\x0D]|$)')) AS n_shout
   FROM p
 ), f AS (
@@ -150,7 +150,7 @@ WITH b AS (
 ), n AS (
   SELECT item_id, least(len(w), {decontaminate.WINDOW}) AS k,
     unnest(list_transform(range(1, greatest(len(w) - {decontaminate.WINDOW} + 1, 1) + 1),
-      i -> array_to_string(list_slice(w, i, i + {decontaminate.WINDOW} - 1), ' '))) AS s
+      lambda i: array_to_string(list_slice(w, i, i + {decontaminate.WINDOW} - 1), ' '))) AS s
   FROM b WHERE len(w) > 0
 ), d AS (
   SELECT doc_id, row_number() OVER () AS r,
