@@ -74,21 +74,17 @@ def _count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def _repeat_words(words: str) -> Column:
-    """Words inside 3-word windows found twice or more."""
-    size = f"size({words})"
-    return F.expr(f"""
-        case when {size} < 4 or size(__windows) = size(array_distinct(__windows)) then 0L else
+def _repeat_words() -> Column:
+    """Words inside 3-word windows found twice or more; 0 where no windows had to be ordered."""
+    return F.expr("""
+        case when __ordered is null then 0L else
         aggregate(
-            array_sort(transform(
-                filter(
-                    transform(
-                        __ordered,
-                        (x, i) -> if(x.h = get(__ordered, i - 1).h or x.h = get(__ordered, i + 1).h, x.p, null)
-                    ),
-                    p -> p is not null
+            sort_array(filter(
+                transform(
+                    __ordered,
+                    (x, i) -> if(x.h = get(__ordered, i - 1).h or x.h = get(__ordered, i + 1).h, x.p, null)
                 ),
-                p -> p
+                p -> p is not null
             )),
             named_struct('n', 0L, 'next', 0),
             (s, p) -> named_struct(
@@ -109,7 +105,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     ordered = F.expr(
         "case when size(__windows) <> size(array_distinct(__windows)) then"
-        " array_sort(transform(__windows, (h, i) -> struct(h as h, i as p))) end"
+        " sort_array(transform(__windows, (h, i) -> struct(h as h, i as p))) end"
     )
     lines = F.expr("filter(__lines, x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')")
     return (
@@ -117,17 +113,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("__ordered", ordered)
         .withColumn("__lines", F.split(body, "\n"))
         .withColumn("__lines", lines)
-        .select(
-            *docs.columns,
+        # a generator keeps later filters from being pushed into, and so repeating, the expressions above
+        .select(*docs.columns, F.explode(F.array(F.struct(
             F.size("__words").cast("bigint").alias("n_words"),
             (F.length(body) - _count_of(body, BLANKS)).cast("bigint").alias("word_chars"),
             _count_of(body, SYMBOLS).cast("bigint").alias("n_symbols"),
             (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
-            F.when(F.col("__ordered").isNull(), F.lit(0)).otherwise(_repeat_words("__words"))
-            .cast("bigint").alias("n_repeat_words"),
+            _repeat_words().alias("n_repeat_words"),
             F.size("__lines").cast("bigint").alias("n_lines"),
             F.regexp_count(body, F.lit(r"!!(?=[\x20\x09-\x0D]|$)")).cast("bigint").alias("n_shout"),
-        )
+        ))).alias("__measures"))
+        .select(*docs.columns, "__measures.*")
     )
 
 
