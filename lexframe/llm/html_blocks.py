@@ -178,6 +178,8 @@ def surges(weights: list[int], window: int = WINDOW, threshold: int = SURGE) ->
         start = at
         while start > (ranges[-1][1] if ranges else 0) and sums[start - 1] > 0:
             start -= 1
+        while not weights[start]:
+            start += 1
         end = at
         while end < n and sums[end] > 0:
             end += 1

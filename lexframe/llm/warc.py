@@ -170,7 +170,7 @@ def write_archives(
             for row in batch.to_pylist():
                 if writer is None:
                     name = f"part-{task.partitionId():05d}-{len(done):03d}-{uuid.uuid4().hex}.warc.zst"
-                    writer = ArchiveWriter(store.open_output_stream(posixpath.join(base, name)))
+                    writer = ArchiveWriter(store.open_output_stream(posixpath.join(base, name), compression=None))
                 writer.add(record(row, date))
                 if writer.written >= archive_bytes:
                     finish()
@@ -335,7 +335,7 @@ def read_archives(
             for path in paths.column(0).to_pylist():
                 store, inner = pyarrow.fs.FileSystem.from_uri(path)
                 rows, size = [], 0
-                with store.open_input_stream(inner) as stream:
+                with store.open_input_stream(inner, compression=None) as stream:
                     offset = 0
                     try:
                         for offset, data in frames(stream):
