@@ -71,7 +71,7 @@ cited AS (
 SELECT answer_id, law_name, article_number, rank, CAST(NULL AS DOUBLE) AS score
 FROM cited WHERE rank <= 5""")
 def extract_citations(spark, sf_dir):
-    return ops.extract_citations(answers(spark, sf_dir))
+    return ops.extract_citations(answers(spark, sf_dir), limit=5)
 
 
 _STRICT = "'\\[([^\\]]+?)\\s+제([0-9]+(?:의[0-9]+)?)조\\]'"

@@ -33,8 +33,9 @@ def recent_pairs(spark, sf_dir):
 
 
 _SEARCH_SQL = f"""{_PAIRS_SQL}, queries AS (
-  SELECT item_id AS query_id, regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1) AS term
-  FROM benchmark),
+  SELECT item_id * 1000 + i AS query_id, w[i] AS term FROM (
+    SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (
+      SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark))),
 ranked AS (
   SELECT q.query_id, p.session_id, p.turn_index, p.question, p.answer,
          row_number() OVER (PARTITION BY q.query_id ORDER BY p.created_at DESC) AS rn
@@ -48,10 +49,10 @@ FROM queries q CROSS JOIN recent r WHERE q.query_id NOT IN (SELECT query_id FROM
 
 
 def _searched(spark, sf_dir, **options):
-    word = F.regexp_extract("text", "([A-Za-z]+)[^A-Za-z]*$", 1)
-    asked = load(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.concat(word, F.lit(" 기록에서 찾아줘")).alias("query"),
+    words = F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("place", "word")
+    asked = load(spark, sf_dir, "benchmark").select("item_id", words).select(
+        (F.col("item_id") * 1000 + F.col("place") + 1).alias("query_id"),
+        F.concat("word", F.lit(" 기록에서 찾아줘")).alias("query"),
     )
     found = ops.search_history(asked, turns(spark, sf_dir), 5, **options)
     return found.select("query_id", "session_id", "turn_index", "question", "answer", "matched")
@@ -64,8 +65,8 @@ def search_history(spark, sf_dir):
 
 @query(_SEARCH_SQL)
 def search_history_blocks(spark, sf_dir):
-    """The way taken when there are too many terms to travel with the scan."""
-    return _searched(spark, sf_dir, max_inline_terms=0, cells=8)
+    """Terms in many blocks."""
+    return _searched(spark, sf_dir, block_terms=300)
 
 
 @query(f"""WITH {TURNS_SQL} SELECT id, content FROM turns

@@ -184,7 +184,10 @@ def cache_misses(spark, sf_dir):
 SELECT query_hash, arg_max(doc_id, ts) AS doc_id, max(ts) AS ts FROM rows GROUP BY query_hash""")
 def cache_merge(spark, sf_dir):
     key = content_hash(F.col("text")).alias("query_hash")
-    cache = load(spark, sf_dir, "documents").select(key, "doc_id", F.col("doc_id").alias("ts"))
+    # a cache holds a hash once
+    cache = load(spark, sf_dir, "documents").groupBy(key).agg(
+        F.max("doc_id").alias("doc_id"), F.max("doc_id").alias("ts")
+    )
     new = labelled(spark, sf_dir).select(
         key, (-F.col("doc_id")).alias("doc_id"), (F.col("doc_id") + 1_000_000).alias("ts")
     )
@@ -195,9 +198,11 @@ def cache_merge(spark, sf_dir):
   SELECT doc_id AS question_id, 'src' || (doc_id % 20) AS law, CAST(doc_id AS VARCHAR) AS art
   FROM labels UNION ALL
   SELECT -1 - (conv_id * 1000 + turn), 'src' || (conv_id % 20),
-         conv_id || CASE WHEN role = 'user' THEN '' ELSE '의2' END FROM conversations)
+         conv_id || CASE WHEN role = 'user' THEN '' ELSE '의2' END FROM conversations UNION ALL
+  SELECT -1000000000 - page_id, NULL, NULL FROM pages)
 SELECT question_id, law AS law_name_norm, art AS article_number_norm, a.text, a.enforcement_date,
-       CASE WHEN a.text IS NULL THEN 'not_found' ELSE 'found' END AS status
+       CASE WHEN law IS NULL THEN 'invalid' WHEN a.text IS NULL THEN 'not_found' ELSE 'found' END
+         AS status
 FROM asked LEFT JOIN articles a ON a.law_name_norm = law AND a.article_number_norm = art""")
 def exact_lookup(spark, sf_dir):
     by_label = load(spark, sf_dir, "labels").select(
@@ -211,7 +216,13 @@ def exact_lookup(spark, sf_dir):
         F.concat(F.lit("s·rc"), F.col("conv_id") % 20).alias("name"),
         F.concat(F.col("conv_id"), suffix).alias("article"),
     )
-    found = lookup.exact_lookup(by_label.unionByName(by_turn), articles(spark, sf_dir))
+    blank = load(spark, sf_dir, "pages").select(
+        (-1_000_000_000 - F.col("page_id")).alias("question_id"),
+        F.when(F.col("page_id") % 2 == 0, " ").otherwise("src1").alias("name"),
+        F.when(F.col("page_id") % 2 == 1, "").otherwise("제1조").alias("article"),
+    )
+    asked = by_label.unionByName(by_turn).unionByName(blank)
+    found = lookup.exact_lookup(asked, articles(spark, sf_dir))
     return found.select("question_id", "law_name_norm", "article_number_norm", "text",
                         "enforcement_date", "status")
 
@@ -233,3 +244,14 @@ def seed_golden(spark, sf_dir):
     )
     seeded = lookup.seed_golden(cases, articles(spark, sf_dir))
     return seeded.drop("law_name")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'name' WHEN page_id % 3 = 1 THEN 'article' END
+  AS reject_reason FROM pages""")
+def rejected_requests(spark, sf_dir):
+    kind = F.col("page_id") % 3
+    asked = load(spark, sf_dir, "pages").select(
+        "page_id", F.when(kind != 0, F.col("url")).alias("name"),
+        F.when(kind == 1, " ").otherwise(F.col("html")).alias("article"),
+    )
+    return lookup.rejected_requests(asked).select("page_id", "reject_reason")

@@ -1,4 +1,4 @@
-"""Tiered retrieval: every vector asks a question; the labelled documents are the corpus."""
+"""Tiered retrieval: every vector asks a question, and every vector with its document is a point."""
 
 from __future__ import annotations
 
@@ -26,8 +26,7 @@ def _law(label):
 def points(spark, sf_dir):
     vectors = load(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = load(spark, sf_dir, "labels").select("doc_id")
-    return vectors.join(docs, "doc_id").join(labels, "doc_id").select(
+    return vectors.join(docs, "doc_id").select(
         F.col("doc_id").alias("point_id"), "embedding", _law(F.col("label")).alias("law_name"),
         _law(F.col("label")).alias("law_name_norm"),
         article_display(F.col("doc_id").cast("string")).alias("article_number"),
@@ -39,8 +38,10 @@ def points(spark, sf_dir):
 def questions(spark, sf_dir):
     """Six kinds of question, the kind decided by the vector's number."""
     law, number = _law(F.col("label")), F.col("vec_id").cast("string")
+    # every second exact question asks for an article that is not there
+    exact = (F.col("vec_id") + F.when(F.col("vec_id") % 12 == 0, 900_000).otherwise(0)).cast("string")
     kinds = [
-        F.concat(law, F.lit(" 제"), number, F.lit("조 내용은?")),
+        F.concat(law, F.lit(" 제"), exact, F.lit("조 내용은?")),
         F.concat(law, F.lit(" 알려줘")),
         F.concat(F.lit("비계 설치 안전 기준 "), number),
         F.concat(F.lit("소방기본법 "), number, F.lit("조")),
@@ -60,10 +61,10 @@ _BASE_SQL = f"""vectors AS (
   FROM embeddings),
 points AS (
   SELECT vec_id AS id, v, law, CAST(vec_id AS VARCHAR) AS art, text FROM vectors
-  JOIN documents ON doc_id = vec_id WHERE vec_id IN (SELECT doc_id FROM labels)),
+  JOIN documents ON doc_id = vec_id),
 asked AS (
   SELECT vec_id AS question_id, v, CASE vec_id % 6
-    WHEN 0 THEN law || ' 제' || vec_id || '조 내용은?'
+    WHEN 0 THEN law || ' 제' || (vec_id + CASE WHEN vec_id % 12 = 0 THEN 900000 ELSE 0 END) || '조 내용은?'
     WHEN 1 THEN law || ' 알려줘'
     WHEN 2 THEN '비계 설치 안전 기준 ' || vec_id
     WHEN 3 THEN '소방기본법 ' || vec_id || '조'
@@ -84,7 +85,7 @@ def _search_sql(source: str, scope: str) -> str:
     return f"""searched AS (SELECT question_id, v, {scope} AS scope, {source} AS widen FROM rest),
 scored AS (
   SELECT s.question_id, p.id, p.law, p.art, p.text, p.law = s.scope AS inside,
-         round_even(list_cosine_similarity(s.v, p.v), 6) AS score
+         round_even(list_cosine_similarity(s.v, p.v), 12) AS score
   FROM searched s CROSS JOIN points p),
 scoped AS (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS r
@@ -102,10 +103,7 @@ hits AS (
 @query(f"""WITH {_BASE_SQL},
 rest AS (SELECT * FROM read WHERE name IS NULL OR art = ''),
 {_search_sql('name IS NULL', 'coalesce(name, scope)')},
--- half-even to four digits in whole millionths: the six-digit scores have exact ties
-units AS (SELECT *, CAST(round(score * 1000000) AS BIGINT) AS u FROM hits),
-rounded AS (SELECT *, (u // 100 + CASE WHEN u % 100 > 50 OR (u % 100 = 50 AND (u // 100) % 2 = 1)
-  THEN 1 ELSE 0 END) / 10000 AS score4 FROM units),
+rounded AS (SELECT *, round_even(score, 4) AS score4 FROM hits),
 best AS (SELECT question_id, max(score) AS top FROM hits GROUP BY question_id),
 judged AS (
   SELECT r.question_id, b.top, r.name IS NOT NULL AND coalesce(b.top >= 0.5, false) AS named_ok,
@@ -129,7 +127,7 @@ UNION ALL
 SELECT j.question_id, CASE WHEN named_ok OR wide_ok THEN 'answered' ELSE 'web_fallback' END,
        'semantic', CASE WHEN named_ok OR wide_ok THEN 'qdrant' ELSE 'web' END,
        coalesce(l.labels, []), coalesce(l.cited, []), NOT (named_ok OR wide_ok),
-       CASE WHEN wide_ok THEN top END
+       CASE WHEN wide_ok THEN round_even(top, 6) END
 FROM judged j LEFT JOIN listed l USING (question_id)""")
 def tiered_retrieve(spark, sf_dir):
     corpus = pin(points(spark, sf_dir), "points")  # a stored collection, as the service has
@@ -138,7 +136,8 @@ def tiered_retrieve(spark, sf_dir):
         ":", c["law_name"], c["article_number"], c["score"].cast("decimal(6,4)").cast("string"),
         c["rank"].cast("string"),
     ))
-    return found.withColumn("cited", cited).drop("citations")
+    return found.withColumn("cited", cited).drop("citations").withColumn(
+        "confidence_score", F.bround("confidence_score", 6))
 
 
 @query(f"""WITH {_BASE_SQL},

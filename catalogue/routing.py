@@ -16,13 +16,12 @@ from .registry import registry
 QUERIES, ORACLES, query = registry()
 
 REQUESTS = [
-    "산업안전보건법 제17조 내용은?", "산업안전보건기준에 관한 규칙 제 52 조의 2 알려줘",
-    "중대재해처벌법 제6조 처벌 기준은?", "안전관리자 선임 기준은?", "위험성평가 어떻게 해야 해?",
-    "최근 산업재해 뉴스 알려줘", "안전관리자 경험 블로그 있어?", "산업안전 자격증 후기 알려줘",
-    "미국 OSHA 계단 규정은?", "오늘 너무 힘들어", "비계 기록에서 확인해줘", "db에서 찾아줘",
-    "폭발 위험 분위기에서의 작업은?", "소방기본법 2조", "재난 및 안전관리 기본법의 목적은?",
-    "그 중에 제일 최근 거 자세히 알려줘", "중대재해 처벌 등에 관한 법률 시행령 알려주세요",
-    "계단이 흔들리면 위험한가?",
+    "산업안전보건법 제38조를 풀어 설명해 주세요", "산업안전보건기준에 관한 규칙 제 44 조의 3 전문",
+    "중대재해처벌법 제4조의 의무는 누구에게 있나", "보건관리자를 뽑는 법적 근거가 있나", "환기 설비 점검 주기",
+    "지난주 건설 현장 사고 소식", "현장소장이 쓴 블로그 글을 보고 싶다", "안전모 신제품 리뷰 모아 줘",
+    "일본 크레인 자격 제도", "요즘 일이 많아 피곤하다", "거푸집 기록에서 보여줘", "데이터에서 찾아주세요",
+    "인화성 물질이 있는 폭발 위험 분위기의 환기", "전기공사업법 7조", "재난 및 안전관리 기본법이 다루는 범위",
+    "방금 말한 것 중 하나만 더", "중대재해 처벌 등에 관한 법률 시행령을 보여주세요", "난간이 낮으면 어떻게 하나",
 ]
 
 
@@ -30,17 +29,15 @@ def questions(spark, sf_dir):
     """Requests rotate over the turns; the text of the turn stands in front."""
     place = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(REQUESTS))).cast("int") + 1
     request = F.element_at(F.array(*[F.lit(r) for r in REQUESTS]), place)
-    text = F.when(F.col("role") == "user", F.concat("text", F.lit(" "), request))
     return load_dealt(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", "role", text.otherwise(request).alias("query")
+        "conv_id", "turn", "role", F.concat("text", F.lit(" "), request).alias("query")
     )
 
 
 QUESTIONS_SQL = f"""requests AS (
   SELECT *, list_extract([{sql_list(REQUESTS)}], CAST((conv_id + turn) % {len(REQUESTS)} + 1
          AS INTEGER)) AS request FROM conversations),
-questions AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN text || ' ' || request
-              ELSE request END AS query FROM requests),
+questions AS (SELECT conv_id, turn, role, text || ' ' || request AS query FROM requests),
 prepared AS (SELECT *, lower(query) AS lowered,
   nfc_normalize(replace(lower(query), ' ', '')) AS squeezed,
   regexp_replace(query, '\\s', '', 'g') AS dense FROM questions)"""
@@ -104,6 +101,12 @@ def router_accuracy(spark, sf_dir):
     return retrieval_eval.router_accuracy(_predicted(spark, sf_dir))
 
 
+@query(f"""{_PREDICTED_SQL} SELECT label, rule_label, model_label FROM predicted
+WHERE model_label <> label""")
+def router_wrong_cases(spark, sf_dir):
+    return retrieval_eval.wrong_cases(_predicted(spark, sf_dir), "model_label")
+
+
 @query(f"""{_PREDICTED_SQL} SELECT label, rule_label AS predicted, count(*) AS n
 FROM predicted GROUP BY ALL""")
 def router_confusion(spark, sf_dir):

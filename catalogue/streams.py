@@ -43,14 +43,20 @@ _BUCKETS = ", ".join(
 
 
 @query(f"""WITH {REQUESTS_SQL}, windows AS (SELECT *, date_trunc('hour', started_at) AS window_start
-  FROM requests), closed AS (SELECT max(started_at) - INTERVAL 10 MINUTE AS mark FROM requests)
+  FROM requests)
 SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, endpoint, agent_type,
   count(*) AS requests, count(*) FILTER (WHERE status = 'error') AS errors,
-  round_even(sum(duration), 4) AS duration_sum, {_BUCKETS} FROM windows, closed
-WHERE window_start + INTERVAL 1 HOUR <= mark GROUP BY window_start, endpoint, agent_type""")
+  round_even(sum(duration), 4) AS duration_sum, {_BUCKETS} FROM windows
+GROUP BY window_start, endpoint, agent_type""")
 def stream_metrics(spark, sf_dir):
     arriving = requests(spark, sf_dir).withColumn("started_at", F.col("started_at").cast("timestamp"))
-    metrics = jobs.stream_metrics(_stream(spark, arriving, "requests"), "1 hour", "10 minutes")
+    # a later row closes the last windows; its own stays open
+    later = arriving.groupBy().agg(F.max("started_at").alias("last")).select(
+        *[(F.col("last") + F.expr("INTERVAL 1 DAY") if c == "started_at" else F.lit(None).cast(t)).alias(c)
+          for c, t in arriving.dtypes]
+    )
+    ended = _stream(spark, arriving.unionByName(later), "requests")
+    metrics = jobs.stream_metrics(ended, "1 hour", "10 minutes")
     rows = _drained(spark, metrics, "metrics")
     return rows.drop("window_end").withColumns({
         "window_start": F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"),

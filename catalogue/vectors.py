@@ -30,40 +30,45 @@ def leave_one_out(spark, sf_dir, scope: bool = False, k: int = K, **limits):
     return ops.best_per_query(others, k)
 
 
+def shown(hits):
+    """Scores as they are printed: ranks and thresholds never use the rounded value."""
+    return hits.withColumn("score", F.bround("score", 6))
+
+
 def topk_sql(same_scope: bool = False, k: int = K) -> str:
     condition = "AND q.label = c.label" if same_scope else ""
     return f"""vectors AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS candidate_id, c.label AS candidate_label,
-         q.label AS query_label, round_even(list_cosine_similarity(q.v, c.v), 6) AS score
+         q.label AS query_label, round_even(list_cosine_similarity(q.v, c.v), 12) AS raw
   FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id {condition}),
 ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id)
-         AS INTEGER) AS rank FROM scored),
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, candidate_id)
+         AS INTEGER) AS rank, round_even(raw, 6) AS score FROM scored),
 hits AS (SELECT * FROM ranked WHERE rank <= {k})"""
 
 
 @query(f"WITH {topk_sql()} SELECT query_id, candidate_id, score, rank FROM hits")
 def vector_topk(spark, sf_dir):
-    return leave_one_out(spark, sf_dir)
+    return shown(leave_one_out(spark, sf_dir))
 
 
 @query(f"WITH {topk_sql()} SELECT query_id, candidate_id, score, rank FROM hits")
 def vector_topk_grid(spark, sf_dir):
-    """The way taken when the query batch is too large to travel with the scan."""
-    return leave_one_out(spark, sf_dir, inline_bytes=0, cell_bytes=8 * 64 * 300)
+    """Queries in several blocks."""
+    return shown(leave_one_out(spark, sf_dir, block_bytes=8 * 64 * 300))
 
 
 @query(f"WITH {topk_sql(True)} SELECT query_id, candidate_id, score, rank FROM hits")
 def scoped_topk(spark, sf_dir):
-    return leave_one_out(spark, sf_dir, scope=True)
+    return shown(leave_one_out(spark, sf_dir, scope=True))
 
 
 @query(f"""WITH {topk_sql()} SELECT query_id, candidate_id, score, rank FROM hits
-WHERE query_id IN (SELECT query_id FROM hits WHERE rank = 1 AND score >= 0.4)""")
+WHERE query_id IN (SELECT query_id FROM hits WHERE rank = 1 AND raw >= 0.4)""")
 def score_threshold(spark, sf_dir):
-    return ops.score_threshold(leave_one_out(spark, sf_dir), 0.4)
+    return shown(ops.score_threshold(leave_one_out(spark, sf_dir), 0.4))
 
 
 def _labelled_hits(spark, sf_dir):
@@ -72,7 +77,7 @@ def _labelled_hits(spark, sf_dir):
     )
     label = F.concat(F.lit("법 "), F.col("candidate_label"), F.lit(" 제"),
                      F.col("candidate_label"), F.lit("조"))
-    return leave_one_out(spark, sf_dir).join(labels, "candidate_id").withColumn("label", label)
+    return shown(leave_one_out(spark, sf_dir)).join(labels, "candidate_id").withColumn("label", label)
 
 
 def _golden(spark, sf_dir):
@@ -158,11 +163,12 @@ tried AS (SELECT vec_id, bucket FROM placed UNION ALL SELECT vec_id, xor(bucket,
   FROM placed JOIN closest USING (vec_id) WHERE r <= {_PROBES - 1}),
 near_scored AS (
   SELECT t.vec_id AS query_id, p.vec_id AS candidate_id,
-         round_even(list_cosine_similarity(q.v, c.v), 6) AS score
+         round_even(list_cosine_similarity(q.v, c.v), 12) AS raw
   FROM tried t JOIN placed p USING (bucket) JOIN vectors q ON q.vec_id = t.vec_id
   JOIN vectors c ON c.vec_id = p.vec_id WHERE t.vec_id <> p.vec_id),
 near_hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
-    ORDER BY score DESC, candidate_id) AS INTEGER) AS rank FROM near_scored) WHERE rank <= {K})"""
+    ORDER BY raw DESC, candidate_id) AS INTEGER) AS rank, round_even(raw, 6) AS score
+  FROM near_scored) WHERE rank <= {K})"""
 
 
 def _near(spark, sf_dir):
@@ -174,7 +180,7 @@ def _near(spark, sf_dir):
 
 @query(f"WITH {_APPROX_SQL} SELECT query_id, candidate_id, score, rank FROM near_hits")
 def approx_topk(spark, sf_dir):
-    return _near(spark, sf_dir)
+    return shown(_near(spark, sf_dir))
 
 
 @query(f"""WITH {_APPROX_SQL} SELECT count(*) AS exact_hits, count(n.score) AS found_hits,

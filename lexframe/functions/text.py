@@ -45,18 +45,9 @@ def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
-def _clean_one(value: str | None) -> str | None:
-    if value is None:
-        return None
-    value = value.encode("utf-8", errors="ignore").decode("utf-8")
-    value = unicodedata.normalize("NFKC", value)
-    kept = (c for c in value if c in "\n\t" or unicodedata.category(c)[0] != "C")
-    return "".join(kept)
-
-
 @F.pandas_udf(T.StringType())
-def _nfkc_printable(values: pd.Series) -> pd.Series:
-    return values.map(_clean_one)
+def _nfkc(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
 @F.pandas_udf(T.StringType())
@@ -85,8 +76,9 @@ def collapse_space(column: Column) -> Column:
 
 def clean_text(column: Column) -> Column:
     """NFKC, no control or unassigned characters except newline and tab, trimmed, never NULL."""
-    changed = _only_where(column, ~column.rlike(_STABLE_NFKC), _nfkc_printable)
-    return F.coalesce(strip_space(changed), F.lit(""))
+    composed = _only_where(column, ~column.rlike(_STABLE_NFKC), _nfkc)
+    visible = F.regexp_replace(composed, r"[\p{C}&&[^\n\t]]", "")
+    return F.coalesce(strip_space(visible), F.lit(""))
 
 
 def strip_markup(column: Column) -> Column:
@@ -95,20 +87,24 @@ def strip_markup(column: Column) -> Column:
     return strip_space(_only_where(bare, bare.contains("&"), _unescape))
 
 
-def _walk(node) -> list[str]:
-    if isinstance(node, str):
-        node = node.strip()
-        return [node] if node else []
-    if isinstance(node, list):
-        return [piece for child in node for piece in _walk(child)]
+def _children(node) -> list:
+    """What a JSON node holds, without attributes and numbers that the text repeats."""
     if isinstance(node, dict):
-        return [
-            piece
-            for key, child in node.items()
-            if key not in rules.NUMBER_ONLY_KEYS and not key.startswith("@")
-            for piece in _walk(child)
-        ]
-    return []
+        shown = node.keys() - set(rules.NUMBER_ONLY_KEYS)
+        return [node[key] for key in node if key in shown and key[:1] != "@"]
+    return node if isinstance(node, list) else []
+
+
+def _pieces(*nodes) -> list[str]:
+    """Texts below the nodes in document order, read from a stack, so depth is no limit."""
+    found, waiting = [], list(nodes[::-1])
+    while waiting:
+        node = waiting.pop()
+        waiting.extend(reversed(_children(node)))
+        text = node.strip() if isinstance(node, str) else ""
+        if text:
+            found.append(text)
+    return found
 
 
 def _parse(text: str | None):
@@ -119,14 +115,14 @@ def _parse(text: str | None):
 
 
 def _flatten_one(text: str | None) -> str | None:
-    return None if text is None else "\n".join(_walk(_parse(text)))
+    return None if text is None else "\n".join(_pieces(_parse(text)))
 
 
 def _article_one(text: str | None) -> str:
     unit = _parse(text)
     if not isinstance(unit, dict):
         return ""
-    pieces = [p for key in ("조문내용", "항", "조문단위") for p in _walk(unit.get(key))]
+    pieces = _pieces(*map(unit.get, ("조문내용", "항", "조문단위")))
     if not pieces:
         title = unit.get("조문제목")
         pieces = [title] if isinstance(title, str) else []

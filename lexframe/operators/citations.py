@@ -2,60 +2,75 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import rules
-from ..functions import article_display, normalize_article, normalize_name
+from ..functions import article_display, normalize_article, normalize_name, strip_space
 from ..functions.text import SPACE
 from .corpus import KEYS
 
-MAX_CITATIONS = 5
 _STRICT = rf"\[([^\]]+?)[{SPACE}]+제(\p{{Nd}}+(?:의\p{{Nd}}+)?)조\]"
-CITATIONS = T.ArrayType(T.StructType([
-    T.StructField("law_name", T.StringType()),
-    T.StructField("article_number", T.StringType()),
-    T.StructField("score", T.DoubleType()),
-    T.StructField("rank", T.IntegerType()),
-]))
-_OUTSIDE = re.compile(rules.CITATION_OUTSIDE)
-_INSIDE = re.compile(rules.CITATION_INSIDE)
-
-
-def _cited(answer: str | None) -> list[dict]:
-    if not answer:
-        return []
-    outside = [(m.start(), (m[1] or m[2]).strip(), m[3]) for m in _OUTSIDE.finditer(answer)]
-    inside = [(m.start(), m[1].strip(), m[2]) for m in _INSIDE.finditer(answer)]
-    ordered = dict.fromkeys(pair[1:] for pair in sorted(outside + inside))
-    return [
-        {"law_name": law, "article_number": article, "score": None, "rank": rank}
-        for rank, (law, article) in enumerate(list(ordered)[:MAX_CITATIONS], start=1)
-    ]
-
-
-@F.pandas_udf(CITATIONS)
-def _cited_udf(answers: pd.Series) -> pd.Series:
-    return answers.map(_cited)
-
-
-def cited_articles(column: Column) -> Column:
-    """First five citations of an answer in any of the accepted notations.
-
-    Text positions decide the order across notations, which Spark's regex functions do not give;
-    only texts that hold the marks of a citation are sent to Python.
+
+
+def _pattern(text: str) -> str:
+    """A notation for the JVM, with the digits and blanks of all scripts."""
+    return text.replace(r"\s", f"[{SPACE}]").replace(r"\d", r"\p{Nd}")
+
+
+def _placed(column: Column, notation: str, laws: list[int], article: int) -> Column:
+    """(start, law_name, article_number) of every match of a notation.
+
+    Each match is taken together with the text in front of it, so the lengths of all earlier
+    pieces add up to its place. ``\\G`` keeps a text without further matches from being tried again
+    from every character.
+    """
+    lead = rf"(?s)\G(.*?)(?:{_pattern(notation)})"
+
+    def part(piece: Column, group: int) -> Column:
+        return F.regexp_extract(piece, lead, group)
+
+    def law(piece: Column) -> Column:
+        return strip_space(F.concat(*[part(piece, group) for group in laws]))
+
+    empty = F.array().cast("array<struct<start:int,law_name:string,article_number:string>>")
+    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    return F.aggregate(
+        F.regexp_extract_all(column, F.lit(lead), 0), start,
+        lambda state, piece: F.struct(
+            (state["at"] + F.char_length(piece)).alias("at"),
+            F.array_append(state["found"], F.struct(
+                (state["at"] + F.char_length(part(piece, 1))).alias("start"),
+                law(piece).alias("law_name"), part(piece, article).alias("article_number"),
+            )).alias("found"),
+        ),
+        lambda state: state["found"],
+    )
+
+
+def cited_articles(column: Column, limit: int | None = None) -> Column:
+    """Citations of an answer in any of the accepted notations, in order of place, each once.
+
+    ``limit`` keeps the first so many; None keeps all.
     """
     candidate = column.contains("조") & (column.contains("[") | column.contains("**"))
-    return _cited_udf(F.when(candidate, column))
+    text = F.coalesce(F.when(candidate, column), F.lit(""))
+    both = F.concat(
+        _placed(text, rules.CITATION_OUTSIDE, [2, 3], 4), _placed(text, rules.CITATION_INSIDE, [2], 3)
+    )
+    named = F.array_distinct(F.transform(
+        F.sort_array(both), lambda c: F.struct(c["law_name"], c["article_number"])
+    ))
+    kept = named if limit is None else F.slice(named, 1, limit)
+    return F.transform(kept, lambda c, place: F.struct(
+        c["law_name"].alias("law_name"), c["article_number"].alias("article_number"),
+        F.lit(None).cast("double").alias("score"), (place + 1).alias("rank"),
+    ))
 
 
-def extract_citations(answers: DataFrame, column: str = "answer") -> DataFrame:
+def extract_citations(answers: DataFrame, column: str = "answer", limit: int | None = None) -> DataFrame:
     """One row per citation, ranked by place in the text."""
-    cited = answers.select("answer_id", F.explode(cited_articles(F.col(column))).alias("c"))
+    cited = answers.select("answer_id", F.explode(cited_articles(F.col(column), limit)).alias("c"))
     return cited.select("answer_id", "c.*")
 
 
@@ -97,13 +112,20 @@ def citations_of(turns: DataFrame, citations: DataFrame, articles: DataFrame) ->
     said = turns.where(F.col("role") == "assistant").select(
         F.col("id").alias("chat_history_id"), "session_id"
     )
-    cited = said.join(citations, "chat_history_id", "left").withColumns({
+    keyed = citations.withColumns({
         KEYS[0]: normalize_name(F.col("law_name")),
         KEYS[1]: normalize_article(F.col("article_number")),
     })
-    known = articles.select(*KEYS, F.lit(True).alias("in_corpus"))
-    return cited.join(known, KEYS, "left").withColumn(
-        "in_corpus", F.coalesce("in_corpus", F.lit(False))
+    known = articles.select(*KEYS).distinct().withColumn("in_corpus", F.lit(True))
+    cited = keyed.join(known, KEYS, "left")
+    joined = said.join(cited, "chat_history_id", "left")
+    # turns that cite nothing are met last and by their own id, so they build no common key
+    return joined.withColumns({
+        KEYS[0]: F.coalesce(KEYS[0], F.lit("")), KEYS[1]: F.coalesce(KEYS[1], F.lit("")),
+        "in_corpus": F.coalesce("in_corpus", F.lit(False)),
+    }).select(
+        *KEYS, "chat_history_id", "session_id",
+        *[c for c in citations.columns if c != "chat_history_id"], "in_corpus",
     )
 
 
@@ -111,10 +133,10 @@ def assemble_context(hits: DataFrame, style: str = "article", history: str | Non
                      keep: int | None = None) -> DataFrame:
     """One context text per question from its ranked hits.
 
-    Styles: ``article`` ``[law 제N조]``-headed blocks, ``numbered`` ``[조문 i]`` blocks (first
-    five), ``web`` ``[i] title / snippet / link`` blocks, ``items`` one list entry per result.
+    Styles: ``article`` ``[law 제N조]``-headed blocks, ``numbered`` ``[조문 i]`` blocks, ``web``
+    ``[i] title / snippet / link`` blocks, ``items`` one list entry per result. ``keep`` limits the
+    hits of a question; None keeps all.
     """
-    keep = 5 if keep is None and style == "numbered" else keep
     if keep is not None:
         hits = hits.where(F.col("rank") <= keep)
     newline = F.lit("\n")

@@ -8,17 +8,18 @@ request share one ``created_at``, so time order is always completed by ``turn_in
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import json_field, preview, quality_score, search_term, short_tool
 from ..functions.text import SPACE
-from .keyed import is_small, latest_by_key, newest, sized, spread_join, top_per_group
+from .keyed import latest_by_key, newest, top_per_group
 
 TIME_ORDER = ("created_at", "turn_index", "id")
-TERMS_PER_BLOCK = 256
-MAX_INLINE_TERMS = 1024
+TERMS_PER_BLOCK = 1024
+BLOCK_CHARS = 1 << 20
 
 
 def _ordered(turns: DataFrame) -> list[str]:
@@ -83,44 +84,37 @@ def _contains(text: Column, term: Column) -> Column:
 
 
 def search_history(queries: DataFrame, turns: DataFrame, n: int = 5, order=None,
-                   max_inline_terms: int = MAX_INLINE_TERMS, cells: int = 64) -> DataFrame:
+                   block_terms: int = TERMS_PER_BLOCK) -> DataFrame:
     """Newest ``n`` pairs whose question contains the query's subject, else the newest ``n`` pairs.
 
     ``queries`` has ``query_id, query``. Questions are matched before they are paired, so only
-    matching ones are shuffled to their answers. Up to ``max_inline_terms`` terms (counted first)
-    travel with every scan task; more are cut into blocks, and questions meet each block by an
-    equi-join on (block, cell).
+    matching ones are shuffled to their answers. The terms are cut into blocks of at most about
+    ``block_terms`` terms and ``BLOCK_CHARS`` characters; each block travels with a scan of the
+    questions, which are neither copied nor shuffled for it.
     """
     asked = user_questions(turns)
     order = list(order or _ordered(asked))
     terms = queries.select("query_id", search_term(F.col("query")).alias("term"))
     terms = terms.where(F.col("term") != "")
-    n_terms = terms.count()
+    n_terms, chars = terms.agg(F.count(F.lit(1)), F.sum(F.length("term"))).first()
     packed = F.collect_list(F.struct(
         "query_id", F.lower("term").alias("term"), _has_wildcard(F.col("term")).alias("wild"),
     )).alias("terms")
-
-    if n_terms <= max_inline_terms:
-        asked = asked.withColumn("terms", terms.agg(packed).scalar())
-    else:
-        n_blocks = math.ceil(n_terms / TERMS_PER_BLOCK)
-        block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")
-        blocks = terms.groupBy(block.alias("block")).agg(packed)
-        blocks = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-        cell = F.pmod(F.xxhash64("session_id", "turn_index"), F.lit(cells)).cast("int")
-        spread = asked.withColumn("cell", cell).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-        )
-        asked = spread.join(blocks, ["block", "cell"])
-
+    n_blocks = max(1, math.ceil(n_terms / block_terms), math.ceil((chars or 0) / BLOCK_CHARS))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
     columns = ["session_id", "turn_index", "question", "answer", *_extra(turns)]
-    # Exploding the one-element list drops questions without a match and, unlike a filter, does
-    # not make Spark match twice.
-    matched = asked.withColumn("lowered", F.lower("question")).withColumn("found", _matching())
-    wanted = matched.select(
-        *[c for c in columns if c != "answer"],
-        F.explode(F.when(F.size("found") > 0, F.array("found"))).alias("matching"),
-    )
+    asked = asked.withColumn("lowered", F.lower("question"))
+    blocks = []
+    for number in range(n_blocks):
+        matched = asked.withColumn("terms", terms.where(block == number).agg(packed).scalar())
+        # Exploding the one-element list drops questions without a match and, unlike a filter,
+        # does not make Spark match twice.
+        matched = matched.withColumn("found", _matching())
+        blocks.append(matched.select(
+            *[c for c in columns if c != "answer"],
+            F.explode(F.when(F.size("found") > 0, F.array("found"))).alias("matching"),
+        ))
+    wanted = reduce(DataFrame.unionAll, blocks)
     pairs = pair_turns(turns, wanted)
     hits = pairs.withColumn("query_id", F.explode("matching")).select("query_id", *columns)
     hits = top_per_group(hits, "query_id", newest(*order), n)
@@ -265,11 +259,7 @@ def delete_sessions(turns: DataFrame, ids: DataFrame | None = None,
     if prefix is not None:
         turns = turns.where(~F.coalesce(F.col("session_id").startswith(prefix), F.lit(False)))
     if ids is not None:
-        gone = ids.select("session_id").distinct()
-        if is_small(gone):
-            turns = turns.join(F.broadcast(gone), "session_id", "left_anti")
-        else:
-            turns = spread_join(turns, gone, "session_id", "turn_index", "left_anti")
+        turns = turns.join(ids.select("session_id").distinct(), "session_id", "left_anti")
     return turns
 
 
@@ -280,7 +270,7 @@ def apply_feedback(turns: DataFrame, feedback: DataFrame, now: Column) -> DataFr
     """
     votes = latest_by_key(feedback.where(F.col("value").isin(1, -1)), "id", "position")
     votes = votes.select("id", F.col("value").alias("__vote"))
-    joined = turns.join(sized(votes), "id", "left")
+    joined = turns.join(votes, "id", "left")
     voted = F.col("__vote").isNotNull() & (F.col("role") == "assistant")
     return (
         joined.withColumn("feedback", F.when(voted, F.col("__vote")).otherwise(F.col("feedback")))

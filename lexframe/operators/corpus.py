@@ -15,7 +15,7 @@ from ..functions import (
 from ..functions.articles import date_field, date_node, date_value, last_of_list
 from ..functions.text import SPACE
 from ..session import pin
-from .keyed import SMALL_BYTES, is_dwarfed, is_small, latest_by_key, sized, spread_join
+from .keyed import latest_by_key
 
 KEYS = ["law_name_norm", "article_number_norm"]
 _REPEALED = (
@@ -88,14 +88,13 @@ def extract_articles(documents: DataFrame) -> DataFrame:
     )
 
 
-def merge_articles(target: DataFrame, incoming: DataFrame, now: Column,
-                   small_bytes: int = SMALL_BYTES) -> DataFrame:
+def merge_articles(target: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
     """Insert or update by key.
 
     A match replaces number, text and date and moves ``updated_at``; its chunk id, name and
     creation time stay. Of repeated incoming keys the last one is written, but a new key keeps
-    the chunk id and name of the first. An increment measured to be small next to the target is
-    joined without shuffling the target.
+    the chunk id and name of the first. The increment is written out first, so Spark knows its size;
+    the target's rows only look it up, and only its keys are needed to find what is new.
     """
     position = "position"
     fresh = incoming.groupBy(*KEYS).agg(
@@ -106,15 +105,11 @@ def merge_articles(target: DataFrame, incoming: DataFrame, now: Column,
         *KEYS, F.struct("chunk_id", "law_name", "article_number", "text", "enforcement_date",
                         "created_at", "updated_at").alias("old"),
     )
-    if is_dwarfed(incoming, target, small_bytes):
-        fresh = pin(fresh, "increment")
-        known_keys = old.select(*KEYS).join(F.broadcast(fresh.select(*KEYS)), KEYS, "left_semi")
-        added = fresh.join(known_keys, KEYS, "left_anti").withColumn(
-            "old", F.lit(None).cast(old.schema["old"].dataType)
-        )
-        merged = old.join(F.broadcast(fresh), KEYS, "left").unionByName(added)
-    else:
-        merged = old.join(fresh, KEYS, "full_outer")
+    fresh = pin(fresh, "increment")
+    added = fresh.join(target.select(*KEYS), KEYS, "left_anti").withColumn(
+        "old", F.lit(None).cast(old.schema["old"].dataType)
+    )
+    merged = old.join(fresh, KEYS, "left").unionByName(added)
     known, changed = F.col("old").isNotNull(), F.col("new").isNotNull()
 
     def kept(name: str, otherwise: Column) -> Column:
@@ -135,23 +130,15 @@ def merge_articles(target: DataFrame, incoming: DataFrame, now: Column,
     )
 
 
-def flag_stale(current: DataFrame, incoming: DataFrame,
-               small_bytes: int = SMALL_BYTES) -> DataFrame:
+def flag_stale(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Adds ``stale``: the row's law has incoming rows, but none with the row's number.
 
     Laws without incoming rows are left alone, and rows without an article number never count.
-    The number is looked up by the full key; the law by a table of one row per law whose copies
-    share out the rows of a large law. Keys measured to be small are broadcast, and then the
-    current rows are not shuffled.
+    Both look-ups are plain left joins, which adaptive execution splits where a law is large.
     """
-    keys = incoming.select(*KEYS).distinct()
+    keys = incoming.select(*KEYS).distinct().withColumn("__listed", F.lit(True))
     laws = incoming.select(KEYS[0]).distinct().withColumn("__synced", F.lit(True))
-    if is_small(keys, small_bytes):
-        keys, laws = F.broadcast(keys.withColumn("__listed", F.lit(True))), F.broadcast(laws)
-        flagged = current.join(keys, KEYS, "left").join(laws, KEYS[0], "left")
-    else:
-        listed = current.join(keys.withColumn("__listed", F.lit(True)), KEYS, "left")
-        flagged = spread_join(listed, laws, KEYS[0], KEYS[1], "left")
+    flagged = current.join(keys, KEYS, "left").join(laws, KEYS[0], "left")
     stale = (
         F.col("__synced").isNotNull() & F.col("__listed").isNull() & F.col(KEYS[1]).isNotNull()
     )
@@ -203,10 +190,9 @@ def vector_rows(articles: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def upsert_vectors(points: DataFrame, incoming: DataFrame, order="position") -> DataFrame:
-    """Replace points by id. Old points only meet the incoming ids, and are not shuffled at all
-    when those are measured to be small."""
+    """Replace points by id. Old points only meet the incoming ids."""
     fresh = latest_by_key(incoming, "point_id", order) if order in incoming.columns else incoming
-    kept = points.join(sized(incoming.select("point_id").distinct()), "point_id", "left_anti")
+    kept = points.join(incoming.select("point_id").distinct(), "point_id", "left_anti")
     return kept.unionByName(fresh.select(*points.columns))
 
 
@@ -215,9 +201,14 @@ def cache_misses(texts: DataFrame, cache: DataFrame, column: str = "text") -> Da
     hashed = texts.where(F.col(column).isNotNull()).select(
         content_hash(F.col(column)).alias("query_hash"), F.col(column).alias("query_text")
     )
-    return hashed.distinct().join(cache.select("query_hash"), "query_hash", "left_anti")
+    missing = hashed.join(cache.select("query_hash"), "query_hash", "left_anti")
+    return missing.dropDuplicates(["query_hash"])
 
 
 def cache_merge(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert or replace by hash; the newest entry stays."""
-    return latest_by_key(cache.unionByName(new), "query_hash", "ts")
+    """Insert or replace by hash; the newest entry stays. Entries without a new version are
+    passed on as they are; only the others are put in order."""
+    keys = new.select("query_hash").distinct()
+    untouched = cache.join(keys, "query_hash", "left_anti")
+    replaced = cache.join(keys, "query_hash", "left_semi").unionByName(new)
+    return untouched.unionByName(latest_by_key(replaced, "query_hash", "ts"))

@@ -1,4 +1,4 @@
-"""Latest, first and top rows per key, ordered unions, and joins against hot keys."""
+"""Latest, first and top rows per key, ordered unions and differences."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-FANOUT = 32
-SMALL_BYTES = 64 << 20
-DWARFED_ROWS = 10
 
 
 def top_per_group(df: DataFrame, keys, order, n: int, rank: str | None = None) -> DataFrame:
@@ -59,62 +54,6 @@ def set_difference(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left.join(right.select(*_as_list(keys)), _as_list(keys), "left_anti")
 
 
-def spread_join(left: DataFrame, small: DataFrame, key: str, spread_by, how: str,
-                fanout: int = FANOUT) -> DataFrame:
-    """Join many rows per key against one row per key without gathering a key in one task.
-
-    ``small`` is repeated ``fanout`` times and the rows of ``left`` are dealt over the copies.
-    """
-    salt = F.pmod(F.xxhash64(*_as_list(spread_by)), F.lit(fanout)).cast("int")
-    dealt = left.withColumn("__salt", salt)
-    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))))
-    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
-
-
-def measured(df: DataFrame) -> tuple[int, int]:
-    """Rows and bytes of a table."""
-    size = F.lit(16)
-    for field in df.schema.fields:
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            size = size + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
-        elif isinstance(field.dataType, T.ArrayType):
-            size = size + F.coalesce(F.size(F.col(field.name)), F.lit(0)) * 8
-        else:
-            size = size + 8
-    return tuple(df.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))
-    ).first())
-
-
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    """Whether the rows, counted and measured, fit into ``limit`` bytes."""
-    return measured(df)[1] <= limit
-
-
-def is_dwarfed(small: DataFrame, large: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    """Whether ``small`` fits into ``limit`` bytes and ``large`` has many times its rows, so that
-    leaving ``large`` in place is worth a broadcast."""
-    rows, size = measured(small)
-    return size <= limit and large.count() > DWARFED_ROWS * rows
-
-
-def narrowed(large: DataFrame, asked: DataFrame, keys, limit: int = SMALL_BYTES) -> DataFrame:
-    """Rows of ``large`` whose key is asked for, found without shuffling ``large``.
-
-    Used before a join of a few requests with a large table. When the asked keys are not few next
-    to it, ``large`` is given back as it is and the join shuffles both sides.
-    """
-    wanted = asked.select(*_as_list(keys))
-    if not is_dwarfed(wanted, large, limit):
-        return large
-    return large.join(F.broadcast(wanted.distinct()), _as_list(keys), "left_semi")
-
-
-def sized(small: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
-    """``small`` marked for broadcast when it was measured to be small, else as it is."""
-    return F.broadcast(small) if is_small(small, limit) else small
-
-
 def newest(*columns) -> list[Column]:
     return [F.desc(c) for c in columns]
 

@@ -28,8 +28,9 @@ def expected_labels(golden: DataFrame) -> DataFrame:
 def hit_flags(results: DataFrame, accepted: DataFrame, ks=(3, 5, 10)) -> DataFrame:
     """Hits at 1, 3 and k for every case and every k.
 
-    ``results`` has ``case_id, rank, label, score`` (label NULL for a case that found nothing);
-    labels match exactly after normalisation. A case without any hit row counts as a miss.
+    ``accepted`` has every golden case (:func:`expected_labels`) and ``results`` has ``case_id, rank,
+    label, score``; labels match exactly after normalisation. A case without a result row, or
+    without a right one, is a miss.
     """
     flagged = results.withColumn("label", normalize_name(F.col("label")))
     right = accepted.withColumn("__hit", F.lit(True))
@@ -39,6 +40,7 @@ def hit_flags(results: DataFrame, accepted: DataFrame, ks=(3, 5, 10)) -> DataFra
         hit_rank.alias("hit_rank"),
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top1_score"),
     )
+    cases = accepted.select("case_id").distinct().join(cases, "case_id", "left")
     first = F.coalesce("hit_rank", F.lit(1 << 30))
     return cases.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).select(
         "case_id", "k",
@@ -112,3 +114,8 @@ def confusion(predictions: DataFrame, predicted: str = "rule_label") -> DataFram
     return predictions.groupBy("label", F.col(predicted).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+def wrong_cases(predictions: DataFrame, predicted: str = "rule_label") -> DataFrame:
+    """The cases a predictor got wrong, with all their columns."""
+    return predictions.where(~F.col(predicted).eqNullSafe(F.col("label")))

@@ -1,35 +1,38 @@
 """Similarity search of a batch of query vectors in a vector table.
 
-Exact search scores blocks of the corpus against blocks of queries as one matrix product in
-Arrow batches and passes on only the best ``k`` per query and block, so what is shuffled does not
-grow with the number of scored pairs. A query batch of proven size travels to the corpus
-partitions, which then need no shuffle at all; a larger one meets the corpus on a grid of cells.
+The queries are cut into blocks of bounded size, and each block travels with a scan of the corpus,
+which is neither shuffled nor copied. A task scores tiles of a matrix product, multiplies equal scopes
+only, and passes on the best ``k`` per query.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean_text
 from .keyed import top_per_group
 
-INLINE_BYTES = 64 << 20
-INLINE_ROWS = 16_384
-CELL_BYTES = 64 << 20
+BLOCK_BYTES = 64 << 20
 TILE = 2048
-SCORE_DIGITS = 6
+#: Digits beyond which two sums of the same products differ. Ranks and thresholds use the rest.
+NOISE_DIGITS = 12
 
 
 def _matrix(column) -> np.ndarray:
-    """Rows of an Arrow list column as a unit-length float64 matrix."""
+    """Rows of an Arrow list column as a unit-length float64 matrix; all rows have one length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(lengths)}")
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = values.reshape(len(column), -1) if len(column) else values.reshape(0, 1)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -44,29 +47,28 @@ class _Best:
     in. A candidate below the ``k``-th best score of its query so far is dropped at once.
     """
 
-    def __init__(self, n_queries: int, k: int, digits: int):
-        self.k, self.digits = k, digits
+    def __init__(self, n_queries: int, k: int):
+        self.k = k
         self.floor = np.full(n_queries, -np.inf)
         self.query = np.empty(0, np.int64)
         self.ids = np.empty(0, np.int64)
         self.score = np.empty(0, np.float64)
 
-    def add(self, queries: np.ndarray, corpus: np.ndarray, ids: np.ndarray,
-            query_scope=None, corpus_scope=None) -> None:
-        """Score all pairs of a block; with scopes only those of equal scope."""
+    def add(self, places: np.ndarray, queries: np.ndarray, corpus: np.ndarray, ids: np.ndarray) -> None:
+        """Score all pairs of a block; ``places`` are the numbers of its queries."""
+        if queries.shape[1] != corpus.shape[1]:
+            raise ValueError(f"queries have {queries.shape[1]} dimensions, the corpus {corpus.shape[1]}")
         found = [(self.query, self.ids, self.score)]
         for q in range(0, len(queries), TILE):
+            own = places[q:q + TILE]
             for c in range(0, len(corpus), TILE):
-                scores = np.round(queries[q:q + TILE] @ corpus[c:c + TILE].T, self.digits)
-                if query_scope is not None:
-                    same = query_scope[q:q + TILE, None] == corpus_scope[None, c:c + TILE]
-                    scores = np.where(same, scores, -np.inf)
-                floor = self.floor[q:q + TILE]
+                scores = np.round(queries[q:q + TILE] @ corpus[c:c + TILE].T, NOISE_DIGITS)
+                floor = self.floor[own]
                 cut = scores.shape[1] - self.k
                 if cut > 0:
                     floor = np.maximum(floor, np.partition(scores, cut, axis=1)[:, cut])
-                row, pick = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-                found.append((row + q, ids[c + pick], scores[row, pick]))
+                row, pick = np.nonzero(scores >= floor[:, None])
+                found.append((own[row], ids[c + pick], scores[row, pick]))
         self.query, self.ids, self.score = (np.concatenate(parts) for parts in zip(*found))
         self._cut()
 
@@ -80,88 +82,52 @@ class _Best:
         self.floor[self.query[last]] = self.score[last]
 
 
-def _texts(column) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=object)
-
-
-def _result(best: _Best, query_ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(query_ids[best.query], pa.int64()),
-            pa.array(best.ids, pa.int64()),
-            pa.array(best.score, pa.float64()),
-        ],
-        names=["query_id", "candidate_id", "score"],
-    )
+def _by_scope(column, n: int) -> dict:
+    """Row numbers of each scope; one scope for all without a column."""
+    if column is None:
+        return {None: np.arange(n)}
+    places: dict = {}
+    for at, scope in enumerate(column.to_pylist()):
+        places.setdefault(scope, []).append(at)
+    return {scope: np.array(rows) for scope, rows in places.items()}
 
 
 _SCHEMA = "query_id bigint, candidate_id bigint, score double"
 
 
-def _inline_scan(corpus: DataFrame, table: pa.Table, k: int, scoped: bool, digits: int):
-    """Every corpus partition scores the whole (small, counted) query batch."""
-    packed = (
-        np.asarray(table["query_id"].to_numpy()),
-        _matrix(table["embedding"]),
-        _texts(table["scope"]) if scoped else None,
-    )
-    shared = corpus.sparkSession.sparkContext.broadcast(packed)
+def _scan(corpus: DataFrame, block: pa.Table, k: int, scoped: bool) -> DataFrame:
+    """Best ``k`` per query of the block in every task of the corpus."""
+    shared = corpus.sparkSession.sparkContext.broadcast((
+        np.asarray(block["query_id"].to_numpy()), _matrix(block["embedding"]),
+        _by_scope(block["scope"] if scoped else None, len(block)),
+    ))
 
     def scan(batches):
-        query_ids, vectors, scope = shared.value
-        best = _Best(len(query_ids), k, digits)
+        query_ids, vectors, asked = shared.value
+        best = _Best(len(query_ids), k)
         for batch in batches:
-            if batch.num_rows:
-                best.add(vectors, _matrix(batch["embedding"]), batch["candidate_id"].to_numpy(),
-                         scope, _texts(batch["scope"]) if scoped else None)
-        yield _result(best, query_ids)
+            if not batch.num_rows:
+                continue
+            rows, ids = _matrix(batch["embedding"]), batch["candidate_id"].to_numpy()
+            for scope, at in _by_scope(batch["scope"] if scoped else None, len(rows)).items():
+                if scope in asked:
+                    best.add(asked[scope], vectors[asked[scope]], rows[at], ids[at])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(query_ids[best.query], pa.int64()), pa.array(best.ids, pa.int64()),
+            pa.array(best.score, pa.float64()),
+        ], names=["query_id", "candidate_id", "score"])
 
     return corpus.mapInArrow(scan, _SCHEMA)
 
 
-def _grid_scan(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int, scoped: bool,
-               digits: int, dims: int, cell_bytes: int):
-    """Both sides are dealt at random into cells of bounded size; block (i, j) is one small task.
-
-    Scopes do not decide the cell, so a scope holding a third of the corpus makes no hot cell.
-    """
-    cell_rows = max(1, cell_bytes // (8 * dims))
-    n_query = max(1, math.ceil(n_queries / cell_rows))
-    n_corpus = max(1, math.ceil(corpus.count() / cell_rows))
-
-    def dealt(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int):
-        cell = F.pmod(F.xxhash64(key), F.lit(own_n)).cast("int")
-        return df.withColumn(own, cell).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))
-        )
-
-    left = dealt(queries, "query_id", "qcell", n_query, "ccell", n_corpus)
-    right = dealt(corpus, "candidate_id", "ccell", n_corpus, "qcell", n_query)
-
-    def scan(query_cell: pa.Table, corpus_cell: pa.Table) -> pa.Table:
-        ids = query_cell["query_id"].to_numpy()
-        best = _Best(len(ids), k, digits)
-        if query_cell.num_rows and corpus_cell.num_rows:
-            best.add(
-                _matrix(query_cell["embedding"]), _matrix(corpus_cell["embedding"]),
-                corpus_cell["candidate_id"].to_numpy(),
-                _texts(query_cell["scope"]) if scoped else None,
-                _texts(corpus_cell["scope"]) if scoped else None,
-            )
-        return pa.Table.from_batches([_result(best, ids)])
-
-    keys = ["qcell", "ccell"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, _SCHEMA)
-
-
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, scope: bool = False,
-                digits: int = SCORE_DIGITS, inline_bytes: int = INLINE_BYTES,
-                cell_bytes: int = CELL_BYTES) -> DataFrame:
+                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Best ``k`` corpus vectors of every query by cosine, ties by id.
 
     ``queries`` has ``query_id, embedding`` and ``corpus`` has ``candidate_id, embedding``. With
     ``scope`` both also have a string column ``scope`` and only equal scopes are compared; queries
-    with a NULL scope then find nothing. Returns ``query_id, candidate_id, score, rank``.
+    with a NULL scope then find nothing, and a query may be asked in several scopes. Vectors of
+    different lengths are refused. Returns ``query_id, candidate_id, score, rank``.
     """
     columns = ["embedding", "scope"] if scope else ["embedding"]
     queries = queries.select("query_id", *columns).where(F.col("embedding").isNotNull())
@@ -170,15 +136,16 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, scope: bool = Fal
         queries = queries.where(F.col("scope").isNotNull())
         corpus = corpus.where(F.col("scope").isNotNull())
 
-    size = queries.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("embedding")).alias("dims"))
-    n_queries, dims = size.first()
-    if not n_queries:
-        local = corpus.sparkSession.createDataFrame([], _SCHEMA)
-    elif n_queries <= min(INLINE_ROWS, inline_bytes // (8 * dims)):
-        local = _inline_scan(corpus, queries.toArrow(), k, scope, digits)
-    else:
-        local = _grid_scan(corpus, queries, n_queries, k, scope, digits, dims, cell_bytes)
-    return best_per_query(local, k)
+    width = F.size("embedding") * 8 + (F.octet_length("scope") if scope else F.lit(0)) + 16
+    size = queries.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    n_blocks = math.ceil(size / block_bytes)
+    block = F.pmod(F.xxhash64("query_id", *columns), F.lit(n_blocks or 1))
+    scans = [
+        _scan(corpus, queries.where(block == number).toArrow(), k, scope) for number in range(n_blocks)
+    ]
+    if not scans:
+        return best_per_query(corpus.sparkSession.createDataFrame([], _SCHEMA), k)
+    return best_per_query(reduce(DataFrame.unionAll, scans), k)
 
 
 def best_per_query(scored: DataFrame, k: int) -> DataFrame:
@@ -229,23 +196,19 @@ def approx_vector_topk(queries: DataFrame, corpus: DataFrame, k: int, bits: int
                        probes: int = 8, seed: int = 7, **limits) -> DataFrame:
     """Approximate search: random-projection buckets choose the candidates, cosine ranks them.
 
-    A bucket is a scope of the exact search, so a crowded bucket is scored in bounded blocks like
-    any other scope. There are ``2 ** bits`` buckets; raising ``probes`` to ``bits + 1`` widens
-    the search to all one-bit neighbours. :func:`recall_at_k` measures what is missed.
+    A bucket is a scope of the exact search, so only vectors of equal buckets are multiplied. There
+    are ``2 ** bits`` buckets; raising ``probes`` to ``bits + 1`` widens the search to all one-bit
+    neighbours. A query is asked once per probed bucket. :func:`recall_at_k` measures what is missed.
     """
     bucket = _signatures(F.col("embedding"), bits, 1, seed)[0].cast("string")
     placed = corpus.select("candidate_id", "embedding", bucket.alias("scope"))
-    tried = queries.select(
+    probed = queries.select(
         "query_id", "embedding",
-        F.posexplode(_signatures(F.col("embedding"), bits, probes, seed)).alias("probe", "bucket"),
-    )
-    probe_id = F.col("query_id") * probes + F.col("probe")
-    probed = tried.select(
-        probe_id.alias("query_id"), "embedding", F.col("bucket").cast("string").alias("scope")
+        F.explode(
+            _signatures(F.col("embedding"), bits, probes, seed).cast("array<string>")
+        ).alias("scope"),
     )
-    hits = vector_topk(probed, placed, k, scope=True, **limits).drop("rank")
-    owner = F.floor(F.col("query_id") / F.lit(probes)).cast("bigint")
-    return best_per_query(hits.withColumn("query_id", owner), k)
+    return vector_topk(probed, placed, k, scope=True, **limits)
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import (
     strip_space,
 )
 from ..operators.corpus import KEYS
-from ..operators.keyed import keep_first, narrowed
+from ..operators.keyed import keep_first
 from ..operators.vectors import vector_topk
 from ..session import pin
 
@@ -53,10 +53,11 @@ def widening_search(questions: DataFrame, points: DataFrame, k: int, **limits) -
     return kept.unionByName(opened)
 
 
-def _with_payload(hits: DataFrame, points: DataFrame) -> DataFrame:
+def _with_payload(hits: DataFrame, points: DataFrame, text) -> DataFrame:
+    """Hits with law, article and what is needed of their text."""
     payload = points.select(
         F.col("point_id").alias("candidate_id"), "law_name",
-        F.col(KEYS[1]).alias("article_norm"), "text",
+        F.col(KEYS[1]).alias("article_norm"), *text,
     )
     joined = hits.join(payload, "candidate_id")
     return joined.withColumnRenamed("query_id", "question_id")
@@ -72,9 +73,10 @@ def _direct(asked: DataFrame, articles: DataFrame, points: DataFrame, available:
     table = articles if available else points
     wanted = asked.select("question_id", F.col("name").alias(KEYS[0]),
                           F.col("article").alias(KEYS[1]))
-    joined = wanted.join(narrowed(table.select(*KEYS, "text"), wanted, KEYS), KEYS, "left")
-    joined = keep_first(joined, "question_id", F.col("text").asc_nulls_last())
-    found = F.coalesce(F.col("text") != "", F.lit(False))
+    # only whether a key has a text travels, not the text
+    known = table.groupBy(*KEYS).agg(F.min(F.col("text") != "").alias("has_text"))
+    joined = wanted.join(known, KEYS, "left")
+    found = F.coalesce("has_text", F.lit(False))
     missing = "not_found" if available else "unavailable"
     label = _label(F.col(KEYS[0]), F.col(KEYS[1]))
     cited = F.array(F.struct(
@@ -106,8 +108,8 @@ def _collected(hits: DataFrame) -> DataFrame:
 
     A question has at most ``KEEP_LIMIT`` hits, so its list is deduplicated in place.
     """
-    row = F.struct("rank", "law_name", "article_norm", "score", "text")
-    filled = F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", row))
+    row = F.struct("rank", "law_name", "article_norm", "score", "has_words")
+    filled = F.collect_list(F.when(F.col("has_text"), row))
     grouped = hits.groupBy("question_id").agg(
         F.max("score").alias("top"), F.sort_array(filled).alias("hits")
     )
@@ -144,7 +146,10 @@ def tiered_retrieve(questions: DataFrame, articles: DataFrame, points: DataFrame
         F.coalesce("name", "scope").alias("scope"), (~named).alias("widen"),
     )
     hits = widening_search(searched, points, rules.KEEP_LIMIT, **limits)
-    found = _collected(_with_payload(hits, points))
+    text = F.coalesce("text", F.lit(""))
+    found = _collected(_with_payload(hits, points, [
+        (text != "").alias("has_text"), (strip_space(text) != "").alias("has_words"),
+    ]))
     open_ = asked.where(~(named & numbered)).select("question_id", "name", "unknown")
     joined = open_.join(found, "question_id", "left")
 
@@ -154,11 +159,11 @@ def tiered_retrieve(questions: DataFrame, articles: DataFrame, points: DataFrame
     wide_ok = ~is_named & (F.col("top") >= rules.OPEN_SCOPE_MIN_SCORE) & ~F.col("unknown")
     named_ok = (
         is_named & (F.col("top") >= rules.NAMED_SCOPE_MIN_SCORE)
-        & (strip_space(best["text"]) != "")
+        & best["has_words"]
     )
     wide_ok, named_ok = (F.coalesce(c, F.lit(False)) for c in (wide_ok, named_ok))
     listed = F.coalesce("hits", F.array().cast(
-        "array<struct<rank:int,law_name:string,article_norm:string,score:double,text:string>>"
+        "array<struct<rank:int,law_name:string,article_norm:string,score:double,has_words:boolean>>"
     ))
     kept = F.when(named_ok, F.slice(listed, 1, 1)).when(wide_ok, listed)
     labels = F.transform(kept, lambda h: F.when(
@@ -194,7 +199,7 @@ def _evaluate(questions, articles, points, names, scope_rules, limits) -> DataFr
         "question_id", F.col("name").alias(KEYS[0]), F.col("article").alias(KEYS[1])
     )
     exact = keep_first(
-        wanted.join(narrowed(articles.select(*KEYS, "text"), wanted, KEYS), KEYS),
+        wanted.join(articles.select(*KEYS, "text"), KEYS),
         "question_id", F.col("text").asc(),
     )
     direct = exact.select(
@@ -207,7 +212,7 @@ def _evaluate(questions, articles, points, names, scope_rules, limits) -> DataFr
         F.col("question_id").alias("query_id"), "embedding", "scope", F.lit(True).alias("widen")
     )
     hits = widening_search(searched, points, rules.KEEP_LIMIT, **limits)
-    rows = _with_payload(hits, points).where(strip_space(F.col("text")) != "")
+    rows = _with_payload(hits, points, ["text"]).where(strip_space(F.col("text")) != "")
     label = F.when(
         F.col("article_norm") != "", _label(F.col("law_name"), F.col("article_norm"))
     ).otherwise(F.col("law_name"))

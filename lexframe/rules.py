@@ -82,7 +82,6 @@ LAW_TOOLS = ["law_rag_tool"]
 OPEN_SCOPE_MIN_SCORE = 0.45
 NAMED_SCOPE_MIN_SCORE = 0.50
 CONFIDENCE_MIN = 0.7
-SEARCH_LIMIT = 10
 KEEP_LIMIT = 5
 
 # --- expected behaviour -> words of which one has to appear (fixed values) ---

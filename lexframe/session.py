@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,13 +33,25 @@ def local_session(cores: str = "*", app: str = "lexframe", **conf: str) -> Spark
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where ``spark.checkpoint.dir`` is unset."""
+    """The cluster's shared folder, ``spark.checkpoint.dir`` or what ``setCheckpointDir`` was given.
+
+    A folder of this machine is used in local mode only; on a cluster executors would each write
+    to a disk of their own, so an unset folder is an error there. A local folder is removed when
+    Python ends.
+    """
     global _local_scratch
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        shared = given.get() if given.isDefined() else None
     if shared:
         return shared
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="lexframe-")
+        atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
     return _local_scratch
 
 

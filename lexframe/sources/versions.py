@@ -21,7 +21,9 @@ def current_version(spark: SparkSession, root: str) -> int | None:
     """Newest published version; None when nothing was published yet."""
     try:
         return _commits(spark, root).agg(F.max("version")).first()[0]
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

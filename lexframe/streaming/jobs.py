@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import rules
 from ..operators.logs import flag_failures
+from ..operators.lookup import resolve_routes
 from ..plans.routing import apply_rules
 from ..plans.sync import sync_corpus
 from ..sources.logs import parse_log_lines
@@ -78,7 +79,10 @@ def _assembled(request_id: str, chunks: list, status: str) -> dict | None:
         if event == "saved":
             saved = payload
         elif event == "source" and payload.startswith("{"):
-            laws = json.loads(payload).get("retrieved_laws")
+            try:
+                laws = json.loads(payload).get("retrieved_laws")
+            except ValueError:  # a payload that is no JSON names no sources
+                laws = None
             if laws is not None:
                 sources = json.dumps(laws, ensure_ascii=False, separators=(",", ":"))
         elif event == "source" and "web" in payload.lower():
@@ -134,15 +138,13 @@ def stream_route(questions: DataFrame, labels: DataFrame | None = None) -> DataF
     those that neither decides; they carry the default tool and can be set aside."""
     ruled = apply_rules(questions)
     if labels is None:
-        label = F.lit(None).cast("string")
-    else:
-        known = labels.select(F.col("query"), F.col("tool").alias("__label"))
-        ruled = ruled.join(known, "query", "left")
-        label = F.col("__label")
-    tool = F.coalesce("rule_tool", label)
-    return ruled.withColumns({
-        "resolved": tool.isNotNull(), "tool": F.coalesce(tool, F.lit(rules.DEFAULT_TOOL)),
-    }).drop("__label")
+        ruled = ruled.withColumn("resolved", F.col("rule_tool").isNotNull())
+    return resolve_routes(ruled, "rule_tool", labels, rules.DEFAULT_TOOL)
+
+
+def unresolved(routed: DataFrame) -> DataFrame:
+    """Questions that neither a rule nor a label decided, for a side table."""
+    return routed.where(~F.col("resolved")).drop("tool")
 
 
 def stream_dedup(results: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:

@@ -36,14 +36,14 @@ HISTORY = [
 ]
 
 
-@pytest.mark.parametrize("inline", [1024, 0])
+@pytest.mark.parametrize("inline", [1024, 2])
 def test_search_history(spark, inline):
     asked = spark.createDataFrame([
         (1, "비계 기록에서 확인해줘"), (2, "없는 말 찾아줘"), (3, "기록에서 알려줘"), (4, "abc"), (5, "a_c"),
         (6, "100%"),
     ], "query_id long, query string")
     found = {}
-    rows = ops.search_history(asked, turns(spark, HISTORY), 2, max_inline_terms=inline, cells=3)
+    rows = ops.search_history(asked, turns(spark, HISTORY), 2, block_terms=inline)
     for r in rows.collect():
         found.setdefault((r.query_id, r.matched), set()).add(r.answer)
     assert found == {

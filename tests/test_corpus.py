@@ -200,7 +200,7 @@ def test_exact_lookup_gives_one_row_per_request(spark):
         "question_id long, name string, article string")
     found = {r.question_id: (r.status, r.text) for r in lookup.exact_lookup(
         asked, articles).collect()}
-    assert found == {1: ("found", "a"), 2: ("found", "c"), 3: ("not_found", None)}
+    assert found == {1: ("found", "a"), 2: ("found", "c"), 3: ("not_found", None), 4: ("invalid", None)}
 
 
 def test_seed_golden_numbers_all_cases(spark):

@@ -25,7 +25,7 @@ def answers(spark):
 
 def test_citation_notations(spark):
     found = {}
-    for r in citations.extract_citations(answers(spark)).collect():
+    for r in citations.extract_citations(answers(spark), limit=5).collect():
         found.setdefault(r.answer_id, {})[r["rank"]] = (r.law_name, r.article_number)
     assert found[1] == {1: ("소방기본법", "2")}
     assert found[2] == {1: ("산업안전보건법", "66"), 2: ("중대재해처벌법", "2")}
@@ -33,6 +33,8 @@ def test_citation_notations(spark):
     assert found[4] == {1: ("소방기본법", "2"), 2: ("소방시설 설치 및 관리에 관한 법률", "8"),
                         3: ("산업안전보건법", "38")}
     assert 5 not in found
+    everything = citations.extract_citations(answers(spark)).where("answer_id = 6")
+    assert everything.count() == 8 and "Python" not in everything._jdf.queryExecution().toString()
     assert found[6] == {i: (f"법{i}", str(i)) for i in range(1, 6)}
     assert found[7] == {1: ("소방기본법", "14의2")}
 
@@ -57,7 +59,8 @@ def test_context_styles(spark):
         "title string, snippet string, link string, source string, published string")
 
     def text(style):
-        return citations.assemble_context(hits, style).first().context
+        keep = 5 if style == "numbered" else None
+        return citations.assemble_context(hits, style, keep=keep).first().context
 
     assert text("article").startswith("[법 제1조의2]\n본문1\n\n[법 제1조의2]\n본문2")
     assert text("numbered").endswith("[조문 5]\n본문5")

@@ -26,7 +26,7 @@ def test_normalize_name_composes_and_squeezes(column):
 
 
 def test_expand_terms(column):
-    given = ["폭발 위험 분위기에서의 작업 기준은?", "안전관리자 선임 기준은?",
+    given = ["폭발 위험 분위기라면 쓸 장비는", "사다리 길이의 한도",
              "폭발위험분위기 폭발위험장소"]
     out = column(fx.expand_terms, given)
     assert out[0] == given[0] + " (관련 법령 용어: 폭발위험장소)"
@@ -59,24 +59,24 @@ def test_priority_scope_first_set_wins(column):
 
 def test_route_question(column):
     given = {
-        "산업안전보건법 조문 알려줘": "law_rag_tool",
-        "계단 관련 사고 뉴스 찾아봐": "news_tool",
-        "그 중에 제일 최근 거 자세히 알려줘": None,
-        "미국 OSHA 계단 규정은?": "websearch_tool",
-        "소방기본법 1조": "law_rag_tool",
-        "산업안전 자격증 후기 알려줘": "blog_tool",
+        "규칙의 조문을 보여 줘": "law_rag_tool",
+        "터널 현장 뉴스": "news_tool",
+        "앞의 것 중 하나만 최근 거로": None,
+        "미국 OSHA 사다리 규칙": "websearch_tool",
+        "전기사업법 9조": "law_rag_tool",
+        "용접 학원 후기": "blog_tool",
         "비계 기록에서 확인해줘": "db_query_tool_async",
         "비계 기록 확인": None,  # the trigger has a space, the text it is sought in has none
-        "오늘 너무 힘들어": "general_tool",
-        "산재 은폐하면 어떻게 되나요?": None,
+        "요즘 피곤하네": "general_tool",
+        "다친 것을 숨기면 어떻게 되나": None,
         unicodedata.normalize("NFD", "안전 기준"): "law_rag_tool",
     }
     assert column(fx.route_question, list(given)) == list(given.values())
 
 
 def test_search_term(column):
-    given = ["비계 기록에서 확인해줘", "안전관리자 선임 기준 데이터에서 찾아줘", "비계"]
-    assert column(fx.search_term, given) == ["비계", "안전관리자 선임 기준", "비계"]
+    given = ["비계 기록에서 확인해줘", "흙막이 점검표 데이터에서 찾아줘", "비계"]
+    assert column(fx.search_term, given) == ["비계", "흙막이 점검표", "비계"]
 
 
 def test_handlers(column):

@@ -92,5 +92,5 @@ def test_eval_mode_falls_through(spark, corpus):
 
 def test_large_batches_take_the_grid(spark, corpus):
     small = ask(spark, corpus, QUESTIONS)
-    grid = ask(spark, corpus, QUESTIONS, inline_bytes=0, cell_bytes=96)
+    grid = ask(spark, corpus, QUESTIONS, block_bytes=96)
     assert small == grid

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexframe.operators import conversations, corpus, keyed, lookup
+from lexframe.operators import conversations, corpus, keyed, lookup, retrieval_eval
 
 
 def test_hot_article_is_answered_for_every_request(spark):
@@ -31,20 +31,13 @@ def test_hot_session_and_law(spark):
     assert corpus.remove_stale(current, incoming).count() == 6000
 
 
-def test_spread_join_deals_a_key_over_its_copies(spark):
-    many = spark.range(1000).select(F.lit("k").alias("key"), F.col("id"))
-    one = spark.createDataFrame([("k", 1)], "key string, v int")
-    joined = keyed.spread_join(many, one, "key", "id", "inner", fanout=8)
-    assert joined.count() == 1000 and joined.columns == ["key", "id", "v"]
-
-
 def test_groups_are_cut_before_the_shuffle(spark):
     turns = spark.range(100).select((F.col("id") % 2).alias("k"), "id")
     plan = keyed.top_per_group(turns, "k", F.desc("id"), 3)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_small_and_large_increments_merge_alike(spark):
+def test_increments_merge(spark):
     schema = ("chunk_id string, law_name string, law_name_norm string, article_number string, "
               "article_number_norm string, text string, enforcement_date date")
     target = spark.createDataFrame(
@@ -53,30 +46,30 @@ def test_small_and_large_increments_merge_alike(spark):
     incoming = spark.createDataFrame(
         [(f"n{i}", "새", "법", "제", str(i), f"새{i}", None) for i in (1, 3, 9, 9)],
         schema).withColumn("position", F.monotonically_increasing_id())
-    small = corpus.merge_articles(target, incoming, F.lit(2))
-    large = corpus.merge_articles(target, incoming, F.lit(2), small_bytes=0)
-    rows = sorted(map(str, small.collect()))
-    assert rows == sorted(map(str, large.collect())) and len(rows) == 51
-    assert "full_outer" not in str(small._jdf.queryExecution().analyzed().toString()).lower()
-    for way in ({}, {"small_bytes": 0}):
-        stale = corpus.flag_stale(target, incoming, **way).where("stale")
-        assert {int(r.article_number_norm) for r in stale.collect()} == {0, 2, *range(4, 50)} - {9}
+    merged = corpus.merge_articles(target, incoming, F.lit(2)).collect()
+    # the stored article 3 has no law, so the incoming one is new
+    assert len(merged) == 51
+    assert sorted(r.text for r in merged if r.updated_at == 2) == ["새1", "새3", "새9"]
+    stale = corpus.flag_stale(target, incoming).where("stale")
+    assert {int(r.article_number_norm) for r in stale.collect()} == {0, 2, *range(4, 50)} - {9}
 
 
-def test_few_and_many_requests_find_alike(spark):
+def test_every_request_has_a_row(spark):
     articles = spark.range(500).select(
         F.lit("법").alias("law_name_norm"), F.col("id").cast("string").alias("article_number_norm"),
         F.lit("법").alias("law_name"), F.concat(F.lit("t"), "id").alias("text"),
         F.lit(None).cast("date").alias("enforcement_date"))
     asked = spark.range(490, 510).select(F.col("id").alias("question_id"), F.lit("법").alias("name"),
                                        F.col("id").cast("string").alias("article"))
-    few = lookup.exact_lookup(asked, articles)
-    many = lookup.exact_lookup(asked, articles, small_bytes=0)
-    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
-    assert few.where("status = 'found'").count() == 10
-
-
-def test_sizes_are_measured(spark):
-    df = spark.createDataFrame([("가" * 100, [1.0] * 10)] * 10, "s string, a array<double>")
-    assert keyed.is_small(df, 10 * (16 + 300 + 80)) and not keyed.is_small(df, 10 * (16 + 300 + 80) - 1)
-    assert keyed.is_small(df.limit(0), 0)
+    odd = spark.createDataFrame([(1, None, "1"), (2, "법", " "), (3, "", None)],
+                                "question_id long, name string, article string")
+    status = {r.question_id: r.status for r in lookup.exact_lookup(asked.unionByName(odd), articles).collect()}
+    assert len(status) == 23 and [status[i] for i in (1, 2, 3, 490, 509)] == [
+        "invalid", "invalid", "invalid", "found", "not_found"]
+
+
+def test_cases_without_results_are_misses(spark):
+    golden = spark.createDataFrame([(1, "법1제1조"), (2, "법1제2조")], "case_id int, label string")
+    results = spark.createDataFrame([(1, 1, "법1제1조", 0.9)], "case_id int, rank int, label string, score double")
+    flags = {(r.case_id, r.k): r.topk_hit for r in retrieval_eval.hit_flags(results, golden, (3,)).collect()}
+    assert flags == {(1, 3): True, (2, 3): False}

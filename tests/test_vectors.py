@@ -1,4 +1,4 @@
-"""Vector search against brute force, on both ways of meeting the corpus."""
+"""Vector search against brute force, with one and with many blocks of queries."""
 
 import numpy as np
 import pytest
@@ -21,21 +21,21 @@ def made(spark, n, seed, prefix, scopes=None):
 def brute(queries, corpus, k, query_scope=None, corpus_scope=None):
     q = queries / np.linalg.norm(queries, axis=1, keepdims=True)
     c = corpus / np.linalg.norm(corpus, axis=1, keepdims=True)
-    scores = np.round(q @ c.T, 6)
+    scores = np.round(q @ c.T, 12)
     out = set()
     for i in range(len(q)):
         allowed = [j for j in range(len(c)) if query_scope is None
                    or query_scope[i] == corpus_scope[j]]
         best = sorted(allowed, key=lambda j: (-scores[i, j], j))[:k]
-        out |= {(i, j, float(scores[i, j]), r) for r, j in enumerate(best, 1)}
+        out |= {(i, j, round(float(scores[i, j]), 6) + 0.0, r) for r, j in enumerate(best, 1)}
     return out
 
 
 def rows(df):
-    return {(r.query_id, r.candidate_id, r.score, r["rank"]) for r in df.collect()}
+    return {(r.query_id, r.candidate_id, round(r.score, 6) + 0.0, r["rank"]) for r in df.collect()}
 
 
-WAYS = [{}, {"inline_bytes": 0}, {"inline_bytes": 0, "cell_bytes": 8 * DIMS * 16}]
+WAYS = [{}, {"block_bytes": 8 * DIMS * 16}, {"block_bytes": 1000}]
 
 
 @pytest.mark.parametrize("way", WAYS)
@@ -87,3 +87,24 @@ def test_threshold_and_payload_filter(spark):
         "query_id long, candidate_id long, score double, rank int")
     assert {r.query_id for r in ops.score_threshold(hits, 0.5).collect()} == {1}
     assert ops.payload_filter(hits, query_id=2, rank=None).count() == 1
+
+
+def test_large_ids_and_full_scores(spark):
+    big = 1 << 59
+    queries = spark.createDataFrame([(big + 1, [1.0, 0.0]), (big + 3, [0.0, 1.0])],
+                                    "query_id long, embedding array<double>")
+    near = 0.4499996
+    corpus = spark.createDataFrame([(big + 7, [near, (1 - near ** 2) ** 0.5])],
+                                   "candidate_id long, embedding array<double>")
+    found = ops.approx_vector_topk(queries, corpus, 1, bits=1, probes=2).collect()
+    assert {r.query_id for r in found} == {big + 1, big + 3} and {r.candidate_id for r in found} == {big + 7}
+    hits = ops.vector_topk(queries.limit(1), corpus, 1)
+    assert ops.score_threshold(hits, 0.45).count() == 0
+
+
+def test_mixed_dimensions_are_refused(spark):
+    mixed = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0, 4.0, 5.0])],
+                                  "candidate_id long, embedding array<double>").coalesce(1)
+    asked = mixed.where("candidate_id = 1").withColumnRenamed("candidate_id", "query_id")
+    with pytest.raises(Exception, match="different lengths|dimensions"):
+        ops.vector_topk(asked, mixed, 1).collect()
