@@ -4,7 +4,7 @@ from importlib import import_module
 
 _MODULES = [
     "conversations", "corpus", "vectors", "retrieval", "routing", "citations", "web", "logs",
-    "evaluation", "answers", "documents", "streams",
+    "evaluation", "answers", "documents", "streams", "stores",
 ]
 
 

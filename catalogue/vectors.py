@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexframe.functions import content_hash
 from lexframe.operators import retrieval_eval as evaluation
 from lexframe.operators import vectors as ops
 
@@ -190,10 +191,38 @@ def approx_topk_recall(spark, sf_dir):
     return ops.recall_at_k(_near(spark, sf_dir), leave_one_out(spark, sf_dir))
 
 
-@query()
+_WORDS_SQL = """words AS (
+  SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(nfkc), '\\s+')) AS w FROM (
+    SELECT doc_id, text AS nfkc FROM documents)) WHERE w <> ''),
+places AS (SELECT doc_id, CAST('0x' || md5(w)[1:7] AS BIGINT) % 64 AS place FROM words),
+counts AS (SELECT doc_id, place, count(*) AS n FROM places GROUP BY ALL),
+rare AS (SELECT place, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM counts GROUP BY place),
+weighted AS (SELECT doc_id, place, n * idf AS x FROM counts JOIN rare USING (place)),
+norms AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM weighted GROUP BY doc_id)"""
+
+
+@query(f"""WITH {_WORDS_SQL}
+SELECT doc_id, place, CAST(round_even(x / CASE WHEN norm = 0 THEN 1 ELSE norm END, 3) AS DOUBLE) AS value
+FROM weighted JOIN norms USING (doc_id) WHERE abs(x) > 0""")
 def vectorize(spark, sf_dir):
+    """Every entry of every vector that is not zero."""
     texts = load(spark, sf_dir, "documents").select("doc_id", "text")
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    return ops.vectorize(texts, features=64).select(
-        "doc_id", F.size("embedding").alias("dims"), F.bround(F.sqrt(norm), 3).alias("norm")
+    entries = F.posexplode("embedding").alias("place", "value")
+    return ops.vectorize(texts, features=64).select("doc_id", entries).where("value <> 0").select(
+        "doc_id", F.col("place").cast("bigint").alias("place"), F.bround(F.col("value").cast("double"), 3).alias("value")
+    )
+
+
+@query("""SELECT sha256(text) AS query_hash, bool_and(label IS NULL) AS fresh,
+  CAST(CASE WHEN bool_and(label IS NULL) THEN 2 ELSE 1 END AS BIGINT) AS ts
+FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1""")
+def vectorize_missed(spark, sf_dir):
+    """A cache that holds the documents with an embedding takes in the texts of the others."""
+    docs = load(spark, sf_dir, "documents")
+    held = docs.join(load(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    cache = held.groupBy(content_hash(F.col("text")).alias("query_hash")).agg(
+        F.first("text").alias("query_text"), F.first("embedding").alias("embedding"),
+        F.lit(1).cast("bigint").alias("ts"),
     )
+    full = ops.vectorize_missed(docs.select("text"), cache, F.lit(2).cast("bigint"), features=64)
+    return full.select("query_hash", (F.col("ts") == 2).alias("fresh"), "ts")

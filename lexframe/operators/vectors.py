@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean_text
+from ..functions.text import SPACE
+from .corpus import cache_merge, cache_misses
 from .keyed import top_per_group
 
 BLOCK_BYTES = 64 << 20
@@ -223,14 +225,37 @@ def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def vectorize(texts: DataFrame, text: str = "text", features: int = 256) -> DataFrame:
-    """Unit-length term vectors (hashed counts weighted by rarity) for corpora without their own."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    cleaned = texts.withColumn("__clean", clean_text(F.col(text)))
-    words = RegexTokenizer(inputCol="__clean", outputCol="__words", pattern=r"\s+").transform(cleaned)
-    counts = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features).transform(words)
-    weighted = IDF(inputCol="__tf", outputCol="__idf").fit(counts).transform(counts)
-    unit = Normalizer(inputCol="__idf", outputCol="__unit").transform(weighted)
-    vector = vector_to_array("__unit", "float32").alias("embedding")
-    return unit.select(*texts.columns, vector)
+    """Unit-length term vectors (hashed counts weighted by rarity) for corpora without their own.
+
+    A word's place is given by the first seven hex digits of its md5, its weight by
+    ``ln((N + 1) / (n + 1))`` over all texts; a weight per place comes to the driver. A text without
+    words, or with common ones only, has a zero vector.
+    """
+    words = F.filter(F.split(F.lower(clean_text(F.col(text))), f"[{SPACE}]+"), lambda w: w != "")
+    places = F.transform(words, lambda w: (
+        F.conv(F.substring(F.md5(w.cast("binary")), 1, 7), 16, 10).cast("int") % features
+    ))
+    placed = texts.withColumn("__places", places)
+    total = F.count(F.lit(1)).alias("n")
+    n_texts = placed.agg(total).first()[0]
+    rare = placed.select(F.explode(F.array_distinct("__places")).alias("at")).groupBy("at").agg(total)
+    weights = np.zeros(features)
+    for row in rare.collect():
+        weights[row["at"]] = math.log((n_texts + 1) / (row["n"] + 1))
+
+    @F.pandas_udf("array<float>")
+    def unit(rows: pd.Series) -> pd.Series:
+        def one(at):
+            vector = np.bincount(np.asarray(at, np.int64), minlength=features) * weights
+            return (vector / (np.linalg.norm(vector) or 1.0)).astype(np.float32)
+
+        return rows.map(one)
+
+    return placed.withColumn("embedding", unit("__places")).drop("__places")
+
+
+def vectorize_missed(texts: DataFrame, cache: DataFrame, now: Column, text: str = "text",
+                     features: int = 256) -> DataFrame:
+    """The cache after the texts it lacked were vectorised: hash, text, vector and time."""
+    missed = vectorize(cache_misses(texts, cache, text), "query_text", features)
+    return cache_merge(cache, missed.withColumn("ts", now).select(*cache.columns))
