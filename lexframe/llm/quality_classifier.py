@@ -6,8 +6,8 @@ sparse random index vector, and a slot's context vector is the sum of the index
 (``SLOTS`` x ``DIM`` counts), whatever the corpus. A document is the frequency-damped mean of its tokens' context
 and index vectors, with six shape rates (repeats, capitals, symbols and the like).
 
-The network is fitted on at most ``FIT_ROWS`` labelled rows outside the held-out third, those with the smallest
-hash of their id; a fifth of them sets the temperature that calibrates the probabilities. Everything else covers all
+The network is fitted on about ``FIT_ROWS`` labelled rows at most, outside the held-out third, those whose id's hash is
+under a threshold; a fifth of them sets the temperature that calibrates the probabilities. Everything else covers all
 rows.
 
 Defined results: a null or empty text has all-zero features and still gets a score; rows without a label or
@@ -43,6 +43,7 @@ _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x00-\x20]+")
 _UPPER = bytes(range(65, 91))
 _SYMBOL = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-?()")
 _FLUSH = 1 << 19
+_PLACES = 1 << 30
 
 
 def slots_of(text: bytes | None) -> np.ndarray:
@@ -220,13 +221,18 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 120, batch: int = 256, rat
 def fit(
     pooled: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", rows: int = FIT_ROWS
 ) -> QualityModel:
-    """A model from ``pooled`` (id, features) and ``labels`` (id, label), at most ``rows`` of them."""
+    """A model from ``pooled`` (id, features) and ``labels`` (id, label), about ``rows`` of them at most.
+
+    The rows are chosen by a threshold on the hash of the id, so tasks pass on chosen rows only.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(
         F.col(doc_id).alias("i")
     ).agg(F.max(label).cast("int").alias("y"))
-    sample = pooled.select(F.col(doc_id).alias("i"), "features").join(known, "i").select(
-        F.xxhash64("i").alias("h"), "i", "y", "features"
-    ).orderBy("h", "i").limit(rows).collect()
+    n = known.count()
+    place = F.pmod(F.xxhash64("i"), F.lit(_PLACES))
+    known = known.where(place < F.lit(_PLACES if n <= rows else rows * _PLACES // n))
+    sample = pooled.select(F.col(doc_id).alias("i"), "features").join(known, "i").select("i", "y", "features").collect()
+    sample.sort(key=lambda r: (zlib.crc32(str(r["i"]).encode()), r["i"], r["features"]))
     x = np.array([r["features"] for r in sample], np.float64)
     return train(x, np.array([r["y"] for r in sample], np.int64))
 
