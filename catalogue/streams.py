@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexframe import rules
 from lexframe.session import scratch_path
-from lexframe.sources.schemas import ARTICLES
+from lexframe.sources.schemas import ARTICLES, POINTS
 from lexframe.sources.versions import read_current
 from lexframe.streaming import jobs
 
@@ -131,5 +131,32 @@ def stream_sync(spark, sf_dir):
     arriving = spark.readStream.schema("law_name string, doc string").parquet(inbox)
     now = F.lit("2026-01-01").cast("timestamp_ntz")
     jobs.stream_sync(arriving, root, scratch_path(spark, "sync-checkpoint"), now).awaitTermination()
-    synced = read_current(spark, root, ARTICLES)
+    synced = read_current(spark, root, ARTICLES, "law_name_norm")
     return synced.select("law_name_norm", "article_number_norm", "text")
+
+
+@query(ROUTING_SQL["route_questions"].rsplit("SELECT conv_id", 1)[0] + """
+SELECT conv_id, turn, query FROM ruled WHERE rule_tool IS NULL""")
+def stream_unresolved(spark, sf_dir):
+    """The side table of questions that no rule decides."""
+    arriving = _stream(spark, questions(spark, sf_dir), "questions")
+    open_ones = _drained(spark, jobs.unresolved(jobs.stream_route(arriving)), "unresolved")
+    return open_ones.select("conv_id", "turn", "query")
+
+
+@query(DOCUMENT_SQL["extract_articles"].rsplit("SELECT law_name_norm", 1)[0]
+       + """SELECT law_name_norm, article_number_norm, text, len(law_name_norm) AS dim FROM articles""")
+def stream_sync_vectors(spark, sf_dir):
+    """The vector table that follows the articles."""
+    root, inbox = scratch_path(spark, "corpus"), scratch_path(spark, "inbox")
+    statutes(spark, sf_dir).write.parquet(inbox)
+    arriving = spark.readStream.schema("law_name string, doc string").parquet(inbox)
+    now = F.lit("2026-01-01").cast("timestamp_ntz")
+
+    def embed(articles):
+        length = F.length("law_name_norm").cast("float")
+        return articles.select("law_name_norm", "article_number_norm", F.array(length).alias("embedding"))
+
+    jobs.stream_sync(arriving, root, scratch_path(spark, "sync-checkpoint"), now, embed).awaitTermination()
+    points = read_current(spark, f"{root}/points", POINTS, "law_name_norm")
+    return points.select("law_name_norm", "article_number_norm", "text", F.col("embedding")[0].cast("bigint").alias("dim"))

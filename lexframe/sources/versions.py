@@ -1,7 +1,10 @@
-"""Published versions of a table: data first, then one row that makes it current.
+"""Published versions of a table that changes by groups of rows, such as the articles of a law.
 
-A path that is being read is never overwritten, and a version that was already published is not
-written again, so a repeated batch changes nothing.
+A version holds all current rows of the groups it touched and the list of those groups; a group's
+rows are those of the last version that touched it, so a small batch writes a small version. Data
+comes first, then one row that makes it current. A path that is being read is never overwritten, and
+a version that was already published is not written again, so a repeated batch changes nothing.
+After ``COMPACT_AFTER`` versions the next one holds the whole table, and earlier ones are not read.
 """
 
 from __future__ import annotations
@@ -10,40 +13,60 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_COMMITS = "version bigint, path string"
+COMPACT_AFTER = 32
+_COMMITS = "version bigint, whole boolean"
 
 
-def _commits(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(_COMMITS).parquet(f"{root}/commits")
-
-
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """Newest published version; None when nothing was published yet."""
+def _commits(spark: SparkSession, root: str) -> list:
+    """Published versions that count, in order: the last whole one and those after it."""
     try:
-        return _commits(spark, root).agg(F.max("version")).first()[0]
+        rows = spark.read.schema(_COMMITS).parquet(f"{root}/commits").orderBy("version").collect()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
+        return []
+    first = max((at for at, row in enumerate(rows) if row["whole"]), default=0)
+    return rows[first:]
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    """Newest published version; None when nothing was published yet."""
+    commits = _commits(spark, root)
+    return commits[-1]["version"] if commits else None
 
 
-def read_current(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The current version, or an empty table."""
-    version = current_version(spark, root)
-    if version is None:
+def read_current(spark: SparkSession, root: str, schema: str, key: str) -> DataFrame:
+    """The current rows, or an empty table. ``key`` names the groups."""
+    commits = _commits(spark, root)
+    if not commits:
         return spark.createDataFrame([], schema)
-    path = _commits(spark, root).where(F.col("version") == version).first()["path"]
-    return spark.read.schema(schema).parquet(path)
+    versions = [row["version"] for row in commits]
+    data = spark.read.schema(f"{schema}, __version bigint").parquet(
+        *[f"{root}/data/version={v}" for v in versions]
+    )
+    kind = data.schema[key].dataType.simpleString()
+    touched = spark.read.schema(f"{key} {kind}, __version bigint").parquet(
+        *[f"{root}/touched/version={v}" for v in versions]
+    )
+    last = touched.groupBy(key).agg(F.max("__version").alias("__version"))
+    return data.join(last, [key, "__version"], "left_semi").select(*[c for c in data.columns if c != "__version"])
 
 
-def publish(df: DataFrame, root: str, version: int) -> bool:
-    """Write and publish a version; False when this version already exists."""
+def publish(df: DataFrame, root: str, version: int, key: str, touched: DataFrame) -> bool:
+    """Write and publish the new rows of the ``touched`` groups; False when the version exists."""
     spark = df.sparkSession
-    published = current_version(spark, root)
-    if published is not None and published >= version:
+    commits = _commits(spark, root)
+    if commits and commits[-1]["version"] >= version:
         return False
-    path = f"{root}/data/version={version}"
-    df.write.mode("overwrite").parquet(path)
-    commit = spark.createDataFrame([(version, path)], _COMMITS).coalesce(1)
+    groups, whole = touched.select(key).distinct(), not commits
+    if len(commits) >= COMPACT_AFTER:
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+        untouched = read_current(spark, root, schema, key).join(groups, key, "left_anti")
+        df, whole = df.unionByName(untouched.select(*df.columns)), True
+        groups = df.select(key).distinct()
+    mark = F.lit(version).cast("bigint").alias("__version")
+    df.select("*", mark).write.mode("overwrite").parquet(f"{root}/data/version={version}")
+    groups.select("*", mark).write.mode("overwrite").parquet(f"{root}/touched/version={version}")
+    commit = spark.createDataFrame([(version, whole)], _COMMITS).coalesce(1)
     commit.write.mode("append").parquet(f"{root}/commits")
     return True

@@ -12,12 +12,15 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import rules
+from ..functions import normalize_name
+from ..operators.corpus import KEYS
 from ..operators.logs import flag_failures
 from ..operators.lookup import resolve_routes
 from ..plans.routing import apply_rules
 from ..plans.sync import sync_corpus
+from ..session import pin
 from ..sources.logs import parse_log_lines
-from ..sources.schemas import ARTICLES
+from ..sources.schemas import ARTICLES, POINTS
 from ..sources.versions import current_version, publish, read_current
 
 
@@ -93,10 +96,17 @@ def _assembled(request_id: str, chunks: list, status: str) -> dict | None:
     }
 
 
+def _whole(chunks: list, terminal: str) -> bool:
+    """The terminal event is there and nothing numbered before it is missing."""
+    ends = [seq for seq, event, _ in chunks if event == terminal]
+    return bool(ends) and {seq for seq, _, _ in chunks}.issuperset(range(min(ends)))
+
+
 def stream_answers(chunks: DataFrame, delay: str = "1 minute", timeout_ms: int = 300_000,
                    terminal: str = "saved") -> DataFrame:
-    """Answers put together from chunks, once per request: ``complete`` at the terminal event,
-    ``incomplete`` when ``timeout_ms`` of event time pass without one. Empty answers are skipped.
+    """Answers put together from chunks, once per request: ``complete`` when the terminal event and
+    all chunks before it (``seq`` counts from 0) are there, ``incomplete`` when ``timeout_ms`` of event
+    time pass without that. Empty answers are skipped.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame],
@@ -114,7 +124,7 @@ def stream_answers(chunks: DataFrame, delay: str = "1 minute", timeout_ms: int =
             held += [[int(s), e, p] for s, e, p in zip(batch["seq"], batch["event"],
                                                        batch["payload"])]
         row = None
-        if not done and any(event == terminal for _, event, _ in held):
+        if not done and _whole(held, terminal):
             row, done = _assembled(key[0], held, "complete"), True
         state.update(("[]" if done else json.dumps(held, ensure_ascii=False), done))
         state.setTimeoutTimestamp(
@@ -153,20 +163,35 @@ def stream_dedup(results: DataFrame, key: str, time: str, delay: str = "1 hour")
     return present.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def stream_sync(documents: DataFrame, root: str, checkpoint: str, now: Column) -> StreamingQuery:
+def stream_sync(documents: DataFrame, root: str, checkpoint: str, now: Column, embed=None) -> StreamingQuery:
     """Take arriving documents into the published article table, one version per batch.
 
-    A batch that is repeated after a failure finds its version published and changes nothing.
+    Only the laws of a batch are read and written. With ``embed`` (see :func:`sync_corpus`) the vector
+    table under ``root/points`` follows, and a reconciliation of the batch's laws is kept under
+    ``root/report``. A batch that is repeated after a failure finds its version published and
+    changes nothing.
     """
+    law = KEYS[0]
 
     def take(batch: DataFrame, batch_id: int) -> None:
         spark, version = batch.sparkSession, batch_id + 1
         published = current_version(spark, root)
         if published is not None and published >= version:
             return
-        result = sync_corpus(read_current(spark, root, ARTICLES), batch, now)
+        batch = pin(batch, "arrived")
+        laws = batch.select(normalize_name(F.col("law_name")).alias(law)).distinct()
+
+        def stored(path: str, schema: str) -> DataFrame:
+            return read_current(spark, path, schema, law).join(laws, law, "left_semi")
+
+        points = stored(f"{root}/points", POINTS) if embed else None
+        result = sync_corpus(stored(root, ARTICLES), batch, now, points, embed)
         result.quarantine.write.mode("overwrite").parquet(f"{root}/quarantine/version={version}")
-        publish(result.articles, root, version)
+        if embed:
+            # points first: the article version is what marks the batch as done
+            result.report.write.mode("overwrite").parquet(f"{root}/report/version={version}")
+            publish(result.points, f"{root}/points", version, law, laws)
+        publish(result.articles, root, version, law, laws)
 
     writer = documents.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

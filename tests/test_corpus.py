@@ -176,12 +176,14 @@ def test_documents_from_files(spark, tmp_path):
 def test_published_versions(spark):
     root = scratch_path(spark, "versions")
     assert current_version(spark, root) is None
-    assert read_current(spark, root, "a int").count() == 0
-    assert publish(spark.range(3).selectExpr("cast(id as int) a"), root, 1)
-    assert not publish(spark.range(9).selectExpr("cast(id as int) a"), root, 1)
-    grown = read_current(spark, root, "a int").union(read_current(spark, root, "a int"))
-    assert publish(grown, root, 2)
-    assert current_version(spark, root) == 2 and read_current(spark, root, "a int").count() == 6
+    assert read_current(spark, root, "a int", "a").count() == 0
+    first = spark.range(3).selectExpr("cast(id as int) a")
+    assert publish(first, root, 1, "a", first)
+    assert not publish(spark.range(9).selectExpr("cast(id as int) a"), root, 1, "a", first)
+    current = read_current(spark, root, "a int", "a")
+    grown = current.union(current)
+    assert publish(grown, root, 2, "a", grown)
+    assert current_version(spark, root) == 2 and read_current(spark, root, "a int", "a").count() == 6
 
 
 def test_cache_misses_collapse_copies(spark):

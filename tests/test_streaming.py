@@ -53,6 +53,29 @@ def test_answers_over_several_batches(spark):
         ("a", "complete"), ("b", "incomplete"), ("d", "complete")]
 
 
+def test_damaged_sources_and_late_chunks(spark):
+    feed = Feed(spark, CHUNKS, lambda s: jobs.stream_answers(s, "10 seconds", 60_000))
+    feed.push([("a", 0, "text", "가", at(0)), ("a", 2, "source", "{broken", at(1)), ("a", 3, "saved", "1", at(2))])
+    rows = feed.push([("a", 1, "text", "나", at(3)), ("b", 0, "text", "x", at(4))]).collect()
+    assert [(r.request_id, r.answer, r.status, r.sources) for r in rows] == [("a", "가나", "complete", None)]
+
+
+def test_versions_are_compacted_and_damage_is_not_taken_for_empty(spark, monkeypatch):
+    from lexframe.sources import versions
+
+    monkeypatch.setattr(versions, "COMPACT_AFTER", 2)
+    root = scratch_path(spark, "versions")
+    for version in range(1, 6):
+        law = f"l{version % 2}"
+        df = spark.createDataFrame([(law, version)], "law string, n bigint")
+        assert versions.publish(df, root, version, "law", df) and not versions.publish(df, root, version, "law", df)
+        rows = versions.read_current(spark, root, "law string, n bigint", "law").collect()
+        assert sorted((r.law, r.n) for r in rows) == sorted(
+            {f"l{v % 2}": v for v in range(1, version + 1)}.items())
+    empty = scratch_path(spark, "none")
+    assert current_version(spark, empty) is None and read_current(spark, empty, "a int", "a").count() == 0
+
+
 def test_windows_drop_late_rows(spark):
     schema = "endpoint string, agent_type string, status string, duration double, started_at timestamp"
     feed = Feed(spark, schema, lambda s: jobs.stream_metrics(s, "1 minute", "30 seconds"))
@@ -105,7 +128,7 @@ def test_statutes_arrive_twice(spark, tmp_path):
         stream = stream_statute_json(spark, str(tmp_path))
         now = F.lit("2026-01-01").cast("timestamp_ntz")
         jobs.stream_sync(stream, root, checkpoint, now).awaitTermination()
-        rows = read_current(spark, root, ARTICLES).collect()
+        rows = read_current(spark, root, ARTICLES, "law_name_norm").collect()
         return {(r.law_name_norm, r.article_number_norm) for r in rows}
 
     write("가법.json", "1", "2")
@@ -114,5 +137,7 @@ def test_statutes_arrive_twice(spark, tmp_path):
     (tmp_path / "다법.json").write_text("broken")
     assert drain() == {("가법", "1"), ("가법", "2"), ("나법", "1")}
     assert current_version(spark, root) == 2
+    # the second version holds the law of its batch only
+    assert {r.law_name_norm for r in spark.read.parquet(f"{root}/data/version=2").collect()} == {"나법"}
     assert drain() == {("가법", "1"), ("가법", "2"), ("나법", "1")}
     assert current_version(spark, root) == 2
