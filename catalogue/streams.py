@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexframe import rules
@@ -91,7 +92,8 @@ def stream_qa_log(spark, sf_dir):
   CAST(doc_id AS VARCHAR) AS saved_id FROM documents
 WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
 def stream_answers(spark, sf_dir):
-    parts = chunks(spark, sf_dir, 500)
+    number = F.row_number().over(Window.partitionBy("request_id").orderBy("seq")) - 1
+    parts = chunks(spark, sf_dir, 500).withColumn("seq", number)
     at = F.timestamp_millis(F.lit(1704067200000) + F.col("seq") % 1000)
     timed = parts.select(
         F.col("request_id").cast("string").alias("request_id"),
