@@ -25,7 +25,8 @@ from lexframe.llm.common import add_columns, alnum_words, remembered
 from lexframe.session import pin
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Two million bytes of items are some 350,000 windows, or a few million nodes.
+BLOCK_BYTES = 2 << 20
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _SPANS = "array<struct<start: bigint, end: bigint>>"
 
