@@ -18,7 +18,7 @@ HEADLINE = [
     "vector_topk", "scoped_topk", "tiered_retrieve", "route_questions", "extract_citations",
     "verify_citations", "strip_markup", "qa_report", "nearest_rank", "request_counters",
     "latency_histogram", "active_requests", "check_responses", "assemble_answer",
-    "extract_articles",
+    "extract_articles", "approx_topk",
 ]
 RUNS = 3
 

@@ -14,23 +14,15 @@ def nearest_rank(df: DataFrame, value: str, percents: list[int], groups=(),
                  accuracy: int = ACCURACY) -> DataFrame:
     """``sorted[min(floor(n * p / 100), n - 1)]`` per group, one row per group and percent.
 
-    Small inputs (counted first) are collapsed to distinct values and summed in order. For larger
-    ones a sketch of bounded size brackets each percentile: values below the bracket are only
-    counted, and just the bracket, at most about ``4 n / accuracy`` ranks, is put in order. The
-    result is exact either way. The sketch is written out so that a recomputed task sees the same
-    bracket. Returns ``groups, percent, value``; empty groups give no row.
+    A sketch of bounded size counts each group and brackets each percentile: values below the
+    bracket are only counted, and just the bracket, at most about ``4 n / accuracy`` ranks, is put
+    in order, so the result is exact. The bracket of a group of few rows is the group. The sketch
+    is written out so that a recomputed task sees the same bracket. Returns ``groups, percent,
+    value``; empty groups give no row.
     """
     groups = list(groups)
     data = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("__v"))
-    wanted = F.explode(F.array(*[F.lit(p) for p in percents]))
-    small = 10 * accuracy
-    if data.count() <= small:
-        counted = data.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__c"))
-        total = F.sum("__c").over(_part(groups))
-        counted = counted.withColumn("__n", total)
-        counted = counted.withColumn("percent", wanted).withColumnRenamed("__v", "__key")
-    else:
-        counted = _bracketed(data, percents, groups, accuracy)
+    counted = _bracketed(data, percents, groups, accuracy)
 
     index = F.least(F.floor(F.col("__n") * F.col("percent") / 100), F.col("__n") - 1)
     ordered = _part([*groups, "percent"]).orderBy(F.col("__key").asc_nulls_first())

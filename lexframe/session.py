@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: str | None = None
+_made: list[str] = []
 
 
 def local_session(cores: str = "*", app: str = "lexframe", **conf: str) -> SparkSession:
@@ -57,7 +58,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this process wrote under the shared folder; for the end of a job, when no result
+    that reads it is needed any more. Returns how many paths went."""
+    jvm, gone = spark._jvm, 0
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def pin(df: DataFrame, name: str) -> DataFrame:

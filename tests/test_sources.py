@@ -1,5 +1,6 @@
 """Stored tables, provider shapes and reports."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexframe.operators.keyed import union_sources
@@ -71,3 +72,34 @@ def test_published_date_of_a_provider_is_kept(spark):
     df = spark.createDataFrame([("T", "u", "c", "2024-05-06")],
                                "title string, url string, content string, published_date string")
     assert read_web_results(df, "news").first().published == "2024-05-06"
+
+
+def test_scratch_is_shared_or_local_only(spark, tmp_path):
+    from lexframe import session
+
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    before, session._made[:] = list(session._made), [path]
+    assert session.clear_scratch(spark) == 1 and session._made == []
+    session._made[:] = [p for p in before if p != path]
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    class Context:
+                        @staticmethod
+                        def getCheckpointDir():
+                            class Nothing:
+                                isDefined = staticmethod(lambda: False)
+                            return Nothing
+                    return Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(Cluster)
