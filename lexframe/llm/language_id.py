@@ -42,7 +42,7 @@ _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 def letters(text: bytes | None) -> str:
     """Lower-cased words of letters between single blanks; empty without a letter."""
     plain = _NO_LETTER.sub(" ", text.decode("utf-8", "replace")).strip().lower() if text else ""
-    return f" {plain} " if plain else ""
+    return f" {plain} " if any(map(str.isalpha, plain)) else ""  # numerals such as ² are no letters
 
 
 def trigrams(plain: str) -> Iterator[np.ndarray]:

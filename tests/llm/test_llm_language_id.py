@@ -39,6 +39,11 @@ def test_pieces_of_a_long_text_are_all_its_trigrams(monkeypatch):
     assert (np.concatenate(list(l.trigrams(text))) == whole).all() and len(whole) == len(text) - 2
 
 
+def test_what_is_a_letter():
+    assert l.letters("² ½ ٣ _ 12 ́".encode()) == "" and l.letters("1a²".encode()).strip()[0] == "a"
+    assert l.letters("ß".encode()) == " ß " and l.letters(None) == l.letters(b"") == ""
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     model = l.learn(odd_docs)
     rows = l.identify(odd_docs, model).collect()
