@@ -34,6 +34,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+PART_BYTES = 4 << 20
 _held: dict[str, Any] = {}
 
 
@@ -66,16 +67,31 @@ def add_columns(
 
         fn = make()
         types = [f.type for f in to_arrow_schema(added)]
-        for batch in batches:
-            columns = [batch.column(i) for i in where]
-            columns = [
-                (c.cast(pa.binary()) if pa.types.is_string(c.type)
-                 else c.cast(pa.large_binary()) if pa.types.is_large_string(c.type) else c).to_pylist()
-                for c in columns
-            ]
-            made = [pa.array(v, t) for v, t in zip(fn(*columns), types, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in keep] + made, names=schema.names
-            )
+        for whole in batches:
+            # a batch of long texts is worked on in parts, so that little is held beside it
+            rows = max(1, whole.num_rows * PART_BYTES // max(PART_BYTES, whole.nbytes))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                columns = [batch.column(i) for i in where]
+                columns = [
+                    (c.cast(pa.binary()) if pa.types.is_string(c.type)
+                     else c.cast(pa.large_binary()) if pa.types.is_large_string(c.type) else c).to_pylist()
+                    for c in columns
+                ]
+                made = [pa.array(v, t) for v, t in zip(fn(*columns), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i) for i in keep] + made, names=schema.names
+                )
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
+
+
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` under names that no operator adds, the new name of each column, and the way back."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(new).alias(old) for new, old in zip(names, docs.columns)])
+
+    return docs.toDF(*names), dict(zip(docs.columns, names)), back

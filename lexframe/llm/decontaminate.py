@@ -21,7 +21,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.common import add_columns, alnum_words, remembered
+from lexframe.llm.common import add_columns, alnum_words, remembered, set_aside
 from lexframe.session import pin
 
 WINDOW = 10
@@ -32,7 +32,7 @@ _SPANS = "array<struct<start: bigint, end: bigint>>"
 
 
 def automaton(items: list[tuple[str | None, bytes]], window: int):
-    """(word -> number, automaton or None, per entry: its length and item ids)."""
+    """(word -> number, automaton or None, per entry: its length and item ids, runs worth a scan)."""
     numbers: dict[bytes, int] = {}
     entries: dict[tuple[int, ...], set[str]] = {}
     for item_id, text in items:
@@ -46,7 +46,9 @@ def automaton(items: list[tuple[str | None, bytes]], window: int):
         values.append((len(key), owners))
     if values:
         machine.make_automaton()
-    return numbers, machine if values else None, values
+    # a word of no item leads back to the start, so only runs of known words can hold an entry
+    runs = re.compile(b"\x01{%d,}" % min((length for length, _ in values), default=1))
+    return numbers, machine if values else None, values, runs
 
 
 def word_spans(text: bytes, runs: list[tuple[int, int]]) -> list[dict]:
@@ -64,15 +66,16 @@ def word_spans(text: bytes, runs: list[tuple[int, int]]) -> list[dict]:
 
 def scan(text: bytes | None, earlier: list[tuple[int, int]], machinery):
     """Word count, merged runs of hit word positions, ids of the items that occur."""
-    numbers, machine, values = machinery
+    numbers, machine, values, known_runs = machinery
     words = alnum_words(text or b"")
     marked, owners = list(earlier), set()
     if machine is not None and words:
-        known = tuple(map(numbers.get, words, [0] * len(words)))
-        for end, number in machine.iter(known):
-            length, ids = values[number]
-            owners |= ids
-            marked.append((end - length + 1, end))
+        for run in known_runs.finditer(bytes(map(numbers.__contains__, words))):
+            first = run.start()
+            for end, number in machine.iter(tuple(map(numbers.__getitem__, words[first:run.end()]))):
+                length, ids = values[number]
+                owners |= ids
+                marked.append((first + end - length + 1, first + end))
     runs: list[tuple[int, int]] = []
     for first, last in sorted(marked):
         if runs and first <= runs[-1][1] + 1:
@@ -100,10 +103,10 @@ def find_items(
     """``docs`` with ``n_words``, ``n_hit``, ``item_ids`` (sorted), ``spans`` and ``contaminated``."""
     out, sc = docs, docs.sparkSession.sparkContext
     first = True
-    for count, rows in _blocks(items, item_id, item_text, block_bytes):
+    for number, (count, rows) in enumerate(_blocks(items, item_id, item_text, block_bytes), start=1):
         shared = sc.broadcast(rows)
 
-        def make(shared=shared, more=not first, key=uuid.uuid4().hex):
+        def make(shared=shared, more=not first, last=number == count, key=uuid.uuid4().hex):
             def one(texts, spans=None, owners=None):
                 machinery = remembered(key, lambda: automaton(shared.value, window))
                 n_words, n_hit, ids, runs = [], [], [], []
@@ -113,7 +116,10 @@ def find_items(
                     n_words.append(n)
                     n_hit.append(sum(b - a + 1 for a, b in found))
                     ids.append(sorted(mine | set(owners[at] if more else ())))
-                    runs.append([{"start": a, "end": b} for a, b in found])
+                    # words until the last block, code points after it
+                    runs.append(
+                        word_spans(text, found) if last and found else [{"start": a, "end": b} for a, b in found]
+                    )
                 return [n_words, n_hit, ids, runs]
 
             return one
@@ -126,22 +132,10 @@ def find_items(
         if count > 1:
             out = pin(out, "decontaminate")
 
-    def to_offsets():
-        def one(texts, runs):
-            return [[
-                word_spans(text, [(r["start"], r["end"]) for r in run]) if run else []
-                for text, run in zip(texts, runs)
-            ]]
-
-        return one
-
-    return add_columns(out, [text, "spans"], f"spans {_SPANS}", to_offsets).withColumn(
-        "contaminated", F.col("n_hit") > 0
-    )
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents in which no test window occurs, with their own columns."""
-    found = find_items(docs.withColumn("__text", F.col(text)).select(
-        F.struct(*docs.columns).alias("__row"), "__text"), items, text="__text", **options)
-    return found.where(~F.col("contaminated")).select("__row.*")
+    rows, name, back = set_aside(docs)
+    return back(find_items(rows, items, text=name[text], **options).where(~F.col("contaminated")))

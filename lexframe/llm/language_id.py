@@ -34,7 +34,7 @@ HASHES = 3
 SLOTS_PER_ENTRY = 16
 UNDECIDED = "und"
 _PIECE = 1 << 19
-_KEEP = 1 << 21
+_KEEP = 1 << 20
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
 

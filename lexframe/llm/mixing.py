@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexframe.llm.common import set_aside
 from lexframe.session import pin
 
 WEIGHTS = (5, 2, 1)
@@ -161,11 +162,9 @@ def take_mix(
     row per source, is joined.
     """
     _, plan = plan_mix(docs, text, doc_id, source, **options)
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(source).alias("source"),
-        _size(text).alias("size"), _hash(doc_id, text).alias("h"),
-    )
-    kept = [c for c in docs.columns if c.lower() not in ("size", "times", "taken")]
-    return _taken(rows, plan).where("times > 0").select(
-        *[F.col("row").getField(c).alias(c) for c in kept], "size", "times", "taken"
-    )
+    rows, name, _ = set_aside(docs)
+    rows = rows.withColumns({
+        "source": F.col(name[source]), "size": _size(name[text]), "h": _hash(name[doc_id], name[text]),
+    })
+    kept = [F.col(new).alias(old) for old, new in name.items() if old.lower() not in ("size", "times", "taken")]
+    return _taken(rows, plan).where("times > 0").select(*kept, "size", "times", "taken")

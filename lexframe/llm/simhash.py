@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.common import add_columns, blank_words
+from lexframe.llm.common import add_columns, blank_words, set_aside
 from lexframe.session import pin
 
 SHINGLE = 3
@@ -264,12 +264,12 @@ def drop_near_duplicates(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD
 ) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest id; rows without an id come last."""
-    row = F.struct(*docs.columns)
-    marked = docs.select(row.alias("row"), F.col(text).alias("t"), F.col(doc_id).alias("i"))
-    marked = with_fingerprint(marked, "t").drop("t").withColumn("n", F.monotonically_increasing_id())
+    rows, name, back = set_aside(docs)
+    marked = with_fingerprint(rows, name[text]).withColumn("n", F.monotonically_increasing_id())
     marked = pin(marked, "simhash-docs")
-    order = F.struct(F.col("i").isNull().alias("x"), "i", "n")
+    key = F.col(name[doc_id])
+    order = F.struct(key.isNull().alias("x"), key.alias("i"), "n")
     first = marked.groupBy("fp").agg(F.min(order).alias("first"))
     rooted = pin(fingerprint_classes(marked, crowd), "simhash-classes")
     kept = rooted.join(first, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.n")
-    return marked.join(kept, "n", "left_semi").select("row.*")
+    return back(marked.join(kept, "n", "left_semi"))
