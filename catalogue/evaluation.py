@@ -236,7 +236,7 @@ def check_scenarios(spark, sf_dir):
         F.when(number % 2 == 0, "view").alias("expect_tool"),
         F.when(number % 3 == 0, "click").alias("forbid_tool"),
     )
-    return checks.check_scenarios(scenarios, turns)
+    return checks.check_scenarios(scenarios, turns, preview_chars=120)
 
 
 def _runs(spark, sf_dir):

@@ -72,7 +72,7 @@ def qa_log_round_trip(spark, sf_dir):
         "tool": F.lit("law_rag_tool"),
     })
     path = scratch_path(spark, "qa-log")
-    files.write_qa_log(requests_, path)
+    files.write_qa_log(requests_, path, query_chars=300)
     return files.read_qa_log(spark, path).select(
         "query", "ts", "selected_source", "selected_articles", "fallback_used", "confidence_score"
     )

@@ -113,11 +113,13 @@ def improvement_rate(retested: DataFrame) -> DataFrame:
     )
 
 
-def check_scenarios(scenarios: DataFrame, turns: DataFrame) -> DataFrame:
+def check_scenarios(scenarios: DataFrame, turns: DataFrame,
+                    preview_chars: int | None = None) -> DataFrame:
     """Last answer and last tool of each scenario's session against its expectations.
 
     ``scenarios`` has ``scenario_id, session_id, expect_any`` (array), ``expect_tool``,
-    ``forbid_tool``; each expectation may be NULL.
+    ``forbid_tool``; each expectation may be NULL. ``answer_preview`` is the answer, cut to
+    ``preview_chars`` characters where that is given.
     """
     answers = turns.groupBy("session_id").agg(
         F.max_by("content", F.when(F.col("role") == "assistant", F.col("id"))).alias("answer")
@@ -135,5 +137,6 @@ def check_scenarios(scenarios: DataFrame, turns: DataFrame) -> DataFrame:
     ))
     return joined.select(
         "scenario_id", failures.alias("failures"), (F.size(failures) == 0).alias("ok"),
-        F.substring(answer, 1, 120).alias("answer_preview"),
+        (answer if preview_chars is None else F.substring(answer, 1, preview_chars)).alias(
+            "answer_preview"),
     )

@@ -21,22 +21,24 @@ def read_qa_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_log_lines(spark.read.text(path, recursiveFileLookup=True))
 
 
-def log_rows(requests: DataFrame) -> DataFrame:
-    """Requests as they are logged: query cut to 300 characters, score rounded, 0 as NULL."""
+def log_rows(requests: DataFrame, query_chars: int | None = None) -> DataFrame:
+    """Requests as they are logged: score rounded, 0 as NULL, the query cut to ``query_chars``
+    characters where that is given (300 in the service)."""
+    asked = F.col("query") if query_chars is None else F.substring("query", 1, query_chars)
     score = F.col("confidence_score")
     return requests.select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"),
         "tool",
-        F.substring("query", 1, 300).alias("query"),
+        asked.alias("query"),
         "query_type", "selected_source", "selected_articles", "fallback_used",
         F.when(score != 0, F.bround(score, 4)).alias("confidence_score"),
         F.date_format("ts", "yyyyMMdd").alias("day"),
     )
 
 
-def write_qa_log(requests: DataFrame, path: str) -> None:
+def write_qa_log(requests: DataFrame, path: str, query_chars: int | None = None) -> None:
     """Append to the log, one set of files per day."""
-    log_rows(requests).write.partitionBy("day").mode("append").json(path)
+    log_rows(requests, query_chars).write.partitionBy("day").mode("append").json(path)
 
 
 def parse_event_lines(lines: DataFrame, column: str = "value") -> DataFrame:

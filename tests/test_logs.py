@@ -17,8 +17,8 @@ def test_log_round_trip_drops_noise(spark, tmp_path):
         "tool": F.lit("law_rag_tool"), "query_type": F.lit("semantic"),
         "selected_source": F.lit("pg"), "fallback_used": F.lit(False)})
     path = str(tmp_path / "log")
-    files.write_qa_log(requests, path)
-    files.write_qa_log(requests.limit(1), path)
+    files.write_qa_log(requests, path, query_chars=300)
+    files.write_qa_log(requests.limit(1), path, query_chars=300)
     (tmp_path / "log" / "day=20260103").mkdir()
     (tmp_path / "log" / "day=20260103" / "qa_x.jsonl").write_text('\n{broken\n[1]\n  \n')
     rows = files.read_qa_log(spark, path)
