@@ -3,9 +3,8 @@
 Markup is stripped into lines, one per block element. The text lengths of ``WINDOW`` neighbouring lines are summed
 for every window; text starts where the sums surge over a threshold and ends where they dive to nothing, and the
 lines between a surge and the next dive are kept. Lines of menus, headers, footers, sidebars, notices, adverts, forms
-and comments, known by element, role, class or id, weigh nothing and are never kept, nor do links outside a marked
-article weigh. Where a page marks its article (``article``, ``main`` or their roles), only that part weighs, and any text
-of it is a surge. A page whose windows all stay under the threshold is cut at its highest window.
+and comments, known by element, role, class or id, weigh nothing and are never kept; linked text does not weigh.
+Where a page marks its article (``article``, ``main`` or their roles), only that part weighs, by the same windows. A page whose windows all stay under the threshold is cut at its highest window.
 
 Defined results: a null, empty or textless page gives an empty text; character references are decoded once,
 unfinished ones as browsers do; unclosed comments and scripts run to the end; white space (any of Unicode) inside a
@@ -191,10 +190,11 @@ def surges(weights: list[int], window: int = WINDOW, threshold: int = SURGE) ->
 def main_text(page: str, window: int = WINDOW, threshold: int = SURGE) -> str:
     """The lines between surges and dives, joined by line ends."""
     lines = lines_of(page)
-    marked = any(text and inside for text, _, inside in lines)
-    if marked:
-        lines = [(text, len(text), True) if inside else ("", 0, False) for text, _, inside in lines]
-        threshold = 0
+    if any(text and inside for text, _, inside in lines):
+        lines = [line if line[2] else ("", 0, False) for line in lines]
+    if not any(weight for _, weight, _ in lines):
+        # nothing but links
+        lines = [(text, len(text) * inside, inside) for text, _, inside in lines]
     kept = [
         text for start, end in surges([weight for _, weight, _ in lines], window, threshold)
         for text, _, _ in lines[start:end] if text

@@ -43,3 +43,12 @@ def test_long_and_odd_rows(spark):
     out = extract_main_text(spark.createDataFrame(rows, "text bigint, html string")).collect()
     assert [r["n_chars"] for r in out] == [0, 0, 20_000 * (len(PARAGRAPH) + 1) - 1, 1, 1]
     assert extract_main_text(spark.createDataFrame([], "html string")).count() == 0
+
+
+LINKS = "".join(f"<li><a href=/{k}>Read more about {k}</a>" for k in range(6))
+
+
+def test_links_inside_a_marked_article_dive():
+    page = f"<article><h1>T</h1><p>{PARAGRAPH}</p><ul>{LINKS}</ul><p>{PARAGRAPH}</p></article>"
+    assert main_text(page) == f"T\n{PARAGRAPH}\n{PARAGRAPH}"
+    assert main_text(f"<main><p>{PARAGRAPH}</p><ul>{LINKS}</ul><p>More here</p><ul>{LINKS}</ul></main>") == PARAGRAPH
