@@ -2,9 +2,8 @@
 
 Templates are short texts of licences, cut into words of letters and digits. The index holds, for every template
 word, the templates and places it has. Words are weighed by their inverse document frequency, counted over all files.
-A file's words are looked up from the rarest down: a template's rarest word has to be there, its occurrences
-vote for places where the template would start, and further rare words of the template (``ANCHORS`` of them) vote
-by their own relative positions. A start with enough votes is verified: the template's mandatory key phrases must stand
+A file's words are looked up from the rarest down: the rarest word of a template's mandatory key phrases has to be there, and
+each of the template's rarest words (``ANCHORS`` of them) votes for the place where the template would start. A start with enough votes is verified: the template's mandatory key phrases must stand
 at their places, word for word.
 
 The short phrases of the base are templates whose key phrase is the whole template and that need every vote, so all
@@ -80,6 +79,18 @@ TEMPLATES = BASE + (
         "MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0",
         ("mozilla public license v 2.0",), 0.5,
     ),
+    *(
+        Template(
+            f"GPL-{n}.0",
+            "is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+            f"published by the free software foundation either version {n} of the license or at your option any later version",
+            ("terms of the gnu general public license as published by", f"version {n} of the license"), 0.5,
+        ) for n in (2, 3)
+    ),
+    Template(
+        "CC-BY-NC-4.0", "licensed under a creative commons attribution noncommercial 4.0 international license",
+        ("creative commons attribution noncommercial 4.0 international",), 0.6,
+    ),
 )
 
 
@@ -107,8 +118,10 @@ class LicenseIndex:
             entry.anchors = [(words[at], at) for at in chosen]
             entry.need = max(1, math.ceil(template.share * len(entry.anchors)))
             self.entries.append(entry)
-            self.vocabulary |= {w for w, _ in entry.anchors}
-            self.lead.setdefault(entry.anchors[0][0], []).append(entry)
+            # no place is verified without every word of the keys
+            lead = min({w for _, key in keys for w in key}, key=lambda w: (-idf.get(w, 0.0), w))
+            self.vocabulary |= {w for w, _ in entry.anchors} | {lead}
+            self.lead.setdefault(lead, []).append(entry)
         self.rarest_first = sorted(self.lead, key=lambda w: (-idf.get(w, 0.0), w))
 
     @staticmethod

@@ -54,3 +54,16 @@ def test_clashing_columns_and_empty_table(odd_docs, no_docs):
     out = s.scan_licenses(odd_docs)
     assert out.columns.count("score") == 1 and out.count() == 9
     assert s.scan_licenses(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("rare, text, label", [
+    (b"released", "Distributed under the MIT License.", "MIT"),
+    (b"licensed", "Available under the Apache License, Version 2.0.", "Apache-2.0"),
+    (b"redistribution", "Use in source and binary forms, with or without modification, are permitted provided that", "BSD"),
+    (b"redistribute", "This is free software: you can share it and/or modify it under the terms of the GNU General Public License as"
+     " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0"),
+    (b"a", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+])
+def test_a_missing_rare_word_loses_no_label(rare, text, label):
+    index = s.LicenseIndex(s.TEMPLATES, {w: 9.0 if w == rare else 1.0 for w in s.template_words()})
+    assert label in {t.label for t, _, _ in index.places(s.alnum_words(text.encode()))}
