@@ -2,9 +2,12 @@
 
 Markup is stripped into lines, one per block element. The text lengths of ``WINDOW`` neighbouring lines are summed
 for every window; text starts where the sums surge over a threshold and ends where they dive to nothing, and the
-lines between a surge and the next dive are kept. Lines of menus, headers, footers, sidebars, notices, adverts, forms
-and comments, known by element, role, class or id, weigh nothing and are never kept; linked text does not weigh.
-Where a page marks its article (``article``, ``main`` or their roles), only that part weighs, by the same windows. A page whose windows all stay under the threshold is cut at its highest window.
+lines between a surge and the next dive are kept. Lines of menus, headers, footers and sidebars, known by element or role,
+weigh nothing and are never kept; linked text does not weigh. Lines of forms, and of elements whose class or id tells of
+sidebars, notices, adverts or comments, weigh half as much for each such element, apart from the other lines, and stay if they surge
+by themselves; what encloses the whole page, or an article, lowers nothing. Where a page marks its article (``article``,
+``main`` or their roles), only that part weighs, by the same windows. A page whose windows all stay under the threshold
+is cut at its highest window.
 
 Defined results: a null, empty or textless page gives an empty text; character references are decoded once,
 unfinished ones as browsers do; unclosed comments and scripts run to the end; white space (any of Unicode) inside a
@@ -36,11 +39,12 @@ _BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary "
     "table tbody td tfoot th thead tr ul".split())
-_BOILERPLATE = frozenset("nav footer aside form button select fieldset menu dialog head".split())
+_BOILERPLATE = frozenset("nav footer aside button select menu dialog head".split())
+_LIGHT = frozenset("form fieldset".split())
 _CONTAINERS = frozenset(
     "div section ul ol dl li p span table td tr aside nav header footer form figure details a h2 h3 h4 h5 h6 em strong "
     "small".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
 _WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs footer masthead comment comments discussion disqus replies cookie cookies consent "
@@ -53,12 +57,15 @@ _NOT_ARTICLE = frozenset("comment comments reply replies related recommended tea
 class _Open:
     tag: str
     boilerplate: bool
+    light: bool
     article: bool
+    outer: int = 0
 
 
-def _flags(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether the element starts boilerplate, whether it starts the article."""
+def _flags(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether the element starts boilerplate, lines of less weight, the article."""
     boilerplate = tag in _BOILERPLATE or (tag == "header" and not in_article)
+    light = tag in _LIGHT
     article = tag in ("article", "main")
     if attributes:
         for name, value in _ATTRIBUTE.findall(attributes):
@@ -66,30 +73,33 @@ def _flags(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
             if name == "role":
                 article |= value in ("main", "article")
                 boilerplate |= value in _ROLES
+                light |= value == "form"
             elif name == "itemprop":
                 article |= value == "articlebody"
             elif name == "aria-hidden":
                 boilerplate |= value == "true"
             elif name in ("class", "id") and tag in _CONTAINERS:
                 words = set(_NAMES.findall(value))
-                boilerplate |= bool(words & _WORDS) or ("header" in words and not in_article and tag != "h1")
+                light |= bool(words & _WORDS) or ("header" in words and not in_article and tag != "h1")
         boilerplate |= bool(_HIDDEN.search(attributes))
     if tag == "article" and attributes:
         # teasers and comments are often marked as articles of their own
         words = {w for n, v in _ATTRIBUTE.findall(attributes) if n.lower() in ("class", "id")
                  for w in _NAMES.findall(v.lower())}
         if words & _NOT_ARTICLE:
-            return True, False
-    return boilerplate and tag not in ("article", "main", "body", "html"), article
+            return True, False, False
+    page = tag in ("article", "main", "body", "html")
+    return boilerplate and not page, light and not page, article
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside the article) of every block in page order; boilerplate has weight and text nothing."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, weight, inside the article, how often its weight is halved) of every block in page order; boilerplate has
+    weight and text nothing."""
+    lines: list[tuple[str, int, bool, int]] = []
     stack: list[_Open] = []
     counts: dict[str, int] = {}
     parts: list[str] = []
-    state = {"boilerplate": 0, "article": 0, "links": 0, "linked": 0}
+    state = {"boilerplate": 0, "light": 0, "article": 0, "links": 0, "linked": 0}
 
     def flush():
         if parts:
@@ -97,15 +107,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             parts.clear()
             if text:
                 if state["boilerplate"]:
-                    lines.append(("", 0, bool(state["article"])))
+                    lines.append(("", 0, bool(state["article"]), 0))
                 else:
-                    lines.append((text, max(0, len(text) - state["linked"]), bool(state["article"])))
+                    lines.append((text, max(0, len(text) - state["linked"]), bool(state["article"]), state["light"]))
         state["linked"] = 0
 
     def close():
         top = stack.pop()
         counts[top.tag] -= 1
         state["boilerplate"] -= top.boilerplate
+        state["light"] += top.outer - top.light
         state["article"] -= top.article
         state["links"] -= top.tag == "a"
 
@@ -148,10 +159,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             close()
         if stack and tag == stack[-1].tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
             close()
-        boilerplate, article = _flags(tag, match[3], state["article"] > 0)
-        stack.append(_Open(tag, boilerplate, article))
+        boilerplate, light, article = _flags(tag, match[3], state["article"] > 0)
+        # what an article lies in says nothing about its lines
+        outer = state["light"] if article else 0
+        stack.append(_Open(tag, boilerplate, light, article, outer))
         counts[tag] = counts.get(tag, 0) + 1
         state["boilerplate"] += boilerplate
+        state["light"] += light - outer
         state["article"] += article
         state["links"] += tag == "a"
     flush()
@@ -190,16 +204,18 @@ def surges(weights: list[int], window: int = WINDOW, threshold: int = SURGE) ->
 def main_text(page: str, window: int = WINDOW, threshold: int = SURGE) -> str:
     """The lines between surges and dives, joined by line ends."""
     lines = lines_of(page)
-    if any(text and inside for text, _, inside in lines):
-        lines = [line if line[2] else ("", 0, False) for line in lines]
-    if not any(weight for _, weight, _ in lines):
+    if any(text and inside for text, _, inside, _ in lines):
+        lines = [line if line[2] else ("", 0, False, 0) for line in lines]
+    if not any(weight for _, weight, _, _ in lines):
         # nothing but links
-        lines = [(text, len(text) * inside, inside) for text, _, inside in lines]
-    kept = [
-        text for start, end in surges([weight for _, weight, _ in lines], window, threshold)
-        for text, _, _ in lines[start:end] if text
-    ]
-    return "\n".join(kept)
+        lines = [(text, len(text) * inside, inside, light) for text, _, inside, light in lines]
+    least = min((light for _, weight, _, light in lines if weight), default=0)
+    plain = [weight if light <= least else 0 for _, weight, _, light in lines]
+    lower = [weight >> light - least if light > least else 0 for _, weight, _, light in lines]
+    kept = {at for start, end in surges(plain, window, threshold) for at in range(start, end) if lines[at][3] <= least}
+    if any(sum(lower[at:at + window]) > threshold for at in range(len(lower))):
+        kept |= {at for start, end in surges(lower, window, threshold) for at in range(start, end) if lines[at][3] > least}
+    return "\n".join(lines[at][0] for at in sorted(kept) if lines[at][0])
 
 
 def extract_main_text(

@@ -52,3 +52,20 @@ def test_links_inside_a_marked_article_dive():
     page = f"<article><h1>T</h1><p>{PARAGRAPH}</p><ul>{LINKS}</ul><p>{PARAGRAPH}</p></article>"
     assert main_text(page) == f"T\n{PARAGRAPH}\n{PARAGRAPH}"
     assert main_text(f"<main><p>{PARAGRAPH}</p><ul>{LINKS}</ul><p>More here</p><ul>{LINKS}</ul></main>") == PARAGRAPH
+
+
+LONG = f"{PARAGRAPH} {PARAGRAPH}"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div class='layout has-sidebar'><article><p>{PARAGRAPH}</p></article></div>", PARAGRAPH),
+    (f"<div class='content no-sidebar'><p>{PARAGRAPH}</p><div class=ad>buy</div></div>", PARAGRAPH),
+    (f"<form><nav>menu</nav><main><p>{PARAGRAPH}</p></main><p>x</p></form>", PARAGRAPH),
+    (f"<form><p>{PARAGRAPH}</p><div class=sidebar>x</div></form>", PARAGRAPH),
+    (f"<article><p>{PARAGRAPH}</p><section id='discussion'><p>{LONG}</p></section></article>", f"{PARAGRAPH}\n{LONG}"),
+    (f"<article><div class='notice'><p>{LONG}</p></div><p>{PARAGRAPH}</p></article>", f"{LONG}\n{PARAGRAPH}"),
+    (f"<article><p>{PARAGRAPH}</p><p class='social-policy'>{LONG}</p></article>", f"{PARAGRAPH}\n{LONG}"),
+    (f"<article><p>{PARAGRAPH}</p><div class='share'>Share this</div></article>", PARAGRAPH),
+])
+def test_one_word_of_a_class_silences_no_text(page, text):
+    assert main_text(page) == text
