@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexframe.llm import (
-    decontaminate, html_blocks, language_id, license_scan, mixing, quality_classifier, quality_rules, simhash,
-    token_counts, warc,
+    decontaminate, embedding_dedup, html_blocks, language_id, license_scan, merkle, mixing, quality_classifier,
+    quality_rules, simhash, token_counts, vector_codes, warc,
 )
 from lexframe.llm.common import LOWER, UPPER, held_out
 
@@ -80,6 +80,20 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    altered = {"n_chars": merkle.altered_count(F.col("n_chars"), F.col("doc_id"))}
+    return merkle.manifest(docs.select(*merkle.FIELDS), tampered=altered)
+
+
 QUERIES = {
     "op1_quality_classifier": quality,
     "op2_warc": archives,
@@ -91,6 +105,9 @@ QUERIES = {
     "op8_source_mixing": mixture,
     "op9_simhash": near_duplicates,
     "op10_language_id": languages,
+    "op11_embedding_dedup": near_vectors,
+    "op12_vector_codes": codes,
+    "op13_merkle_manifest": signed,
 }
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -208,9 +225,118 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
 
+LINKS_SQL = f"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), u AS MATERIALIZED (
+  SELECT r, label, v, len(v) AS n FROM v WHERE label IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND a.n = b.n AND a.r <> b.r
+  WHERE list_cosine_similarity(a.v, b.v) >= {embedding_dedup.THRESHOLD}
+), reach AS (
+  SELECT r AS a, r AS b FROM v
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = v.r) AS n_links, component_id,
+  vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN least USING (r)
+"""
+
+
+def _codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """Every round of the codebooks written out, integers only."""
+    steps = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT r, p, list_slice(q, p * (len(q) // {parts}) + 1, (p + 1) * (len(q) // {parts})) AS v FROM kept, range({parts}) AS t(p)
+), book0 AS MATERIALIZED (
+  SELECT p, e, v FROM parts JOIN (
+    SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}) USING (r)
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+  SELECT r, x.p AS p, any_value(x.v) AS v,
+    min(list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) * {entries} + e) AS best
+  FROM parts x JOIN book{k} b ON x.p = b.p GROUP BY r, x.p
+)""")
+        if k < rounds:
+            steps.append(f"""mean{k} AS (
+  SELECT p, e, list((s - ((s % c) + c) % c) // c ORDER BY i) AS v FROM (
+    SELECT p, best % {entries} AS e, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS c
+    FROM (SELECT p, best, v, unnest(range(1, len(v) + 1)) AS i FROM near{k}) GROUP BY ALL) GROUP BY p, e
+), book{k + 1} AS MATERIALIZED (
+  SELECT b.p AS p, b.e AS e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN mean{k} m ON b.p = m.p AND b.e = m.e
+)""")
+    return "WITH " + ", ".join(steps) + f""", coded AS (
+  SELECT r, string_agg(printf('%02x', CAST(best % {entries} AS INTEGER)), '' ORDER BY p) AS code,
+    CAST(sum(best // {entries}) AS BIGINT) AS error FROM near{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+# the CRC-32 of a decimal number: bytes are xored in, -1 stands for a shift by one bit
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+  string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END))"""
+
+
+def _manifest_sql() -> str:
+    plain = " || ".join(map(_field_sql, merkle.FIELDS))
+    altered = plain.replace(_field_sql("n_chars"), _field_sql(f"(n_chars + CASE WHEN {_CRC_SQL} % 7 = 0 THEN 1 ELSE 0 END)"))
+    up = """SELECT tree, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (size + 1) // 2
+  FROM {0} WHERE size > 1 GROUP BY tree, lvl, pos // 2, size"""
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS size
+  FROM (SELECT doc_id, coalesce('1' || lang, '0') AS tree, sha256({plain}) AS leaf,
+          sha256(CASE WHEN doc_id IS NULL THEN {plain} ELSE {altered} END) AS altered FROM documents)
+), nodes AS (
+  SELECT tree, 0 AS lvl, pos, leaf AS h, size FROM d UNION ALL {up.format("nodes")}
+), grown AS MATERIALIZED (SELECT * FROM nodes
+), roots AS MATERIALIZED (
+  SELECT tree AS name, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS size FROM grown WHERE size = 1
+), tops AS (
+  SELECT '' AS tree, 0 AS lvl, pos, subroot AS h, size FROM roots UNION ALL {up.format("tops")}
+), topped AS MATERIALIZED (SELECT * FROM tops
+), walk AS (
+  SELECT row_number() OVER () AS r, doc_id, leaf, tree, altered AS h, pos, 0 AS lvl, size, false AS top, '' AS proof, tree AS name FROM d
+  UNION ALL
+  SELECT w.r, w.doc_id, w.leaf, CASE WHEN done THEN '' ELSE w.tree END, CASE WHEN done THEN w.h
+      WHEN w.pos % 2 = 0 THEN sha256(w.h || coalesce(s.h, '')) ELSE sha256(s.h || w.h) END,
+    CASE WHEN done THEN g.pos ELSE w.pos // 2 END, CASE WHEN done THEN 0 ELSE w.lvl + 1 END,
+    CASE WHEN done THEN g.size ELSE (w.size + 1) // 2 END, w.top OR done,
+    w.proof || CASE WHEN done THEN '' ELSE coalesce(s.h, '') END, w.name
+  FROM (SELECT *, size = 1 AS done FROM walk WHERE size > 1 OR NOT top) w JOIN roots g ON g.name = w.name
+  LEFT JOIN (SELECT tree, lvl, pos, h FROM grown UNION ALL SELECT tree, lvl, pos, h FROM topped) s
+    ON s.tree = w.tree AND s.lvl = w.lvl AND s.pos = xor(w.pos, 1)
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM walk JOIN roots USING (name), (SELECT h AS root FROM topped WHERE size = 1) WHERE walk.top AND walk.size = 1
+"""
+
+
+CODES_SQL = _codes_sql()
+MANIFEST_SQL = _manifest_sql()
+
 ORACLES = {
     "op2_warc": WARC_SQL,
     "op4_quality_rules": RULES_SQL,
     "op7_decontamination": CONTAMINATION_SQL,
     "op8_source_mixing": MIX_SQL,
+    "op11_embedding_dedup": LINKS_SQL,
+    "op12_vector_codes": CODES_SQL,
+    "op13_merkle_manifest": MANIFEST_SQL,
 }

@@ -35,4 +35,4 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs, sf_dir):
 def test_registered():
     names = __spark_entry__.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
