@@ -58,7 +58,7 @@ def vector_topk(spark, sf_dir):
 @query(f"WITH {topk_sql()} SELECT query_id, candidate_id, score, rank FROM hits")
 def vector_topk_grid(spark, sf_dir):
     """Queries in several blocks."""
-    return shown(leave_one_out(spark, sf_dir, block_bytes=8 * 64 * 300))
+    return shown(leave_one_out(spark, sf_dir, block_bytes=8 * 64 * 300, pack_rows=70))
 
 
 @query(f"WITH {topk_sql(True)} SELECT query_id, candidate_id, score, rank FROM hits")
@@ -152,43 +152,34 @@ def ranking_ablation(spark, sf_dir):
     )
 
 
-_BITS, _PROBES = 4, 5
-_APPROX_SQL = f"""{topk_sql()}, planes AS (
-  SELECT b, list_transform(range(0, 64), lambda j: sin((b * 64 + j + 1) * 12.9898 + 7)) AS p
-  FROM range(0, {_BITS}) AS r(b)),
-sides AS (SELECT vec_id, b, list_dot_product(v, p) AS s FROM vectors, planes),
-placed AS (SELECT vec_id, CAST(sum(CASE WHEN s > 0 THEN 1 << b ELSE 0 END) AS BIGINT) AS bucket
-  FROM sides GROUP BY vec_id),
-closest AS (SELECT vec_id, b, row_number() OVER (PARTITION BY vec_id ORDER BY abs(s)) AS r FROM sides),
-tried AS (SELECT vec_id, bucket FROM placed UNION ALL SELECT vec_id, xor(bucket, 1 << b)
-  FROM placed JOIN closest USING (vec_id) WHERE r <= {_PROBES - 1}),
-near_scored AS (
-  SELECT t.vec_id AS query_id, p.vec_id AS candidate_id,
-         round_even(list_cosine_similarity(q.v, c.v), 12) AS raw
-  FROM tried t JOIN placed p USING (bucket) JOIN vectors q ON q.vec_id = t.vec_id
-  JOIN vectors c ON c.vec_id = p.vec_id WHERE t.vec_id <> p.vec_id),
-near_hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
-    ORDER BY raw DESC, candidate_id) AS INTEGER) AS rank, round_even(raw, 6) AS score
-  FROM near_scored) WHERE rank <= {K})"""
-
-
-def _near(spark, sf_dir):
+def _near(spark, sf_dir, **options):
     asked, corpus = _sides(spark, sf_dir)
-    hits = ops.approx_vector_topk(asked, corpus, K + 1, bits=_BITS, probes=_PROBES)
+    hits = ops.approx_vector_topk(asked, corpus, K + 1, **options)
     others = hits.where(F.col("query_id") != F.col("candidate_id")).drop("rank")
     return ops.best_per_query(others, K)
 
 
-@query(f"WITH {_APPROX_SQL} SELECT query_id, candidate_id, score, rank FROM near_hits")
+@query()
 def approx_topk(spark, sf_dir):
+    """No SQL: the cells are learned. Its recall is checked below, its scores in the next query."""
     return shown(_near(spark, sf_dir))
 
 
-@query(f"""WITH {_APPROX_SQL} SELECT count(*) AS exact_hits, count(n.score) AS found_hits,
-  round_even(count(n.score) / count(*), 4) AS recall
-FROM hits h LEFT JOIN near_hits n USING (query_id, candidate_id)""")
+@query(f"WITH {topk_sql()} SELECT query_id, candidate_id, score, rank FROM hits")
+def approx_topk_all_cells(spark, sf_dir):
+    """With every cell probed the index gives the exact answer."""
+    return shown(_near(spark, sf_dir, cells=16, probes=16))
+
+
+@query(f"""WITH {topk_sql()} SELECT count(*) AS exact_hits, true AS recall_090, true AS scanned_below_third FROM hits""")
 def approx_topk_recall(spark, sf_dir):
-    return ops.recall_at_k(_near(spark, sf_dir), leave_one_out(spark, sf_dir))
+    asked, corpus = _sides(spark, sf_dir)
+    index = ops.build_index(corpus, K + 1)
+    hits = ops.search_index(index, asked, K + 1).where(F.col("query_id") != F.col("candidate_id")).drop("rank")
+    recall = ops.recall_at_k(ops.best_per_query(hits, K), leave_one_out(spark, sf_dir))
+    return recall.crossJoin(ops.scanned_share(index, asked)).select(
+        "exact_hits", (F.col("recall") >= 0.9).alias("recall_090"), (F.col("share") < 1 / 3).alias("scanned_below_third")
+    )
 
 
 _WORDS_SQL = """words AS (

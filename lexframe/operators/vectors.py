@@ -1,13 +1,16 @@
 """Similarity search of a batch of query vectors in a vector table.
 
-The queries are cut into blocks of bounded size, and each block travels with a scan of the corpus,
-which is neither shuffled nor copied. A task scores tiles of a matrix product, multiplies equal scopes
-only, and passes on the best ``k`` per query.
+Both sides are packed into blocks where they are read. Query blocks are broadcast by Spark, a part of checked size at a
+time, and meet the corpus blocks, which are neither shuffled nor copied. A task scores tiles of a matrix
+product, multiplies equal scopes only, skips pairs of blocks that cannot reach the scores found, and passes
+on the best ``k`` per query. An approximate search learns cells from a sample, stores the corpus by cell and
+probes the nearest ones, which then are the scopes.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -19,11 +22,17 @@ from pyspark.sql import functions as F
 
 from ..functions import clean_text
 from ..functions.text import SPACE
+from ..session import pin
 from .corpus import cache_merge, cache_misses
 from .keyed import top_per_group
 
 BLOCK_BYTES = 64 << 20
+PACK_ROWS = 2048
 TILE = 2048
+#: Rows of a scope in a block up to which a product of its own is not worth it.
+SMALL_SCOPE = 16
+#: Bounds of what an index learns from, and the share of nearest neighbours its probes are planned for.
+MAX_CELLS, SAMPLE_ROWS, RECALL = 4096, 1 << 17, 0.95
 #: Digits beyond which two sums of the same products differ. Ranks and thresholds use the rest.
 NOISE_DIGITS = 12
 
@@ -52,78 +61,169 @@ class _Best:
     def __init__(self, n_queries: int, k: int):
         self.k = k
         self.floor = np.full(n_queries, -np.inf)
-        self.query = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.int64)
-        self.score = np.empty(0, np.float64)
+        self.found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))]
+        self.waiting = 0
 
-    def add(self, places: np.ndarray, queries: np.ndarray, corpus: np.ndarray, ids: np.ndarray) -> None:
-        """Score all pairs of a block; ``places`` are the numbers of its queries."""
+    def add(self, places: np.ndarray, queries: np.ndarray, corpus: np.ndarray, ids: np.ndarray,
+            allowed: np.ndarray | None = None) -> None:
+        """Score all (or all allowed) pairs of a block; ``places`` are the numbers of its queries."""
         if queries.shape[1] != corpus.shape[1]:
             raise ValueError(f"queries have {queries.shape[1]} dimensions, the corpus {corpus.shape[1]}")
-        found = [(self.query, self.ids, self.score)]
         for q in range(0, len(queries), TILE):
             own = places[q:q + TILE]
             for c in range(0, len(corpus), TILE):
                 scores = np.round(queries[q:q + TILE] @ corpus[c:c + TILE].T, NOISE_DIGITS)
+                if allowed is not None:
+                    scores[~allowed[q:q + TILE, c:c + TILE]] = -np.inf
                 floor = self.floor[own]
                 cut = scores.shape[1] - self.k
                 if cut > 0:
                     floor = np.maximum(floor, np.partition(scores, cut, axis=1)[:, cut])
-                row, pick = np.nonzero(scores >= floor[:, None])
-                found.append((own[row], ids[c + pick], scores[row, pick]))
-        self.query, self.ids, self.score = (np.concatenate(parts) for parts in zip(*found))
-        self._cut()
-
-    def _cut(self) -> None:
-        order = np.lexsort((self.ids, -self.score, self.query))
-        query = self.query[order]
-        place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
-        order, place = order[place < self.k], place[place < self.k]
-        self.query, self.ids, self.score = self.query[order], self.ids[order], self.score[order]
-        last = place == self.k - 1
-        self.floor[self.query[last]] = self.score[last]
-
-
-def _by_scope(column, n: int) -> dict:
-    """Row numbers of each scope; one scope for all without a column."""
-    if column is None:
-        return {None: np.arange(n)}
+                row, pick = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+                self.found.append((own[row], ids[c + pick], scores[row, pick]))
+                self.waiting += len(row)
+        if self.waiting > len(self.floor) * self.k + (1 << 20):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cut what was found to the best ``k`` per query; (query, id, score), which the floors then follow."""
+        if len(self.found) > 1:
+            query, ids, score = (np.concatenate(parts) for parts in zip(*self.found))
+            order = np.lexsort((ids, -score, query))
+            place = np.arange(len(order)) - np.searchsorted(query[order], query[order], side="left")
+            order, place = order[place < self.k], place[place < self.k]
+            query, ids, score = query[order], ids[order], score[order]
+            last = place == self.k - 1
+            self.floor[query[last]] = score[last]
+            self.found, self.waiting = [(query, ids, score)], 0
+        return self.found[0]
+
+
+def _pack(rows: int):
+    """Rows (id, scope list, embedding) -> blocks of up to ``rows``: ids and unit vectors as bytes, with the
+    block's mean direction and the largest angle to it."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                unit = _matrix(part.column(2))
+                mean = unit.mean(axis=0)
+                mean /= np.linalg.norm(mean) or 1.0
+                # a zero vector scores zero with everything, a right angle to any mean
+                radius = float(np.arccos(np.clip(unit @ mean, -1.0, 1.0)).max())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([part.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False).tobytes()], pa.binary()),
+                    pa.array([unit.tobytes()], pa.binary()), pa.array([part.column(1).to_pylist()], pa.list_(pa.list_(pa.string()))),
+                    pa.array([mean.tobytes()], pa.binary()), pa.array([radius], pa.float64()),
+                ], names=["ids", "rows", "scopes", "mean", "radius"])
+
+    return run
+
+
+_BLOCK = "ids binary, rows binary, scopes array<array<string>>, mean binary, radius double"
+_SCHEMA = "query_id bigint, candidate_id bigint, score double"
+
+
+def _places(scopes: list) -> dict:
+    """Row numbers of each scope in a block."""
     places: dict = {}
-    for at, scope in enumerate(column.to_pylist()):
-        places.setdefault(scope, []).append(at)
+    for at, own in enumerate(scopes):
+        for scope in [None] if own is None else own:
+            places.setdefault(scope, []).append(at)
     return {scope: np.array(rows) for scope, rows in places.items()}
 
 
-_SCHEMA = "query_id bigint, candidate_id bigint, score double"
+class _Block:
+    """One packed block, read back."""
 
+    def __init__(self, ids: bytes, rows: bytes, scopes: list, mean: bytes, radius: float):
+        self.ids = np.frombuffer(ids, np.int64)
+        self.rows = np.frombuffer(rows, np.float64).reshape(len(self.ids), -1)
+        self.places, self.mean, self.radius = _places(scopes), np.frombuffer(mean, np.float64), radius
 
-def _scan(corpus: DataFrame, block: pa.Table, k: int, scoped: bool) -> DataFrame:
-    """Best ``k`` per query of the block in every task of the corpus."""
-    shared = corpus.sparkSession.sparkContext.broadcast((
-        np.asarray(block["query_id"].to_numpy()), _matrix(block["embedding"]),
-        _by_scope(block["scope"] if scoped else None, len(block)),
-    ))
+    def most(self, other: _Block) -> float:
+        """No pair of the two blocks has a higher cosine."""
+        if len(self.mean) != len(other.mean):
+            raise ValueError(f"queries have {len(self.mean)} dimensions, the corpus {len(other.mean)}")
+        apart = float(np.arccos(np.clip(self.mean @ other.mean, -1.0, 1.0))) - self.radius - other.radius
+        return math.cos(max(0.0, apart)) + 10.0 ** -(NOISE_DIGITS - 3)
 
-    def scan(batches):
-        query_ids, vectors, asked = shared.value
-        best = _Best(len(query_ids), k)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows, ids = _matrix(batch["embedding"]), batch["candidate_id"].to_numpy()
-            for scope, at in _by_scope(batch["scope"] if scoped else None, len(rows)).items():
-                if scope in asked:
-                    best.add(asked[scope], vectors[asked[scope]], rows[at], ids[at])
-        yield pa.RecordBatch.from_arrays([
-            pa.array(query_ids[best.query], pa.int64()), pa.array(best.ids, pa.int64()),
-            pa.array(best.score, pa.float64()),
-        ], names=["query_id", "candidate_id", "score"])
 
-    return corpus.mapInArrow(scan, _SCHEMA)
+def _score(k: int):
+    """Pairs of blocks -> the best ``k`` per query that this task has seen.
+
+    A pair of blocks is skipped when its bound is below the ``k``-th best score of every query of the block.
+    """
+
+    def run(batches):
+        asked: dict[int, tuple[_Block, _Best]] = {}
+        for batch in batches:
+            last, chunk = None, None
+            for row in range(batch.num_rows):
+                number = batch.column(0)[row].as_py()
+                if number not in asked:
+                    block = _Block(*[batch.column(c)[row].as_py() for c in range(1, 6)])
+                    asked[number] = block, _Best(len(block.ids), k)
+                block, best = asked[number]
+                key = batch.column(6)[row].as_py()
+                if key != last:  # a chunk meets all blocks in turn
+                    last, chunk = key, _Block(*[batch.column(c)[row].as_py() for c in range(7, 12)])
+                if chunk.most(block) < best.floor.min():
+                    continue
+                shared = [scope for scope in chunk.places if scope in block.places]
+                if len(shared) * SMALL_SCOPE > len(chunk.ids):  # many small scopes: one product and a mask
+                    asks, number_of = np.zeros((len(block.ids), len(shared) + 1), bool), np.full(len(chunk.ids), len(shared))
+                    for i, scope in enumerate(shared):
+                        asks[block.places[scope], i], number_of[chunk.places[scope]] = True, i
+                    best.add(np.arange(len(block.ids)), block.rows, chunk.rows, chunk.ids, asks[:, number_of])
+                else:
+                    for scope in shared:
+                        own, at = block.places[scope], chunk.places[scope]
+                        best.add(own, block.rows[own], chunk.rows[at], chunk.ids[at])
+                best.settle()
+        for block, best in asked.values():
+            query, ids, score = best.settle()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(block.ids[query], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64()),
+            ], names=["query_id", "candidate_id", "score"])
+
+    return run
+
+
+def _size(queries: DataFrame, *more: Column) -> int:
+    """Bytes of the queries when packed."""
+    return queries.agg(F.coalesce(F.sum(sum(more, F.size("embedding") * 8 + 24)), F.lit(0))).first()[0]
+
+
+def _search(queries: DataFrame, size: int, corpus: DataFrame, k: int, block_bytes: int, pack_rows: int) -> DataFrame:
+    """Best ``k`` of every query among the corpus rows that share a scope with it.
+
+    Both sides have (id, ``scopes``, ``embedding``); a null list of scopes meets null lists only. ``size`` is that of the queries.
+    """
+    n_parts = math.ceil(size / block_bytes)
+    if not n_parts:
+        return best_per_query(corpus.sparkSession.createDataFrame([], _SCHEMA), k)
+    def numbered(blocks: DataFrame, side: str) -> DataFrame:
+        return blocks.select(F.monotonically_increasing_id().alias(f"{side}_number"), *[F.col(c).alias(f"{side}_{c}") for c in blocks.columns])
+
+    chunks = numbered(corpus.mapInArrow(_pack(pack_rows), _BLOCK), "c")
+    if n_parts > 1:  # rows are dealt to parts by their place in a written table, so equal rows do not meet in one
+        queries = pin(queries.withColumn("__place", F.monotonically_increasing_id()), "vector-queries")
+    found = []
+    for part in range(n_parts):
+        own = queries if n_parts == 1 else queries.where(F.pmod(F.xxhash64("__place"), F.lit(n_parts)) == part).drop("__place")
+        blocks = numbered(own.mapInArrow(_pack(pack_rows), _BLOCK), "q")
+        # at most about block_bytes of packed queries are broadcast at a time
+        met = chunks.crossJoin(F.broadcast(blocks)).select(*blocks.columns, *chunks.columns)
+        hits = best_per_query(met.mapInArrow(_score(k), _SCHEMA), k)
+        found.append(hits if n_parts == 1 else pin(hits, "vector-hits").drop("rank"))
+    # a query asked in several scopes may be in several parts
+    return found[0] if n_parts == 1 else best_per_query(reduce(DataFrame.unionAll, found), k)
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, scope: bool = False,
-                block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                block_bytes: int = BLOCK_BYTES, pack_rows: int = PACK_ROWS) -> DataFrame:
     """Best ``k`` corpus vectors of every query by cosine, ties by id.
 
     ``queries`` has ``query_id, embedding`` and ``corpus`` has ``candidate_id, embedding``. With
@@ -131,23 +231,15 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, scope: bool = Fal
     with a NULL scope then find nothing, and a query may be asked in several scopes. Vectors of
     different lengths are refused. Returns ``query_id, candidate_id, score, rank``.
     """
-    columns = ["embedding", "scope"] if scope else ["embedding"]
-    queries = queries.select("query_id", *columns).where(F.col("embedding").isNotNull())
-    corpus = corpus.select("candidate_id", *columns).where(F.col("embedding").isNotNull())
-    if scope:
-        queries = queries.where(F.col("scope").isNotNull())
-        corpus = corpus.where(F.col("scope").isNotNull())
-
-    width = F.size("embedding") * 8 + (F.octet_length("scope") if scope else F.lit(0)) + 16
-    size = queries.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
-    n_blocks = math.ceil(size / block_bytes)
-    block = F.pmod(F.xxhash64("query_id", *columns), F.lit(n_blocks or 1))
-    scans = [
-        _scan(corpus, queries.where(block == number).toArrow(), k, scope) for number in range(n_blocks)
-    ]
-    if not scans:
-        return best_per_query(corpus.sparkSession.createDataFrame([], _SCHEMA), k)
-    return best_per_query(reduce(DataFrame.unionAll, scans), k)
+    def side(df: DataFrame, name: str) -> DataFrame:
+        df = df.where(F.col("embedding").isNotNull())
+        scopes = F.array("scope") if scope else F.lit(None).cast("array<string>")
+        df = df.where(F.col("scope").isNotNull()) if scope else df
+        return df.select(name, scopes.alias("scopes"), "embedding")
+
+    asked = side(queries, "query_id")
+    size = _size(asked, F.octet_length(F.array_join("scopes", ""))) if scope else _size(asked)
+    return _search(asked, size, side(corpus, "candidate_id"), k, block_bytes, pack_rows)
 
 
 def best_per_query(scored: DataFrame, k: int) -> DataFrame:
@@ -170,47 +262,119 @@ def payload_filter(points: DataFrame, **equal) -> DataFrame:
     return points
 
 
-def _planes(dims: int, bits: int, seed: int) -> np.ndarray:
-    """Directions of the projections, from a formula so that any engine gets the same buckets."""
-    place = np.arange(bits * dims, dtype=np.float64).reshape(bits, dims) + 1
-    return np.sin(place * 12.9898 + seed)
+@dataclass
+class VectorIndex:
+    """A corpus stored by cell: ``points`` (candidate_id, cell, embedding), the cells' centres, and how many to probe."""
+
+    points: DataFrame
+    centres: np.ndarray
+    probes: int
+
 
+def _lloyd(rows: np.ndarray, cells: int, rounds: int, seed: int) -> np.ndarray:
+    """Centres of ``cells`` cells by cosine; a cell that loses all rows keeps its centre."""
+    centres = rows[np.random.default_rng(seed).permutation(len(rows))[:cells]].copy()
+    for _ in range(rounds):
+        own = np.concatenate([(rows[at:at + TILE] @ centres.T).argmax(axis=1) for at in range(0, len(rows), TILE)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, rows)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1.0), centres)
+    return centres
 
-def _signatures(column: Column, bits: int, probes: int, seed: int) -> Column:
-    """Bucket of a vector by the signs of its projections, then the buckets reached by flipping
-    its least certain signs."""
 
-    @F.pandas_udf("array<bigint>")
-    def probe(vectors: pd.Series) -> pd.Series:
-        rows = np.stack(vectors.to_list()) if len(vectors) else np.empty((0, 1))
-        side = rows @ _planes(rows.shape[1], bits, seed).T
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        own = (side > 0) @ weights
-        near = np.argsort(np.abs(side), axis=1)[:, : max(probes - 1, 0)]
-        flipped = own[:, None] ^ weights[near]
-        buckets = np.concatenate([own[:, None], flipped], axis=1)
-        return pd.Series(list(buckets))
+def _probes_for(rows: np.ndarray, centres: np.ndarray, k: int, recall: float, asked: int = 512) -> int:
+    """Cells to probe so that ``recall`` of the ``k`` nearest sample rows of sample rows lie in them."""
+    cell = np.concatenate([(rows[at:at + TILE] @ centres.T).argmax(axis=1) for at in range(0, len(rows), TILE)])
+    ranks = []
+    for i in range(min(asked, len(rows))):
+        scores = rows @ rows[i]
+        scores[i] = -np.inf
+        near = np.argsort(-scores)[: min(k, len(rows) - 1)]
+        order = np.empty(len(centres), np.int64)
+        order[np.argsort(-(centres @ rows[i]))] = np.arange(len(centres))
+        ranks.append(order[cell[near]])
+    ranks = np.concatenate(ranks)
+    return int(np.quantile(ranks, recall)) + 1 if len(ranks) else len(centres)
 
-    return probe(column)
 
+def _with_cells(centres: np.ndarray, n: int):
+    """Rows (id, embedding) with the ``n`` nearest cells, nearest first."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                side = _matrix(batch.column(1)) @ centres.T
+                near = np.argsort(-side, axis=1, kind="stable")[:, :n]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(near.tolist(), pa.list_(pa.int32())), batch.column(1)],
+                    names=[batch.schema.names[0], "cells", "embedding"],
+                )
+
+    return run
 
-def approx_vector_topk(queries: DataFrame, corpus: DataFrame, k: int, bits: int = 10,
-                       probes: int = 8, seed: int = 7, **limits) -> DataFrame:
-    """Approximate search: random-projection buckets choose the candidates, cosine ranks them.
 
-    A bucket is a scope of the exact search, so only vectors of equal buckets are multiplied. There
-    are ``2 ** bits`` buckets; raising ``probes`` to ``bits + 1`` widens the search to all one-bit
-    neighbours. A query is asked once per probed bucket. :func:`recall_at_k` measures what is missed.
+def _in_cells(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
+    name, kinds = df.columns[0], dict(df.dtypes)
+    return df.mapInArrow(_with_cells(centres, n), f"{name} {kinds[name]}, cells array<int>, embedding {kinds['embedding']}")
+
+
+def build_index(corpus: DataFrame, k: int = 10, cells: int | None = None, recall: float = RECALL,
+                sample_rows: int = SAMPLE_ROWS, rounds: int = 8, seed: int = 7) -> VectorIndex:
+    """Cells learned from a sample, and every corpus row written under its nearest cell.
+
+    There are 16 cells per square root of the corpus unless given, ``MAX_CELLS`` at most. The sample, about ``sample_rows``
+    rows chosen by the hash of their id, is all that reaches the driver. How many cells a search probes is read
+    off the sample's own neighbours: as many as hold ``recall`` of the nearest ``k``.
     """
-    bucket = _signatures(F.col("embedding"), bits, 1, seed)[0].cast("string")
-    placed = corpus.select("candidate_id", "embedding", bucket.alias("scope"))
-    probed = queries.select(
-        "query_id", "embedding",
-        F.explode(
-            _signatures(F.col("embedding"), bits, probes, seed).cast("array<string>")
-        ).alias("scope"),
-    )
-    return vector_topk(probed, placed, k, scope=True, **limits)
+    corpus = corpus.select("candidate_id", "embedding").where(F.col("embedding").isNotNull())
+    n = corpus.count()
+    place = F.pmod(F.xxhash64("candidate_id"), F.lit(1 << 30))
+    some = corpus.where(place < F.lit(1 << 30 if n <= sample_rows else sample_rows * (1 << 30) // n))
+    sample = _matrix(some.orderBy("candidate_id").select("embedding").toArrow()["embedding"])
+    cells = max(1, min(cells or int(16 * math.sqrt(n)), MAX_CELLS, len(sample)))
+    if not len(sample):
+        return VectorIndex(corpus.select("candidate_id", F.lit(0).alias("cell"), "embedding"), np.zeros((1, 1)), 1)
+    centres = _lloyd(sample, cells, rounds, seed)
+    placed = _in_cells(corpus, centres, 1).select("candidate_id", F.col("cells")[0].alias("cell"), "embedding")
+    stored = placed.repartitionByRange("cell", "candidate_id").sortWithinPartitions("cell", "candidate_id")
+    return VectorIndex(pin(stored, "vector-cells"), centres, min(cells, _probes_for(sample, centres, k, recall)))
+
+
+def search_index(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None,
+                 block_bytes: int = BLOCK_BYTES, pack_rows: int = PACK_ROWS) -> DataFrame:
+    """Best ``k`` of every query in its ``probes`` nearest cells, ranked by exact cosine.
+
+    A cell is a scope of the exact search, so only vectors of probed cells are multiplied.
+    """
+    asked = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
+    if index.points.isEmpty():
+        return best_per_query(asked.sparkSession.createDataFrame([], _SCHEMA), k)
+    probes = min(probes or index.probes, len(index.centres))
+    size = _size(asked, F.lit(8 * probes))
+    asked = _in_cells(asked, index.centres, probes).select("query_id", F.col("cells").cast("array<string>").alias("scopes"), "embedding")
+    points = index.points.select("candidate_id", F.array(F.col("cell").cast("string")).alias("scopes"), "embedding")
+    return _search(asked, size, points, k, block_bytes, pack_rows)
+
+
+def scanned_share(index: VectorIndex, queries: DataFrame, probes: int | None = None) -> DataFrame:
+    """One row: ``share``, the part of all pairs of a query and a corpus row that a search multiplies."""
+    asked = _in_cells(queries.select("query_id", "embedding").where(F.col("embedding").isNotNull()),
+                      index.centres, min(probes or index.probes, len(index.centres)))
+    tried = asked.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("q"))
+    held = index.points.groupBy("cell").agg(F.count("*").alias("c"))
+    pairs = held.join(tried, "cell", "left").agg(F.sum(F.col("c") * F.coalesce("q", F.lit(0))).alias("pairs"), F.sum("c").alias("c"))
+    return pairs.crossJoin(asked.agg(F.count("*").alias("q"))).select((F.col("pairs") / (F.col("c") * F.col("q"))).alias("share"))
+
+
+def approx_vector_topk(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None,
+                       probes: int | None = None, recall: float = RECALL, **limits) -> DataFrame:
+    """Approximate search: the nearest learned cells choose the candidates, cosine ranks them.
+
+    Builds an index for this one search; :func:`build_index` and :func:`search_index` keep it for more.
+    :func:`recall_at_k` measures what is missed; with all cells probed nothing is.
+    """
+    return search_index(build_index(corpus, k, cells, recall), queries, k, probes, **limits)
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Vector search against brute force, with one and with many blocks of queries."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexframe.operators import vectors as ops
@@ -35,7 +36,7 @@ def rows(df):
     return {(r.query_id, r.candidate_id, round(r.score, 6) + 0.0, r["rank"]) for r in df.collect()}
 
 
-WAYS = [{}, {"block_bytes": 8 * DIMS * 16}, {"block_bytes": 1000}]
+WAYS = [{}, {"block_bytes": 8 * DIMS * 16, "pack_rows": 7}, {"block_bytes": 1000, "pack_rows": 1}]
 
 
 @pytest.mark.parametrize("way", WAYS)
@@ -71,16 +72,55 @@ def test_zero_vector_scores_zero(spark):
     assert rows(ops.vector_topk(queries, corpus, 1)) == {(0, 1, 0.0, 1)}
 
 
-def test_approximate_search_with_all_buckets_is_exact_on_its_candidates(spark):
-    _, _, queries = made(spark, 60, 7, "query")
-    _, _, corpus = made(spark, 300, 8, "candidate")
-    exact = ops.vector_topk(queries, corpus, 5)
-    wide = ops.recall_at_k(ops.approx_vector_topk(queries, corpus, 5, bits=1, probes=2), exact)
-    assert wide.first().recall == 1.0
-    narrow = ops.recall_at_k(ops.approx_vector_topk(queries, corpus, 5, bits=4, probes=1), exact)
+def test_approximate_search_with_all_cells_is_exact(spark):
+    q, _, queries = made(spark, 60, 7, "query")
+    c, _, corpus = made(spark, 300, 8, "candidate")
+    found = ops.approx_vector_topk(queries, corpus.repartition(3), 5, cells=20, probes=20)
+    assert rows(found) == brute(q, c, 5)
+    narrow = ops.recall_at_k(ops.approx_vector_topk(queries, corpus, 5, cells=20, probes=1), ops.vector_topk(queries, corpus, 5))
     assert 0.0 < narrow.first().recall < 1.0
 
 
+def test_index_has_its_recall_on_a_small_part_of_grouped_vectors(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, DIMS))
+    matrix = (centres[rng.integers(0, 40, 4000)] + 0.3 * rng.standard_normal((4000, DIMS))).astype(np.float32)
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "candidate_id long, embedding array<float>")
+    queries = corpus.where("candidate_id % 20 = 0").withColumnRenamed("candidate_id", "query_id")
+    index = ops.build_index(corpus.repartition(4), k=10, sample_rows=1500)
+    exact, found = ops.vector_topk(queries, corpus, 10), ops.search_index(index, queries, 10)
+    assert ops.recall_at_k(found, exact).first().recall >= 0.9
+    assert ops.scanned_share(index, queries).first().share < 0.15
+    assert index.points.count() == 4000 and index.probes < len(index.centres)
+
+
+def test_blocks_that_cannot_help_are_skipped(spark, monkeypatch):
+    near = np.array([[1.0, 0.01 * i] for i in range(50)])
+    far = np.array([[-1.0, 0.01 * i] for i in range(50)])
+    made_blocks = []
+    for side in (near, far):
+        batch = pa.RecordBatch.from_arrays([
+            pa.array(range(50), pa.int64()), pa.array([None] * 50, pa.list_(pa.string())), pa.array(side.tolist(), pa.list_(pa.float64())),
+        ], names=["id", "scopes", "embedding"])
+        made_blocks.append(next(ops._pack(100)([batch])).to_pylist()[0])
+    first, second = (ops._Block(*b.values()) for b in made_blocks)
+    assert first.most(first) >= 1.0 and first.most(second) < -0.5
+    scored = []
+    add = ops._Best.add
+    monkeypatch.setattr(ops._Best, "add", lambda self, *a: (scored.append(1), add(self, *a)))
+    rows_in = [[0, *made_blocks[0].values(), n, *made_blocks[k].values()] for n, k in enumerate((0, 1, 1, 1))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows_in)], names=[f"c{i}" for i in range(12)])
+    assert sum(b.num_rows for b in ops._score(5)([batch])) == 250 and len(scored) == 1
+
+
+def test_empty_index(spark):
+    nothing = spark.createDataFrame([], "candidate_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert ops.approx_vector_topk(asked, nothing, 3).count() == 0
+    full = asked.withColumnRenamed("query_id", "candidate_id")
+    assert ops.approx_vector_topk(asked.limit(0), full, 3).count() == 0
+
+
 def test_threshold_and_payload_filter(spark):
     hits = spark.createDataFrame(
         [(1, 10, 0.6, 1), (1, 11, 0.2, 2), (2, 10, 0.4, 1)],
@@ -96,7 +136,7 @@ def test_large_ids_and_full_scores(spark):
     near = 0.4499996
     corpus = spark.createDataFrame([(big + 7, [near, (1 - near ** 2) ** 0.5])],
                                    "candidate_id long, embedding array<double>")
-    found = ops.approx_vector_topk(queries, corpus, 1, bits=1, probes=2).collect()
+    found = ops.approx_vector_topk(queries, corpus, 1).collect()
     assert {r.query_id for r in found} == {big + 1, big + 3} and {r.candidate_id for r in found} == {big + 7}
     hits = ops.vector_topk(queries.limit(1), corpus, 1)
     assert ops.score_threshold(hits, 0.45).count() == 0
