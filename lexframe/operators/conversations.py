@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions import json_field, preview, quality_score, search_term, short_tool
 from ..functions.text import SPACE
+from ..session import pin
 from .keyed import latest_by_key, newest, top_per_group
 
 TIME_ORDER = ("created_at", "turn_index", "id")
+PAIR_KEYS = ["session_id", "turn_index"]
+GRAM = 3
 TERMS_PER_BLOCK = 1024
 BLOCK_CHARS = 1 << 20
 
@@ -87,42 +90,29 @@ def search_history(queries: DataFrame, turns: DataFrame, n: int = 5, order=None,
                    block_terms: int = TERMS_PER_BLOCK) -> DataFrame:
     """Newest ``n`` pairs whose question contains the query's subject, else the newest ``n`` pairs.
 
-    ``queries`` has ``query_id, query``. Questions are matched before they are paired, so only
-    matching ones are shuffled to their answers. The terms are cut into blocks of at most about
-    ``block_terms`` terms and ``BLOCK_CHARS`` characters; each block travels with a scan of the
-    questions, which are neither copied nor shuffled for it.
+    ``queries`` has ``query_id, query``. Every distinct term is searched once. The questions' trigrams
+    are postings; a term looks up those of its rarest trigram, and what they name is verified, so the work follows the
+    matches and not terms times questions. A term with a trigram that no question has matches nothing. Terms of under
+    three characters and those with wildcards travel with one scan of the questions, in blocks of at most about
+    ``block_terms`` terms and ``BLOCK_CHARS`` characters.
     """
     asked = user_questions(turns)
     order = list(order or _ordered(asked))
-    terms = queries.select("query_id", search_term(F.col("query")).alias("term"))
-    terms = terms.where(F.col("term") != "")
-    n_terms, chars = terms.agg(F.count(F.lit(1)), F.sum(F.length("term"))).first()
-    packed = F.collect_list(F.struct(
-        "query_id", F.lower("term").alias("term"), _has_wildcard(F.col("term")).alias("wild"),
-    )).alias("terms")
-    n_blocks = max(1, math.ceil(n_terms / block_terms), math.ceil((chars or 0) / BLOCK_CHARS))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    columns = ["session_id", "turn_index", "question", "answer", *_extra(turns)]
-    asked = asked.withColumn("lowered", F.lower("question"))
-    blocks = []
-    for number in range(n_blocks):
-        matched = asked.withColumn("terms", terms.where(block == number).agg(packed).scalar())
-        # Exploding the one-element list drops questions without a match and, unlike a filter,
-        # does not make Spark match twice.
-        matched = matched.withColumn("found", _matching())
-        blocks.append(matched.select(
-            *[c for c in columns if c != "answer"],
-            F.explode(F.when(F.size("found") > 0, F.array("found"))).alias("matching"),
-        ))
-    wanted = reduce(DataFrame.unionAll, blocks)
-    pairs = pair_turns(turns, wanted)
-    hits = pairs.withColumn("query_id", F.explode("matching")).select("query_id", *columns)
-    hits = top_per_group(hits, "query_id", newest(*order), n)
+    terms = queries.select("query_id", search_term(F.col("query")).alias("term")).where(F.col("term") != "")
+    terms = terms.select("query_id", F.lower("term").alias("term"), _has_wildcard(F.col("term")).alias("wild"))
+    distinct = terms.select("term", "wild").distinct()
+    by_gram = ~F.col("wild") & (F.length("term") >= GRAM)
+    answers = _answers(turns)
+    answered = asked.join(answers.select(*PAIR_KEYS).distinct(), PAIR_KEYS, "left_semi")
+    named = _named(asked, distinct.where(by_gram))
+    matched = _matched(answered, named, distinct.where(~by_gram), block_terms)
+    newest_asked = top_per_group(matched, "term", newest(*order), n)
+    columns = [*PAIR_KEYS, "question", "answer", *_extra(turns)]
+    hits = top_per_group(newest_asked.join(answers, PAIR_KEYS), "term", newest(*order), n)
+    hits = terms.join(hits, "term").select("query_id", *columns, F.lit(True).alias("matched"))
     pair = F.struct(*columns)
     recent = recent_pairs(turns, n, order).agg(F.collect_list(pair).alias("pairs"))
-    joined = queries.select("query_id").join(
-        hits.withColumn("matched", F.lit(True)), "query_id", "left"
-    )
+    joined = queries.select("query_id").join(hits, "query_id", "left")
     shown = F.when(F.col("matched"), F.array(pair)).otherwise(recent.scalar())
     return joined.select(
         "query_id", F.coalesce("matched", F.lit(False)).alias("matched"),
@@ -130,13 +120,47 @@ def search_history(queries: DataFrame, turns: DataFrame, n: int = 5, order=None,
     ).select("query_id", *[F.col("pair")[c].alias(c) for c in columns], "matched")
 
 
+def _grams(text: Column) -> Column:
+    """The distinct overlapping trigrams of a text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1))
+
+
+def _named(asked: DataFrame, terms: DataFrame) -> DataFrame:
+    """Per question the ``named`` terms whose rarest trigram it has."""
+    postings = asked.select(*PAIR_KEYS, F.explode(_grams(F.lower("question"))).alias("gram"))
+    of_terms = terms.select("term", F.explode(_grams(F.col("term"))).alias("gram"))
+    held = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    held_by = F.coalesce("held", F.lit(0))
+    lead = of_terms.join(held, "gram", "left").groupBy("term").agg(
+        F.min_by("gram", held_by).alias("gram"), F.min(held_by).alias("least")
+    ).where("least > 0").select("term", "gram")
+    looked_up = postings.join(pin(lead, "history-leads"), "gram")
+    return looked_up.groupBy(*PAIR_KEYS).agg(F.collect_set("term").alias("named"))
+
+
+def _matched(asked: DataFrame, named: DataFrame, others: DataFrame, block_terms: int) -> DataFrame:
+    """Questions of ``asked`` with every ``term`` they contain: those named for them, and all of ``others`` by trial."""
+    n_terms, chars = others.agg(F.count(F.lit(1)), F.sum(F.length("term"))).first()
+    packed = F.collect_list(F.struct("term", "wild"))
+    n_blocks = max(1, math.ceil(n_terms / block_terms), math.ceil((chars or 0) / BLOCK_CHARS))
+    block = F.pmod(F.xxhash64("term"), F.lit(n_blocks))
+    lowered = asked.withColumn("lowered", F.lower("question"))
+    by_trial = []
+    for number in range(n_blocks):
+        tried = lowered.withColumn("terms", others.where(block == number).agg(packed).scalar())
+        by_trial.append(tried.select(*asked.columns, F.explode(_matching()).alias("term")))
+    found = F.filter("named", lambda term: F.col("lowered").contains(term))
+    by_name = lowered.join(named, PAIR_KEYS).select(*asked.columns, F.explode(found).alias("term"))
+    return reduce(DataFrame.unionAll, by_trial, by_name)
+
+
 def _matching() -> Column:
-    """Queries (of the column ``terms``) whose term the question contains."""
+    """Terms (of the column ``terms``) that the question contains."""
     text = F.col("lowered")
     found = F.filter("terms", lambda t: F.when(
         t["wild"], F.like(text, F.concat(F.lit("%"), t["term"], F.lit("%")))
     ).otherwise(text.contains(t["term"])))
-    return F.transform(found, lambda t: t["query_id"])
+    return F.transform(found, lambda t: t["term"])
 
 
 def _extra(turns: DataFrame) -> list[str]:

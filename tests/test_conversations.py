@@ -1,5 +1,8 @@
 """Turn operators where keys repeat, have gaps or tie."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +55,27 @@ def test_search_history(spark, inline):
     }
 
 
+def test_search_by_postings_equals_plain_containment(spark):
+    rng = random.Random(8)
+    letters = "abC\U0001f600"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 40))) for _ in range(120)] + [None, "", "ab" * 20000]
+    rows = []
+    for i, text in enumerate(texts):
+        rows += [(2 * i, f"s{i}", 1, "user", text, i), (2 * i + 1, f"s{i}", 2 if i % 7 else 5, "assistant", f"a{i}", i)]
+    rows += [(900, "s1", 1, "user", "abc abc", 900)]  # two questions share an answer
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(60)] + ["a_c", "b%", "zzz", "abab"]
+    asked = spark.createDataFrame(list(enumerate(words + words[:5])), "query_id long, query string")
+    got = ops.search_history(asked, turns(spark, rows), 4).where("matched").select("query_id", "id").collect()
+    answered = sorted(((r[5], r[2], r[0]), r[4]) for r in rows if r[3] == "user" and r[4] is not None
+                      and (r[1], 2, "assistant") in {(x[1], x[2], x[3]) for x in rows})
+    want = set()
+    for query_id, word in enumerate(words + words[:5]):
+        shape = re.compile("".join("." if c == "_" else ".*" if c == "%" else re.escape(c) for c in word.lower()), re.S)
+        hits = [key[2] for key, text in answered if shape.search(text.lower())]
+        want |= {(query_id, i) for i in hits[-4:]}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_search_of_an_empty_history(spark):
     asked = spark.createDataFrame([(1, "비계")], "query_id long, query string")
     assert ops.search_history(asked, turns(spark, []), 5).count() == 0
