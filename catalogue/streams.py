@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lexframe import rules
 from lexframe.session import scratch_path
+from lexframe.operators.vectors import vectorize
+from lexframe.sources.parts import read_parts
 from lexframe.sources.schemas import ARTICLES, POINTS
-from lexframe.sources.versions import read_current
 from lexframe.streaming import jobs
 
 from .answers import chunks
@@ -86,21 +87,77 @@ def stream_qa_log(spark, sf_dir):
                           "failure_reason")
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS request_id, text AS answer, 'complete' AS status,
-  CAST(ceil(length(text) / 500) AS BIGINT) + 3 AS events, lang IN ('de', 'fr') AS fallback,
-  CASE WHEN lang <> 'fr' THEN '[{"law_name":"' || source || '"}]' END AS sources,
-  CAST(doc_id AS VARCHAR) AS saved_id FROM documents
-WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
-def stream_answers(spark, sf_dir):
+_BLANK = "trim(text, ' ' || chr(9) || chr(10) || chr(13)) = ''"
+
+
+def _chunk_stream(spark, sf_dir):
+    """Every document as a streamed answer of 500 characters a chunk; a meta chunk names its source as citation."""
+    cited = F.struct(F.col("source").alias("law_name"), F.col("doc_id").cast("string").alias("article_number"),
+                     F.lit(0.5).alias("score"), F.lit(1).alias("rank"))
+    meta = F.to_json(F.struct(
+        F.concat("lang", F.lit("_tool")).alias("tool"), F.lit("semantic").alias("query_type"), F.col("source").alias("selected_source"),
+        F.array("source", "lang").alias("selected_articles"), (F.col("lang") == "de").alias("fallback_used"),
+        (F.col("doc_id") % 100 / 100).alias("confidence_score"), F.array(cited, cited).alias("citations"),
+    ))
+    metas = load(spark, sf_dir, "documents").where("lang <> 'es'").select(
+        F.col("doc_id").alias("request_id"), F.lit(999_999).alias("seq"), F.lit("meta").alias("event"), meta.alias("payload"))
     number = F.row_number().over(Window.partitionBy("request_id").orderBy("seq")) - 1
-    parts = chunks(spark, sf_dir, 500).withColumn("seq", number)
+    parts = chunks(spark, sf_dir, 500).unionByName(metas).withColumn("seq", number)
     at = F.timestamp_millis(F.lit(1704067200000) + F.col("seq") % 1000)
     timed = parts.select(
         F.col("request_id").cast("string").alias("request_id"),
         F.col("seq").cast("bigint").alias("seq"), "event", "payload", at.alias("at"),
     )
-    answers = jobs.stream_answers(_stream(spark, timed, "chunks"))
-    return _drained(spark, answers, "answers")
+    noise = timed.select("request_id", F.lit(None).cast("bigint").alias("seq"), "event", F.lit("?").alias("payload"), "at")
+    return _stream(spark, timed.unionByName(noise), "chunks")
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS request_id, text AS answer, 'complete' AS status,
+  CAST(ceil(length(text) / 500) AS BIGINT) + CASE WHEN lang <> 'es' THEN 4 ELSE 3 END AS events, lang IN ('de', 'fr') AS fallback,
+  CASE WHEN lang <> 'fr' THEN '[{{"law_name":"' || source || '"}}]' END AS sources,
+  CAST(doc_id AS VARCHAR) AS saved_id FROM documents WHERE NOT {_BLANK}""")
+def stream_answers(spark, sf_dir):
+    return _drained(spark, jobs.stream_answers(_chunk_stream(spark, sf_dir)), "answers")
+
+
+def _stored(spark, sf_dir, name):
+    """One of the tables that streamed answers are stored in."""
+    asked = load(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("request_id"), F.concat(F.lit("s"), F.col("doc_id") % 10).alias("session_id"),
+        F.lit("u").alias("user_id"), F.concat(F.lit("질문 "), "doc_id").alias("question"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 10).alias("asked_at"),
+    )
+    root = scratch_path(spark, "stored")
+    ended = jobs.ended_requests(_chunk_stream(spark, sf_dir))
+    jobs.store_answers(ended, asked, root, scratch_path(spark, "stored-checkpoint")).awaitTermination()
+    return spark.read.parquet(f"{root}/{name}")
+
+
+@query(f"""WITH stored AS (SELECT CAST(doc_id AS VARCHAR) AS request_id, 's' || doc_id % 10 AS session_id,
+    '{{"tool":"' || CASE WHEN lang = 'es' THEN 'law' ELSE lang END || '"}}' AS metadata, CAST(least(10 * len(regexp_extract_all(text, '「.*?」'))
+    + 5 * len(regexp_extract_all(text, '제[0-9]+조')) + 35, 100) AS INTEGER) AS score, 1704067200 + doc_id * 10 AS asked, doc_id, text
+  FROM documents WHERE NOT {_BLANK})
+SELECT request_id, session_id, metadata, score, asked AS turn_index, 'user' AS role, '질문 ' || doc_id AS content FROM stored
+UNION ALL SELECT request_id, session_id, metadata, score, asked + 1, 'assistant', text FROM stored""")
+def stream_stored_turns(spark, sf_dir):
+    return _stored(spark, sf_dir, "turns").select(
+        "request_id", "session_id", "metadata", "score", "turn_index", "role", "content")
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS request_id, source AS law_name, CAST(doc_id AS VARCHAR) AS article_number,
+  CAST(0.5 AS DOUBLE) AS score, 1 AS rank FROM documents, range(2) WHERE lang <> 'es' AND NOT {_BLANK}""")
+def stream_stored_citations(spark, sf_dir):
+    rows = _stored(spark, sf_dir, "citations")
+    return rows.select(F.col("chat_history_id").alias("request_id"), "law_name", "article_number", "score", "rank")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS request_id, lang || '_tool' AS tool, '질문 ' || doc_id AS query, 'semantic' AS query_type,
+  source AS selected_source, source || ',' || lang AS articles, lang = 'de' AS fallback_used,
+  nullif(round_even(doc_id % 100 / 100, 4), 0) AS confidence_score FROM documents WHERE lang <> 'es'""")
+def stream_stored_log(spark, sf_dir):
+    return _stored(spark, sf_dir, "log").select(
+        "request_id", "tool", "query", "query_type", "selected_source", F.array_join("selected_articles", ",").alias("articles"),
+        "fallback_used", "confidence_score")
 
 
 @query(ROUTING_SQL["route_questions"].rsplit("SELECT conv_id", 1)[0] + """
@@ -133,7 +190,7 @@ def stream_sync(spark, sf_dir):
     arriving = spark.readStream.schema("law_name string, doc string").parquet(inbox)
     now = F.lit("2026-01-01").cast("timestamp_ntz")
     jobs.stream_sync(arriving, root, scratch_path(spark, "sync-checkpoint"), now).awaitTermination()
-    synced = read_current(spark, root, ARTICLES, "law_name_norm")
+    synced = read_parts(spark, f"{root}/articles", ARTICLES)
     return synced.select("law_name_norm", "article_number_norm", "text")
 
 
@@ -147,18 +204,19 @@ def stream_unresolved(spark, sf_dir):
 
 
 @query(DOCUMENT_SQL["extract_articles"].rsplit("SELECT law_name_norm", 1)[0]
-       + """SELECT law_name_norm, article_number_norm, text, len(law_name_norm) AS dim FROM articles""")
+       + """SELECT law_name_norm, article_number_norm, text, 32 AS dims, true AS unit FROM articles""")
 def stream_sync_vectors(spark, sf_dir):
-    """The vector table that follows the articles."""
+    """The vector table that follows the articles: unit term vectors of their texts."""
     root, inbox = scratch_path(spark, "corpus"), scratch_path(spark, "inbox")
     statutes(spark, sf_dir).write.parquet(inbox)
     arriving = spark.readStream.schema("law_name string, doc string").parquet(inbox)
     now = F.lit("2026-01-01").cast("timestamp_ntz")
 
     def embed(articles):
-        length = F.length("law_name_norm").cast("float")
-        return articles.select("law_name_norm", "article_number_norm", F.array(length).alias("embedding"))
+        return vectorize(articles.select("law_name_norm", "article_number_norm", "text"), "text", 32)
 
     jobs.stream_sync(arriving, root, scratch_path(spark, "sync-checkpoint"), now, embed).awaitTermination()
-    points = read_current(spark, f"{root}/points", POINTS, "law_name_norm")
-    return points.select("law_name_norm", "article_number_norm", "text", F.col("embedding")[0].cast("bigint").alias("dim"))
+    points = read_parts(spark, f"{root}/points", POINTS)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    unit = (F.abs(norm - 1) < 1e-3) | (norm == 0)
+    return points.select("law_name_norm", "article_number_norm", "text", F.size("embedding").alias("dims"), unit.alias("unit"))

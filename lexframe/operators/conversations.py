@@ -309,9 +309,10 @@ def cascade_citations(citations: DataFrame, turns: DataFrame) -> DataFrame:
     return citations.join(kept, "chat_history_id", "left_semi")
 
 
-def append_turns(answered: DataFrame, default_session: str = "default_session") -> DataFrame:
+def append_turns(answered: DataFrame, default_session: str = "default_session", keep=()) -> DataFrame:
     """Two rows per answered question; ``answered`` has
-    ``session_id, user_id, question, answer, tool, asked_at``. Empty answers are not stored."""
+    ``session_id, user_id, question, answer, tool, asked_at``. Empty answers are not stored.
+    The columns named in ``keep`` are passed on."""
     stored = drop_empty_answers(answered)
     turn = F.unix_seconds(F.col("asked_at").cast("timestamp"))
     rows = F.array(
@@ -322,13 +323,14 @@ def append_turns(answered: DataFrame, default_session: str = "default_session")
     )
     session = F.coalesce(F.nullif("session_id", F.lit("")), F.lit(default_session))
     return stored.select(
+        *keep,
         session.alias("session_id"),
         "user_id",
         F.to_json(F.struct(short_tool(F.col("tool")).alias("tool"))).alias("metadata"),
         quality_score(F.col("answer")).alias("score"),
         F.col("asked_at").alias("created_at"),
         F.explode(rows).alias("turn"),
-    ).select("session_id", "user_id", "metadata", "score", "created_at", "turn.*")
+    ).select(*keep, "session_id", "user_id", "metadata", "score", "created_at", "turn.*")
 
 
 def citation_rows(answered: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Versioned article tables: extraction, merge, stale rows, reconciliation, vectors, caches.
 
 Plain files know no MERGE or DELETE, so every operator returns the new table; see
-``sources.versions`` for publishing it.
+``sources.parts`` for replacing parts of it.
 """
 
 from __future__ import annotations

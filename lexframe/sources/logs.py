@@ -21,12 +21,13 @@ def read_qa_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_log_lines(spark.read.text(path, recursiveFileLookup=True))
 
 
-def log_rows(requests: DataFrame, query_chars: int | None = None) -> DataFrame:
+def log_rows(requests: DataFrame, query_chars: int | None = None, keep=()) -> DataFrame:
     """Requests as they are logged: score rounded, 0 as NULL, the query cut to ``query_chars``
-    characters where that is given (300 in the service)."""
+    characters where that is given (300 in the service). The columns named in ``keep`` are passed on."""
     asked = F.col("query") if query_chars is None else F.substring("query", 1, query_chars)
     score = F.col("confidence_score")
     return requests.select(
+        *keep,
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"),
         "tool",
         asked.alias("query"),

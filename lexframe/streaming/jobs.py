@@ -8,20 +8,20 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from .. import rules
 from ..functions import normalize_name
+from ..operators.conversations import append_turns, citation_rows, drop_empty_answers
 from ..operators.corpus import KEYS
 from ..operators.logs import flag_failures
 from ..operators.lookup import resolve_routes
 from ..plans.routing import apply_rules
 from ..plans.sync import sync_corpus
 from ..session import pin
-from ..sources.logs import parse_log_lines
+from ..sources.logs import log_rows, parse_log_lines
+from ..sources.parts import PARTS, part_of, read_parts, replace_parts
 from ..sources.schemas import ARTICLES, POINTS
-from ..sources.versions import current_version, publish, read_current
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, once: bool = True,
@@ -64,23 +64,27 @@ def stream_metrics(requests: DataFrame, window: str = "1 minute",
 
 _ANSWER = (
     "request_id string, answer string, status string, sources string, saved_id string, "
-    "fallback boolean, events bigint"
+    "fallback boolean, events bigint, meta string"
 )
-_STATE = "chunks string, done boolean"
+_META = (
+    "tool string, query_type string, selected_source string, selected_articles array<string>, fallback_used boolean, "
+    "confidence_score double, citations array<struct<law_name string, article_number string, score double, rank int>>"
+)
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _assembled(request_id: str, chunks: list, status: str) -> dict | None:
+def _assembled(request_id: str, chunks: list, status: str) -> dict:
     chunks = sorted(chunks)
-    answer = "".join(p for _, event, p in chunks if event == "text")
-    if not answer.strip():
-        return None
     fallback = any(
         event == "status" and "Web" in p and "fallback" in p.lower() for _, event, p in chunks
     )
-    sources = saved = None
+    sources = saved = meta = None
     for _, event, payload in chunks:
         if event == "saved":
             saved = payload
+        elif event == "meta":
+            meta = payload
         elif event == "source" and payload.startswith("{"):
             try:
                 laws = json.loads(payload).get("retrieved_laws")
@@ -91,56 +95,121 @@ def _assembled(request_id: str, chunks: list, status: str) -> dict | None:
         elif event == "source" and "web" in payload.lower():
             fallback = True
     return {
-        "request_id": request_id, "answer": answer, "status": status, "sources": sources,
-        "saved_id": saved, "fallback": fallback, "events": len(chunks),
+        "request_id": request_id, "answer": "".join(p for _, event, p in chunks if event == "text"),
+        "status": status, "sources": sources, "saved_id": saved, "fallback": fallback,
+        "events": len(chunks), "meta": meta,
     }
 
 
-def _whole(chunks: list, terminal: str) -> bool:
-    """The terminal event is there and nothing numbered before it is missing."""
-    ends = [seq for seq, event, _ in chunks if event == terminal]
-    return bool(ends) and {seq for seq, _, _ in chunks}.issuperset(range(min(ends)))
+def _whole(chunks: list, end: int) -> bool:
+    """Nothing numbered up to the terminal event is missing."""
+    return {seq for seq, _, _ in chunks}.issuperset(range(end + 1))
 
 
-def stream_answers(chunks: DataFrame, delay: str = "1 minute", timeout_ms: int = 300_000,
-                   terminal: str = "saved") -> DataFrame:
-    """Answers put together from chunks, once per request: ``complete`` when the terminal event and
-    all chunks before it (``seq`` counts from 0) are there, ``incomplete`` when ``timeout_ms`` of event
-    time pass without that. Empty answers are skipped.
-    """
+class _Assembler(StatefulProcessor):
+    """Chunks of a request as list state, appended to and read once they can be whole; an event-time timer ends it."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame],
-             state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            stored, done = state.get
-            state.remove()
-            row = None if done else _assembled(key[0], json.loads(stored), "incomplete")
-            yield pd.DataFrame([row] if row else [], columns=_columns(_ANSWER))
-            return
-        stored, done = state.get if state.exists else ("[]", False)
-        held, latest = json.loads(stored), 0
-        for batch in batches:
+    def __init__(self, timeout_ms: int, terminal: str):
+        self.timeout_ms, self.terminal = timeout_ms, terminal
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chunks = handle.getListState("chunks", "seq bigint, event string, payload string")
+        self.progress = handle.getValueState("progress", "held bigint, ends bigint, done boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, ends, done = self.progress.get() if self.progress.exists() else (0, -1, False)
+        latest, row = 0, None
+        for batch in rows:
             latest = max(latest, int(batch["at"].max().timestamp() * 1000))
-            held += [[int(s), e, p] for s, e, p in zip(batch["seq"], batch["event"],
-                                                       batch["payload"])]
-        row = None
-        if not done and _whole(held, terminal):
-            row, done = _assembled(key[0], held, "complete"), True
-        state.update(("[]" if done else json.dumps(held, ensure_ascii=False), done))
-        state.setTimeoutTimestamp(
-            max(latest, state.getCurrentWatermarkMs()) + timeout_ms
-        )
+            new = [(int(s), e, p) for s, e, p in zip(batch["seq"], batch["event"], batch["payload"])]
+            if not done:
+                self.chunks.appendList(new)
+                held += len(new)
+                for seq, event, _ in new:
+                    if event == self.terminal and (ends < 0 or seq < ends):
+                        ends = seq
+        if not done and 0 <= ends < held:
+            chunks = [tuple(c) for c in self.chunks.get()]
+            if _whole(chunks, ends):
+                row, done = _assembled(key[0], chunks, "complete"), True
+                self.chunks.clear()
+        self.progress.update((held, ends, done))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.timeout_ms)
         yield pd.DataFrame([row] if row else [], columns=_columns(_ANSWER))
 
-    kept = chunks.select("request_id", "seq", "event", F.coalesce("payload", F.lit("")).alias(
-        "payload"), "at").withWatermark("at", delay)
-    return kept.groupBy("request_id").applyInPandasWithState(
-        step, _ANSWER, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        done = self.progress.get()[2] if self.progress.exists() else True
+        chunks = [] if done else [tuple(c) for c in self.chunks.get()]
+        self.chunks.clear()
+        self.progress.clear()
+        yield pd.DataFrame([] if done else [_assembled(key[0], chunks, "incomplete")], columns=_columns(_ANSWER))
+
+    def close(self) -> None:
+        pass
 
 
 def _columns(ddl: str) -> list[str]:
-    return [part.split()[0] for part in ddl.split(",")]
+    return [part.split()[0] for part in ddl.split(", ")]
+
+
+def ended_requests(chunks: DataFrame, delay: str = "1 minute", timeout_ms: int = 300_000,
+                   terminal: str = "saved") -> DataFrame:
+    """One row per request that has ended: ``complete`` when the terminal event and all chunks before it
+    (``seq`` counts from 0) are there, ``incomplete`` when ``timeout_ms`` of event time pass without that.
+
+    Chunks without request, number or time are dropped. The list state and timers need Spark's RocksDB state
+    store, which is set here where the session still has the default one.
+    """
+    spark = chunks.sparkSession
+    if "RocksDB" not in spark.conf.get(_STORE_KEY):
+        spark.conf.set(_STORE_KEY, _STORE)
+    usable = F.col("request_id").isNotNull() & F.col("seq").isNotNull() & F.col("at").isNotNull()
+    kept = chunks.where(usable).select(
+        "request_id", "seq", F.coalesce("event", F.lit("")).alias("event"),
+        F.coalesce("payload", F.lit("")).alias("payload"), "at",
+    ).withWatermark("at", delay)
+    return kept.groupBy("request_id").transformWithStateInPandas(
+        statefulProcessor=_Assembler(timeout_ms, terminal), outputStructType=_ANSWER,
+        outputMode="Append", timeMode="EventTime",
+    )
+
+
+def stream_answers(chunks: DataFrame, delay: str = "1 minute", timeout_ms: int = 300_000,
+                   terminal: str = "saved") -> DataFrame:
+    """Answers put together from chunks, once per request (see :func:`ended_requests`). Empty answers are skipped."""
+    return drop_empty_answers(ended_requests(chunks, delay, timeout_ms, terminal)).drop("meta")
+
+
+def store_answers(ended: DataFrame, requests: DataFrame, root: str, checkpoint: str,
+                  default_session: str = "default_session", query_chars: int | None = None) -> StreamingQuery:
+    """Store ended requests as turns, citations and log rows, all in one ``foreachBatch``.
+
+    ``ended`` comes from :func:`ended_requests`, ``requests`` is a table of ``request_id, session_id, user_id, question,
+    asked_at``. An answer's two turns and the citations of its meta chunk are stored unless it is empty; every
+    request with a meta chunk is logged. A batch writes folders of its own under ``root/turns``, ``root/citations`` and
+    ``root/log``; repeated after a failure it replaces them, so nothing is stored twice.
+    """
+    def take(batch: DataFrame, batch_id: int) -> None:
+        known = pin(batch.join(requests, "request_id").withColumn("m", F.from_json("meta", _META)), "ended")
+        answered = known.withColumn("tool", F.coalesce("m.tool", F.lit(rules.DEFAULT_TOOL)))
+        cited = drop_empty_answers(answered).select(
+            F.col("request_id").alias("chat_history_id"), F.col("m.citations").alias("citations"))
+        logged = answered.where(F.col("m").isNotNull()).select(
+            "request_id", F.col("asked_at").alias("ts"), "tool", F.col("question").alias("query"),
+            *[F.col(f"m.{c}").alias(c) for c in ("query_type", "selected_source", "selected_articles")],
+            F.coalesce("m.fallback_used", F.lit(False)).alias("fallback_used"), "m.confidence_score",
+        )
+        for name, rows in (
+            ("turns", append_turns(answered, default_session, keep=("request_id",))),
+            ("citations", citation_rows(cited)), ("log", log_rows(logged, query_chars, keep=("request_id",))),
+        ):
+            rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+
+    writer = ended.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
 
 def stream_route(questions: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -163,35 +232,33 @@ def stream_dedup(results: DataFrame, key: str, time: str, delay: str = "1 hour")
     return present.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def stream_sync(documents: DataFrame, root: str, checkpoint: str, now: Column, embed=None) -> StreamingQuery:
-    """Take arriving documents into the published article table, one version per batch.
+def stream_sync(documents: DataFrame, root: str, checkpoint: str, now: Column, embed=None,
+                parts: int = PARTS) -> StreamingQuery:
+    """Take arriving documents into the article table under ``root/articles``.
 
-    Only the laws of a batch are read and written. With ``embed`` (see :func:`sync_corpus`) the vector
-    table under ``root/points`` follows, and a reconciliation of the batch's laws is kept under
-    ``root/report``. A batch that is repeated after a failure finds its version published and
-    changes nothing.
+    The table is dealt into ``parts`` by the hash of the law; a batch reads and replaces the parts of its laws only. With
+    ``embed`` (see :func:`sync_corpus`) the vector table under ``root/points`` follows, and a reconciliation of those parts
+    is kept under ``root/report``. Taking the same documents in again gives the same rows, so a batch that is repeated
+    after a failure changes nothing; ``parts`` must not change over the life of a table.
     """
     law = KEYS[0]
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        spark, version = batch.sparkSession, batch_id + 1
-        published = current_version(spark, root)
-        if published is not None and published >= version:
-            return
+        spark = batch.sparkSession
         batch = pin(batch, "arrived")
-        laws = batch.select(normalize_name(F.col("law_name")).alias(law)).distinct()
+        numbers = batch.select(part_of(normalize_name(F.col("law_name")), parts).alias("part")).distinct()
+        wanted = sorted(r["part"] for r in numbers.collect())  # ``parts`` numbers at most
 
-        def stored(path: str, schema: str) -> DataFrame:
-            return read_current(spark, path, schema, law).join(laws, law, "left_semi")
+        def stored(name: str, schema: str) -> DataFrame:
+            return read_parts(spark, f"{root}/{name}", schema, wanted)
 
-        points = stored(f"{root}/points", POINTS) if embed else None
-        result = sync_corpus(stored(root, ARTICLES), batch, now, points, embed)
-        result.quarantine.write.mode("overwrite").parquet(f"{root}/quarantine/version={version}")
+        points = stored("points", POINTS) if embed else None
+        result = sync_corpus(stored("articles", ARTICLES), batch, now, points, embed)
+        result.quarantine.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
         if embed:
-            # points first: the article version is what marks the batch as done
-            result.report.write.mode("overwrite").parquet(f"{root}/report/version={version}")
-            publish(result.points, f"{root}/points", version, law, laws)
-        publish(result.articles, root, version, law, laws)
+            result.report.write.mode("overwrite").parquet(f"{root}/report/batch={batch_id}")
+            replace_parts(pin(result.points, "synced-points"), f"{root}/points", law, parts)
+        replace_parts(pin(result.articles, "synced-articles"), f"{root}/articles", law, parts)
 
     writer = documents.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

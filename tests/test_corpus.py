@@ -1,4 +1,4 @@
-"""Extraction, merge, stale rows, reconciliation, sync and published versions."""
+"""Extraction, merge, stale rows, reconciliation, sync and replaced parts."""
 
 import datetime as dt
 import json
@@ -11,7 +11,7 @@ from lexframe.plans.sync import sync_corpus
 from lexframe.session import scratch_path
 from lexframe.sources.schemas import ARTICLES
 from lexframe.sources.statutes import read_statute_json, split_documents
-from lexframe.sources.versions import current_version, publish, read_current
+from lexframe.sources.parts import part_of, read_parts, replace_parts
 
 LAW = "재난및안전관리기본법"
 
@@ -173,17 +173,20 @@ def test_documents_from_files(spark, tmp_path):
     assert ops.extract_articles(good).first().text == "가\n나"
 
 
-def test_published_versions(spark):
-    root = scratch_path(spark, "versions")
-    assert current_version(spark, root) is None
-    assert read_current(spark, root, "a int", "a").count() == 0
-    first = spark.range(3).selectExpr("cast(id as int) a")
-    assert publish(first, root, 1, "a", first)
-    assert not publish(spark.range(9).selectExpr("cast(id as int) a"), root, 1, "a", first)
-    current = read_current(spark, root, "a int", "a")
-    grown = current.union(current)
-    assert publish(grown, root, 2, "a", grown)
-    assert current_version(spark, root) == 2 and read_current(spark, root, "a int", "a").count() == 6
+def test_parts_are_replaced_alone(spark):
+    path = scratch_path(spark, "parts")
+    schema = "law string, n int"
+    assert read_parts(spark, path, schema).count() == 0
+    laws = [f"law{i}" for i in range(20)]
+    replace_parts(spark.createDataFrame([(x, 1) for x in laws], schema), path, "law", 8)
+    new = spark.createDataFrame([("law3", 2)], schema)
+    part = new.select(part_of("law", 8).alias("p")).first().p
+    others = {r.law for r in spark.createDataFrame([(x,) for x in laws], "law string").where(part_of("law", 8) != part).collect()}
+    assert {r.law for r in read_parts(spark, path, schema).collect()} == set(laws)
+    replace_parts(new, path, "law", 8)
+    replace_parts(new, path, "law", 8)
+    assert {tuple(r) for r in read_parts(spark, path, schema).collect()} == {("law3", 2)} | {(x, 1) for x in others}
+    assert {tuple(r) for r in read_parts(spark, path, schema, [part]).collect()} == {("law3", 2)}
 
 
 def test_cache_misses_collapse_copies(spark):

@@ -5,9 +5,9 @@ import json
 from pyspark.sql import functions as F
 
 from lexframe.session import scratch_path
+from lexframe.sources.parts import part_of, read_parts
 from lexframe.sources.schemas import ARTICLES
 from lexframe.sources.statutes import stream_statute_json
-from lexframe.sources.versions import current_version, read_current
 from lexframe.streaming import jobs
 
 CHUNKS = "request_id string, seq long, event string, payload string, at timestamp"
@@ -60,20 +60,35 @@ def test_damaged_sources_and_late_chunks(spark):
     assert [(r.request_id, r.answer, r.status, r.sources) for r in rows] == [("a", "가나", "complete", None)]
 
 
-def test_versions_are_compacted_and_damage_is_not_taken_for_empty(spark, monkeypatch):
-    from lexframe.sources import versions
-
-    monkeypatch.setattr(versions, "COMPACT_AFTER", 2)
-    root = scratch_path(spark, "versions")
-    for version in range(1, 6):
-        law = f"l{version % 2}"
-        df = spark.createDataFrame([(law, version)], "law string, n bigint")
-        assert versions.publish(df, root, version, "law", df) and not versions.publish(df, root, version, "law", df)
-        rows = versions.read_current(spark, root, "law string, n bigint", "law").collect()
-        assert sorted((r.law, r.n) for r in rows) == sorted(
-            {f"l{v % 2}": v for v in range(1, version + 1)}.items())
-    empty = scratch_path(spark, "none")
-    assert current_version(spark, empty) is None and read_current(spark, empty, "a int", "a").count() == 0
+def test_stored_answers_are_stored_once(spark):
+    requests = spark.createDataFrame(
+        [("a", "s", "u", "qa", at(0)), ("b", None, "u", "qb", at(10)), ("c", "s", "u", "qc", at(20))],
+        "request_id string, session_id string, user_id string, question string, asked_at timestamp")
+    meta = json.dumps({"tool": "law_rag_tool", "query_type": "semantic", "confidence_score": 0.0, "selected_articles": ["x"],
+                       "citations": [{"law_name": "법", "article_number": "3", "score": 0.5, "rank": 1}]})
+    rows = [
+        ("a", 0, "meta", meta, at(0)), ("a", 2, "saved", "1", at(2)), ("b", 0, "meta", "{broken", at(1)), ("b", 1, "text", "답 b", at(1)),
+        ("b", 2, "saved", "2", at(1)), ("c", 0, "meta", meta, at(1)), ("c", 1, "text", " ", at(1)), ("c", 2, "saved", "3", at(1)),
+        ("a", None, "text", "?", at(1)), (None, 1, "text", "?", at(1)), ("a", 3, None, None, at(1)), ("a", 0, "meta", meta, at(1)),
+    ]
+    inbox, root, checkpoint = (scratch_path(spark, n) for n in ("inbox", "root", "checkpoint"))
+
+    def push(rows):
+        spark.createDataFrame(rows, CHUNKS).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(CHUNKS).parquet(inbox)
+        ended = jobs.ended_requests(stream, "10 seconds", 60_000)
+        jobs.store_answers(ended, requests, root, checkpoint).awaitTermination()
+
+    push(rows)
+    push([("a", 1, "text", "답 a", at(3)), ("b", 9, "status", "late", at(3))])
+    turns = sorted((r.request_id, r.role, r.session_id, r.content) for r in spark.read.parquet(f"{root}/turns").collect())
+    assert turns == [("a", "assistant", "s", "답 a"), ("a", "user", "s", "qa"),
+                     ("b", "assistant", "default_session", "답 b"), ("b", "user", "default_session", "qb")]
+    cited = spark.read.parquet(f"{root}/citations").collect()
+    assert [(r.chat_history_id, r.law_name, r.article_number, r.rank) for r in cited] == [("a", "법", "3", 1)]
+    log = spark.read.parquet(f"{root}/log").collect()
+    assert sorted((r.request_id, r.query, r.tool, r.confidence_score) for r in log if r.query_type) == [
+        ("a", "qa", "law_rag_tool", None), ("c", "qc", "law_rag_tool", None)]
 
 
 def test_windows_drop_late_rows(spark):
@@ -128,16 +143,21 @@ def test_statutes_arrive_twice(spark, tmp_path):
         stream = stream_statute_json(spark, str(tmp_path))
         now = F.lit("2026-01-01").cast("timestamp_ntz")
         jobs.stream_sync(stream, root, checkpoint, now).awaitTermination()
-        rows = read_current(spark, root, ARTICLES, "law_name_norm").collect()
+        rows = read_parts(spark, f"{root}/articles", ARTICLES).collect()
         return {(r.law_name_norm, r.article_number_norm) for r in rows}
 
+    def files(law):
+        part = spark.range(1).select(part_of(F.lit(law)).alias("p")).first().p
+        return set(spark.read.parquet(f"{root}/articles/part={part}").inputFiles())
+
     write("가법.json", "1", "2")
     assert drain() == {("가법", "1"), ("가법", "2")}
+    before = files("가법")
     write("나법.json", "1")
     (tmp_path / "다법.json").write_text("broken")
     assert drain() == {("가법", "1"), ("가법", "2"), ("나법", "1")}
-    assert current_version(spark, root) == 2
-    # the second version holds the law of its batch only
-    assert {r.law_name_norm for r in spark.read.parquet(f"{root}/data/version=2").collect()} == {"나법"}
+    # the second batch rewrote the part of its laws only
+    assert files("가법") == before
     assert drain() == {("가법", "1"), ("가법", "2"), ("나법", "1")}
-    assert current_version(spark, root) == 2
+    write("가법2.json", "9")
+    assert ("가법2", "9") in drain()
