@@ -2,9 +2,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from lexframe.llm import decontaminate, simhash
+from lexframe.llm import decontaminate
 from lexframe.llm.queries import ORACLES, QUERIES
 from lexframe.session import pin
+from test_llm_near_copies import brute
 
 
 def test_stages_keep_the_columns_and_take_effect(spark, sf_dir):
@@ -16,8 +17,8 @@ def test_stages_keep_the_columns_and_take_effect(spark, sf_dir):
         assert out.join(docs, "doc_id", "left_anti").count() == 0
         sizes.append(out.count())
         if name == "near_dedup":
-            classes = simhash.near_duplicates(docs)
-            assert out.count() == classes.select("component_id").distinct().count()
+            rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+            assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == brute(rows)
         if name == "decontamination":
             items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
             assert decontaminate.find_items(out, items).where("contaminated").count() == 0
