@@ -9,11 +9,18 @@ from .schemas import GOLDEN_CASE, RUN
 
 
 def read_golden(spark: SparkSession, path: str, sample: int | None = None,
-                with_article: bool = False) -> DataFrame:
-    """Cases of a file whose ``dataset`` array is the table; ``sample`` keeps the first N."""
-    document = spark.read.schema(f"dataset array<struct<{_struct(GOLDEN_CASE)}>>")
-    rows = document.json(path, multiLine=True)
-    cases = rows.select(F.posexplode("dataset").alias("position", "c")).select("position", "c.*")
+                with_article: bool = False, lines: bool = False) -> DataFrame:
+    """Golden cases; ``sample`` keeps the first N.
+
+    A file is one document whose ``dataset`` array is the table, or with ``lines`` a case per line that has its
+    ``position``, which many tasks read and write together.
+    """
+    if lines:
+        cases = spark.read.schema(f"position int, {GOLDEN_CASE}").json(path)
+    else:
+        document = spark.read.schema(f"dataset array<struct<{_struct(GOLDEN_CASE)}>>")
+        rows = document.json(path, multiLine=True)
+        cases = rows.select(F.posexplode("dataset").alias("position", "c")).select("position", "c.*")
     if with_article:
         cases = cases.where(F.coalesce("article_number", F.lit("")) != "")
     return cases.orderBy("position").limit(sample) if sample else cases

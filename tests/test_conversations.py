@@ -33,16 +33,16 @@ def test_context_takes_the_newest_and_breaks_ties(spark):
 
 
 HISTORY = [
-    (1, "a", 1, "user", "비계 설치 기준", 1), (2, "a", 2, "assistant", "답1", 1),
+    (1, "a", 1, "user", "환기 설비", 1), (2, "a", 2, "assistant", "답1", 1),
     (3, "b", 1, "user", "100% 안전한가 A_b", 2), (4, "b", 2, "assistant", "답2", 2),
-    (5, "c", 1, "user", "비계 점검 ABC", 3), (6, "c", 2, "assistant", "답3", 3),
+    (5, "c", 1, "user", "환기 점검 ABC", 3), (6, "c", 2, "assistant", "답3", 3),
 ]
 
 
 @pytest.mark.parametrize("inline", [1024, 2])
 def test_search_history(spark, inline):
     asked = spark.createDataFrame([
-        (1, "비계 기록에서 확인해줘"), (2, "없는 말 찾아줘"), (3, "기록에서 알려줘"), (4, "abc"), (5, "a_c"),
+        (1, "환기 기록에서 확인해줘"), (2, "없는 말 찾아줘"), (3, "기록에서 알려줘"), (4, "abc"), (5, "a_c"),
         (6, "100%"),
     ], "query_id long, query string")
     found = {}
@@ -77,7 +77,7 @@ def test_search_by_postings_equals_plain_containment(spark):
 
 
 def test_search_of_an_empty_history(spark):
-    asked = spark.createDataFrame([(1, "비계")], "query_id long, query string")
+    asked = spark.createDataFrame([(1, "환기")], "query_id long, query string")
     assert ops.search_history(asked, turns(spark, []), 5).count() == 0
 
 

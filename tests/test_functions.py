@@ -34,18 +34,18 @@ def test_expand_terms(column):
 
 
 def test_detect_entity_takes_longest_first(column):
-    given = ["산업안전보건법 시행규칙 제3조", "산업안전보건법 17조", "소방기본법 2조"]
+    given = ["산업안전보건법 시행규칙 제3조", "산업안전보건법을 찾는다", "철도안전법 5조"]
     assert column(fx.detect_entity, given) == ["산업안전보건법시행규칙", "산업안전보건법", None]
 
 
 def test_article_reference(column):
-    given = ["제17조 내용", "25 조 의 4", "조문 없음", "17조의2와 18조"]
-    assert column(fx.extract_article_ref, given) == ["17", "25의4", "", "17의2"]
+    given = ["제31조 전체", "6 조 의 8", "번호가 없다", "40조의3과 41조"]
+    assert column(fx.extract_article_ref, given) == ["31", "6의8", "", "40의3"]
 
 
 def test_unknown_entity(spark):
-    rows = [("소방기본법 2조", None, "2"), ("산업안전보건법 17조", "산업안전보건법", "17"),
-            ("관련법 뭐있어?", None, "")]
+    rows = [("철도안전법 5조", None, "5"), ("산업안전보건법 31조", "산업안전보건법", "31"),
+            ("번호 없는 물음", None, "")]
     df = spark.createDataFrame(rows, "q string, n string, a string")
     found = df.select(fx.mentions_unknown_entity(F.col("q"), F.col("n"), F.col("a")).alias("u"))
     assert [r.u for r in found.collect()] == [True, False, False]
@@ -65,8 +65,8 @@ def test_route_question(column):
         "미국 OSHA 사다리 규칙": "websearch_tool",
         "전기사업법 9조": "law_rag_tool",
         "용접 학원 후기": "blog_tool",
-        "비계 기록에서 확인해줘": "db_query_tool_async",
-        "비계 기록 확인": None,  # the trigger has a space, the text it is sought in has none
+        "환기 기록에서 확인해줘": "db_query_tool_async",
+        "환기 기록 확인": None,  # the trigger has a space, the text it is sought in has none
         "요즘 피곤하네": "general_tool",
         "다친 것을 숨기면 어떻게 되나": None,
         unicodedata.normalize("NFD", "안전 기준"): "law_rag_tool",
