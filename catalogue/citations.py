@@ -69,9 +69,9 @@ cited AS (
 
 @query(f"""WITH {ANSWERS_SQL}, {_CITED_SQL}
 SELECT answer_id, law_name, article_number, rank, CAST(NULL AS DOUBLE) AS score
-FROM cited WHERE rank <= 5""")
+FROM cited""")
 def extract_citations(spark, sf_dir):
-    return ops.extract_citations(answers(spark, sf_dir), limit=5)
+    return ops.extract_citations(answers(spark, sf_dir))
 
 
 _STRICT = "'\\[([^\\]]+?)\\s+제([0-9]+(?:의[0-9]+)?)조\\]'"

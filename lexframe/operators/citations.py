@@ -10,6 +10,7 @@ from ..functions import article_display, normalize_article, normalize_name, stri
 from ..functions.text import SPACE
 from .corpus import KEYS
 
+_MARKS = "\x01\x02\x03"
 _STRICT = rf"\[([^\]]+?)[{SPACE}]+제(\p{{Nd}}+(?:의\p{{Nd}}+)?)조\]"
 
 
@@ -21,31 +22,30 @@ def _pattern(text: str) -> str:
 def _placed(column: Column, notation: str, laws: list[int], article: int) -> Column:
     """(start, law_name, article_number) of every match of a notation.
 
-    Each match is taken together with the text in front of it, so the lengths of all earlier
-    pieces add up to its place. ``\\G`` keeps a text without further matches from being tried again
-    from every character.
+    One replacement marks all matches and their groups, so the text is searched once; the lengths of the
+    marked pieces add up to the places. Characters that serve as marks are blanks to the search.
     """
-    lead = rf"(?s)\G(.*?)(?:{_pattern(notation)})"
-
-    def part(piece: Column, group: int) -> Column:
-        return F.regexp_extract(piece, lead, group)
-
-    def law(piece: Column) -> Column:
-        return strip_space(F.concat(*[part(piece, group) for group in laws]))
-
+    plain = F.translate(column, _MARKS, " " * len(_MARKS))
+    begin, cut, end = _MARKS
+    law = "".join(f"${group}" for group in laws)
+    marked = F.regexp_replace(plain, _pattern(notation), f"{begin}$0{cut}{law}{cut}${article}{end}")
+    pieces = F.split(marked, end)
     empty = F.array().cast("array<struct<start:int,law_name:string,article_number:string>>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return F.aggregate(
-        F.regexp_extract_all(column, F.lit(lead), 0), start,
-        lambda state, piece: F.struct(
-            (state["at"] + F.char_length(piece)).alias("at"),
+
+    def add(state: Column, piece: Column) -> Column:
+        text, match, name, number = (F.get(F.split(piece, f"[{begin}{cut}]"), i) for i in range(4))
+        place = state["at"] + F.char_length(text)
+        return F.struct(
+            (place + F.char_length(match)).alias("at"),
             F.array_append(state["found"], F.struct(
-                (state["at"] + F.char_length(part(piece, 1))).alias("start"),
-                law(piece).alias("law_name"), part(piece, article).alias("article_number"),
+                place.alias("start"), strip_space(name).alias("law_name"), number.alias("article_number"),
             )).alias("found"),
-        ),
-        lambda state: state["found"],
-    )
+        )
+
+    # what follows the last match has no mark
+    matched = F.filter(pieces, lambda piece: piece.contains(begin))
+    return F.aggregate(matched, start, add, lambda state: state["found"])
 
 
 def cited_articles(column: Column, limit: int | None = None) -> Column:
@@ -56,7 +56,7 @@ def cited_articles(column: Column, limit: int | None = None) -> Column:
     candidate = column.contains("조") & (column.contains("[") | column.contains("**"))
     text = F.coalesce(F.when(candidate, column), F.lit(""))
     both = F.concat(
-        _placed(text, rules.CITATION_OUTSIDE, [2, 3], 4), _placed(text, rules.CITATION_INSIDE, [2], 3)
+        _placed(text, rules.CITATION_OUTSIDE, [1, 2], 3), _placed(text, rules.CITATION_INSIDE, [1], 2)
     )
     named = F.array_distinct(F.transform(
         F.sort_array(both), lambda c: F.struct(c["law_name"], c["article_number"])

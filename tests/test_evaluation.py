@@ -38,6 +38,13 @@ def test_citation_notations(spark):
     assert found[7] == {1: ("항공안전법", "31의4")}
 
 
+def test_places_across_notations_and_marks_in_the_text(spark):
+    text = "앞\x01 [나법 제2조] 중\x03간\x02 **가법** 제1조 [나법] 제2조 끝 [다법 제3의2조 뒤]"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "조 [ **")], "answer_id int, answer string")
+    found = sorted((r["answer_id"], r["rank"], r["law_name"], r["article_number"]) for r in citations.extract_citations(df).collect())
+    assert found == [(1, 1, "나법", "2"), (1, 2, "가법", "1"), (1, 3, "다법", "3의2")]
+
+
 def test_verified_citations(spark):
     said = spark.createDataFrame(
         [(1, "[산업 안전법 제1조] [없는법 제2의3조] [없는법 제2의3조]"), (2, "인용 없음"), (3, None)],
