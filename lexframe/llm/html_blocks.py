@@ -3,16 +3,19 @@
 Markup is stripped into lines, one per block element. The text lengths of ``WINDOW`` neighbouring lines are summed
 for every window; text starts where the sums surge over a threshold and ends where they dive to nothing, and the
 lines between a surge and the next dive are kept. Lines of menus, headers, footers and sidebars, known by element or role,
-weigh nothing and are never kept; linked text does not weigh. Lines of forms, and of elements whose class or id tells of
-sidebars, notices, adverts or comments, weigh half as much for each such element, apart from the other lines, and stay if they surge
-by themselves; what encloses the whole page, or an article, lowers nothing. Where a page marks its article (``article``,
-``main`` or their roles), only that part weighs, by the same windows. A page whose windows all stay under the threshold
-is cut at its highest window.
+weigh nothing and are never kept; linked text does not weigh. Forms, and blocks whose class or id names sidebars, notices,
+adverts or reader comments (the head of the name counts: ``cookie-notice`` and ``comment-list`` do, ``social-policy`` and
+``has-sidebar`` do not), are left out whole, unless they hold the article or more than half of the page's unlinked
+text; for comments that half must also hold the title, or be all the text that surges. Where a page marks its article
+(``article``, ``main`` or their roles), only that part weighs, by the same windows; there a dive cuts lines of links only,
+and named blocks go unless nothing else would be left. A page whose windows all stay under the threshold is cut at its
+highest window.
 
 Defined results: a null, empty or textless page gives an empty text; character references are decoded once,
-unfinished ones as browsers do; unclosed comments and scripts run to the end; white space (any of Unicode) inside a
-block is one blank; a line break is a block end; repeated rows give the same text. Added columns replace input
-columns of the same name.
+unfinished ones as browsers do, numbers beyond Unicode as U+FFFD; unclosed comments and scripts run to the end; a tag that no
+``>`` ends is text; after a quote that never closes, quotes in tags no longer hide a ``>``; white space (any of Unicode)
+inside a block is one blank; a line break is a block end; repeated rows give the same text. Added columns replace input
+columns of the same name. The time of a page grows in proportion to its length.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ from lexframe.llm.common import add_columns
 WINDOW = 3
 SURGE = 86
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|type|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)", re.S)
+_QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|type|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"\s(?:hidden(?:[\s=/]|$)|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
-_NAMES = re.compile(r"[A-Za-z]+")
+_NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ZEROS = re.compile(r"(&#[xX]?)0{9,}")
+_HUGE = re.compile(r"&#(?:0?[1-9][0-9]{7,}|[xX]0?[1-9a-fA-F][0-9a-fA-F]{7,});?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed".split())
 _BLOCK = frozenset(
@@ -40,136 +45,209 @@ _BLOCK = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary "
     "table tbody td tfoot th thead tr ul".split())
 _BOILERPLATE = frozenset("nav footer aside button select menu dialog head".split())
-_LIGHT = frozenset("form fieldset".split())
+_FORMS = frozenset("form fieldset".split())
 _CONTAINERS = frozenset(
-    "div section ul ol dl li p span table td tr aside nav header footer form figure details a h2 h3 h4 h5 h6 em strong "
-    "small".split())
+    "div section ul ol dl dd li p table td tr aside nav header footer form figure details blockquote h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
-_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar "
-    "navigation breadcrumb breadcrumbs footer masthead comment comments discussion disqus replies cookie cookies consent "
-    "notice notices newsletter subscribe subscription popup modal overlay share sharing social related recommended "
-    "widget toolbar pagination pager login signup".split())
-_NOT_ARTICLE = frozenset("comment comments reply replies related recommended teaser promo ad advert sponsored".split())
+_COMMENTS = frozenset("comment comments discussion discussions disqus reply replies respond".split())
+_WORDS = _COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner sidebar menu "
+    "nav navbar navigation breadcrumb breadcrumbs header footer masthead cookie cookies consent gdpr notice notices "
+    "newsletter subscribe subscription popup modal overlay share sharing social related recommended widget toolbar "
+    "pagination pager login signup".split())
+#: What may follow such a word in a name without changing what the block is.
+_PARTS = frozenset(
+    "area aside bar block body bottom box boxes buttons center column container content cta footer form group heading "
+    "icons inner item items left link links list media outer panel popup posts right row section slot stories text thread "
+    "title top unit wrap wrapper".split())
+_NEGATIONS = frozenset("no has without with hide".split())
+_NOT_ARTICLE = _COMMENTS | frozenset("related recommended teaser promo ad advert sponsored".split())
+
+
+@dataclass
+class Line:
+    """A block: its text, the length of its unlinked text, whether it lies in the article, and in boilerplate."""
+
+    text: str
+    weight: int
+    inside: bool
+    silent: bool
+
+
+@dataclass
+class Block:
+    """A form or an element whose class or id names what is not main text, as a range of lines."""
+
+    first: int
+    comments: bool
+    header: bool
+    inside: bool
+    last: int = 0
+    holds_article: bool = False
+    holds_title: bool = False
 
 
 @dataclass
 class _Open:
     tag: str
     boilerplate: bool
-    light: bool
     article: bool
-    outer: int = 0
+    named: Block | None
+
+
+def _heads(value: str) -> set[str]:
+    """The head word of every name in a class or id, without what only tells of a part or place."""
+    found = set()
+    for name in value.split():
+        words = [w.lower() for w in _NAMES.findall(name) if len(w) > 1]
+        if _NEGATIONS.intersection(words):
+            continue
+        while words and words[-1] in _PARTS and words[-1] not in _WORDS:
+            words.pop()
+        if words:
+            found.add(words[-1])
+    return found
+
+
+def _decode(raw: str) -> str:
+    """Text with its character references decoded and white space as single blanks."""
+    if "&#" in raw:
+        raw = _HUGE.sub("\ufffd", _ZEROS.sub(r"\g<1>0", raw))
+    return " ".join(entities.unescape(raw).split())
+
+
+class _Page:
+    """Lines and named blocks of a page, in one pass over its tags."""
+
+    def __init__(self, page: str):
+        self.lines: list[Line] = []
+        self.named: list[Block] = []
+        self._stack: list[_Open] = []
+        self._places: dict[str, list[int]] = {}  # open elements of a tag
+        self._blocks: list[int] = []  # open block elements
+        self._articles: list[int] = []  # lines at which articles start
+        self._titles: list[int] = []
+        self._parts: list[str] = []
+        self._boilerplate = self._inside = self._linked = 0
+        self._silent = False
+        self._read(page)
+        self._flush()
+        while self._stack:
+            self._close()
 
+    def _flush(self):
+        text = _decode("".join(self._parts)) if self._parts else ""
+        if text:
+            self.lines.append(Line(text, max(0, len(text) - self._linked), self._inside > 0, False))
+        elif self._silent:
+            self.lines.append(Line("", 0, self._inside > 0, True))
+        self._parts.clear()
+        self._linked, self._silent = 0, False
 
-def _flags(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
-    """Whether the element starts boilerplate, lines of less weight, the article."""
-    boilerplate = tag in _BOILERPLATE or (tag == "header" and not in_article)
-    light = tag in _LIGHT
-    article = tag in ("article", "main")
-    if attributes:
+    def _write(self, raw: str):
+        if self._boilerplate:
+            self._silent |= bool(raw.strip())
+        elif raw:
+            self._parts.append(raw)
+            if self._places.get("a"):
+                self._linked += len(_decode(raw))
+
+    def _open(self, tag: str, boilerplate: bool, article: bool, named: Block | None):
+        at = len(self._stack)
+        self._stack.append(_Open(tag, boilerplate, article, named))
+        self._places.setdefault(tag, []).append(at)
+        if tag in _BLOCK:
+            self._blocks.append(at)
+        if named:
+            self.named.append(named)
+        if article:
+            self._articles.append(len(self.lines))
+        if tag == "h1":
+            self._titles.append(len(self.lines))
+        self._boilerplate += boilerplate
+        self._inside += article
+
+    def _close(self):
+        top = self._stack.pop()
+        self._places[top.tag].pop()
+        if top.tag in _BLOCK:
+            self._blocks.pop()
+        self._boilerplate -= top.boilerplate
+        self._inside -= top.article
+        if top.named:
+            block = top.named
+            block.last = len(self.lines)
+            block.holds_article = bool(self._articles) and self._articles[-1] >= block.first and not block.inside
+            block.holds_title = bool(self._titles) and self._titles[-1] >= block.first
+
+    def _end(self, tag: str):
+        places = self._places.get(tag)
+        # inline ends never close a block
+        if places and (tag in _BLOCK or not self._blocks or self._blocks[-1] < places[-1]):
+            for _ in range(len(self._stack) - places[-1]):
+                self._close()
+
+    def _read(self, page: str):
+        at, last, quotes = 0, page.rfind(">"), True
+        while match := _TAG.search(page, at):
+            self._write(page[at:match.start()])
+            at = match.end()
+            if match[2] is None:
+                continue
+            if at > last:
+                self._write(match[0])
+                continue
+            whole = _QUOTED.match(page, at) if quotes else None
+            quotes = whole is not None
+            attributes = page[at:(whole.end() if whole else page.index(">", at) + 1) - 1]
+            at += len(attributes) + 1
+            tag = match[2].lower()
+            if tag in _BLOCK:
+                self._flush()
+            if match[1]:
+                self._end(tag)
+            elif tag in _RAW:
+                if tag not in ("svg", "math") or not attributes.rstrip().endswith("/"):
+                    end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                    at = end.end() if end else len(page)
+            elif tag not in _VOID:
+                top = self._stack[-1].tag if self._stack else ""
+                if top == "p" and tag in _BLOCK or top == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
+                    self._close()
+                self._start(tag, attributes)
+        self._write(page[at:])
+
+    def _start(self, tag: str, attributes: str):
+        inside = self._inside > 0
+        page = tag in ("article", "main", "body", "html")
+        boilerplate = tag in _BOILERPLATE or (tag == "header" and not inside)
+        article = tag in ("article", "main")
+        form, heads = tag in _FORMS, set()
         for name, value in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
+            name, value = name.lower(), value.strip("\"'")
             if name == "role":
+                value = value.lower()
                 article |= value in ("main", "article")
                 boilerplate |= value in _ROLES
-                light |= value == "form"
+                form |= value == "form" and tag in _BLOCK
             elif name == "itemprop":
-                article |= value == "articlebody"
+                article |= value.lower() == "articlebody"
             elif name == "aria-hidden":
-                boilerplate |= value == "true"
-            elif name in ("class", "id") and tag in _CONTAINERS:
-                words = set(_NAMES.findall(value))
-                light |= bool(words & _WORDS) or ("header" in words and not in_article and tag != "h1")
-        boilerplate |= bool(_HIDDEN.search(attributes))
-    if tag == "article" and attributes:
-        # teasers and comments are often marked as articles of their own
-        words = {w for n, v in _ATTRIBUTE.findall(attributes) if n.lower() in ("class", "id")
-                 for w in _NAMES.findall(v.lower())}
-        if words & _NOT_ARTICLE:
-            return True, False, False
-    page = tag in ("article", "main", "body", "html")
-    return boilerplate and not page, light and not page, article
-
-
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, weight, inside the article, how often its weight is halved) of every block in page order; boilerplate has
-    weight and text nothing."""
-    lines: list[tuple[str, int, bool, int]] = []
-    stack: list[_Open] = []
-    counts: dict[str, int] = {}
-    parts: list[str] = []
-    state = {"boilerplate": 0, "light": 0, "article": 0, "links": 0, "linked": 0}
-
-    def flush():
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            parts.clear()
-            if text:
-                if state["boilerplate"]:
-                    lines.append(("", 0, bool(state["article"]), 0))
-                else:
-                    lines.append((text, max(0, len(text) - state["linked"]), bool(state["article"]), state["light"]))
-        state["linked"] = 0
-
-    def close():
-        top = stack.pop()
-        counts[top.tag] -= 1
-        state["boilerplate"] -= top.boilerplate
-        state["light"] += top.outer - top.light
-        state["article"] -= top.article
-        state["links"] -= top.tag == "a"
-
-    def write(raw: str):
-        if raw:
-            parts.append(raw)
-            if state["links"]:
-                state["linked"] += len(" ".join(entities.unescape(raw).split()))
-
-    at = 0
-    while True:
-        match = _TAG.search(page, at)
-        if match is None:
-            write(page[at:])
-            break
-        write(page[at:match.start()])
-        at = match.end()
-        if match[2] is None:
-            continue
-        tag = match[2].lower()
-        if tag in _BLOCK:
-            flush()
-        if match[1]:
-            if counts.get(tag):
-                # inline ends never close a block
-                if tag in _BLOCK or tag not in _BLOCK and not any(
-                        o.tag in _BLOCK for o in stack[max(k for k, o in enumerate(stack) if o.tag == tag) + 1:]):
-                    while stack[-1].tag != tag:
-                        close()
-                    close()
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not match[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                at = end.end() if end else len(page)
-            continue
-        if tag in _VOID:
-            continue
-        if stack and tag in _BLOCK and stack[-1].tag == "p":
-            close()
-        if stack and tag == stack[-1].tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-            close()
-        boilerplate, light, article = _flags(tag, match[3], state["article"] > 0)
-        # what an article lies in says nothing about its lines
-        outer = state["light"] if article else 0
-        stack.append(_Open(tag, boilerplate, light, article, outer))
-        counts[tag] = counts.get(tag, 0) + 1
-        state["boilerplate"] += boilerplate
-        state["light"] += light - outer
-        state["article"] += article
-        state["links"] += tag == "a"
-    flush()
-    return lines
+                boilerplate |= value.lower() == "true"
+            elif name in ("class", "id"):
+                heads |= _heads(value)
+        boilerplate |= bool(attributes and _HIDDEN.search(attributes))
+        if tag == "article" and heads & _NOT_ARTICLE:
+            # teasers and comments are often marked as articles of their own
+            boilerplate, article = True, False
+        elif page:
+            boilerplate = False
+        named = heads & _WORDS if tag in _CONTAINERS and not article else set()
+        if named or form and not article:
+            found = Block(len(self.lines), bool(named & _COMMENTS), named == {"header"} and not form, inside)
+        else:
+            found = None
+        self._open(tag, boilerplate, article, found)
 
 
 def surges(weights: list[int], window: int = WINDOW, threshold: int = SURGE) -> list[tuple[int, int]]:
@@ -201,21 +279,55 @@ def surges(weights: list[int], window: int = WINDOW, threshold: int = SURGE) ->
     return ranges
 
 
+def _left_out(page: _Page, threshold: int, window: int) -> list[bool]:
+    """Per line whether a named block takes it out."""
+    lines = page.lines
+    marked = any(line.inside and line.text for line in lines)
+    before = [0]
+    for line in lines:
+        before.append(before[-1] + (line.weight if line.inside or not marked else 0))
+    blocks = [b for b in page.named if not b.holds_article and not (b.header and (b.inside or b.holds_title))]
+    large = [b for b in blocks if 2 * (before[b.last] - before[b.first]) > before[-1]]
+
+    def without(some: list[Block]) -> list[bool]:
+        depth = [0] * (len(lines) + 1)
+        for b in some:
+            depth[b.first] += 1
+            depth[b.last] -= 1
+        out, open_blocks = [], 0
+        for change in depth[:-1]:
+            open_blocks += change
+            out.append(open_blocks > 0)
+        return out
+
+    def weights(gone: list[bool]) -> list[int]:
+        return [0 if out or marked and not line.inside else line.weight for line, out in zip(lines, gone)]
+
+    small = [b for b in blocks if b not in large]
+    gone = without(small + [b for b in large if marked or b.comments and not b.holds_title])
+    left = weights(gone)
+    if marked:
+        enough = any(left)
+    else:
+        enough = any(sum(left[at:at + window]) > threshold for at in range(len(left)))
+    return gone if enough else without(small)
+
+
 def main_text(page: str, window: int = WINDOW, threshold: int = SURGE) -> str:
     """The lines between surges and dives, joined by line ends."""
-    lines = lines_of(page)
-    if any(text and inside for text, _, inside, _ in lines):
-        lines = [line if line[2] else ("", 0, False, 0) for line in lines]
-    if not any(weight for _, weight, _, _ in lines):
+    found = _Page(page)
+    lines = found.lines
+    gone = _left_out(found, threshold, window)
+    marked = any(line.text and line.inside for line in lines)
+    live = [bool(line.text) and not out and (line.inside or not marked) for line, out in zip(lines, gone)]
+    weights = [line.weight if on else 0 for line, on in zip(lines, live)]
+    if not any(weights):
         # nothing but links
-        lines = [(text, len(text) * inside, inside, light) for text, _, inside, light in lines]
-    least = min((light for _, weight, _, light in lines if weight), default=0)
-    plain = [weight if light <= least else 0 for _, weight, _, light in lines]
-    lower = [weight >> light - least if light > least else 0 for _, weight, _, light in lines]
-    kept = {at for start, end in surges(plain, window, threshold) for at in range(start, end) if lines[at][3] <= least}
-    if any(sum(lower[at:at + window]) > threshold for at in range(len(lower))):
-        kept |= {at for start, end in surges(lower, window, threshold) for at in range(start, end) if lines[at][3] > least}
-    return "\n".join(lines[at][0] for at in sorted(kept) if lines[at][0])
+        weights = [len(line.text) if on and line.inside else 0 for line, on in zip(lines, live)]
+    kept = {at for start, end in surges(weights, window, threshold) for at in range(start, end)}
+    if marked:
+        kept |= {at for at, line in enumerate(lines) if 2 * line.weight >= len(line.text)}
+    return "\n".join(line.text for at, line in enumerate(lines) if live[at] and at in kept)
 
 
 def extract_main_text(

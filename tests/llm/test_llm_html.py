@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -51,7 +52,10 @@ LINKS = "".join(f"<li><a href=/{k}>Read more about {k}</a>" for k in range(6))
 def test_links_inside_a_marked_article_dive():
     page = f"<article><h1>T</h1><p>{PARAGRAPH}</p><ul>{LINKS}</ul><p>{PARAGRAPH}</p></article>"
     assert main_text(page) == f"T\n{PARAGRAPH}\n{PARAGRAPH}"
-    assert main_text(f"<main><p>{PARAGRAPH}</p><ul>{LINKS}</ul><p>More here</p><ul>{LINKS}</ul></main>") == PARAGRAPH
+    page = f"<main><p>{PARAGRAPH}</p><ul>{LINKS}</ul><p>More here</p><ul>{LINKS}</ul></main>"
+    assert main_text(page) == f"{PARAGRAPH}\nMore here"
+    page = f"<article><h1>T</h1><p>Short.</p><ul>{LINKS}</ul><p>Short last.</p></article>"
+    assert main_text(page) == "T\nShort.\nShort last."
 
 
 LONG = f"{PARAGRAPH} {PARAGRAPH}"
@@ -62,10 +66,63 @@ LONG = f"{PARAGRAPH} {PARAGRAPH}"
     (f"<div class='content no-sidebar'><p>{PARAGRAPH}</p><div class=ad>buy</div></div>", PARAGRAPH),
     (f"<form><nav>menu</nav><main><p>{PARAGRAPH}</p></main><p>x</p></form>", PARAGRAPH),
     (f"<form><p>{PARAGRAPH}</p><div class=sidebar>x</div></form>", PARAGRAPH),
-    (f"<article><p>{PARAGRAPH}</p><section id='discussion'><p>{LONG}</p></section></article>", f"{PARAGRAPH}\n{LONG}"),
-    (f"<article><div class='notice'><p>{LONG}</p></div><p>{PARAGRAPH}</p></article>", f"{LONG}\n{PARAGRAPH}"),
+    (f"<article><p>{PARAGRAPH}</p><section id='discussion'><p>{LONG}</p></section></article>", PARAGRAPH),
+    (f"<article><div class='notice'><p>{LONG}</p></div><p>{PARAGRAPH}</p></article>", PARAGRAPH),
     (f"<article><p>{PARAGRAPH}</p><p class='social-policy'>{LONG}</p></article>", f"{PARAGRAPH}\n{LONG}"),
     (f"<article><p>{PARAGRAPH}</p><div class='share'>Share this</div></article>", PARAGRAPH),
 ])
 def test_one_word_of_a_class_silences_no_text(page, text):
     assert main_text(page) == text
+
+
+NAMED = ["section class=comments", "div class='cookie-notice'", "div class=ad", "div class='ad slot-3'", "div id=sidebar",
+         "div class=commentList", "form", "fieldset", "div class='site-footer'", "ul class='related-posts'"]
+
+
+@pytest.mark.parametrize("start", NAMED)
+@pytest.mark.parametrize("page", [
+    "<article><h1>T</h1><p>{text}</p>{block}</article>", "<article><h1>T</h1>{block}<p>{text}</p></article>",
+    "<article><h1>T</h1><p>{text}</p></article>{block}", "<div><h1>T</h1><p>{text}</p><p>{text}</p><p>{text}</p>{block}</div>",
+])
+def test_named_blocks_are_left_out_whole(start, page):
+    block = f"<{start}><div><p>{LONG}</p></div></{start.split()[0]}>"
+    times = page.count("{text}")
+    assert main_text(page.format(text=PARAGRAPH, block=block)) == "\n".join(["T"] + [PARAGRAPH] * times)
+
+
+def test_comments_longer_than_an_unmarked_article_go():
+    comments = f"<div id=comments>{f'<p>{LONG}</p>' * 9}</div>"
+    assert main_text(f"<h1>T</h1><p>{PARAGRAPH}</p>{comments}") == f"T\n{PARAGRAPH}"
+    assert main_text(f"<div class=comments><h1>T</h1><p>{PARAGRAPH}</p></div>") == f"T\n{PARAGRAPH}"
+    assert main_text(f"<article><div class=widget><p>{PARAGRAPH}</p></div></article>") == PARAGRAPH
+
+
+def test_articles_are_found_without_their_marks(spark, sf_dir):
+    """The windows alone, on the pages of the tables with ``article`` renamed."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect():
+        plain = re.sub("(</?)article", r"\1div", r["html"])
+        assert main_text(plain) == main_text(r["html"])
+
+
+def test_inline_boilerplate_leaves_the_rest_of_its_line():
+    assert main_text("<p>one <span hidden>two</span> three</p>") == "one three"
+
+
+@pytest.mark.parametrize("page, text", [
+    ("x &#" + "9" * 5000 + "; y", "x \ufffd y"), ("x &#" + "0" * 5000 + "65; y", "x A y"), ("x &#x" + "f" * 9000 + " y", "x \ufffd y"),
+    ('<p>one<p title="2>two<p>three', "one\ntwo\nthree"), ("1 < 2 <b", "1 < 2 <b"),
+])
+def test_broken_markup(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", [
+    "<a ", "<i>", "<i><b></b>", "<div><b></i>", '<a ">"', "<a '\">", "<svg/>", "<!", "<p class=\"", "&#", "<form>", "<div class=ad>",
+    "</i>", "<table><tr><td>", "<article><h1>",
+])
+def test_a_megabyte_of_odd_markup(piece):
+    for tail in ("<p>x</p>", '"'):
+        page = piece * (1_000_000 // len(piece)) + tail
+        at = time.process_time()
+        main_text(page)
+        assert time.process_time() - at < 4
