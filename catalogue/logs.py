@@ -138,7 +138,7 @@ def nearest_rank(spark, sf_dir):
 @query(_nearest_sql("lineitem", "l_extendedprice", "l_returnflag"))
 def nearest_rank_bracketed(spark, sf_dir):
     items = load(spark, sf_dir, "lineitem")
-    return ranks.nearest_rank(items, "l_extendedprice", _PERCENTS, ["l_returnflag"], accuracy=1000)
+    return ranks.nearest_rank(items, "l_extendedprice", _PERCENTS, ["l_returnflag"], ranges=32)
 
 
 def requests(spark, sf_dir):

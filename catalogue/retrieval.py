@@ -100,7 +100,7 @@ hits AS (
   UNION ALL SELECT * FROM opened WHERE r <= 5 AND question_id IN (SELECT question_id FROM weak))"""
 
 
-@query(f"""WITH {_BASE_SQL},
+_SERVICE_SQL = f"""WITH {_BASE_SQL},
 rest AS (SELECT * FROM read WHERE name IS NULL OR art = ''),
 {_search_sql('name IS NULL', 'coalesce(name, scope)')},
 rounded AS (SELECT *, round_even(score, 4) AS score4 FROM hits),
@@ -112,11 +112,12 @@ judged AS (
 listed AS (
   SELECT h.question_id,
          list(h.law || ' 제' || h.art || '조' ORDER BY h.r) AS labels,
-         list(printf('%s:%s:%.4f:%d', h.law, h.art, h.score4, h.r) ORDER BY h.r) AS cited
+         list(printf('%s:%s:%.4f:%d', h.law, h.art, h.score4, h.r) ORDER BY h.r) AS cited,
+         any_value(h.law || '::1.0000:1') AS asked, bool_and(j.named_ok) AS named
   FROM rounded h JOIN judged j USING (question_id)
   WHERE j.wide_ok OR (j.named_ok AND h.r = 1) GROUP BY h.question_id)
-SELECT d.question_id, CASE WHEN p.id IS NULL THEN 'not_found' ELSE 'answered' END AS status,
-       'direct_article' AS query_type, CASE WHEN p.id IS NOT NULL THEN 'pg' END AS selected_source,
+SELECT d.question_id, CASE WHEN p.id IS NULL THEN '{{missing}}' ELSE 'answered' END AS status,
+       'direct_article' AS query_type, CASE WHEN p.id IS NOT NULL THEN '{{found}}' END AS selected_source,
        CASE WHEN p.id IS NULL THEN [] ELSE [d.name || ' 제' || d.art || '조'] END
          AS selected_articles,
        CASE WHEN p.id IS NULL THEN [] ELSE [printf('%s:%s:1.0000:1', d.name, d.art)] END AS cited,
@@ -126,12 +127,19 @@ WHERE d.name IS NOT NULL AND d.art <> ''
 UNION ALL
 SELECT j.question_id, CASE WHEN named_ok OR wide_ok THEN 'answered' ELSE 'web_fallback' END,
        'semantic', CASE WHEN named_ok OR wide_ok THEN 'qdrant' ELSE 'web' END,
-       coalesce(l.labels, []), coalesce(l.cited, []), NOT (named_ok OR wide_ok),
+       coalesce(l.labels, []), coalesce({{cited}}, []), NOT (named_ok OR wide_ok),
        CASE WHEN wide_ok THEN round_even(top, 6) END
-FROM judged j LEFT JOIN listed l USING (question_id)""")
-def tiered_retrieve(spark, sf_dir):
+FROM judged j LEFT JOIN listed l USING (question_id)"""
+
+
+def _service_sql(cited: str = "l.cited", found: str = "pg", missing: str = "not_found") -> str:
+    return (_SERVICE_SQL.replace("{cited}", cited).replace("{found}", found)
+            .replace("{missing}", missing))
+
+
+def _service(spark, sf_dir, **options):
     corpus = pin(points(spark, sf_dir), "points")  # a stored collection, as the service has
-    found = plans.tiered_retrieve(questions(spark, sf_dir), corpus, corpus)
+    found = plans.tiered_retrieve(questions(spark, sf_dir), corpus, corpus, **options)
     cited = F.transform("citations", lambda c: F.concat_ws(
         ":", c["law_name"], c["article_number"], c["score"].cast("decimal(6,4)").cast("string"),
         c["rank"].cast("string"),
@@ -140,6 +148,23 @@ def tiered_retrieve(spark, sf_dir):
         "confidence_score", F.bround("confidence_score", 6))
 
 
+@query(_service_sql())
+def tiered_retrieve(spark, sf_dir):
+    return _service(spark, sf_dir)
+
+
+@query(_service_sql(cited="CASE WHEN l.named THEN [l.asked] ELSE l.cited END"))
+def tiered_retrieve_compat(spark, sf_dir):
+    """A named law's hit is cited as the law that was asked for."""
+    return _service(spark, sf_dir, compat=True)
+
+
+@query(_service_sql(found="qdrant", missing="unavailable"))
+def tiered_retrieve_unavailable(spark, sf_dir):
+    """The article store is down: exact questions are answered from the points."""
+    return _service(spark, sf_dir, available=False)
+
+
 @query(f"""WITH {_BASE_SQL},
 direct AS (
   SELECT r.question_id, trim(p.text, ' ' || chr(9) || chr(10) || chr(13)) AS text,

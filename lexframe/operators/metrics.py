@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from .percentiles import nearest_rank, widen
+from ..session import pin
+from .percentiles import nearest_ranks, widen
 
 _LABELS = ["endpoint", "agent_type", "status", "error_type", "model"]
 
@@ -119,7 +120,9 @@ def load_summary(samples: DataFrame) -> DataFrame:
             for name, fn in (("min", F.min), ("max", F.max))
         ],
     )
-    for column in ("ttfb", "total_time"):
-        ranks = nearest_rank(good, column, percents, ["round"])
-        base = base.join(widen(ranks, percents, ["round"], f"{column}_p"), "round", "left")
+    times = ["ttfb", "total_time"]
+    ranks = pin(nearest_ranks(good, times, percents, ["round"]), "load-percentiles")
+    for column in times:
+        own = ranks.where(F.col("column") == column)
+        base = base.join(widen(own, percents, ["round"], f"{column}_p"), "round", "left")
     return base

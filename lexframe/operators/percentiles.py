@@ -2,73 +2,61 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-
-ACCURACY = 100_000
+from ..session import pin
 
 
 def nearest_rank(df: DataFrame, value: str, percents: list[int], groups=(),
-                 accuracy: int = ACCURACY) -> DataFrame:
+                 ranges: int | None = None) -> DataFrame:
     """``sorted[min(floor(n * p / 100), n - 1)]`` per group, one row per group and percent.
 
-    A sketch of bounded size counts each group and brackets each percentile: values below the
-    bracket are only counted, and just the bracket, at most about ``4 n / accuracy`` ranks, is put
-    in order, so the result is exact. The bracket of a group of few rows is the group. The sketch
-    is written out so that a recomputed task sees the same bracket. Returns ``groups, percent,
-    value``; empty groups give no row.
+    Equal values of a group collapse to one row with their count, which are written out in ranges
+    of (group, value). The counts per range, a row per group and range it touches, add up to the
+    offset at which each range starts; so the range that holds a rank is known, and only that one
+    is put in order. ``ranges`` is their number, by default that of the shuffle partitions. Returns
+    ``groups, percent, value``; a null is a group like any other, empty groups give no row.
     """
     groups = list(groups)
-    data = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("__v"))
-    counted = _bracketed(data, percents, groups, accuracy)
-
-    index = F.least(F.floor(F.col("__n") * F.col("percent") / 100), F.col("__n") - 1)
-    ordered = _part([*groups, "percent"]).orderBy(F.col("__key").asc_nulls_first())
-    running = counted.withColumn("__upto", F.sum("__c").over(ordered)).where(
-        F.col("__upto") > index
-    )
-    return running.groupBy(*groups, "percent").agg(F.min("__key").alias("value"))
-
+    counted = df.where(F.col(value).isNotNull()).groupBy(
+        *groups, F.col(value).alias("__v")
+    ).agg(F.count(F.lit(1)).alias("__c"))
+    keys = [*([ranges] if ranges else []), *groups, "__v"]
+    ordered = counted.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id())
+    ordered = pin(ordered, "percentile-ranges")
 
-def _part(columns: list[str]):
-    return Window.partitionBy(*columns) if columns else Window.partitionBy(F.lit(0))
+    sizes = ordered.groupBy(*groups, "__range").agg(F.sum("__c").alias("__rows"))
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    sizes = sizes.withColumns({
+        "__n": F.sum("__rows").over(whole),
+        "__end": F.sum("__rows").over(whole.orderBy("__range")),
+    })
+    rank = F.least(F.floor(F.col("__n") * F.col("percent") / 100), F.col("__n") - 1)
+    offset = rank - (F.col("__end") - F.col("__rows"))
+    asked = sizes.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn(
+        "__offset", offset
+    ).where((F.col("__offset") >= 0) & (F.col("__offset") < F.col("__rows")))
+    asked = asked.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)],
+                         F.col("__range").alias("__at"), "percent", "__offset")
 
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
+    held = ordered.join(asked, reduce(lambda a, b: a & b, same, F.col("__range") == F.col("__at")))
+    inside = Window.partitionBy(*groups, "percent").orderBy("__v")
+    reached = held.withColumn("__upto", F.sum("__c").over(inside)).where("__upto > __offset")
+    return reached.groupBy(*groups, "percent").agg(F.min("__v").alias("value"))
 
-def _bracketed(data: DataFrame, percents: list[int], groups: list[str], accuracy: int):
-    slack = 2.0 / accuracy
-    edges = [min(max(p / 100 + side * slack, 0.0), 1.0) for p in percents for side in (-1, 1)]
-    sketch = data.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", edges, accuracy).alias("__q"),
-    )
-    path = scratch_path(data.sparkSession, "percentile-brackets")
-    sketch.write.parquet(path)
-    sketch = data.sparkSession.read.parquet(path)
 
-    open_ended = F.col("__n") <= 10 * accuracy
-    brackets = F.array(*[
-        F.struct(
-            F.lit(p).alias("percent"),
-            F.when(~open_ended, F.col("__q")[2 * i]).alias("low"),
-            F.when(~open_ended, F.col("__q")[2 * i + 1]).alias("high"),
-        )
-        for i, p in enumerate(percents)
-    ])
-    sketch = sketch.select(*groups, "__n", brackets.alias("__b"))
-    if groups:
-        joined = data.join(sketch, groups)
-    else:
-        joined = data.withColumn("__n", sketch.select("__n").scalar()).withColumn(
-            "__b", sketch.select("__b").scalar()
-        )
-    joined = joined.select(*groups, "__v", "__n", F.explode("__b").alias("b"))
-    inside = joined.where(F.col("b.high").isNull() | (F.col("__v") <= F.col("b.high")))
-    key = F.when(F.col("b.low").isNull() | (F.col("__v") >= F.col("b.low")), F.col("__v"))
-    return inside.groupBy(
-        *groups, "__n", F.col("b.percent").alias("percent"), key.alias("__key")
-    ).agg(F.count(F.lit(1)).alias("__c"))
+def nearest_ranks(df: DataFrame, values: list[str], percents: list[int], groups=(),
+                  ranges: int | None = None) -> DataFrame:
+    """The same for several columns over one set of ranges: ``groups, column, percent, value``."""
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(v).alias("column"), F.col(v).cast("double").alias("__x")) for v in values
+    ]))
+    long = df.select(*groups, pairs.alias("__p")).select(*groups, "__p.column", "__p.__x")
+    return nearest_rank(long, "__x", percents, [*groups, "column"], ranges)
 
 
 def widen(percentiles: DataFrame, percents: list[int], groups=(), prefix: str = "p") -> DataFrame:
