@@ -8,6 +8,11 @@ that hold it. A text is decided by counting, per language, the trigrams whose ma
 positive adds to every language by that language's own filled share, which is known, so counts are
 corrected by it before they are compared.
 
+How much of an unseen text a language's trigrams cover depends on its script and on how much of it was learned: of a
+script with thousands of characters far less than of an alphabet. That reach is estimated per language from
+the learning counts, leaving one occurrence out at a time (a trigram that is held only through the occurrence itself
+covers nothing), and shares are taken relative to it, but to no less than ``MIN_REACH``.
+
 Trigrams are taken from words of letters, lower-cased, with one blank on either side.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; a text with letters whose trigrams no
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from lexframe.llm.common import add_columns, held_out
 
 MIN_SHARE = 2e-5
+MIN_REACH = 0.05
 HASHES = 3
 SLOTS_PER_ENTRY = 16
 UNDECIDED = "und"
@@ -100,6 +106,7 @@ class LanguageFilter:
     slots: np.ndarray  # (number of slots, words of 64 languages)
     false_positive: np.ndarray  # per language
     default: int
+    reach: np.ndarray  # per language, share of an unseen text's trigrams it is expected to hold
 
     def _places(self, grams: np.ndarray) -> Iterator[np.ndarray]:
         size = np.uint64(len(self.slots))
@@ -127,19 +134,22 @@ class LanguageFilter:
             hits += [
                 np.count_nonzero(masks[:, k >> 6] & np.uint64(1 << (k & 63))) for k in range(len(self.languages))
             ]
-        share = (hits / total - self.false_positive) / (1 - self.false_positive)
+        share = (hits / total - self.false_positive) / (1 - self.false_positive) / self.reach
         best = int(np.argmax(share))
         if share[best] <= 0:
             return self.languages[self.default], 0.0
         return self.languages[best], float(min(1.0, share[best]))
 
 
-def build_filter(grams: list[tuple[str, int, int]], sizes: dict[str, int]) -> LanguageFilter:
-    """From (lang, gram, n) rows and the number of learning trigrams by language."""
+def build_filter(
+    grams: list[tuple[str, int, int]], sizes: dict[str, int], reach: dict[str, float] | None = None
+) -> LanguageFilter:
+    """From (lang, gram, n) rows, the number of learning trigrams by language, and the reach of each (else 1)."""
     languages = sorted(sizes)
     number = {lang: k for k, lang in enumerate(languages)}
     slots = np.zeros((max(64, SLOTS_PER_ENTRY * max(1, len(grams))), max(1, -(-len(languages) // 64))), np.uint64)
-    made = LanguageFilter(languages, slots, np.zeros(len(languages)), 0)
+    reaches = np.array([1.0 if reach is None else max(MIN_REACH, reach.get(lang, 0.0)) for lang in languages])
+    made = LanguageFilter(languages, slots, np.zeros(len(languages)), 0, reaches)
     by_language: dict[int, list[int]] = {}
     for lang, gram, _ in grams:
         by_language.setdefault(number[lang], []).append(gram)
@@ -168,15 +178,18 @@ def learn(
 
     sums = pin(sums, "language-grams")
     sizes = sums.groupBy("lang").agg(F.sum("n").alias("total"))
-    common = sums.join(sizes, "lang").where(F.col("n") >= F.col("total") * min_share)
+    least = F.greatest(F.lit(1.0), F.col("total") * min_share)
+    common = sums.join(sizes, "lang").where(F.col("n") >= least)
+    covered = common.where(F.col("n") - 1 >= least).groupBy("lang").agg(F.sum(F.col("n") / F.col("total")).alias("reach"))
     return build_filter(
         [(r["lang"], r["gram"], r["n"]) for r in common.select("lang", "gram", "n").collect()],
         {r["lang"]: r["total"] for r in sizes.collect()},
+        {r["lang"]: r["reach"] for r in covered.collect()},
     )
 
 
 def identify(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the corrected share of trigrams the language holds."""
+    """``docs`` with ``lang_pred`` and ``score``, the corrected share of trigrams the language holds, relative to its reach."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

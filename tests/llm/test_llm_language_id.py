@@ -1,3 +1,6 @@
+from collections import Counter
+
+import corpus_pipeline
 import numpy as np
 
 from lexframe.llm import language_id as l
@@ -12,6 +15,55 @@ def test_held_out_languages(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_decisions_against_exact_sets(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rows = l.identify(docs.withColumn("out", held_out(F.col("doc_id"))), l.learn(docs)).collect()
+    counts = {}
+    for r in rows:
+        if r["lang"] is not None and not r["out"] and r["text"]:
+            plain = l.letters(r["text"].encode())
+            counts.setdefault(r["lang"], Counter()).update(plain[k:k + 3] for k in range(len(plain) - 2))
+    held, reach = {}, {}
+    for lang, c in counts.items():
+        least = max(1, c.total() * l.MIN_SHARE)
+        held[lang] = {g for g, n in c.items() if n >= least}
+        reach[lang] = max(l.MIN_REACH, sum(n for n in c.values() if n - 1 >= least) / c.total())
+    for r in rows:
+        plain = l.letters((r["text"] or "").encode())
+        grams = [plain[k:k + 3] for k in range(len(plain) - 2)]
+        if not grams:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        shares = {lang: sum(g in own for g in grams) / len(grams) / reach[lang] for lang, own in held.items()}
+        top = max(shares.values())
+        assert shares[r["lang_pred"]] > top - 0.02 and abs(r["score"] - min(1.0, top)) < 0.02
+
+
+def test_a_script_of_thousands_of_characters_survives(spark):
+    rng = np.random.default_rng(5)
+    words = rng.integers(0x4E00, 0x4E00 + 3000, (5000, 2))
+    common = 1 / np.arange(1, 5001)
+
+    def text(lang):
+        if lang == "zz":
+            return "".join(map(chr, words[rng.choice(5000, 300, p=common / common.sum())].ravel()))
+        return " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(80))
+
+    docs = spark.createDataFrame(
+        [(k, t, t, "s", 1) for k in range(400) for t in ["zz" if k % 2 else "aa"]],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    texts = {r["doc_id"]: text(r["lang"]) for r in docs.collect()}
+    docs = spark.createDataFrame(
+        [(r["doc_id"], texts[r["doc_id"]], r["lang"], "s", 1) for r in docs.collect()], docs.schema)
+    noise = spark.createDataFrame([(900, "ღმერთსა შემვედრე ნუთუ კვლა", None, "s", 1)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs.unionByName(noise), "").collect()}
+    assert kept == set(range(400))
+    model = l.learn(docs)
+    assert model.reach[1] < 0.6 < model.reach[0]
+    rows = l.identify(docs, model).where(held_out(F.col("doc_id"))).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in rows) and np.mean([r["score"] for r in rows if r["lang"] == "zz"]) > 0.9
+
+
 def test_held_out_texts_teach_nothing(spark):
     docs = spark.range(300).select(
         F.col("id").alias("doc_id"), F.when(held_out(F.col("id")), "zz").otherwise("aa").alias("lang"), F.lit("abc abd").alias("text"))
