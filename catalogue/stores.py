@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexframe.operators import citations, conversations
+from lexframe.operators.corpus import extract_articles as extract
 from lexframe.operators.vectors import payload_filter as filtered
 from lexframe.session import scratch_path
 from lexframe.sources import evaluation
@@ -12,21 +13,23 @@ from lexframe.sources.statutes import read_statute_json as read_statutes
 from lexframe.sources.tables import read_table as read_stored
 
 from .common import TURNS_SQL, load, turns
+from .documents import shaped_sql, shaped_statutes
 from .registry import registry
 from .vectors import leave_one_out, topk_sql
 
 QUERIES, ORACLES, query = registry()
 
 
-@query("""SELECT page_id, url, length(html) AS chars FROM pages""")
+@query(f"SELECT {shaped_sql('page_id', 'url', 'html', 'url')} FROM pages")
 def read_statute_json(spark, sf_dir):
-    """One file per document, read as a whole."""
+    """One file per law, as the source delivers them, in every shape, read as a whole."""
     path = scratch_path(spark, "statutes")
-    document = F.to_json(F.struct(F.struct("page_id", "url", F.length("html").alias("chars")).alias("법령")))
-    written = load(spark, sf_dir, "pages").select(document.alias("value"))
-    written.write.option("maxRecordsPerFile", 1).text(path)
-    law = F.from_json("doc", "`법령` struct<page_id: bigint, url: string, chars: bigint>")["법령"]
-    return read_statutes(spark, path).select(law.alias("law")).select("law.*")
+    pages = load(spark, sf_dir, "pages")
+    laws = shaped_statutes(pages, F.col("page_id"), *map(F.col, ("url", "html", "url")))
+    laws.select(F.col("doc").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    number = F.regexp_extract("doc", '"조문번호":"([0-9]+)"', 1)
+    read = read_statutes(spark, path).select(F.concat(F.lit("법 "), number).alias("law_name"), "doc")
+    return extract(read).select("law_name_norm", "article_number_norm", "text", "enforcement_date")
 
 
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
