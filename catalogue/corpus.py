@@ -8,6 +8,8 @@ from lexframe.functions import content_hash, point_id
 from lexframe.operators import corpus as ops
 from lexframe.operators import lookup
 from lexframe.operators.keyed import set_difference
+from lexframe.session import scratch_path
+from lexframe.sources.buckets import store_buckets
 
 from .common import ARTICLES_SQL, LABELLED_SQL, articles, labelled, load
 from .registry import registry
@@ -74,6 +76,17 @@ def merge_articles(spark, sf_dir):
     )
 
 
+def _bucketed(df, name):
+    return store_buckets(df, scratch_path(df.sparkSession, name))
+
+
+@query(ORACLES["merge_articles"])
+def merge_bucketed(spark, sf_dir):
+    """The merge into a table that is stored by key."""
+    stored = _bucketed(articles(spark, sf_dir), "articles")
+    return ops.merge_articles(stored, _incoming(spark, sf_dir), F.lit(2).cast("bigint"))
+
+
 def _current(spark, sf_dir):
     base = articles(spark, sf_dir).select("law_name_norm", "article_number_norm", "text")
     pages = load(spark, sf_dir, "pages").select(
@@ -114,6 +127,11 @@ def remove_stale(spark, sf_dir):
     return ops.remove_stale(_current(spark, sf_dir), _kept(spark, sf_dir))
 
 
+@query(ORACLES["remove_stale"])
+def remove_stale_bucketed(spark, sf_dir):
+    return ops.remove_stale(_bucketed(_current(spark, sf_dir), "current"), _kept(spark, sf_dir))
+
+
 _RECONCILE_SQL = f"""WITH {_CURRENT_SQL}, b_rows AS (
   SELECT law_name_norm FROM kept_rows UNION ALL SELECT 'web' FROM pages),
 a AS (SELECT source AS law_name_norm, count(*) AS n FROM documents GROUP BY 1),
@@ -122,6 +140,23 @@ report AS (SELECT law_name_norm, coalesce(a.n, 0) AS count_a, coalesce(b.n, 0) A
   FROM a FULL OUTER JOIN b USING (law_name_norm))"""
 
 
+@query(f"""WITH {_CURRENT_SQL}, kept AS (SELECT *, 1 AS one FROM kept_rows UNION ALL
+  SELECT 'web', CAST(page_id AS VARCHAR), 1 FROM pages WHERE page_id % 2 = 0 UNION ALL
+  SELECT 'web', 'x' || page_id, 1 FROM pages)
+SELECT law_name_norm, article_number_norm, CASE WHEN one IS NULL THEN 'a' ELSE 'b' END AS only_in
+FROM current_rows FULL OUTER JOIN kept USING (law_name_norm, article_number_norm)
+WHERE one IS NULL OR text IS NULL""")
+def unmatched_articles(spark, sf_dir):
+    """Two stores by key, compared article by article; neither is moved."""
+    web = load(spark, sf_dir, "pages").select(
+        F.lit("web").alias("law_name_norm"),
+        F.explode(F.array(F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")),
+                          F.concat(F.lit("x"), "page_id"))).alias("article_number_norm"),
+    ).where("article_number_norm IS NOT NULL")
+    b = _kept(spark, sf_dir).drop("text").unionByName(web)
+    return ops.unmatched(_bucketed(_current(spark, sf_dir), "a"), _bucketed(b, "b"))
+
+
 def _report(spark, sf_dir):
     web = _current(spark, sf_dir).where("law_name_norm = 'web'")
     return ops.reconcile(articles(spark, sf_dir), _kept(spark, sf_dir).unionByName(web))
@@ -205,6 +240,10 @@ SELECT question_id, law AS law_name_norm, art AS article_number_norm, a.text, a.
          AS status
 FROM asked LEFT JOIN articles a ON a.law_name_norm = law AND a.article_number_norm = art""")
 def exact_lookup(spark, sf_dir):
+    return _looked_up(spark, sf_dir, articles(spark, sf_dir))
+
+
+def _looked_up(spark, sf_dir, stored):
     by_label = load(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("question_id"),
         F.concat(F.lit(" src "), F.col("doc_id") % 20).alias("name"),
@@ -222,11 +261,16 @@ def exact_lookup(spark, sf_dir):
         F.when(F.col("page_id") % 2 == 1, "").otherwise("제1조").alias("article"),
     )
     asked = by_label.unionByName(by_turn).unionByName(blank)
-    found = lookup.exact_lookup(asked, articles(spark, sf_dir))
+    found = lookup.exact_lookup(asked, stored)
     return found.select("question_id", "law_name_norm", "article_number_norm", "text",
                         "enforcement_date", "status")
 
 
+@query(ORACLES["exact_lookup"])
+def lookup_bucketed(spark, sf_dir):
+    return _looked_up(spark, sf_dir, _bucketed(articles(spark, sf_dir), "articles"))
+
+
 @query(f"""WITH {ARTICLES_SQL} SELECT printf('GS-%03d', item_id + 1) AS id,
   CASE WHEN length(b.text) > 200 THEN 'concept' ELSE 'standard' END AS question_type,
   'src' || (item_id % 20) AS law_name_norm, CAST(item_id * 7 AS VARCHAR) AS article_number_norm,

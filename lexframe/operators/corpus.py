@@ -134,10 +134,11 @@ def flag_stale(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Adds ``stale``: the row's law has incoming rows, but none with the row's number.
 
     Laws without incoming rows are left alone, and rows without an article number never count.
-    Both look-ups are plain left joins, which adaptive execution splits where a law is large.
+    Both look-ups are plain left joins, which adaptive execution splits where a law is large. The
+    names of the laws are written first, so Spark knows whether they are few enough to broadcast.
     """
     keys = incoming.select(*KEYS).distinct().withColumn("__listed", F.lit(True))
-    laws = incoming.select(KEYS[0]).distinct().withColumn("__synced", F.lit(True))
+    laws = pin(incoming.select(KEYS[0]).distinct(), "laws").withColumn("__synced", F.lit(True))
     flagged = current.join(keys, KEYS, "left").join(laws, KEYS[0], "left")
     stale = (
         F.col("__synced").isNotNull() & F.col("__listed").isNull() & F.col(KEYS[1]).isNotNull()
@@ -167,6 +168,14 @@ def reconcile(a: DataFrame, b: DataFrame, law: str = "law_name_norm") -> DataFra
     ).withColumn("matches", F.col("count_a") == F.col("count_b"))
 
 
+def unmatched(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Keys that only one store has, with ``only_in`` ``a`` or ``b``; what a differing count is made of."""
+    keys_a = a.select(*KEYS).distinct().withColumn("__a", F.lit(True))
+    keys_b = b.select(*KEYS).distinct().withColumn("__b", F.lit(True))
+    both = keys_a.join(keys_b, KEYS, "full_outer").where("__a IS NULL OR __b IS NULL")
+    return both.select(*KEYS, F.when(F.col("__b").isNull(), "a").otherwise("b").alias("only_in"))
+
+
 def reconcile_summary(report: DataFrame) -> DataFrame:
     """One row: every law of store A agrees and the totals agree."""
     differing = F.count_if((F.col("count_a") > 0) & ~F.col("matches"))

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexframe.operators import corpus as ops
@@ -11,6 +12,7 @@ from lexframe.plans.sync import sync_corpus
 from lexframe.session import scratch_path
 from lexframe.sources.schemas import ARTICLES
 from lexframe.sources.statutes import read_statute_json, split_documents
+from lexframe.sources.buckets import store_buckets
 from lexframe.sources.parts import part_of, read_parts, replace_parts
 
 LAW = "재난및안전관리기본법"
@@ -230,3 +232,52 @@ def test_route_labels_fill_open_routes_only(spark):
     assert found == {"안전 기준": ("law_rag_tool", "law_agent"),
                      "산재 은폐하면?": ("news_tool", "news_agent"),
                      "모르는 질문": ("law_rag_tool", "law_agent")}
+
+
+@pytest.fixture(scope="module")
+def buckets(spark):
+    rows = spark.range(6000).selectExpr(
+        "concat('c', id) AS chunk_id", "concat('law', id % 7) AS law_name", "concat('law', id % 7) AS law_name_norm",
+        "if(id = 9, null, cast(id AS string)) AS article_number_norm", "concat('제', id, '조') AS article_number",
+        "concat('text ', id) AS text", "cast(null AS date) AS enforcement_date", "1L AS created_at", "1L AS updated_at")
+    plain = scratch_path(spark, "buckets_plain")
+    rows.write.parquet(plain)
+    return rows, store_buckets(rows, scratch_path(spark, "buckets")), spark.read.parquet(plain)
+
+
+def _shuffled(df) -> list[str]:
+    """Per exchange of the plan, the plan below it."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    found = []
+    for at, line in enumerate(plan):
+        if "Exchange hashpartitioning" in line:
+            depth = line.index("Exchange")
+            below = []
+            for other in plan[at + 1:]:
+                if len(other) - len(other.lstrip(" :+-")) <= depth - 1:
+                    break
+                below.append(other)
+            found.append("\n".join(below))
+    return found
+
+
+def test_stored_side_is_not_shuffled(spark, buckets):
+    rows, stored, plain = buckets
+    incoming = rows.where("chunk_id < 'c3'").withColumns(
+        {"text": F.concat("text", F.lit("!")), "position": F.lit(1)})
+    asked = rows.selectExpr("chunk_id AS question_id", "law_name AS name", "article_number_norm AS article")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "6000b")
+    try:
+        for job in (
+            lambda t: ops.merge_articles(t, incoming, F.lit(2).cast("bigint")),
+            lambda t: ops.remove_stale(t, incoming),
+            lambda t: lookup.exact_lookup(asked, t),
+            lambda t: ops.unmatched(t, t),
+        ):
+            found = job(stored)
+            assert not [below for below in _shuffled(found) if "buckets_" in below]
+            assert [below for below in _shuffled(job(plain)) if "buckets_" in below]
+            assert found.exceptAll(job(rows)).count() == 0 == job(rows).exceptAll(found).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
