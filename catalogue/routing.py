@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexframe import functions as fx
 from lexframe import rules
-from lexframe.operators import retrieval_eval
+from lexframe.operators import retrieval_eval, rule_tables
 from lexframe.plans import routing as plans
 from lexframe.plans.retrieval import understand
 
@@ -160,3 +160,40 @@ def article_keys(spark, sf_dir):
         fx.source_url(F.concat("source", F.lit(" &")), norm).alias("url"),
         fx.short_tool(F.concat_ws("_", "source", "lang", F.lit("tool"))).alias("tool"),
     )
+
+
+def _keyed_questions(spark, sf_dir):
+    return questions(spark, sf_dir).withColumn("id", F.struct("conv_id", "turn"))
+
+
+@query(f"""{_ROUTED_SQL} SELECT conv_id, turn, rule_tool FROM routed""")
+def rule_table_routes(spark, sf_dir):
+    """The router's keyword lists as a table."""
+    routed = rule_tables.route_by_table(_keyed_questions(spark, sf_dir), "id")
+    return routed.select("conv_id", "turn", "rule_tool")
+
+
+@query(f"""WITH {QUESTIONS_SQL} SELECT conv_id, turn,
+  {sql_first_of('dense', [([n], n) for n in rules.KNOWN_NAMES])} AS name,
+  {sql_first_of('dense', rules.SCOPE_RULES)} AS scope FROM prepared""")
+def rule_table_questions(spark, sf_dir):
+    """Known names and preferred scopes by tables."""
+    asked = _keyed_questions(spark, sf_dir).withColumnRenamed("query", "question")
+    return rule_tables.detect_by_table(asked, "id").select("conv_id", "turn", "name", "scope")
+
+
+@query(r"""WITH words AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}]{8,}')) AS name FROM documents),
+names AS (SELECT name, count(*) AS n FROM words GROUP BY 1),
+turns AS (SELECT conv_id, turn, lower(text) AS text FROM conversations),
+hits AS (SELECT conv_id, turn, min(struct_pack(priority := -n, name := name)) AS r, count(*) AS found
+         FROM turns JOIN names ON contains(text, name) GROUP BY ALL)
+SELECT conv_id, turn, r.name AS name, CAST(r.priority AS BIGINT) AS priority FROM hits""")
+def rule_table_words(spark, sf_dir):
+    """Every long word of the documents is a name, frequent ones first; all conversations are matched."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{8,}"), F.lit(0))).alias("name")
+    names = load(spark, sf_dir, "documents").select(word).groupBy("name").agg((-F.count("*")).alias("priority"))
+    turns = load(spark, sf_dir, "conversations").select(
+        F.struct("conv_id", "turn").alias("id"), F.lower("text").alias("words"))
+    found = rule_tables.match_rules(
+        turns, names.select(F.lit("words").alias("view"), "name", "priority", F.col("name").alias("value")), "id")
+    return found.select("id.conv_id", "id.turn", "name", "priority")
