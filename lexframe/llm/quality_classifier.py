@@ -4,15 +4,16 @@ Word vectors come from all documents: a token falls into one of ``SLOTS`` slots
 sparse random index vector, and a slot's context vector is the sum of the index vectors of its neighbours up to
 ``REACH`` places away. Tasks sum in memory and pass on one row per slot; the table of slots has a fixed size
 (``SLOTS`` x ``DIM`` counts), whatever the corpus. A document is the frequency-damped mean of its tokens' context
-and index vectors, with six shape rates (repeats, capitals, symbols and the like).
+vectors beside the mean of their index vectors, and nothing else.
 
-The network is fitted on about ``FIT_ROWS`` labelled rows at most, outside the held-out third, those whose id's hash is
-under a threshold; a fifth of them sets the temperature that calibrates the probabilities. Everything else covers all
-rows.
+The network is fitted on about ``FIT_ROWS`` labelled ids at most, outside the held-out third, those whose hash is
+under a threshold, with one document each (of rows with equal ids the one of least features); a fifth of them sets the
+temperature that calibrates the probabilities, against truths that keep one doubtful row per kind, so that perfectly
+separated rows do not drive it to zero. Everything else covers all rows.
 
 Defined results: a null or empty text has all-zero features and still gets a score; rows without a label or
 with a null one are scored, not learned from; of several labels of an id the largest counts; without labels of
-both kinds every score is the share of label 1 (0.5 with none at all); repeated rows score alike. Added
+both kinds, or with fewer than ``MIN_ROWS`` labelled ids outside the held-out third, every score is the share of label 1 (0.5 with none at all); repeated rows score alike. Added
 columns replace input columns of the same name.
 """
 
@@ -38,10 +39,8 @@ REACH = 2
 FIT_ROWS = 20_000
 HIDDEN = 32
 SEED = 7
-SHAPES = 6
+MIN_ROWS = 20
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x00-\x20]+")
-_UPPER = bytes(range(65, 91))
-_SYMBOL = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-?()")
 _FLUSH = 1 << 19
 _PLACES = 1 << 30
 
@@ -125,8 +124,8 @@ def learn_vectors(docs: DataFrame, text: str = "text") -> WordVectors:
 
 
 def features(text: bytes | None, vectors: WordVectors) -> np.ndarray:
-    """Pooled context and index vectors and the shape rates of one text."""
-    out = np.zeros(2 * DIM + SHAPES, np.float32)
+    """Pooled context and index vectors of one text."""
+    out = np.zeros(2 * DIM, np.float32)
     slots = slots_of(text)
     if not len(slots):
         return out
@@ -135,15 +134,6 @@ def features(text: bytes | None, vectors: WordVectors) -> np.ndarray:
     damped = n * vectors.weight[used]
     out[:DIM] = damped @ vectors.context[used] / damped.sum()
     out[DIM:2 * DIM] = plain @ vectors.index[used]
-    size = len(text)
-    out[2 * DIM:] = (
-        np.count_nonzero(slots[1:] == slots[:-1]) / len(slots),
-        np.count_nonzero(slots[2:] == slots[:-2]) / len(slots),
-        (size - len(text.translate(None, _UPPER))) / size,
-        (size - len(text.translate(None, _SYMBOL))) / size,
-        len(used) / len(slots) ** 0.8,
-        np.log1p(len(slots)) / 10,
-    )
     return out
 
 
@@ -178,9 +168,9 @@ class QualityModel:
 def train(x: np.ndarray, y: np.ndarray, epochs: int = 120, batch: int = 256, rate: float = 3e-3) -> QualityModel:
     """Two layers by Adam on four fifths of the rows, the temperature on the last fifth."""
     prior = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-    size = x.shape[1] if x.ndim == 2 else 2 * DIM + SHAPES
+    size = x.shape[1] if x.ndim == 2 else 2 * DIM
     nothing = QualityModel(np.zeros(size), np.ones(size), (), 1.0, prior)
-    if len(set(y.tolist())) < 2 or len(y) < 20:
+    if len(set(y.tolist())) < 2 or len(y) < MIN_ROWS:
         return nothing
     mean, scale = x.mean(0), x.std(0) + 1e-3
     rng = np.random.default_rng(SEED)
@@ -191,7 +181,6 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 120, batch: int = 256, rat
         rng.normal(0, HIDDEN ** -0.5, (HIDDEN, 1)), np.zeros(1),
     ]
     first, second, step = [0 * w for w in weights], [0 * w for w in weights], 0
-    epochs = max(10, min(epochs, 400_000 // max(1, len(t)) + 10))
     for _ in range(epochs):
         order = rng.permutation(len(t))
         for at in range(0, len(t), batch):
@@ -209,9 +198,10 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 120, batch: int = 256, rat
                 weights[k] = weights[k] - rate * (first[k] / (1 - 0.9 ** step)) / (
                     np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
     model = QualityModel(mean, scale, tuple(weights), 1.0, prior)
-    raw, truth = model.logits(x[~fit]), y[~fit].astype(float)
+    raw, ones = model.logits(x[~fit]), int(y[~fit].sum())
+    truth = np.where(y[~fit] == 1, (ones + 1) / (ones + 2), 1 / (len(raw) - ones + 2))
     losses = {}
-    for temperature in np.geomspace(0.25, 8, 61):
+    for temperature in np.geomspace(0.02, 50, 121):
         p = np.clip(1 / (1 + np.exp(-np.clip(raw / temperature, -40, 40))), 1e-9, 1 - 1e-9)
         losses[float(temperature)] = -(truth * np.log(p) + (1 - truth) * np.log(1 - p)).mean()
     model.temperature = min(losses, key=losses.get)
@@ -221,9 +211,9 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 120, batch: int = 256, rat
 def fit(
     pooled: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", rows: int = FIT_ROWS
 ) -> QualityModel:
-    """A model from ``pooled`` (id, features) and ``labels`` (id, label), about ``rows`` of them at most.
+    """A model from ``pooled`` (id, features) and ``labels`` (id, label), about ``rows`` ids at most.
 
-    The rows are chosen by a threshold on the hash of the id, so tasks pass on chosen rows only.
+    They are chosen by a threshold on the hash of the id, so tasks pass on chosen rows only, and a repeated id counts once.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(
         F.col(doc_id).alias("i")
@@ -231,8 +221,9 @@ def fit(
     n = known.count()
     place = F.pmod(F.xxhash64("i"), F.lit(_PLACES))
     known = known.where(place < F.lit(_PLACES if n <= rows else rows * _PLACES // n))
-    sample = pooled.select(F.col(doc_id).alias("i"), "features").join(known, "i").select("i", "y", "features").collect()
-    sample.sort(key=lambda r: (zlib.crc32(str(r["i"]).encode()), r["i"], r["features"]))
+    sample = pooled.select(F.col(doc_id).alias("i"), "features").join(known, "i").groupBy("i", "y").agg(
+        F.min("features").alias("features")).collect()
+    sample.sort(key=lambda r: (zlib.crc32(str(r["i"]).encode()), r["i"]))
     x = np.array([r["features"] for r in sample], np.float64)
     return train(x, np.array([r["y"] for r in sample], np.int64))
 

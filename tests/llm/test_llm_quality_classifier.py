@@ -19,7 +19,7 @@ def test_held_out_rows_are_told_apart(spark, sf_dir):
 
 def test_probabilities_are_calibrated_by_temperature():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(12000, 2 * q.DIM + q.SHAPES))
+    x = rng.normal(size=(12000, 2 * q.DIM))
     y = (rng.random(12000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(int)
     model = q.train(x[:2000], y[:2000], epochs=30)
     x, y = x[2000:], y[2000:]  # rows that neither the layers nor the temperature have seen
@@ -58,3 +58,32 @@ def test_contexts_equal_a_plain_count(spark):
     (out,) = list(q._contexts(iter([batch])))
     got = {r["slot"]: np.array([r[f"c{k}"] for k in range(q.DIM)]) for r in out.to_pylist()}
     assert got.keys() == vectors.keys() and all((got[s] == vectors[s]).all() for s in got)
+
+
+def test_pooling_against_plain_sums(spark, odd_docs):
+    vectors = q.learn_vectors(odd_docs)
+    for row in q.pool(odd_docs, vectors).collect():
+        slots = [int(s) for s in q.slots_of(row["text"].encode() if row["text"] else None)]
+        want = np.zeros(2 * q.DIM)
+        if slots:
+            weights = [float(vectors.weight[s]) for s in slots]
+            want[:q.DIM] = sum(w * vectors.context[s].astype(float) for w, s in zip(weights, slots)) / sum(weights)
+            want[q.DIM:] = sum(vectors.index[s].astype(float) for s in slots) / len(slots)
+        assert np.allclose(row["features"], want, atol=1e-4)
+
+
+def test_a_labelled_id_on_many_rows_counts_once(spark):
+    rows = [(k, [float(k % 2), float(k)]) for k in range(90)] + [(2, [float(j), 9.0]) for j in range(500)]
+    pooled = spark.createDataFrame(rows, "doc_id bigint, features array<float>")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(90)] + [(2, 0)] * 50, "doc_id bigint, quality int")
+    once = spark.createDataFrame(rows[:90], pooled.schema).where("doc_id <> 2").unionByName(
+        spark.createDataFrame([(2, [0.0, 2.0])], pooled.schema))
+    a, b = q.fit(pooled, labels), q.fit(once, labels)
+    assert a.layers and a.temperature == b.temperature
+    assert all((x == y).all() for x, y in zip(a.layers, b.layers))
+
+
+def test_few_labels_give_the_share():
+    x = np.random.default_rng(0).normal(size=(19, 2 * q.DIM))
+    y = np.arange(19) % 2
+    assert set(q.train(x, y).scores(x).round(6)) == {round(9 / 19, 6)}
