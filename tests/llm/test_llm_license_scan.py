@@ -67,3 +67,35 @@ def test_clashing_columns_and_empty_table(odd_docs, no_docs):
 def test_a_missing_rare_word_loses_no_label(rare, text, label):
     index = s.LicenseIndex(s.TEMPLATES, {w: 9.0 if w == rare else 1.0 for w in s.template_words()})
     assert label in {t.label for t, _, _ in index.places(s.alnum_words(text.encode()))}
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Apache License\n  Version 2.0, January 2004", "Apache-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "LGPL-2.1"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General"
+     " Public License as published by the Free Software Foundation; either version 2.1 of the License", "LGPL-2.1"),
+    ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either "
+     "version 3 of the License, or (at your option) any later version.", "AGPL-3.0"),
+    ("Mozilla Public License Version 2.0", "MPL-2.0"),
+    ("Creative Commons Attribution 4.0 International", "CC-BY-4.0"),
+    ("Creative Commons Attribution-ShareAlike 3.0 Unported", "CC-BY-SA-3.0"),
+    ("CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"),
+    ("CC0 1.0 Universal", "CC0-1.0"),
+    ("# SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE'
+     " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS"
+     " OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "MIT"),
+])
+@pytest.mark.parametrize("rare", [None, b"the", b"license", b"version"])
+def test_headings_headers_and_identifiers(text, label, rare):
+    index = s.LicenseIndex(s.TEMPLATES, {w: 9.0 if w == rare else 1.0 for w in s.template_words()})
+    found = index.places(s.alnum_words(f"x y {text} z".encode()))
+    assert label in {t.label for t, _, _ in found} and all(0 < share <= 1 for _, _, share in found)
+
+
+def test_a_filled_in_word_keeps_the_key_phrases():
+    clause = next(t for t in s.TEMPLATES if t.label == "BSD-3-Clause" and t.slack)
+    index = s.LicenseIndex(s.TEMPLATES, {w: 1.0 for w in s.template_words()})
+    changed = clause.text.replace("the copyright holder", "Example Institute of Technology")
+    assert "BSD-3-Clause" in {t.label for t, _, _ in index.places(s.alnum_words(changed.encode()))}
