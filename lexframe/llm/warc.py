@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from lexframe.session import pin, scratch_path
 
 MIN_REVISIT = 1000
+#: Compressed bytes of archives that one task reads.
+TASK_BYTES = 128 << 20
 ARCHIVE_BYTES = 64 << 20
 SAMPLE_BYTES = 1 << 20
 DICTIONARY_BYTES = 1 << 15
@@ -319,9 +321,14 @@ _TYPES = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.stri
 
 
 def read_archives(
-    manifest: DataFrame, with_payload: bool = True, on_error: str = "raise", batch_bytes: int = 8 << 20
+    manifest: DataFrame, with_payload: bool = True, on_error: str = "raise", batch_bytes: int = 8 << 20,
+    task_bytes: int = TASK_BYTES,
 ) -> DataFrame:
-    """One row per record of the archives at ``manifest.path``, an archive per task."""
+    """One row per record of the archives at ``manifest.path``.
+
+    Small archives share a task: as many tasks as hold ``task_bytes`` of ``manifest.bytes`` each, at least one per task
+    slot and at most one per archive; without that column an archive per task.
+    """
     names = [c.split()[0] for c in _READ.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,5 +364,8 @@ def read_archives(
                 if rows:
                     yield batch(rows)
 
-    tasks = max(1, manifest.count())
+    size = F.sum("bytes") if "bytes" in manifest.columns else F.lit(None)
+    archives, total = manifest.agg(F.count("*"), size).first()
+    slots = manifest.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, archives if total is None else min(archives, max(slots, -(-total // task_bytes))))
     return manifest.select("path").repartition(tasks).mapInArrow(run, _READ + ", payload binary" * with_payload)

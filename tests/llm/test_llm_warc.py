@@ -114,3 +114,11 @@ def test_errors_as_rows(spark, tmp_path):
     manifest = spark.createDataFrame([(str(path),)], "path string")
     rows = warc.read_archives(manifest, on_error="row").collect()
     assert len(rows) == 20 and [r["error"] is not None for r in rows].count(True) == 1
+
+
+def test_small_archives_share_a_task(spark):
+    pages = page_rows(spark)[0]
+    manifest = warc.write_archives(warc.plan_records(pages.repartition(4))).repartition(1)
+    many = warc.read_archives(manifest.unionByName(manifest).unionByName(manifest).unionByName(manifest))
+    assert many.rdd.getNumPartitions() <= max(8, manifest.count())
+    assert many.count() == 4 * pages.count()
