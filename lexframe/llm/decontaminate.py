@@ -5,7 +5,9 @@ window), the windows enter one automaton over word numbers, and every text runs
 word positions; they are mapped back to code points of the original text.
 
 The test items are the query side: their words travel to the tasks in blocks of at most ``block_bytes``.
-One block is the usual case; more are applied one after another, each to the written result of the last.
+One block, the usual case, needs one scan of the texts and moves nothing. Of more blocks each has an automaton of its
+own and a scan of its own, which writes hits only, by the digest of the text; hits of all blocks are joined to the
+texts at the end, and no text is written. ``docs`` is read once per block and once more.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless item has no window; an
 item without an id marks words but is not counted; repeated items count once; an empty table on either
@@ -96,41 +98,57 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int):
         yield count, [(r["i"], r["t"].encode()) for r in part.collect()]
 
 
+def _digest(text: str):
+    return F.sha2(F.col(text).cast("binary"), 256)
+
+
+def _scan_all(texts, earlier, owners, offsets: bool, machinery) -> list[list]:
+    """Word counts, hit counts, item ids and spans: code points with ``offsets``, else first and last word."""
+    n_words, n_hit, ids, spans = [], [], [], []
+    for at, text in enumerate(texts):
+        known = [(r["start"], r["end"]) for r in (earlier[at] if earlier else None) or ()]
+        n, found, mine = scan(text, known, machinery)
+        n_words.append(n)
+        n_hit.append(sum(b - a + 1 for a, b in found))
+        ids.append(sorted(mine | set((owners[at] if owners else None) or ())))
+        spans.append(word_spans(text, found) if offsets and found else [{"start": a, "end": b} for a, b in found])
+    return [n_words, n_hit, ids, spans]
+
+
 def find_items(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
     item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``item_ids`` (sorted), ``spans`` and ``contaminated``."""
-    out, sc = docs, docs.sparkSession.sparkContext
-    first = True
-    for number, (count, rows) in enumerate(_blocks(items, item_id, item_text, block_bytes), start=1):
+    sc = docs.sparkSession.sparkContext
+    ddl = f"n_words bigint, n_hit bigint, item_ids array<string>, spans {_SPANS}"
+    hits = None
+    for count, rows in _blocks(items, item_id, item_text, block_bytes):
         shared = sc.broadcast(rows)
 
-        def make(shared=shared, more=not first, last=number == count, key=uuid.uuid4().hex):
-            def one(texts, spans=None, owners=None):
-                machinery = remembered(key, lambda: automaton(shared.value, window))
-                n_words, n_hit, ids, runs = [], [], [], []
-                for at, text in enumerate(texts):
-                    earlier = [(r["start"], r["end"]) for r in spans[at]] if more else []
-                    n, found, mine = scan(text, earlier, machinery)
-                    n_words.append(n)
-                    n_hit.append(sum(b - a + 1 for a, b in found))
-                    ids.append(sorted(mine | set(owners[at] if more else ())))
-                    # words until the last block, code points after it
-                    runs.append(
-                        word_spans(text, found) if last and found else [{"start": a, "end": b} for a, b in found]
-                    )
-                return [n_words, n_hit, ids, runs]
-
-            return one
-
-        read = [text] if first else [text, "spans", "item_ids"]
-        out = add_columns(
-            out, read, f"n_words bigint, n_hit bigint, item_ids array<string>, spans {_SPANS}", make
+        def make(shared=shared, last=count == 1, key=uuid.uuid4().hex):
+            return lambda texts: _scan_all(
+                texts, None, None, last, remembered(key, lambda: automaton(shared.value, window)))
+
+        if count == 1:
+            out = add_columns(docs, [text], ddl, make)
+            break
+        found = add_columns(docs.select(F.col(text).alias("__t")), ["__t"], ddl, make).where("n_hit > 0")
+        found = pin(found.select(_digest("__t").alias("__key"), "item_ids", "spans").dropDuplicates(["__key"]),
+                    "decontaminate")
+        shared.unpersist()
+        hits = found if hits is None else hits.unionByName(found)
+    else:
+        by_text = hits.groupBy("__key").agg(
+            F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("__ids"),
+            F.flatten(F.collect_list("spans")).alias("__runs"),
         )
-        first = False
-        if count > 1:
-            out = pin(out, "decontaminate")
+        joined = docs.withColumn("__key", _digest(text)).join(by_text, "__key", "left").drop("__key")
+
+        def finish():
+            return lambda texts, runs, ids: _scan_all(texts, runs, ids, True, ({}, None, [], None))
+
+        out = add_columns(joined, [text, "__runs", "__ids"], ddl, finish).drop("__runs", "__ids")
 
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
