@@ -148,3 +148,34 @@ def test_mixed_dimensions_are_refused(spark):
     asked = mixed.where("candidate_id = 1").withColumnRenamed("candidate_id", "query_id")
     with pytest.raises(Exception, match="different lengths|dimensions"):
         ops.vector_topk(asked, mixed, 1).collect()
+
+
+def test_small_blocks_need_no_more_jobs(spark):
+    q, _, queries = made(spark, 60, 10, "query")
+    c, _, corpus = made(spark, 60, 11, "candidate")
+    jobs = []
+    for n, way in enumerate(({}, {"block_bytes": 1000, "pack_rows": 5})):
+        spark.sparkContext.setJobGroup(f"blocks-{n}", "search")
+        assert rows(ops.vector_topk(queries, corpus, 5, **way)) == brute(q, c, 5)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"blocks-{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 2
+
+
+def test_groups_of_the_grid_are_bounded():
+    for queries, corpus in ((1 << 20, 1 << 40), (1 << 40, 1 << 20), (1 << 33, 1 << 33)):
+        own, other = ops._grid((queries, 1 << 30), (corpus, 1 << 30), 12)
+        assert queries / own <= ops.HELD_BYTES and corpus / other <= 8 * ops.HELD_BYTES
+    assert ops._grid((0, 0), (0, 0), 12) == (1, 1)
+
+
+def test_screening_keeps_what_single_precision_cannot_tell_apart():
+    rng = np.random.default_rng(12)
+    one = ops._unit(rng.standard_normal((1, 64)))
+    corpus = ops._unit(one + 1e-9 * rng.standard_normal((3000, 64)))
+    best = ops._Best(1, 7)
+    for at in range(0, 3000, 500):
+        best.add(np.arange(1), one, corpus[at:at + 500], np.arange(at, at + 500))
+        best.settle()
+    scores = np.round((corpus @ one.T)[:, 0], ops.NOISE_DIGITS)
+    assert best.settle()[1].tolist() == np.lexsort((np.arange(3000), -scores))[:7].tolist()
