@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import catalogue
 from lexframe.operators import vectors as ops
 
 DIMS = 12
@@ -179,3 +180,14 @@ def test_screening_keeps_what_single_precision_cannot_tell_apart():
         best.settle()
     scores = np.round((corpus @ one.T)[:, 0], ops.NOISE_DIGITS)
     assert best.settle()[1].tolist() == np.lexsort((np.arange(3000), -scores))[:7].tolist()
+
+
+def test_bucket_search_is_exact_with_all_buckets_and_the_recall_query_counts_what_is_found(spark):
+    q, _, queries = made(spark, 40, 13, "query")
+    c, _, corpus = made(spark, 200, 14, "candidate")
+    near = ops.hashed_vector_topk(queries, corpus, 5, bits=1, probes=2)
+    assert rows(near) == brute(q, c, 5)
+    few = ops.recall_at_k(ops.hashed_vector_topk(queries, corpus, 5, bits=4, probes=1), ops.vector_topk(queries, corpus, 5))
+    assert 0.0 < few.first().recall < 1.0
+    sql = catalogue.all_oracles()["approx_topk_recall"]
+    assert "count(n.score) AS found_hits" in sql and "AS recall," in sql
