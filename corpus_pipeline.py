@@ -31,7 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, by five-word shingles of similarity 0.8 or more."""
+    """One document of each class of near-duplicates: candidates by SimHash and minhash bands, five-word shingles of similarity 0.8 or more."""
     return near_copies.drop_near_copies(docs)
 
 

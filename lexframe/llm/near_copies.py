@@ -5,7 +5,8 @@ that are sure to meet within 17 bits are 7 bits short. Candidates come from minh
 ``ROWS`` values; sets of similarity s share no band with probability ``(1 - s**ROWS) ** BANDS``: 3e-6 at 0.8, less above.
 Every link is verified by the whole sets of 64-bit shingle hashes.
 
-Equal sets collapse first. Each set is verified against the smallest one of every band it shares. What still shares a band
+Equal sets collapse first. SimHash comes next: fingerprints within its few bits form classes by the index of deletion variants
+(:mod:`lexframe.llm.simhash`), and every member is verified against the least of its class. Each set is verified against the smallest one of every band it shares. What still shares a band
 but no class is paired and verified, so classes are the connected components of all verified pairs. Pairs whose
 sizes alone rule the similarity out are not verified. In bands of up to ``CROWD`` sets all pairs are tried.
 
@@ -32,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexframe.llm import simhash
 from lexframe.llm.common import add_columns, blank_words, set_aside
 from lexframe.llm.components import components
 from lexframe.session import pin
@@ -77,13 +79,14 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 def _sketch(shingle: int):
     def one(texts):
-        same, size, keys = [], [], []
+        same, size, keys, prints = [], [], [], []
         for text in texts:
             hashes = shingles(text, shingle)
             same.append(xxhash.xxh3_128_digest(hashes.tobytes()))
             size.append(len(hashes))
             keys.append(bands(hashes))
-        return [same, size, keys]
+            prints.append(simhash.fingerprint(text))
+        return [same, size, keys, prints]
 
     return one
 
@@ -198,13 +201,26 @@ def crowd_pairs(crowded: DataFrame, sets: DataFrame, similarity: float) -> tuple
     return proved, met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _sized(a: str, b: str, similarity: float):
+    """The sizes of two sets allow the similarity."""
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity - 1e-9)
+
+
+def _fingerprint_stars(prints: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) to verify: the least set of each class of fingerprints with its other members; ``prints`` has (n, size, fp)."""
+    told = pin(prints.join(simhash.fingerprint_classes(prints), "fp").select("n", "size", "root"), "copies-prints")
+    least = told.groupBy("root").agg(F.min(F.struct("n", "size")).alias("least"))
+    met = told.join(least, "root").where((F.col("n") != F.col("least.n")) & _sized("size", "least.size", similarity))
+    return pin(met.select(F.col("least.n").alias("a"), F.col("n").alias("b")), "copies-pairs")
+
+
 def drop_near_copies(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest id; rows without an id come last."""
     rows, name, back = set_aside(docs)
     marked = add_columns(
-        rows, [name[text]], "same binary, size bigint, bands array<bigint>", lambda: _sketch(shingle)
+        rows, [name[text]], "same binary, size bigint, bands array<bigint>, fp bigint", lambda: _sketch(shingle)
     ).withColumn("n", F.monotonically_increasing_id())
     marked = pin(marked, "copies-docs")
     key = F.col(name[doc_id])
@@ -215,18 +231,20 @@ def drop_near_copies(
     # (the smallest set of each band, with its size; both sides of a pair are told by n)
     least = banded.groupBy("key").agg(F.min(F.struct("n", "size")).alias("least"), F.count("*").alias("c"))
     shared = pin(banded.join(least.where("c > 1").drop("c"), "key"), "copies-bands")
-    some = marked.join(shared.select("n").distinct(), "n", "left_semi").select("n", F.col(name[text]).alias("text"))
+    hashed = _fingerprint_stars(marked.join(kept, "n", "left_semi").select("n", "size", "fp"), similarity)
+    either = shared.select("n").union(hashed.select("a")).union(hashed.select("b")).distinct()
+    some = marked.join(either, "n", "left_semi").select("n", F.col(name[text]).alias("text"))
     sets = pin(
         add_columns(some, ["text"], "set binary", lambda: lambda texts: [[shingles(t, shingle).tobytes() for t in texts]])
         .select("n", "set"), "copies-sets",
     )
 
     def sized(a: str, b: str):
-        return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity - 1e-9)
+        return _sized(a, b, similarity)
 
     stars = pin(
         shared.where((F.col("n") != F.col("least.n")) & sized("size", "least.size"))
-        .select(F.col("least.n").alias("a"), F.col("n").alias("b")).distinct(), "copies-pairs",
+        .select(F.col("least.n").alias("a"), F.col("n").alias("b")).union(hashed).distinct(), "copies-pairs",
     )
     links = _verified(stars, sets, similarity)
     rooted = components(links)

@@ -139,3 +139,15 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5, 6, 7]
     assert near_copies.drop_near_copies(no_docs).count() == 0
+
+
+def test_simhash_links_alone_make_classes(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(2000))
+    rows = [(1, text), (2, text + " end"), (3, "start " + text), (4, " ".join(f"v{i}" for i in range(2000))), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = []
+    classes = near_copies.simhash.fingerprint_classes
+    monkeypatch.setattr(near_copies.simhash, "fingerprint_classes", lambda fps: seen.append(classes(fps)) or seen[-1])
+    kept = sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect())
+    assert kept == brute(rows) == [1, 4, 5]
+    assert len(seen) == 1 and seen[0].select("root").distinct().count() < seen[0].count()
