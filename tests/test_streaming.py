@@ -161,3 +161,44 @@ def test_statutes_arrive_twice(spark, tmp_path):
     assert drain() == {("가법", "1"), ("가법", "2"), ("나법", "1")}
     write("가법2.json", "9")
     assert ("가법2", "9") in drain()
+
+
+class _State:
+    """A handle and its states in memory that count the calls made on them."""
+
+    def __init__(self):
+        self.calls, self.value, self.items, self.timers = [], None, [], set()
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls.append(name)
+            if name in ("getListState", "getValueState"):
+                return self
+            if name == "get":
+                return self.value
+            if name == "update":
+                self.value = given[0]
+            elif name == "registerTimer":
+                self.timers.add(given[0])
+            elif name == "deleteTimer":
+                self.timers.discard(given[0])
+
+        return call
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_whole_request_makes_three_calls_on_the_state():
+    state = _State()
+    assembler = jobs._Assembler(60_000, "saved")
+    assembler.init(state)
+    state.calls.clear()
+
+    def take(*rows):
+        made = [{"seq": s, "event": e, "payload": p, "at_ms": at_ms} for s, e, p, at_ms in rows]
+        return list(assembler.handleInputRows(("a",), iter(made), state))
+
+    assert [r["answer"] for r in take((1, "saved", "7", 20), (0, "text", "가", 10))] == ["가"]
+    assert sorted(state.calls) == ["get", "registerTimer", "update"] and state.timers == {60_020}
+    assert take((2, "status", "late", 30)) == [] and state.timers == {60_030}
