@@ -13,7 +13,7 @@ from .routing import (  # noqa: F401
     expand_terms, handler_of, law_label, route_question, search_term, short_tool, squeeze,
 )
 from .text import (  # noqa: F401
-    article_text, clean_text, collapse_space, flatten_text, json_field, nfc, number_paragraphs,
-    preview, quality_score, reference_count, strip_markup, strip_space,
+    article_forms, article_text, clean_text, collapse_space, flatten_text, json_field, nfc,
+    number_paragraphs, preview, quality_score, reference_count, strip_markup, strip_space,
 )
 from .web import news_date, source_brand  # noqa: F401

@@ -281,3 +281,12 @@ def test_stored_side_is_not_shuffled(spark, buckets):
             assert found.exceptAll(job(rows)).count() == 0 == job(rows).exceptAll(found).count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_extraction_runs_one_python_helper(spark):
+    """A second helper would hold workers of its own in every task."""
+    docs = spark.createDataFrame([("법가", '{"법령":{"조문":{"조문여부":"조문","조문번호":"1","조문내용":"① ﬁ"}}}')], "law_name string, doc string")
+    found = ops.extract_articles(docs)
+    assert [tuple(r) for r in found.select("law_name_norm", "text").collect()] == [("법가", "1 fi")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
