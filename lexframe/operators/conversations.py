@@ -106,7 +106,10 @@ def search_history(queries: DataFrame, turns: DataFrame, n: int = 5, order=None,
     answered = asked.join(answers.select(*PAIR_KEYS).distinct(), PAIR_KEYS, "left_semi")
     named = _named(asked, distinct.where(by_gram))
     matched = _matched(answered, named, distinct.where(~by_gram), block_terms)
-    newest_asked = top_per_group(matched, "term", newest(*order), n)
+    # the newest keys of a term are found without the texts, which are then read for those keys only
+    leading = top_per_group(matched, "term", newest(*order), n).select("term", *PAIR_KEYS).distinct()
+    named_again = asked.join(leading, PAIR_KEYS).where(_contains(F.col("question"), F.col("term")))
+    newest_asked = top_per_group(named_again, "term", newest(*order), n)
     columns = [*PAIR_KEYS, "question", "answer", *_extra(turns)]
     hits = top_per_group(newest_asked.join(answers, PAIR_KEYS), "term", newest(*order), n)
     hits = terms.join(hits, "term").select("query_id", *columns, F.lit(True).alias("matched"))
@@ -139,7 +142,9 @@ def _named(asked: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _matched(asked: DataFrame, named: DataFrame, others: DataFrame, block_terms: int) -> DataFrame:
-    """Questions of ``asked`` with every ``term`` they contain: those named for them, and all of ``others`` by trial."""
+    """Questions of ``asked``, without their texts, with every ``term`` they contain: those named for them, and all of
+    ``others`` by trial. A row per match is sorted and shuffled, so it has to be short."""
+    columns = [c for c in asked.columns if c != "question"]
     n_terms, chars = others.agg(F.count(F.lit(1)), F.sum(F.length("term"))).first()
     packed = F.collect_list(F.struct("term", "wild"))
     n_blocks = max(1, math.ceil(n_terms / block_terms), math.ceil((chars or 0) / BLOCK_CHARS))
@@ -148,9 +153,9 @@ def _matched(asked: DataFrame, named: DataFrame, others: DataFrame, block_terms:
     by_trial = []
     for number in range(n_blocks):
         tried = lowered.withColumn("terms", others.where(block == number).agg(packed).scalar())
-        by_trial.append(tried.select(*asked.columns, F.explode(_matching()).alias("term")))
+        by_trial.append(tried.select(*columns, F.explode(_matching()).alias("term")))
     found = F.filter("named", lambda term: F.col("lowered").contains(term))
-    by_name = lowered.join(named, PAIR_KEYS).select(*asked.columns, F.explode(found).alias("term"))
+    by_name = lowered.join(named, PAIR_KEYS).select(*columns, F.explode(found).alias("term"))
     return reduce(DataFrame.unionAll, by_trial, by_name)
 
 

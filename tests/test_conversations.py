@@ -145,3 +145,11 @@ def test_validation_reasons(spark):
         "role string, feedback int")
     assert [r.reject_reason for r in ops.validate_turns(df).collect()] == [
         None, "role", "feedback", "role", None]
+
+
+def test_matches_carry_no_texts(spark):
+    """A row per match is sorted and shuffled; the question would come along as often as it has terms."""
+    asked = ops.user_questions(turns(spark, HISTORY))
+    terms = spark.createDataFrame([("화재", False)], "term string, wild boolean")
+    none = ops._named(asked, terms.limit(0))
+    assert "question" not in ops._matched(asked, none, terms, 10).columns
