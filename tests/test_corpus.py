@@ -290,3 +290,12 @@ def test_extraction_runs_one_python_helper(spark):
     assert [tuple(r) for r in found.select("law_name_norm", "text").collect()] == [("법가", "1 fi")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_merge_into_an_unwritten_table_joins_nothing(spark):
+    """The increment's texts would be shuffled again for joins that find nothing."""
+    empty = read_parts(spark, scratch_path(spark, "unwritten"), ARTICLES)
+    docs = spark.createDataFrame([("법가", document([unit("1", "본문")]))], "law_name string, doc string")
+    result = sync_corpus(empty, docs, F.lit("2026-01-01").cast("timestamp_ntz"))
+    assert "Join" not in result.articles._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.text for r in result.articles.collect()] == ["본문"]
