@@ -5,6 +5,7 @@ import pytest
 from lexframe import rules
 from lexframe.functions import detect_entity, priority_scope, route_question
 from lexframe.operators import rule_tables as rt
+from lexframe.session import pin
 from pyspark.sql import functions as F
 
 QUESTIONS = [
@@ -69,3 +70,24 @@ def test_many_names(spark):
 def test_lists_are_the_defaults(spark):
     tables = rt.default_rules(spark)
     assert [r["name"] for r in tables["names"].orderBy("priority").collect()] == rules.KNOWN_NAMES
+
+
+def test_equal_pieces_are_looked_through_once(spark, monkeypatch):
+    """Names of letters only: every long word is one piece, however many texts have it; short ones are none."""
+    pinned = {}
+    monkeypatch.setattr(rt, "pin", lambda df, name: pinned.setdefault(name, pin(df, name)))
+    words = ["grundlagen", "vorschrift", "absturzsicherung", "des", "und"]
+    texts = spark.range(300).select("id", F.concat_ws(" 7-", *[F.lit(w) for w in words]).alias("t"))
+    names = rt.rule_table(spark, "t", [(["vorschriften", "sturzsicher"], "x"), (["rundlage"], "y")])
+    rows = rt.match_rules(texts, names, "id").collect()
+    assert len(rows) == 300 and {(r["name"], r["value"]) for r in rows} == {("sturzsicher", "x")}
+    assert sorted(r["piece"] for r in pinned["rule-texts"].collect()) == sorted(words[:3])
+    assert {len(r["head"]) for r in pinned["rule-heads"].collect()} == {8}
+
+
+def test_names_keep_pieces_whole(spark):
+    """A kind of character that one name has cuts no text."""
+    texts = spark.createDataFrame([(1, "Ärzte an 12 Orten"), (2, "Ärzte an\n12 Orten"), (3, "an 12"), (4, "än 12")], "id int, t string")
+    names = rt.rule_table(spark, "t", [(["an 12 O"], "x"), (["te an"], "y"), (["̈n"], "z")])
+    rows = rt.match_rules(texts, names, "id").collect()
+    assert {r["id"]: r["value"] for r in rows} == {1: "x", 2: "y", 4: "z"}
