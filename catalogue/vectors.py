@@ -240,9 +240,9 @@ def vectorize_missed(spark, sf_dir):
     """A cache that holds the documents with an embedding takes in the texts of the others."""
     docs = load(spark, sf_dir, "documents")
     held = docs.join(load(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
-    cache = held.groupBy(content_hash(F.col("text")).alias("query_hash")).agg(
+    cache = pin(held.groupBy(content_hash(F.col("text")).alias("query_hash")).agg(
         F.first("text").alias("query_text"), F.first("embedding").alias("embedding"),
         F.lit(1).cast("bigint").alias("ts"),
-    )
+    ), "cache")
     full = ops.vectorize_missed(docs.select("text"), cache, F.lit(2).cast("bigint"), features=64)
     return full.select("query_hash", (F.col("ts") == 2).alias("fresh"), "ts")

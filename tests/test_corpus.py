@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexframe.operators import corpus as ops
 from lexframe.operators import lookup
+from lexframe.operators.vectors import vectorize_missed
 from lexframe.plans.sync import sync_corpus
 from lexframe.session import scratch_path
 from lexframe.sources.schemas import ARTICLES
@@ -299,3 +300,30 @@ def test_a_merge_into_an_unwritten_table_joins_nothing(spark):
     result = sync_corpus(empty, docs, F.lit("2026-01-01").cast("timestamp_ntz"))
     assert "Join" not in result.articles._jdf.queryExecution().optimizedPlan().toString()
     assert [r.text for r in result.articles.collect()] == ["본문"]
+
+
+def test_cache_merge_orders_only_repeated_hashes(spark):
+    rows = "query_hash string, v string, ts bigint"
+    cache = spark.createDataFrame([("a", "old", 1), ("b", "old", 1), ("c", "old", 1), ("c", "old", 1), (None, "old", 1)], rows)
+    new = spark.createDataFrame([("b", "new", 2), ("d", "new", 2), ("e", "new", 2), ("e", "newer", 3),
+                                 (None, "new", 2), (None, "newer", 3)], rows)
+    merged = ops.cache_merge(cache, new)
+    assert sorted((r.query_hash or "", r.v, r.ts) for r in merged.collect()) == [
+        ("", "newer", 3), ("", "old", 1), ("a", "old", 1), ("b", "new", 2), ("c", "old", 1), ("c", "old", 1),
+        ("d", "new", 2), ("e", "newer", 3)]
+
+
+def test_missed_texts_are_found_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    texts = spark.createDataFrame([(t,) for t in ["a b", "a b", "b c", "c", None]], "text string").mapInPandas(counted, "text string")
+    cache = spark.createDataFrame([("c", "c", [1.0], 1)], "h string, query_text string, embedding array<float>, ts bigint")
+    cache = cache.select(F.sha2("h", 256).alias("query_hash"), "query_text", "embedding", "ts")
+    rows = vectorize_missed(texts, cache, F.lit(2).cast("bigint"), features=8).collect()
+    assert sorted((r.query_text, r.ts, len(r.embedding)) for r in rows) == [("a b", 2, 8), ("b c", 2, 8), ("c", 1, 1)]
+    assert read.value == 5
