@@ -1,5 +1,7 @@
 """Vector search against brute force, with one and with many blocks of queries."""
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -191,3 +193,24 @@ def test_bucket_search_is_exact_with_all_buckets_and_the_recall_query_counts_wha
     assert 0.0 < few.first().recall < 1.0
     sql = catalogue.all_oracles()["approx_topk_recall"]
     assert "count(n.score) AS found_hits" in sql and "AS recall," in sql
+
+
+def test_words_are_placed_alike_whatever_is_counted_at_once(monkeypatch):
+    texts = pa.array(["a b\u3000b\x85c", "", " \x1c", "b"])
+    whole, *rest = ops._counts(texts, 8)
+    assert not rest and whole.sum(axis=1).tolist() == [4, 0, 0, 1]
+    monkeypatch.setattr(ops, "PLACED_CELLS", 9)
+    assert np.array_equal(np.vstack(list(ops._counts(texts, 8))), whole)
+    assert list(ops._counts(texts.slice(0, 0), 8)) == []
+
+
+def test_vectorize_places_and_weights(spark):
+    texts = ["a b\u3000b\u2028 c ", "", None, " B\x1ca\ta", "\ufb01x d"]
+    rows = ops.vectorize(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), features=8).collect()
+    split = [["a", "b", "b", "c"], [], [], ["ba", "a"], ["fix", "d"]]
+    at = [[int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 8 for w in ws] for ws in split]
+    held = [sum(p in ps for ps in at) for p in range(8)]
+    for row in rows:
+        want = np.array([at[row.id].count(p) * np.log(6 / (held[p] + 1)) for p in range(8)])
+        want /= np.linalg.norm(want) or 1
+        assert np.allclose(row.embedding, want, atol=1e-6)
