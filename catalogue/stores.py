@@ -10,6 +10,7 @@ from lexframe.operators.vectors import payload_filter as filtered
 from lexframe.session import scratch_path
 from lexframe.sources import evaluation
 from lexframe.sources.statutes import read_statute_json as read_statutes
+from lexframe.sources.statutes import write_statute_json
 from lexframe.sources.tables import read_table as read_stored
 
 from .common import TURNS_SQL, load, turns
@@ -26,7 +27,7 @@ def read_statute_json(spark, sf_dir):
     path = scratch_path(spark, "statutes")
     pages = load(spark, sf_dir, "pages")
     laws = shaped_statutes(pages, F.col("page_id"), *map(F.col, ("url", "html", "url")))
-    laws.select(F.col("doc").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    write_statute_json(laws, path)
     number = F.regexp_extract("doc", '"조문번호":"([0-9]+)"', 1)
     read = read_statutes(spark, path).select(F.concat(F.lit("법 "), number).alias("law_name"), "doc")
     return extract(read).select("law_name_norm", "article_number_norm", "text", "enforcement_date")

@@ -12,7 +12,7 @@ from lexframe.operators.vectors import vectorize_missed
 from lexframe.plans.sync import sync_corpus
 from lexframe.session import scratch_path
 from lexframe.sources.schemas import ARTICLES
-from lexframe.sources.statutes import read_statute_json, split_documents
+from lexframe.sources.statutes import read_statute_json, split_documents, write_statute_json
 from lexframe.sources.buckets import store_buckets
 from lexframe.sources.parts import part_of, read_parts, replace_parts
 
@@ -176,6 +176,19 @@ def test_documents_from_files(spark, tmp_path):
     assert ops.extract_articles(good).first().text == "가\n나"
 
 
+def test_documents_to_files(spark, tmp_path):
+    texts = [document([unit("1", "가\n나")]), document([unit("2", "다")]), document([unit("2", "다")]), None, "[1, 2"]
+    laws = spark.createDataFrame(list(enumerate(texts)), "n int, doc string").repartition(3)
+    for base in (str(tmp_path / "a b"), (tmp_path / "c").as_uri()):
+        write_statute_json(laws, base)
+        write_statute_json(laws, base)  # as a repeated task does
+        docs = read_statute_json(spark, base)
+        assert docs.columns == ["law_name", "doc"]
+        assert sorted(r.doc for r in docs.collect()) == sorted(t for t in texts if t)
+    files = [f.name for f in (tmp_path / "c").rglob("*") if f.is_file()]
+    assert len(files) == len(texts) and all(f.endswith(".json") for f in files)
+
+
 def test_parts_are_replaced_alone(spark):
     path = scratch_path(spark, "parts")
     schema = "law string, n int"
