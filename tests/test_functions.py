@@ -215,3 +215,13 @@ def test_failure_reason(spark):
     assert [(r.x, r.r) for r in found.orderBy("i").collect()] == [
         (False, "unknown"), (True, "fallback_used | confidence_null | no_articles"),
         (True, "low_confidence(0.500)"), (True, "no_articles"), (True, "low_confidence(0.000)")]
+
+
+def test_clean_text_drops_unseen_characters_everywhere(column):
+    """Every character alone and inside a stable text, as the forms and classes of Python and Java say."""
+    chars = [chr(c) for c in [*range(0x250), *range(0x4DF0, 0x4E10), *range(0x9FF0, 0xA000), *range(0xABF0, 0xAC10),
+                              *range(0xD790, 0xD800), 0x200B, 0xFEFF, 0xFB01, 0x3000]]
+    found = column(fx.clean_text, [f"가{c}a" for c in chars] + [None, "", " \n가\ta \x85"])
+    dropped = column(lambda v: F.regexp_replace(v, r"[\p{C}&&[^\n\t]]", ""), [unicodedata.normalize("NFKC", f"가{c}a") for c in chars])
+    assert found[:-3] == dropped
+    assert found[-3:] == ["", "", "가\ta"]
