@@ -33,12 +33,13 @@ def sync_corpus(target: DataFrame, documents: DataFrame, now: Column,
 
     A document that is no law ends up in ``quarantine``; its law keeps all rows. A law without
     extracted articles is not touched either. ``embed`` maps extracted articles to a table of the
-    keys and ``embedding``; without it only articles are synced.
+    keys and ``embedding``; without it only articles are synced. If that table keeps the other columns of the articles as
+    they are, their texts are not moved to meet the vectors (see :func:`vector_rows`).
     """
     good, bad = split_documents(documents)
-    incoming = pin(extract_articles(good), "incoming-articles")
+    incoming = pin(extract_articles(good), "incoming-articles", "zstd")
     # A stale row is never one that is merged, so it can go first: the old table is read once.
-    articles = merge_articles(remove_stale(target, incoming), incoming, now)
+    articles = merge_articles(remove_stale(target, incoming), incoming, now, written=True)
     counts = incoming.groupBy("law_name").agg(F.count(F.lit(1)).alias("articles"))
     seen = good.select("law_name").distinct()
     per_law = seen.join(counts, "law_name", "left").select(

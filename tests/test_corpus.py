@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexframe.operators import corpus as ops
 from lexframe.operators import lookup
+from lexframe.operators.keyfilter import split_by_keys, without_keys
 from lexframe.operators.vectors import vectorize_missed
 from lexframe.plans.sync import sync_corpus
 from lexframe.session import scratch_path
@@ -340,3 +341,46 @@ def test_missed_texts_are_found_once(spark):
     rows = vectorize_missed(texts, cache, F.lit(2).cast("bigint"), features=8).collect()
     assert sorted((r.query_text, r.ts, len(r.embedding)) for r in rows) == [("a b", 2, 8), ("b c", 2, 8), ("c", 1, 1)]
     assert read.value == 5
+
+
+def _repeats(spark):
+    schema = ("chunk_id string, law_name string, law_name_norm string, article_number string, article_number_norm string, "
+              "text string, enforcement_date date, position int")
+    rows = [(f"n{i}", law, law, "제", no, f"t{i}", None, i) for i, (law, no) in enumerate(
+        [("a", "1"), ("a", "2"), ("a", "2"), ("b", "1"), ("b", None), ("b", None)])]
+    return spark.createDataFrame(rows, schema)
+
+
+def test_split_by_keys_misses_no_listed_row(spark):
+    rows = spark.range(20000).selectExpr("id", "cast(id % 7 AS int) AS n", "if(id % 5 = 0, null, concat('k', id)) AS k")
+    keys = rows.where("id % 10 < 2").selectExpr("cast(n AS bigint) AS n", "k")
+    rest, some = split_by_keys(keys, rows)[0]
+    listed = {r.id for r in some.collect()}
+    assert listed >= {i for i in range(20000) if i % 10 < 2} and len(listed) < 6500  # null keys are alike in seven kinds
+    assert rest.count() + len(listed) == 20000
+    expected = rows.join(keys, ["n", "k"], "left_anti").select("id", "n", "k")
+    assert without_keys(rows, keys).exceptAll(expected).count() == 0 == expected.exceptAll(without_keys(rows, keys)).count()
+    assert without_keys(rows, keys.limit(0)).count() == 20000
+
+
+def test_only_rows_that_may_meet_are_shuffled(spark, buckets):
+    rows, _, plain = buckets
+    incoming = rows.where("chunk_id < 'c3'").withColumns({"text": F.concat("text", F.lit("!")), "position": F.lit(1)})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for job in (lambda t: ops.merge_articles(t, incoming, F.lit(2).cast("bigint")), lambda t: ops.remove_stale(t, incoming)):
+            moved = [below for below in _shuffled(job(plain)) if "buckets_" in below]
+            assert moved and all("ubquery" in below for below in moved)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_merge_of_repeated_and_null_keys(spark):
+    old = spark.createDataFrame(
+        [(f"c{i}", law, law, "제", no, f"old{i}", None, dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 1))
+         for i, (law, no) in enumerate([("a", "1"), ("a", "1"), ("b", None), ("c", "1")])], ARTICLES)
+    merged = ops.merge_articles(old, _repeats(spark), now(2))
+    assert sorted((r.chunk_id, r.law_name_norm, r.article_number_norm or "", r.text) for r in merged.collect()) == [
+        ("c0", "a", "1", "t0"), ("c1", "a", "1", "t0"), ("c2", "b", "", "old2"), ("c3", "c", "1", "old3"),
+        ("n1", "a", "2", "t2"), ("n3", "b", "1", "t3"), ("n4", "b", "", "t5")]
