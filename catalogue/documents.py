@@ -161,7 +161,7 @@ report AS (SELECT law_name_norm, coalesce(a.n, 0) AS count_a, coalesce(b.n, 0) A
 def _synced_stores(spark, sf_dir):
     """The sync with a vector store that lacks the gone articles of the corpus."""
     def embed(articles):
-        return vectorize(articles.select("law_name_norm", "article_number_norm", "text"), "text", 64)
+        return vectorize(articles, "text", 64)
 
     held = _target(spark, sf_dir).where("article_number_norm = '1'")
     keys = [F.col("law_name_norm"), F.col("article_number_norm")]

@@ -384,3 +384,14 @@ def test_merge_of_repeated_and_null_keys(spark):
     assert sorted((r.chunk_id, r.law_name_norm, r.article_number_norm or "", r.text) for r in merged.collect()) == [
         ("c0", "a", "1", "t0"), ("c1", "a", "1", "t0"), ("c2", "b", "", "old2"), ("c3", "c", "1", "old3"),
         ("n1", "a", "2", "t2"), ("n3", "b", "1", "t3"), ("n4", "b", "", "t5")]
+
+
+def test_vectors_that_carry_their_articles_are_not_joined(spark):
+    articles = _repeats(spark)
+    carried = articles.withColumn("embedding", F.array(F.col("position").cast("float")))
+    by_key, taken = ops.vector_rows(articles, carried.select(*ops.KEYS, "embedding")), ops.vector_rows(articles, carried)
+    assert sorted(by_key.columns) == sorted(taken.columns)
+    assert sorted(map(str, by_key.collect())) == sorted(map(str, taken.select(*by_key.columns).collect())) and taken.count() == 6
+    single = articles.where("chunk_id IN ('n0', 'n1', 'n3')")
+    points = ops.vector_rows(single, single.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
+    assert "Join" not in points._jdf.queryExecution().optimizedPlan().toString() and points.count() == 3
