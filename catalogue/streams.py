@@ -208,12 +208,12 @@ def stream_unresolved(spark, sf_dir):
 def stream_sync_vectors(spark, sf_dir):
     """The vector table that follows the articles: unit term vectors of their texts."""
     root, inbox = scratch_path(spark, "corpus"), scratch_path(spark, "inbox")
-    statutes(spark, sf_dir).write.parquet(inbox)
+    statutes(spark, sf_dir).write.option("compression", "zstd").parquet(inbox)
     arriving = spark.readStream.schema("law_name string, doc string").parquet(inbox)
     now = F.lit("2026-01-01").cast("timestamp_ntz")
 
     def embed(articles):
-        return vectorize(articles.select("law_name_norm", "article_number_norm", "text"), "text", 32)
+        return vectorize(articles, "text", 32)
 
     jobs.stream_sync(arriving, root, scratch_path(spark, "sync-checkpoint"), now, embed).awaitTermination()
     points = read_parts(spark, f"{root}/points", POINTS)

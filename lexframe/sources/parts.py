@@ -31,6 +31,10 @@ def read_parts(spark: SparkSession, path: str, schema: str, wanted: list[int] |
 
 
 def replace_parts(df: DataFrame, path: str, key: str, parts: int = PARTS) -> None:
-    """Write ``df``, which must not read ``path``, in place of the parts that its rows belong to."""
+    """Write ``df`` in place of the parts that its rows belong to.
+
+    ``df`` may read the parts it replaces: new files are written beside them and take their place when all are whole.
+    """
     dealt = df.withColumn("part", part_of(key, parts))
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    writer.partitionBy("part").parquet(path)

@@ -395,3 +395,11 @@ def test_vectors_that_carry_their_articles_are_not_joined(spark):
     single = articles.where("chunk_id IN ('n0', 'n1', 'n3')")
     points = ops.vector_rows(single, single.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
     assert "Join" not in points._jdf.queryExecution().optimizedPlan().toString() and points.count() == 3
+
+
+def test_parts_are_replaced_by_what_reads_them(spark):
+    path, schema = scratch_path(spark, "parts"), "law string, n int"
+    replace_parts(spark.createDataFrame([(f"law{i}", 1) for i in range(20)], schema), path, "law", 4)
+    for n in (2, 3):
+        replace_parts(read_parts(spark, path, schema).withColumn("n", F.lit(n)), path, "law", 4)
+        assert sorted(tuple(r) for r in read_parts(spark, path, schema).collect()) == sorted((f"law{i}", n) for i in range(20))

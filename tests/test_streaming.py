@@ -1,12 +1,14 @@
 """Streams against batch, late rows, unfinished requests and repeated batches."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
-from lexframe.session import scratch_path
+from lexframe.operators.vectors import vectorize
+from lexframe.session import scratch_path, scratch_root
 from lexframe.sources.parts import part_of, read_parts
-from lexframe.sources.schemas import ARTICLES
+from lexframe.sources.schemas import ARTICLES, POINTS
 from lexframe.sources.statutes import stream_statute_json
 from lexframe.streaming import jobs
 
@@ -163,6 +165,26 @@ def test_statutes_arrive_twice(spark, tmp_path):
     assert ("가법2", "9") in drain()
 
 
+def test_a_batch_leaves_only_its_tables(spark, tmp_path):
+    def drain(*laws):
+        for law, n in laws:
+            units = [{"조문여부": "조문", "조문번호": str(i + 1), "조문내용": f"본문 {i}"} for i in range(n)]
+            (tmp_path / f"{law}.json").write_text(json.dumps({"법령": {"조문": {"조문단위": units}}}, ensure_ascii=False), encoding="utf-8")
+        stream = stream_statute_json(spark, str(tmp_path))
+        jobs.stream_sync(stream, root, checkpoint, F.lit("2026-01-01").cast("timestamp_ntz"),
+                         lambda articles: vectorize(articles, "text", 4), 2).awaitTermination()
+        return [sorted((r.law_name_norm, r.article_number_norm) for r in read_parts(spark, f"{root}/{name}", schema).collect())
+                for name, schema in (("articles", ARTICLES), ("points", POINTS))]
+
+    root, checkpoint = scratch_path(spark, "corpus"), scratch_path(spark, "checkpoint")
+    held = set(os.listdir(scratch_root(spark)))
+    for laws in ([("가", 2), ("나", 1), ("다", 1)], [("라", 1), ("마", 2)]):
+        articles, points = drain(*laws)
+        assert articles == points and {(law, str(n)) for law, n in laws} <= set(articles)
+    assert len(articles) == 7
+    assert not {p for p in set(os.listdir(scratch_root(spark))) - held if not root.endswith(p) and not checkpoint.endswith(p)}
+
+
 class _State:
     """A handle and its states in memory that count the calls made on them."""
 
