@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import pin
+
 KEY_BITS, PLACES, WORD = 16, 4, 64
 LEAST_WORDS, MOST_WORDS = 1 << 6, 1 << 22  # a longer list makes more rows look listed, not the filter longer
 
@@ -36,27 +38,33 @@ def _filter_of(keys: DataFrame, words: int) -> DataFrame:
     return keys.sparkSession.createDataFrame(row, "words array<bigint>")
 
 
-def split_by_keys(keys: DataFrame, *tables: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """Each table in two: rows that ``keys`` surely does not list, and all others.
+def listed_by(keys: DataFrame, *tables: DataFrame) -> list[Column]:
+    """Per table, whether ``keys`` may list a row's key; false says that it surely does not.
 
     ``keys`` holds the key columns alone and is read twice, so it is meant to be a written table; the tables have columns
     of these names. The list may hold keys more than once, and null ones.
     """
     count = keys.count()
     if not count:
-        return [(table, table.where(F.lit(False))) for table in tables]
+        return [F.lit(False) for _ in tables]
     words = min(MOST_WORDS, max(LEAST_WORDS, 1 << (count * KEY_BITS // WORD).bit_length()))
     made = _filter_of(keys, words)
-
-    def sides(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    found = []
+    for table in tables:
         word, bits = _word_and_bits(table, keys, words)
-        listed = F.get(made.scalar(), word).bitwiseAND(bits) == bits
-        return table.where(~listed), table.where(listed)
+        found.append(F.get(made.scalar(), word).bitwiseAND(bits) == bits)
+    return found
 
-    return [sides(table) for table in tables]
+
+def split_by_keys(keys: DataFrame, *tables: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Each table in two: rows that ``keys`` surely does not list, and all others; see :func:`listed_by`."""
+    return [(table.where(~listed), table.where(listed)) for table, listed in zip(tables, listed_by(keys, *tables), strict=True)]
 
 
 def without_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose key ``keys`` does not list, as a left anti join has them; see :func:`split_by_keys`."""
+    """Rows whose key ``keys`` does not list, as a left anti join has them. Keys that the filter wrongly takes for listed get
+    a filter of their own: rows outside it are surely listed, so hardly a row is left for the join."""
     rest, some = split_by_keys(keys, rows)[0]
-    return rest.unionByName(some.join(keys, keys.columns, "left_anti"))
+    wrong = some.select(*keys.columns).distinct().join(keys, keys.columns, "left_anti")
+    unsure = some.where(listed_by(pin(wrong, "wrongly-listed"), some)[0])
+    return rest.unionByName(unsure.join(keys, keys.columns, "left_anti").select(*rows.columns))

@@ -386,6 +386,17 @@ def test_merge_of_repeated_and_null_keys(spark):
         ("n1", "a", "2", "t2"), ("n3", "b", "1", "t3"), ("n4", "b", "", "t5")]
 
 
+def test_old_texts_of_changed_rows_stay_where_no_new_one_has_a_place(spark):
+    old = spark.createDataFrame(
+        [(f"c{i}", "a", "a", "제", str(i), f"old{i}", None, dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 1)) for i in range(400)], ARTICLES)
+    incoming = spark.createDataFrame(
+        [(f"n{i}", "a", "a", "제", str(i), f"t{i}", None, i if i % 3 else None) for i in range(0, 400, 2)],
+        "chunk_id string, law_name string, law_name_norm string, article_number string, article_number_norm string, "
+        "text string, enforcement_date date, position int")
+    merged = {r.chunk_id: r.text for r in ops.merge_articles(old, incoming, now(2)).collect()}
+    assert merged == {f"c{i}": f"t{i}" if i % 2 == 0 and i % 3 else f"old{i}" for i in range(400)}
+
+
 def test_vectors_that_carry_their_articles_are_not_joined(spark):
     articles = _repeats(spark)
     carried = articles.withColumn("embedding", F.array(F.col("position").cast("float")))
