@@ -214,3 +214,9 @@ def test_vectorize_places_and_weights(spark):
         want = np.array([at[row.id].count(p) * np.log(6 / (held[p] + 1)) for p in range(8)])
         want /= np.linalg.norm(want) or 1
         assert np.allclose(row.embedding, want, atol=1e-6)
+
+
+def test_long_texts_are_placed_few_at_a_time():
+    texts = pa.array(["가 나 " * 100_000, "다", "", "나 나"] * 8)
+    parts = list(ops._counts(texts, 8))
+    assert len(parts) > 1 and np.array_equal(np.concatenate(parts), np.concatenate([next(ops._counts(texts[i:i + 1], 8)) for i in range(32)]))
